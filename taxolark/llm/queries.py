@@ -5,16 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolark.llm import chat, mixing, simhash
+from taxolark.llm import ann, bpe, chat, embed_dedup, html_text, mixing, simhash
 from taxolark.llm.tables import Shelf, batch_rows, pick, read
 
 
+def vocabulary(name: str) -> str:
+    """Where this machine's installation keeps a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, 256)
+    coded = bpe.encode(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), decoded=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch_rows(spark, 512)
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), Shelf(spark))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, 256)
+    return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, 4096)
+    rows = pick(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.nearest(rows, rows.where("vec_id % 100 = 0"), k=10, shelf=Shelf(spark))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = pick(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
@@ -36,6 +60,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents"), Shelf(spark)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, 4096)
+    return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), Shelf(spark))
+
+
 _T = chat.Template()
 
 OP7_SQL = f"""
@@ -84,5 +113,5 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
-QUERIES = {"op2_simhash": op2_simhash, "op7_chat": op7_chat, "op8_mixing": op8_mixing}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_html, op5_ann, op7_chat, op8_mixing, op9_embed_dedup)}
 ORACLE_SQL = {"op7_chat": OP7_SQL, "op8_mixing": OP8_SQL}
