@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolark.llm import ann, bpe, chat, embed_dedup, html_text, mixing, simhash
+from taxolark.llm import ann, bpe, chat, embed_dedup, html_text, license_scan, mixing, secrets, simhash, toxicity
 from taxolark.llm.tables import Shelf, batch_rows, pick, read
 
 
@@ -33,6 +33,32 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, 256)
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(secrets.sample_texts(docs)))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = secrets.written(F.filter("spans", lambda s: s["kind"] != "model"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the passages found, and the licence of the best one."""
+    batch_rows(spark, 256)
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    best = F.array_sort("found", lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).otherwise(a["start"] - b["start"]))
+    return found.select(
+        "doc_id",
+        F.size("found").cast("long").alias("n_found"),
+        F.get(best, F.lit(0))["license"].alias("license"),
+        F.get(best, F.lit(0))["dice"].alias("dice"),
+        F.array_join(F.transform("found", lambda f: F.concat_ws(":", f["license"], f["start"].cast("string"), f["end"].cast("string"))), ",").alias("passages"),
+    )
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch_rows(spark, 4096)
     rows = pick(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -65,6 +91,14 @@ def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), Shelf(spark))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, 256)
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 _T = chat.Template()
 
 OP7_SQL = f"""
@@ -113,5 +147,5 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_html, op5_ann, op7_chat, op8_mixing, op9_embed_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_html, op4_secrets, op5_ann, op6_licenses, op7_chat, op8_mixing, op9_embed_dedup, op10_toxicity)}
 ORACLE_SQL = {"op7_chat": OP7_SQL, "op8_mixing": OP8_SQL}
