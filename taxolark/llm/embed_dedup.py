@@ -152,36 +152,43 @@ def _linked(classes: DataFrame, d: int, threshold: float, shelf: Shelf) -> DataF
     product = F.aggregate(F.zip_with("v", F.array(*map(F.lit, main)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     first = classes.select("node", "weight", "v", (product / norm).alias("first"))
-    bands = max(1, -(-first.count() // BAND))
-    dealt = first.repartitionByRange(bands, "first", "node").withColumn("band", F.spark_partition_id())
-    dealt = shelf.put(dealt.select("band", "node", "weight", "v"))
+    parts = max(1, -(-first.count() // BAND))
+    dealt = shelf.put(first.repartitionByRange(parts, "first", "node").select(F.spark_partition_id().alias("part"), "node", "weight", "v"))
     box = min(BOX, d)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = matrix(b.column(1), d)
             lead = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ rotate[:, :box]
-            band = b.column(0).to_numpy()
-            for g in np.unique(band):
-                own = lead[band == g]
-                yield pa.RecordBatch.from_arrays([pa.array([g] * box), pa.array(np.arange(box)), pa.array(own.min(0)), pa.array(own.max(0))], names=["band", "axis", "lo", "hi"])
-
-    seen = dealt.select("band", "v").mapInArrow(ranges, "band int, axis long, lo double, hi double").groupBy("band", "axis").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            part = b.column(0).to_numpy()
+            for g in np.unique(part):
+                own = lead[part == g]
+                yield pa.RecordBatch.from_arrays([pa.array([g] * box), pa.array(np.arange(box)), pa.array(own.min(0)), pa.array(own.max(0)), pa.array([len(own)] * box)], names=["part", "axis", "lo", "hi", "n"])
+
+    seen = dealt.select("part", "v").mapInArrow(ranges, "part int, axis long, lo double, hi double, n long")
+    seen = seen.groupBy("part", "axis").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).orderBy("part", "axis").collect()  # 8 rows for each part
+    band_of, rows = np.zeros(1 + max(r["part"] for r in seen), dtype=np.int64), 0
+    for r in seen:  # neighbouring parts make up a band, however many parts there are
+        if r["axis"] == 0:
+            band_of[r["part"]] = (rows + r["n"] // 2) // BAND
+            rows += r["n"]
+    bands = int(band_of.max()) + 1
     lo, hi = np.full((bands, box), np.inf), np.full((bands, box), -np.inf)
-    for r in seen.collect():  # 16 numbers for each 8192 vectors
-        lo[r["band"], r["axis"]], hi[r["band"], r["axis"]] = r["lo"], r["hi"]
+    for r in seen:
+        at = band_of[r["part"]], r["axis"]
+        lo[at], hi[at] = min(lo[at], r["lo"]), max(hi[at], r["hi"])
     far = 2 - 2 * threshold + 1e-9  # the square of the distance of two unit vectors at the threshold
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            band = b.column(0).to_numpy()
+            band = band_of[b.column(0).to_numpy()]
             for g in np.unique(band):
                 gap = np.maximum(0, np.maximum(lo - hi[g], lo[g] - hi))
                 meets = np.flatnonzero((gap**2).sum(axis=1) <= far)
                 own = b.filter(pa.array(band == g))
                 for h in meets:
                     pair = int(min(g, h)) * bands + int(max(g, h))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, pair)), *own.columns], names=["pair", "band", "node", "weight", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, pair)), pa.array(np.full(own.num_rows, g)), *own.columns[1:]], names=["pair", "band", "node", "weight", "v"])
 
     pairs = Pairs(rotate, threshold)
 
@@ -196,5 +203,5 @@ def _linked(classes: DataFrame, d: int, threshold: float, shelf: Shelf) -> DataF
         some = links > 0
         return pa.table({"node": node[some], "links": links[some], "root": node[label[some]]})
 
-    sent = dealt.mapInArrow(partners, "pair long, band int, node long, weight long, v array<double>")
+    sent = dealt.mapInArrow(partners, "pair long, band long, node long, weight long, v array<double>")
     return sent.groupBy("pair").applyInArrow(compare, "node long, links long, root long")
