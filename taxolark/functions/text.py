@@ -75,11 +75,13 @@ def keywords(text: Column) -> Column:
 def phrases(text: Column, shortest: int = 2, longest: int = 4) -> Column:
     """Distinct stretches of words that neither begin nor end with a stop word and have more than five characters."""
     own = words(F.lower(text))
-    grams = [
-        F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(1), F.size(own) - (n - 1)), lambda i, n=n: F.slice(own, i, n))).otherwise(F.array().cast("array<array<string>>"))
-        for n in range(shortest, longest + 1)
-    ]
-    good = F.filter(F.flatten(F.array(*grams)), lambda g: ~F.element_at(g, 1).isin(STOP_WORDS) & ~F.element_at(g, -1).isin(STOP_WORDS))
+
+    def stretches(n: int) -> Column:
+        whole = F.transform(F.sequence(F.lit(1), F.size(own) - (n - 1)), lambda i: F.slice(own, i, F.lit(n)))
+        return F.when(F.size(own) >= n, whole).otherwise(F.array().cast("array<array<string>>"))
+
+    grams = [stretches(n) for n in range(shortest, longest + 1)]
+    good = F.filter(F.flatten(F.array(*grams)), lambda g: ~F.try_element_at(g, F.lit(1)).isin(STOP_WORDS) & ~F.try_element_at(g, F.lit(-1)).isin(STOP_WORDS))
     return F.array_distinct(F.filter(F.transform(good, lambda g: F.array_join(g, " ")), lambda p: F.length(p) > 5))
 
 
@@ -106,12 +108,12 @@ def normalize_term(term: Column) -> Column:
 
 def extract_units(text: Column) -> Column:
     """array<struct<measure, number, unit>>: all quantities, by measure."""
-    found = []
-    for measure, pattern in UNITS.items():
-        number = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        unit = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-        found.append(F.zip_with(number, unit, lambda n, u, measure=measure: F.struct(F.lit(measure).alias("measure"), n.cast("double").alias("number"), u.alias("unit"))))
-    return F.flatten(F.array(*found))
+
+    def of(measure: str, pattern: str) -> Column:
+        number, unit = (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) for group in (1, 2))
+        return F.zip_with(number, unit, lambda n, u: F.struct(F.lit(measure).alias("measure"), n.cast("double").alias("number"), u.alias("unit")))
+
+    return F.flatten(F.array(*[of(m, p) for m, p in UNITS.items()]))
 
 
 def attribute_name(name: Column) -> Column:

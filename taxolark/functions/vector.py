@@ -52,8 +52,12 @@ def weighted_average(vectors: Sequence[Column], weights: Sequence[float]) -> Col
     """The vector average of several models, weights taken relative to their sum."""
     whole = float(sum(weights))
     out = F.transform(_double(vectors[0]), lambda x: x * (weights[0] / whole))
+
+    def add(out: Column, v: Column, share: float) -> Column:
+        return F.zip_with(out, _double(v), lambda x, y: x + y * share)
+
     for v, w in zip(vectors[1:], weights[1:], strict=True):
-        out = F.zip_with(out, _double(v), lambda x, y, w=w: x + y * (w / whole))
+        out = add(out, v, w / whole)
     return out
 
 

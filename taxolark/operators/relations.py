@@ -95,9 +95,10 @@ def shortest_path(edges: DataFrame, start, end, hops: int = 5) -> DataFrame:
     """(path, hops, weight, score): the shortest way along out-edges; of equal ways the first by path."""
     v = f"v_{uuid.uuid4().hex}"
     edges.groupBy("source", "target").agg(F.max("confidence").alias("confidence")).createOrReplaceTempView(v)
+    kind = edges.schema["source"].dataType.simpleString()
     found = edges.sparkSession.sql(
         f"""WITH RECURSIVE t(node, path, weight) MAX RECURSION LEVEL {hops + 2} AS (
-              SELECT :a, array(:a), CAST(0 AS DOUBLE)
+              SELECT CAST(:a AS {kind}), array(CAST(:a AS {kind})), CAST(0 AS DOUBLE)
               UNION ALL
               SELECT e.target, concat(t.path, array(e.target)), t.weight + e.confidence FROM {v} e JOIN t ON e.source = t.node
               WHERE size(t.path) <= {hops} AND t.node <> :b AND NOT array_contains(t.path, e.target))
