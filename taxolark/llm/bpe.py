@@ -139,7 +139,7 @@ class Tokenizer:
             counts.append(len(own))
         ids, sizes = self.encode_words(words) if words else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        cut = np.concatenate([[0], np.cumsum(counts)])
+        cut = np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])
         per_chunk = np.diff(ends[cut])
         first = len(self.flat)
         self.starts = np.concatenate([self.starts, first + ends[cut[:-1]]])

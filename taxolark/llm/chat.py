@@ -45,7 +45,7 @@ class Template:
         return F.replace(F.replace(self.escape(role), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
 
     def unescape_role(self, line: Column) -> Column:
-        parts = F.transform(F.split(line, r"\\\\\\\\", -1), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n")))
+        parts = F.transform(F.split(line, r"\\\\", -1), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n")))
         return self.unescape(F.array_join(parts, "\\"))
 
 

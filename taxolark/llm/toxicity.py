@@ -172,11 +172,12 @@ def held_out(doc_id: int | str) -> bool:
 
 
 def different(texts: list[str], labels: list[int]) -> list[int]:
-    """Positions of the texts to fit on: of texts whose three smallest word hashes agree (copies, mostly) the first."""
+    """Positions of the texts to fit on: of texts whose three smallest hashes of word triples agree (copies, mostly) the first."""
     seen = {}
     for i, text in enumerate(texts):
-        own = sorted({zlib.crc32(w.encode()) for w in words_of(text)})[:3]
-        seen.setdefault((labels[i], *own), i)
+        own = words_of(text)
+        triples = {" ".join(own[k : k + 3]) for k in range(max(1, len(own) - 2))}
+        seen.setdefault((labels[i], *sorted({zlib.crc32(t.encode()) for t in triples})[:3]), i)
     return list(seen.values())
 
 
