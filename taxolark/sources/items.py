@@ -82,9 +82,9 @@ class Store:
 
     def current(self) -> dict[str, str]:
         path, fs = self._fs()
-        if not fs.exists(path(f"{self.root}/_current")):
+        if not fs.exists(path(f"{self.root}/current.tsv")):
             return {}
-        rows = self.spark.read.text(f"{self.root}/_current").collect()  # one line for each table
+        rows = self.spark.read.text(f"{self.root}/current.tsv").collect()  # one line for each table
         return dict(r["value"].split("\t", 1) for r in rows)
 
     def names(self) -> list[str]:
@@ -105,13 +105,13 @@ class Store:
     def commit(self) -> None:
         path, fs = self._fs()
         now = self.current() | self.staged
-        new = f"{self.root}/_new-{uuid.uuid4().hex}"
+        new = f"{self.root}/new-{uuid.uuid4().hex}"
         out = fs.create(path(new))
         out.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(now.items())).encode()))
         out.close()
-        if fs.exists(path(f"{self.root}/_current")):
-            fs.delete(path(f"{self.root}/_current"), False)
-        fs.rename(path(new), path(f"{self.root}/_current"))
+        if fs.exists(path(f"{self.root}/current.tsv")):
+            fs.delete(path(f"{self.root}/current.tsv"), False)
+        fs.rename(path(new), path(f"{self.root}/current.tsv"))
         self.staged = {}
 
     def rollback(self) -> None:

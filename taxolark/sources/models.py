@@ -12,11 +12,12 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def complete(df: DataFrame, prompt: str, client: Callable[[str], str], out: str = "response", retries: int = 3, wait: float = 1.0) -> DataFrame:
     """Rows with a client's answer to each prompt; after so many tries, each waiting twice as long, the answer is null."""
-    schema = df.schema.add(out, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -38,7 +39,7 @@ def _tried(client: Callable[[str], str], prompt: str, retries: int, wait: float)
 
 def embed(df: DataFrame, text: str, provider: Callable[[list[str]], Sequence[Sequence[float]]], d: int, out: str = "embedding") -> DataFrame:
     """Rows with a provider's vectors; zeros for blank texts; a provider's error is the job's."""
-    schema = df.schema.add(out, "array<double>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
