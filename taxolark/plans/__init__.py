@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taxolark.plans import searching, structure
+from taxolark.plans import searching, semantics, structure
 from taxolark.plans.registry import QUERIES, SQL
 
 
@@ -14,4 +14,4 @@ def all_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["all_queries", "all_sql", "searching", "structure"]
+__all__ = ["all_queries", "all_sql", "searching", "semantics", "structure"]
