@@ -19,11 +19,11 @@ from pyspark.sql import types as T
 
 from taxolark.llm.tables import pick
 
-#: Fixed values of HTML: elements without an end, with raw text, that break text, that end an open paragraph.
+#: Fixed values of HTML: elements without an end, with raw text, that are blocks, that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul br".split())
-ENDS_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 #: Elements that the end of a sibling is often left out of, and where the search for one stops.
 LEFT_OUT = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",)}
 SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th")}
@@ -180,9 +180,11 @@ def blocks(root: Node) -> list[Block]:
             if links:
                 linked += len(_SPACE.sub(" ", kid).strip())
             continue
-        if kid.tag in BLOCK:
+        if kid.tag == "br":
+            parts.append(" ")
+        elif kid.tag in BLOCK:
             close()
-        todo.append((kid, 0, kid if kid.tag in BLOCK and kid.tag != "br" else container, links + (kid.tag == "a")))
+        todo.append((kid, 0, kid if kid.tag in BLOCK else container, links + (kid.tag == "a")))
     return out
 
 
