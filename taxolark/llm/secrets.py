@@ -341,9 +341,16 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def sample_texts(docs: DataFrame, bound: int = SAMPLE) -> list[str]:
-    """At most ``bound`` texts to train on, chosen by a hash of the text; each cut to 20,000 characters."""
-    some = pick(docs, "text").where("text is not null").select(F.substring("text", 1, 20_000).alias("text"), F.xxhash64("text").alias("h"))
-    return [r["text"] for r in some.orderBy("h", "text").limit(bound).collect()]
+    """At most ``bound`` different texts to train on, those of the smallest hashes; each cut to 20,000 characters.
+
+    The hashes are chosen first, so that tasks never send texts that aren't taken.
+    """
+    own = pick(docs, "text").where("text is not null").withColumn("h", F.xxhash64("text"))
+    chosen = [r["h"] for r in own.select("h").distinct().orderBy("h").limit(bound).collect()]
+    if not chosen:
+        return []
+    taken = own.where(F.col("h") <= max(chosen)).groupBy("h").agg(F.min(F.substring("text", 1, 20_000)).alias("text"))
+    return [r["text"] for r in taken.orderBy("h").limit(bound).collect()]
 
 
 def scan(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), redact: str | None = None) -> DataFrame:
