@@ -131,19 +131,16 @@ def elevation_candidates(candidates: DataFrame, vocabulary: DataFrame, frequency
 
 def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """(term, before_share, after_share, ratio) of terms (term, n) counted in two periods."""
-    b = before.select("term", (F.col("n") / F.sum("n").over(_whole())).alias("before_share"))
-    a = after.select("term", (F.col("n") / F.sum("n").over(_whole())).alias("after_share"))
+    def shares(df: DataFrame, name: str) -> DataFrame:
+        whole = df.agg(F.sum("n").alias("whole"))
+        return df.crossJoin(F.broadcast(whole)).select("term", (F.col("n") / F.col("whole")).alias(name))  # whole is one row
+
+    b, a = shares(before, "before_share"), shares(after, "after_share")
     joined = b.join(a, "term", "full")
     x, y = F.coalesce("before_share", F.lit(0.0)), F.coalesce("after_share", F.lit(0.0))
     return joined.select("term", F.round(x, 6).alias("before_share"), F.round(y, 6).alias("after_share"), F.round(F.when(x > 0, y / x), 6).alias("ratio"))
 
 
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def conflicts(terms: DataFrame) -> DataFrame:
     """(norm, categories): one normalized term in several categories."""
     from taxolark.functions.text import normalize_term

@@ -196,14 +196,21 @@ def pattern(edges: DataFrame, relations: Sequence[str]) -> DataFrame:
     return out
 
 
+#: Rows of the right side that a left row meets at a time.
+BLOCK = 4096
+
+
 def similarity_edges(left: DataFrame, right: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
     """(source, target, confidence): pairs of (id, v) of two tables by cosine, the best few of each source if asked.
 
-    The right side is sent to all tasks, so it is meant for a table of known, small size,
-    such as one level of a category tree.
+    The right side is dealt into blocks of bounded size and the left side meets one
+    after another; a right side of one block is sent to all tasks.
     """
-    a, b = left.select(F.col("id").alias("source"), F.col("v").alias("va")), right.select(F.col("id").alias("target"), F.col("v").alias("vb"))
-    pairs = a.join(F.broadcast(b), F.col("source") != F.col("target")).select("source", "target", F.round(vf.cosine(F.col("va"), F.col("vb")), 6).alias("confidence")).where(F.col("confidence") >= threshold)
+    blocks = max(1, -(-right.count() // BLOCK))
+    a = left.select(F.col("id").alias("source"), F.col("v").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    b = right.select(F.col("id").alias("target"), F.col("v").alias("vb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    met = a.join(F.broadcast(b) if blocks == 1 else b, "block").where(F.col("source") != F.col("target"))
+    pairs = met.select("source", "target", F.round(vf.cosine(F.col("va"), F.col("vb")), 6).alias("confidence")).where(F.col("confidence") >= threshold)
     if most is None:
         return pairs
     best = Window.partitionBy("source").orderBy(F.desc("confidence"), "target")

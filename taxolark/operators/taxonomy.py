@@ -73,10 +73,10 @@ def children(tree: DataFrame, category: str) -> DataFrame:
     return tree.where(F.col("parent_id") == category).orderBy("name")
 
 
-def siblings(tree: DataFrame) -> DataFrame:
-    """(category_id, sibling_id): equal parents, roots being siblings of each other."""
-    a, b = tree.select("category_id", "parent_id"), tree.select(F.col("category_id").alias("sibling_id"), F.col("parent_id").alias("p"))
-    return a.join(b, F.col("parent_id").eqNullSafe(F.col("p")) & (F.col("category_id") != F.col("sibling_id"))).select("category_id", "sibling_id")
+def siblings(tree: DataFrame, category: str) -> DataFrame:
+    """Other categories under the same parent; roots are siblings of each other."""
+    one = F.broadcast(tree.where(F.col("category_id") == category).select(F.col("parent_id").alias("_p")).limit(1))
+    return tree.join(one, F.col("parent_id").eqNullSafe(F.col("_p")) & (F.col("category_id") != category)).drop("_p")
 
 
 def subtree(tree: DataFrame, path: list[str]) -> DataFrame:

@@ -49,15 +49,20 @@ def category_attributes(spark, folder):
     return semantic.attributes_of(tree(spark, folder), a, v).select("category_id", "attribute", F.array_join("values", ",").alias("listed"))
 
 
+_INSIDE = "((length(split_part({1}, ' ', 1)) > 3 AND contains({0}, split_part({1}, ' ', 1))) OR (length(split_part({1}, ' ', 2)) > 3 AND contains({0}, split_part({1}, ' ', 2))))"
+
+
 @query(
-    f"""WITH {EDGES_SQL}, near AS (SELECT a.p_partkey AS source, b.p_partkey AS target FROM part a JOIN part b ON a.p_partkey < 10 AND b.p_partkey < 10 AND a.p_partkey <> b.p_partkey AND a.p_name = b.p_name),
-        every AS (SELECT source, target, relation, confidence FROM edges WHERE source < 10 UNION ALL SELECT source, target, 'synonym', 0.6::DOUBLE FROM near WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.source = near.source AND e.target = near.target))
+    f"""WITH {EDGES_SQL}, j AS (SELECT source, target, relation, confidence, a.p_name AS x, b.p_name AS y FROM edges JOIN part a ON source = a.p_partkey JOIN part b ON target = b.p_partkey),
+        c AS (SELECT source, target, confidence, CASE WHEN relation = 'synonym' THEN 'known' WHEN confidence > 0.9 OR x = y THEN 'synonym' WHEN {_INSIDE.format('x', 'y')} THEN 'hyponym' WHEN {_INSIDE.format('y', 'x')} THEN 'hypernym'
+              WHEN confidence > 0.7 THEN 'similar' WHEN confidence > 0.5 THEN 'related' END AS r FROM j),
+        every AS (SELECT source, target, CASE r WHEN 'known' THEN 'synonym' ELSE r END AS relation, round(confidence * CASE r WHEN 'hyponym' THEN 0.9::DOUBLE WHEN 'hypernym' THEN 0.9 WHEN 'related' THEN 0.8 ELSE 1 END, 6) AS confidence FROM c WHERE r IS NOT NULL)
         SELECT source, target, relation, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS k FROM every) WHERE k <= 20"""
 )
 def discover_relationships(spark, folder):
-    p = read(spark, folder, "part").where("p_partkey < 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    near = p.toDF("source", "t").join(p.toDF("target", "t"), "t").where("source <> target").select("source", "target", F.lit(0.6).alias("similarity"))
-    return semantic.discover(p, edges(spark, folder).where("source < 10"), near)
+    p = read(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    e = edges(spark, folder)
+    return semantic.discover(p, e.where("relation = 'synonym'"), e.select("source", "target", F.col("confidence").alias("similarity")))
 
 
 @query(

@@ -27,9 +27,9 @@ def tree_ancestors(spark, folder):
     return taxonomy.ancestors(tree(spark, folder), "c7").select("category_id", "name", "level")
 
 
-@query(f"WITH {TREE_SQL} SELECT a.category_id, b.category_id AS sibling_id FROM tree a JOIN tree b ON a.parent_id IS NOT DISTINCT FROM b.parent_id AND a.category_id <> b.category_id WHERE a.level < 2")
+@query(f"WITH {TREE_SQL} SELECT category_id, name FROM tree WHERE parent_id = (SELECT parent_id FROM tree WHERE category_id = 'c7') AND category_id <> 'c7'")
 def tree_siblings(spark, folder):
-    return taxonomy.siblings(tree(spark, folder).where("level < 2"))
+    return taxonomy.siblings(tree(spark, folder), "c7").select("category_id", "name")
 
 
 @query(
@@ -60,13 +60,14 @@ def subtree_size(spark, folder):
     return taxonomy.subtree_size(tree(spark, folder))
 
 
-@query(f"WITH {TREE_SQL} SELECT a.category_id AS a, b.category_id AS b, CASE WHEN a.path[1] <> b.path[1] THEN '' WHEN a.path[2] <> b.path[2] THEN a.path[1] ELSE array_to_string(a.path[1:2], '/') END AS common FROM tree a, tree b WHERE a.category_id IN ('c1', 'c2', 'c3', 'c4') AND b.level = 2")
+@query(
+    f"""WITH {TREE_SQL} SELECT a.category_id AS a, b.category_id AS b, CASE WHEN a.path[1] <> b.path[1] THEN '' WHEN a.path[2] <> b.path[2] THEN a.path[1] ELSE array_to_string(a.path[1:2], '/') END AS common
+        FROM tree a JOIN tree b ON a.level = 2 AND b.level = 2 AND substr(a.category_id, 2)::BIGINT + 1 = substr(b.category_id, 2)::BIGINT"""
+)
 def lca(spark, folder):
-    t = tree(spark, folder).where("level = 2").select("category_id", "path")
-    four = F.broadcast(t.where("category_id in ('c1', 'c2', 'c3', 'c4')").select(F.col("category_id").alias("a"), F.col("path").alias("pa")))
-    pairs = t.select(F.col("category_id").alias("b"), F.col("path").alias("pb")).join(four)
-    shared = F.slice(taxonomy.common_ancestor(F.col("pa"), F.col("pb")), 1, 2)
-    return pairs.select("a", "b", F.array_join(shared, "/").alias("common"))
+    t = tree(spark, folder).where("level = 2").select("category_id", "path", F.substring("category_id", 2, 20).cast("long").alias("k"))
+    pairs = t.select(F.col("category_id").alias("a"), F.col("path").alias("pa"), (F.col("k") + 1).alias("k")).join(t.select(F.col("category_id").alias("b"), F.col("path").alias("pb"), "k"), "k")
+    return pairs.select("a", "b", F.array_join(taxonomy.common_ancestor(F.col("pa"), F.col("pb")), "/").alias("common"))
 
 
 @query(
@@ -94,19 +95,19 @@ def taxonomy_issues(spark, folder):
     return taxonomy.issues(tree(spark, folder))
 
 
-@query(f"WITH {TREE_SQL} SELECT row_number() OVER (ORDER BY path, category_id) AS place, category_id FROM tree WHERE level < 2")
+@query(f"WITH {TREE_SQL} SELECT row_number() OVER (ORDER BY path, category_id) AS place, category_id FROM tree")
 def traverse_pre(spark, folder):
-    return _numbered(taxonomy.traverse(tree(spark, folder).where("level < 2"), "pre_order"), F.col("path"))
+    return _numbered(taxonomy.traverse(tree(spark, folder), "pre_order"), F.col("path"))
 
 
-@query(f"WITH {TREE_SQL} SELECT row_number() OVER (ORDER BY list_append(path, chr(1114111)), category_id) AS place, category_id FROM tree WHERE level < 2")
+@query(f"WITH {TREE_SQL} SELECT row_number() OVER (ORDER BY list_append(path, chr(1114111)), category_id) AS place, category_id FROM tree")
 def traverse_post(spark, folder):
-    return _numbered(taxonomy.traverse(tree(spark, folder).where("level < 2"), "post_order"), F.concat("path", F.array(F.lit(taxonomy.LAST))))
+    return _numbered(taxonomy.traverse(tree(spark, folder), "post_order"), F.concat("path", F.array(F.lit(taxonomy.LAST))))
 
 
-@query(f"WITH {TREE_SQL} SELECT row_number() OVER (ORDER BY level, path, category_id) AS place, category_id FROM tree WHERE level < 2")
+@query(f"WITH {TREE_SQL} SELECT row_number() OVER (ORDER BY level, path, category_id) AS place, category_id FROM tree")
 def traverse_bfs(spark, folder):
-    return _numbered(taxonomy.traverse(tree(spark, folder).where("level < 2"), "breadth_first"), F.col("level"), F.col("path"))
+    return _numbered(taxonomy.traverse(tree(spark, folder), "breadth_first"), F.col("level"), F.col("path"))
 
 
 def _numbered(df, *by):
@@ -318,19 +319,20 @@ def vector_measures(spark, folder):
     return e.select("vec_id", F.round(vf.dot(v, q), 6).alias("dot"), F.round(vf.euclidean(v, q), 6).alias("euclidean"), F.round(vf.manhattan(v, q), 6).alias("manhattan"))
 
 
-@query(f"WITH e AS ({_V}) SELECT a.vec_id AS source, b.vec_id AS target, round({_COS.format('a.v', 'b.v')}, 6) AS confidence FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20 AND b.vec_id < 20")
+@query(f"WITH e AS ({_V}) SELECT a.vec_id AS source, b.vec_id AS target, round({_COS.format('a.v', 'b.v')}, 6) AS confidence FROM e a JOIN e b ON a.vec_id <> b.vec_id")
 def similarity_matrix(spark, folder):
-    e = _vectors(spark, folder).where("vec_id < 20").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    e = _vectors(spark, folder).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return relations.similarity_edges(e, e, -2.0)
 
 
 @query(
-    f"""WITH e AS ({_V}), s AS (SELECT a.vec_id AS source, b.vec_id AS target, round({_COS.format('a.v', 'b.v')}, 6) AS confidence FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE b.vec_id < 100),
+    f"""WITH e AS ({_V}), c AS (SELECT -1 - label AS id, arg_min(v, vec_id) AS v FROM e GROUP BY 1), s AS (SELECT vec_id AS source, c.id AS target, round({_COS.format('e.v', 'c.v')}, 6) AS confidence FROM e, c),
         r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS k FROM s WHERE confidence >= 0.1) SELECT source, target, confidence FROM r WHERE k <= 3"""
 )
 def map_categories_topk(spark, folder):
-    e = _vectors(spark, folder).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return relations.similarity_edges(e, e.where("id < 100"), 0.1, 3)
+    e = _vectors(spark, folder)
+    one = e.groupBy((-1 - F.col("label").cast("long")).alias("id")).agg(F.min_by("embedding", "vec_id").alias("v"))
+    return relations.similarity_edges(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), one, 0.1, 3)
 
 
 @query(f"WITH e AS ({_V}) SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * 0.75::DOUBLE + p[2] * 0.25::DOUBLE)), 6) AS total FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
@@ -343,18 +345,17 @@ def multi_model_average(spark, folder):
 # --- graphs ------------------------------------------------------------------------------------------------
 
 
+_INSIDE = "((length(split_part({1}, ' ', 1)) > 3 AND contains({0}, split_part({1}, ' ', 1))) OR (length(split_part({1}, ' ', 2)) > 3 AND contains({0}, split_part({1}, ' ', 2))))"
+
+
 @query(
-    """SELECT a.p_partkey AS source, b.p_partkey AS target,
-       CASE WHEN a.p_name = b.p_name THEN 'synonym' WHEN (length(split_part(b.p_name, ' ', 1)) > 3 AND contains(a.p_name, split_part(b.p_name, ' ', 1))) OR (length(split_part(b.p_name, ' ', 2)) > 3 AND contains(a.p_name, split_part(b.p_name, ' ', 2))) THEN 'hyponym'
-            WHEN (length(split_part(a.p_name, ' ', 1)) > 3 AND contains(b.p_name, split_part(a.p_name, ' ', 1))) OR (length(split_part(a.p_name, ' ', 2)) > 3 AND contains(b.p_name, split_part(a.p_name, ' ', 2))) THEN 'hypernym' ELSE 'related' END AS relation,
-       round(CASE WHEN a.p_name = b.p_name THEN 0.6::DOUBLE WHEN (length(split_part(b.p_name, ' ', 1)) > 3 AND contains(a.p_name, split_part(b.p_name, ' ', 1))) OR (length(split_part(b.p_name, ' ', 2)) > 3 AND contains(a.p_name, split_part(b.p_name, ' ', 2))) THEN 0.54
-            WHEN (length(split_part(a.p_name, ' ', 1)) > 3 AND contains(b.p_name, split_part(a.p_name, ' ', 1))) OR (length(split_part(a.p_name, ' ', 2)) > 3 AND contains(b.p_name, split_part(a.p_name, ' ', 2))) THEN 0.54 ELSE 0.48 END, 6) AS confidence
-       FROM part a JOIN part b ON a.p_partkey < 30 AND b.p_partkey < 30 AND a.p_partkey <> b.p_partkey"""
+    f"""WITH n AS (SELECT DISTINCT p_name AS n FROM part), c AS (SELECT a.n AS source, b.n AS target, CASE WHEN {_INSIDE.format('a.n', 'b.n')} THEN 'hyponym' WHEN {_INSIDE.format('b.n', 'a.n')} THEN 'hypernym' ELSE 'related' END AS relation FROM n a JOIN n b ON a.n <> b.n)
+        SELECT *, CASE WHEN relation = 'related' THEN 0.48::DOUBLE ELSE 0.54 END AS confidence FROM c"""
 )
 def classify_relationships(spark, folder):
-    p = read(spark, folder, "part").where("p_partkey < 30").select("p_partkey", "p_name")
-    pairs = p.toDF("source", "s").join(F.broadcast(p.toDF("target", "t")), F.col("source") != F.col("target"))
-    name, score = relations.classify(F.col("s"), F.col("t"), F.lit(0.6))
+    p = read(spark, folder, "part").select("p_name").distinct()
+    pairs = p.toDF("source").join(p.toDF("target"), F.col("source") != F.col("target"))
+    name, score = relations.classify(F.col("source"), F.col("target"), F.lit(0.6))
     return pairs.select("source", "target", name.alias("relation"), F.round(score, 6).alias("confidence"))
 
 
@@ -437,10 +438,10 @@ def pattern_match(spark, folder):
     return relations.pattern(edges(spark, folder), ["similar", "related"])
 
 
-@query(f"WITH {EDGES_SQL} SELECT source, target, relation FROM edges WHERE source % 2 = 0 AND target % 2 = 0")
+@query(f"WITH {EDGES_SQL} SELECT source, target, relation FROM edges WHERE source IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO') AND target IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO')")
 def subgraph(spark, folder):
-    even = read(spark, folder, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("node"))
-    return relations.subgraph(edges(spark, folder), even).select("source", "target", "relation")
+    own = read(spark, folder, "part").where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("node"))
+    return relations.subgraph(edges(spark, folder), own).select("source", "target", "relation")
 
 
 # --- ranking -------------------------------------------------------------------------------------------------
@@ -468,12 +469,12 @@ for _name, _sql in (
 
 
 @query(
-    f"""WITH {EDGES_SQL}, near AS (SELECT p_partkey AS id, round(1 - p_partkey / 5000.0::DOUBLE, 6) AS score FROM part WHERE p_partkey < 40), top AS (SELECT * FROM near ORDER BY score DESC, id LIMIT 30),
+    f"""WITH {EDGES_SQL}, near AS (SELECT p_partkey AS id, round(p_size / 50::DOUBLE, 6) AS score FROM part WHERE p_size >= 45), top AS (SELECT * FROM near ORDER BY score DESC, id LIMIT 30),
         led AS (SELECT target AS id, max(score * CASE relation WHEN 'synonym' THEN 1.0::DOUBLE WHEN 'similar' THEN 0.9 ELSE 0.8 END * confidence) AS score FROM top JOIN edges ON id = source WHERE confidence > 0.5 GROUP BY 1)
         SELECT id, score, 0 AS way FROM near UNION ALL SELECT id, round(score, 6), 1 FROM led WHERE score > 0.3 AND id NOT IN (SELECT id FROM near)"""
 )
 def hybrid_search(spark, folder):
-    near = read(spark, folder, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("id"), F.round(1 - F.col("p_partkey") / 5000.0, 6).alias("score"))
+    near = read(spark, folder, "part").where("p_size >= 45").select(F.col("p_partkey").alias("id"), F.round(F.col("p_size") / 50, 6).alias("score"))
     return ranking.hybrid(near, edges(spark, folder), relations.weight(F.col("relation"), relations.FOLLOWED), 0.3, 30)
 
 
@@ -488,7 +489,7 @@ def hybrid_playbook(spark, folder):
 
 
 @query(
-    f"""WITH {EDGES_SQL}, seen AS (SELECT DISTINCT o_custkey AS u, l_partkey AS id, max(o_orderdate) AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 100 GROUP BY 1, 2),
+    f"""WITH {EDGES_SQL}, seen AS (SELECT DISTINCT o_custkey AS u, l_partkey AS id, max(o_orderdate) AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2),
         s AS (SELECT u, id, row_number() OVER (PARTITION BY u ORDER BY t DESC, id) AS nth FROM seen),
         e AS (SELECT source, target, confidence, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS k FROM edges WHERE confidence >= 0.5),
         o AS (SELECT s.u, target AS id, confidence AS score, nth, k, row_number() OVER (PARTITION BY s.u, target ORDER BY nth, k) AS f FROM s JOIN e ON s.id = source WHERE nth <= 10 AND k <= 5 AND NOT EXISTS (SELECT 1 FROM seen x WHERE x.u = s.u AND x.id = target)),
@@ -496,7 +497,7 @@ def hybrid_playbook(spark, folder):
         SELECT u AS "user", id, score, place::INT AS place FROM p WHERE place <= 10"""
 )
 def recommendations(spark, folder):
-    o = read(spark, folder, "orders").where("o_custkey < 100").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = read(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     seen = o.join(read(spark, folder, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("id")).agg(F.max("o_orderdate").alias("at"))
     return ranking.recommend(seen, edges(spark, folder), least=0.5)
 
@@ -624,8 +625,7 @@ def cluster_semantic(spark, folder):
 @query()
 def extract_concepts(spark, folder):
     e = _vectors(spark, folder).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.concat(F.lit("label"), F.col("label")).alias("kind"))
-    near = relations.similarity_edges(e, e.where("id < 300"), 0.3).where("source < target or source >= 300")
-    pairs = near.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct().persist()
+    pairs = relations.similarity_edges(e, e, 0.3).where("source < target").select(F.col("source").alias("a"), F.col("target").alias("b")).persist()
     return greedy.concepts(e.select("id", "kind"), pairs)
 
 
@@ -678,16 +678,15 @@ def intersect_ids(spark, folder):
 
 
 @query(
-    """WITH p AS (SELECT row_number() OVER (ORDER BY ts) AS band, ts AS lo, lead(ts) OVER (ORDER BY ts) AS hi FROM events WHERE event_id % 1000 = 0)
-       SELECT band, count(*) AS n FROM p JOIN events e ON e.ts >= lo AND e.ts < hi GROUP BY 1"""
+    """WITH p(name, lo, hi) AS (VALUES ('spring', TIMESTAMP '2024-01-03 06:00', TIMESTAMP '2024-01-09'), ('sale', TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-08 12:00'), ('late', TIMESTAMP '2024-01-25', TIMESTAMP '2024-02-25'))
+       SELECT name, count(*) AS n, round(sum(value), 6) AS total FROM p JOIN events ON ts >= lo AND ts < hi GROUP BY 1"""
 )
 def interval_join(spark, folder):
-    e, w = read(spark, folder, "events"), Window.orderBy("ts")
-    bands = e.where("event_id % 1000 = 0").select(F.row_number().over(w).cast("long").alias("band"), F.col("ts").alias("lo"), F.lead("ts").over(w).alias("hi"))
-    day = lambda c: F.to_date(c)
-    dealt = bands.where("hi is not null").withColumn("day", F.explode(F.sequence(day(F.col("lo")), day(F.col("hi")))))
-    joined = e.select("ts", day(F.col("ts")).alias("day")).join(dealt, "day").where("ts >= lo and ts < hi")
-    return joined.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    rows = [("spring", "2024-01-03 06:00:00", "2024-01-09 00:00:00"), ("sale", "2024-01-08 00:00:00", "2024-01-08 12:00:00"), ("late", "2024-01-25 00:00:00", "2024-02-25 00:00:00")]
+    spans = spark.createDataFrame(rows, "name string, lo string, hi string").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("lo", "hi")})
+    dealt = spans.withColumn("day", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))))  # equal on the day, then within the span
+    joined = read(spark, folder, "events").withColumn("day", F.to_date("ts")).join(dealt, "day").where("ts >= lo and ts < hi")
+    return joined.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 @query("SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO' AND l_shipdate < TIMESTAMP '1999-01-01' GROUP BY 1")

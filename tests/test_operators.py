@@ -161,7 +161,7 @@ def test_tree_queries(spark, tree):
     assert ids(taxonomy.traverse(tree, "pre_order")) == ["a", "b", "c", "d", "e"]
     assert ids(taxonomy.traverse(tree, "post_order")) == ["c", "b", "d", "a", "e"]
     assert ids(taxonomy.breadcrumbs(tree, "c")) == ["a", "b", "c"]
-    assert {(r[0], r[1]) for r in taxonomy.siblings(tree).collect()} == {("b", "d"), ("d", "b"), ("a", "e"), ("e", "a")}
+    assert ids(taxonomy.siblings(tree, "b")) == ["d"] and ids(taxonomy.siblings(tree, "a")) == ["e"]
     assert ids(taxonomy.subtree(tree, ["A", "B"]).orderBy("level")) == ["b", "c"]
     assert one(spark, taxonomy.common_prefix(F.array(F.lit("x"), F.lit("y"), F.lit("z")), F.array(F.lit("x"), F.lit("q"), F.lit("z")))) == 1
     broken = tree.unionAll(spark.createDataFrame([("z", "Z", "nope", 5, ["Z"], "active")], tree.schema))
