@@ -32,10 +32,10 @@ CUT = frozenset("head script style noscript template iframe svg math textarea ti
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 #: Words of class and id names that mark boilerplate, whole words between hyphens, underscores and changes of case.
 CUT_WORDS = frozenset(
-    "ad ads adbox adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments commentlist cookie cookies consent disqus "
-    "dropdown footer gdpr hidden hide login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup print promo "
+    "ad ads adbox adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus "
+    "dropdown footer gdpr hidden hide login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo "
     "promoted recommended recommendations related reply replies respond search share sharing shoutbox sidebar sidebars signup skyscraper social sponsor sponsored subscribe subscription "
-    "tags toolbar tooltip topbar widget widgets warning alert disclaimer".split()
+    "toolbar topbar widget widgets alert".split()
 )
 GOOD_WORDS = frozenset("article body content entry main page post story text blog hentry".split())
 KEEP = frozenset("article main body html".split())
@@ -119,7 +119,7 @@ def boilerplate(node: Node) -> bool:
     words, attrs = _names(node)
     if attrs.get("role", "").lower() in CUT_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attrs.get("style", "")):
         return True
-    if node.tag == "header" and not _inside(node, "article"):
+    if (node.tag == "header" or words in ({"header"}, {"site", "header"}, {"page", "header"}, {"top", "header"})) and not _inside(node, "article"):
         return True
     return node.tag not in KEEP and bool(words & CUT_WORDS) and not (words & {"article", "content", "story", "main"} and not words & {"ad", "ads", "advert", "comment", "comments", "sidebar", "related", "share", "social"})
 

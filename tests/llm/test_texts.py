@@ -95,7 +95,7 @@ PROSE = "The first paragraph, with commas, runs on long enough to count as runni
     [
         '<nav><a href="/">Home</a></nav>', '<div class="sidebar"><p>Side text, which is long, and has commas, many of them, to score.</p></div>', "<header><h1>Site</h1></header>",
         '<div id="comments"><p>Great post, thanks, I loved it, I really did, every word of it.</p></div>', "<footer>&copy; 2024</footer>", '<div class="cookie-notice">We use cookies, as all do.</div>',
-        "<form><label>Name</label><input></form>", "<script>var a = '<p>no</p>';</script>", "<style>p{}</style>", '<div class="ad-banner">Buy now, cheap, today.</div>', '<div style="display:none">hidden, text</div>', "<aside>By the way, a note.</aside>",
+        "<form><label>Name</label><input></form>", "<script>var a = '<p>no</p>';</script>", "<style>p{}</style>", '<div class="ad-banner">Buy now, cheap, today.</div>', '<div id="header"><p>Site, of all sorts, and so on.</p></div>', '<div style="display:none">hidden, text</div>', "<aside>By the way, a note.</aside>",
     ],
 )
 @pytest.mark.parametrize("box", ["<article>{}</article>", '<div id="content">{}</div>', "<main>{}</main>", '<div class="post"><div>{}</div></div>'])
