@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from taxolark.llm.tables import pick
 
 #: Fixed value: white space as Unicode defines it.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def category(first: str) -> str:
