@@ -60,9 +60,10 @@ def closure(tree: DataFrame) -> DataFrame:
 
 
 def ancestors(tree: DataFrame, category: str) -> DataFrame:
-    """Rows above a category, root first."""
-    up = closure(tree.select("category_id", "parent_id")).where((F.col("category_id") == category) & (F.col("distance") > 0)).select(F.col("ancestor_id").alias("category_id"), "distance")
-    return tree.join(up, "category_id").orderBy(F.desc("distance")).drop("distance")
+    """Rows above a category, root first: those whose path begins its path (paths are trusted)."""
+    one = F.broadcast(tree.where(F.col("category_id") == category).select(F.col("path").alias("_own")).limit(1))
+    above = (F.size("path") < F.size("_own")) & (F.slice(F.col("_own"), F.lit(1), F.size("path")) == F.col("path"))
+    return tree.join(one, above).drop("_own").orderBy(F.size("path"))
 
 
 def breadcrumbs(tree: DataFrame, category: str) -> DataFrame:
@@ -89,8 +90,10 @@ def by_path(tree: DataFrame, path: list[str]) -> DataFrame:
 
 
 def subtree_size(tree: DataFrame) -> DataFrame:
-    """(category_id, size): itself and all below."""
-    return closure(tree).groupBy(F.col("ancestor_id").alias("category_id")).agg(F.count(F.lit(1)).alias("size"))
+    """(category_id, size): itself and all below; each category counts once for every beginning of its path."""
+    starts = F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice(F.col("path"), F.lit(1), i))
+    counts = tree.select(F.explode(starts).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("size"))
+    return tree.select("category_id", "path").join(counts, "path").select("category_id", "size")
 
 
 def traverse(tree: DataFrame, order: str) -> DataFrame:
