@@ -29,7 +29,22 @@ def draw(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def before(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], shelf: Shelf) -> DataFrame:
+    """Rows with, under each name, the sum of a column over all rows before them in the order.
+
+    Rows are dealt by range and numbered sums are taken within each part; only the
+    parts' totals, a row for each, are summed up in one place.
+    """
+    dealt = shelf.put(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    offsets = totals.select("part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"o_{n}") for n in sums])
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    running = [(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"o_{n}")).alias(n) for n, c in sums.items()]
+    return dealt.join(F.broadcast(offsets), "part").select(*df.columns, *running)  # as many rows as there are parts
+
+
+def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, shelf: Shelf | None = None) -> DataFrame:
     """(source, source_size, target) for sizes (source, size).
 
     Sources by code point, null last, get the weights in turn and share ``share`` times
@@ -37,21 +52,20 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     excess goes to the others by weight. The result is a level: each target is the
     smaller of its bound and level times weight. In order of bound over weight, the
     level that leaves the first sources at their bounds is largest at the right cut.
-    Sums are over sources, one row each, after the sizes have been added up. A source
-    of size 0 has target 0.
+    There may be as many sources as documents. A source of size 0 has target 0.
     """
-    whole = Window.orderBy(F.col("source").asc_nulls_last())
+    shelf = shelf or Shelf(sizes.sparkSession)
+    by_name = F.col("source").asc_nulls_last()
     summed = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = (F.row_number().over(whole) - 1) % len(weights)
-    weighed = summed.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int")))
-    bound = weighed.withColumn("bound", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("bound") / F.col("weight"))
-    rising = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, every = rising.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    full = F.coalesce(F.sum("bound").over(before), F.lit(0.0))
-    open_ = F.sum("weight").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = bound.withColumn("level", (F.lit(share) * F.sum("source_size").over(every) - full) / open_)
-    level = level.withColumn("level", F.max("level").over(every))
-    return level.select("source", "source_size", F.least("bound", F.col("level") * F.col("weight")).alias("target"))
+    placed = before(summed, [by_name], {"place": F.lit(1)}, shelf)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    bound = placed.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(most)).alias("bound"))
+    bound = bound.withColumn("ratio", F.col("bound") / F.col("weight"))
+    cut = shelf.put(before(bound, [F.col("ratio").asc(), by_name], {"full": F.col("bound"), "gone": F.col("weight")}, shelf))
+    whole = cut.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    level = cut.crossJoin(F.broadcast(whole)).agg(F.max((F.lit(share) * F.col("all_size") - F.col("full")) / (F.col("all_weight") - F.col("gone"))).alias("level"))
+    # whole and level are one row each; the written table's size tells the planner whether documents must be shuffled to meet it
+    return shelf.put(cut.crossJoin(F.broadcast(level)).select("source", "source_size", F.least("bound", F.col("level") * F.col("weight")).alias("target")))
 
 
 def plan(docs: DataFrame, shelf: Shelf | None = None, seed: int = 42, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -64,7 +78,7 @@ def plan(docs: DataFrame, shelf: Shelf | None = None, seed: int = 42, weights: S
     """
     shelf = shelf or Shelf(docs.sparkSession)
     sized = shelf.put(pick(docs, "doc_id", "text", "source").select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    share_of = targets(sized, weights, share, most).select(F.col("source").alias("of"), F.col("source_size"), F.col("target"))
+    share_of = targets(sized, weights, share, most, shelf).select(F.col("source").alias("of"), F.col("source_size"), F.col("target"))
     joined = sized.join(share_of, F.col("source").eqNullSafe(F.col("of")))
     return joined.withColumn("copies", copies(F.col("doc_id"), F.col("target"), F.col("source_size"), seed)).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
