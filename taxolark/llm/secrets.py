@@ -324,19 +324,31 @@ class Tagger:
 
 
 def all_spans(text: str, tagged: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """The base spans, and of the tagged ones those that overlap no base span."""
+    """The base spans, and the tagged ones, whole, that the base spans leave any text of uncovered."""
     out = base_spans(text)
     if tagged:
         base = [(a, b) for a, b, _ in out]
         where = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
         for first, last in tagged:
             a, b = where[first][0], where[last][1]
-            if not any(a < y and x < b for x, y in base):
+            if _uncovered(text, a, b, base):
                 out.append((a, b, "model"))
         out.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return out
 
 
+def _uncovered(text: str, a: int, b: int, base: list[tuple[int, int]]) -> bool:
+    """Whether anything but white space of text[a:b] is outside the base spans, given by start."""
+    for x, y in base:
+        if x >= b:
+            break
+        if y > a:
+            if text[a:x].strip():
+                return True
+            a = y
+    return bool(text[a:b].strip())
+
+
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -356,7 +368,8 @@ def sample_texts(docs: DataFrame, bound: int = SAMPLE) -> list[str]:
 def scan(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), redact: str | None = None) -> DataFrame:
     """The columns of ``keep`` and ``spans`` (kind, start, end in code points) of documents (text).
 
-    ``spans``: all base spans and those that the field adds, by start. With ``redact``
+    ``spans``: all base spans and those that the field adds, by start; one of the field
+    may overlap a base span that stops short of it. With ``redact``
     also ``text`` in which each stretch of spans is replaced by that string. A null
     text counts as empty and has no spans; it stays null when redacted. Rows are
     returned as often as they occur; other columns are ignored; no rows give no rows.

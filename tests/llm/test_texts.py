@@ -175,6 +175,26 @@ def test_field_finds_made_secrets_and_leaves_prose(model, corpus):
     assert extra <= 0.05 * len(texts)
 
 
+def test_secret_of_many_tokens_after_a_base_lead(model, corpus):
+    """The base stops at the first blank; the field's span over the rest stays and is redacted with it."""
+    rng, tagger = np.random.default_rng(11), secrets.Tagger(model)
+    for n, text in enumerate(d["text"] for d in corpus[1::4]):
+        secret = []
+        while len(secret) < 2:
+            secret = secrets._made(rng)
+        lead = ("secret: ", 'password = "', "token: ", "api_key = '")[n % 4]
+        whole = f"{text[:500]} {lead}{' '.join(secret)} {text[500:]}"
+        at = whole.index(lead + secret[0]) + len(lead)
+        spans = secrets.all_spans(whole, tagger.tags([whole])[0])
+        inside = {i for a, b, _ in spans for i in range(a, b)}
+        assert all(i in inside for i in range(at, at + len(" ".join(secret))) if whole[i] != " ")
+        assert [s for s in spans if s[2] != "model"] == secrets.base_spans(whole)
+        redacted = secrets.replaced(whole, spans, "[SECRET]")
+        assert not any(s in redacted for s in secret)
+    assert secrets.all_spans("my token = abcdef123 ok", [(2, 2)]) == [(3, 20, "assign")]  # covered: nothing to add
+    assert secrets.all_spans("password = Tr0ub4dor&3xyz", [(2, 4)]) == [(0, 20, "assign"), (11, 25, "model")]
+
+
 def test_secret_rows(spark, model):
     docs = spark.createDataFrame([(1, "my token = \"abcdef123\" ok"), (2, None), (3, ""), (None, "x"), (1, "my token = \"abcdef123\" ok")], "doc_id long, text string")
     got = secrets.scan(clashing(docs), model, redact="[SECRET]").collect()
