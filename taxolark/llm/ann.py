@@ -135,8 +135,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, shelf: Shelf | Non
     The score is the Euclidean distance in double precision; ties go to the smaller
     vec_id; a query's own vec_id is no candidate. Each neighbour is found with a
     probability of ``sure`` at least. Rows that take no part (vectors.usable) are
-    neither queries nor candidates. Of equal vectors the k + 1 with the smallest vec_ids
-    are indexed: no other can be among a query's k nearest. A query is first looked
+    neither queries nor candidates. Of equal vectors the k + 1 smallest vec_ids, however
+    often their rows are repeated, are indexed: no other can be among a query's k nearest. A query is first looked
     up in its own cell, then in those that its k-th distance doesn't rule out; queries
     travel to pieces of bounded size. Other columns are ignored; no rows give no rows.
     """
@@ -146,7 +146,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, shelf: Shelf | Non
     if not d:
         return base.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     alike = Window.partitionBy("k1", "k2").orderBy("vec_id")
-    few = padded(base, d).select("*", *same()).withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= k + 1).select("vec_id", "v")
+    few = padded(base, d).select("*", *same()).withColumn("nth", F.dense_rank().over(alike)).where(F.col("nth") <= k + 1).select("vec_id", "v")
     few = shelf.put(few.distinct())
     m, ratio = DIMENSIONS, stop_ratio(DIMENSIONS, sure)
     turn = projection(d, m, seed)

@@ -206,6 +206,19 @@ def test_nearest(spark, monkeypatch, piece):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("times", [2, 11])
+def test_nearest_of_repeated_equal_vectors(spark, times):
+    """Repeated rows of one vec_id take no place from the other vec_ids of equal vectors."""
+    rng = np.random.default_rng(8)
+    alike = [float(x) for x in rng.standard_normal(8)]
+    rows = [(i, alike) for i in range(20)] + [(100 + i, [float(x) for x in rng.standard_normal(8)]) for i in range(30)]
+    df = spark.createDataFrame(rows * times, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id in (0, 7, 19)"), k=10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert {q: sorted(own) for q, own in got.items()} == {q: [(n, i, 0.0) for n, i in enumerate([i for i in range(20) if i != q][:10], 1)] for q in (0, 7, 19)}
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline as cp
 
