@@ -30,13 +30,23 @@ SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td",
 #: Never part of an article.
 CUT = frozenset("head script style noscript template iframe svg math textarea title nav footer aside form button select option input label dialog menu object embed canvas audio video map area search noembed noframes".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
-#: Words of class and id names that mark boilerplate, whole words between hyphens, underscores and changes of case.
+#: Words of names that mark boilerplate: a class, or an id outside the article, made up of these and of FILL only.
 CUT_WORDS = frozenset(
     "ad ads adbox adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus "
     "dropdown footer gdpr hidden hide login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo "
     "promoted recommended recommendations related reply replies respond search share sharing shoutbox sidebar sidebars signup skyscraper social sponsor sponsored subscribe subscription "
     "toolbar topbar widget widgets alert".split()
 )
+#: Words that only say more of a part's place, form or number.
+FILL = frozenset(
+    "area aside bar block body bottom box btn button buttons column columns container content entry group header holder icon icons inner item items left link links list main middle outer page panel "
+    "popular post posts primary right row secondary section site slot stories story tertiary thread title top unit wrap wrapper x article articles bars blocks boxes form news".split()
+)
+#: Running text and table cells: never cut by name. Elements whose id may name a part of the page.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote td th tr tbody thead tfoot caption dt dd figcaption".split())
+BY_ID = frozenset("div section ul ol menu dl table center header".split())
+#: Labels of links that lead around a site.
+LABELS = frozenset("home start about about-us contact contact-us next previous prev back top back-to-top login log-in logout register sign-in sign-up share tweet facebook twitter instagram linkedin youtube pinterest reddit whatsapp email print rss subscribe newsletter privacy privacy-policy imprint impressum terms sitemap search menu help faq jobs careers news blog".split())
 GOOD_WORDS = frozenset("article body content entry main page post story text blog hentry".split())
 KEEP = frozenset("article main body html".split())
 
@@ -121,7 +131,27 @@ def boilerplate(node: Node) -> bool:
         return True
     if (node.tag == "header" or words in ({"header"}, {"site", "header"}, {"page", "header"}, {"top", "header"})) and not _inside(node, "article"):
         return True
-    return node.tag not in KEEP and bool(words & CUT_WORDS) and not (words & {"article", "content", "story", "main"} and not words & {"ad", "ads", "advert", "comment", "comments", "sidebar", "related", "share", "social"})
+    if node.tag in KEEP or node.tag in TEXT or not words & CUT_WORDS or (words & {"article", "content", "story", "main"} and not words & {"ad", "ads", "advert", "comment", "comments", "sidebar", "related", "share", "social"}):
+        return False
+    if any(_marks(name) for name in attrs.get("class", "").split()):
+        return True
+    # inside an article an id is mostly made of a heading's words
+    return node.tag in BY_ID and _marks(attrs.get("id", "")) and not _in_article(node)
+
+
+def _marks(name: str) -> bool:
+    """Whether a whole name says boilerplate: not if it has words of any other kind."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return bool(words & CUT_WORDS) and all(w in CUT_WORDS or w in FILL or w.isdigit() for w in words)
+
+
+def _in_article(node: Node) -> bool:
+    up = node.up
+    while up is not None:
+        if up.tag in ("article", "main") or ("role" in up.attrs and _names(up)[1].get("role", "").lower() in ("main", "article")):
+            return True
+        up = up.up
+    return False
 
 
 def _inside(node: Node, tag: str) -> bool:
@@ -141,6 +171,26 @@ def prune(root: Node) -> None:
         todo += [k for k in node.kids if not isinstance(k, str)]
 
 
+def navigation(node: Node) -> bool:
+    """Whether a list of links leads around a site: most of its links bear the labels of such."""
+    labels, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if n.tag == "a":
+            parts, inner = [], [n]
+            while inner:
+                x = inner.pop()
+                if isinstance(x, str):
+                    parts.append(x)
+                else:
+                    inner += reversed(x.kids)
+            labels.append("-".join(re.findall(r"\w+", "".join(parts).lower())))
+        else:
+            todo += [k for k in n.kids if isinstance(k, Node)]
+    labels = [x for x in labels if x]
+    return len(labels) > 1 and 3 * sum(x in LABELS for x in labels) >= 2 * len(labels)
+
+
 class Block:
     """One run of text between block borders, its container, and its characters inside links."""
 
@@ -237,6 +287,7 @@ def main_text(html: str | None) -> str:
                 if value(kid) >= least or (prose and kid.tag in ("p", "pre", "blockquote", "ul", "ol", "div", "section", "table")) or title:
                     keep.add(id(kid))
     out = []
+    leads: dict[int, bool] = {}
     for b in found:
         up = b.node
         while up is not None and id(up) not in keep:
@@ -247,7 +298,10 @@ def main_text(html: str | None) -> str:
         while lists is not None and lists is not up and lists.tag not in ("ul", "ol", "table", "dl"):
             lists = lists.up
         if lists is not None and lists is not up and lists.tag in ("ul", "ol", "table", "dl") and density[id(lists)] > 0.6:
-            continue  # a list of links inside the article
+            if id(lists) not in leads:
+                leads[id(lists)] = navigation(lists)
+            if leads[id(lists)]:
+                continue
         out.append(b.text)
     return "\n\n".join(out)
 

@@ -106,6 +106,35 @@ def test_html_boilerplate(boiler, box):
         assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("part", "want"),
+    [
+        ('<section id="related-work"><h2>Related work</h2><p>Others did it, too.</p></section>', "Related work\n\nOthers did it, too."),
+        ('<h2 id="search-results">Search results</h2>', "Search results"),
+        ('<h2 id="social-impact" class="social">Social impact</h2>', "Social impact"),
+        ('<p id="reply-3">A reply, in full.</p>', "A reply, in full."),
+        ('<ul><li id="comment">An item.</li></ul>', "An item."),
+        ('<div class="search-results-of-study">What was found.</div>', "What was found."),
+        ('<ol><li><a href="/a">A long title, with commas, of a paper</a></li><li><a href="/b">Another paper</a>, 2020</li></ol>', "A long title, with commas, of a paper\n\nAnother paper, 2020"),
+        ('<table><tr><td><a href="/x">Xenon</a></td><td><a href="/y">Yttrium</a></td></tr></table>', "Xenon\n\nYttrium"),
+        ('<ul><li><a href="/">Home</a></li><li><a href="/about">About us</a></li><li><a href="#top">Back to top</a></li></ul>', ""),
+        ('<div class="share-buttons">Share, like, follow.</div>', ""),
+    ],
+)
+@pytest.mark.parametrize("box", ["<article>{}</article>", "<main>{}</main>", '<div id="content">{}</div>'])
+def test_html_parts_of_the_article_stay(part, want, box):
+    body = box.format(f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p>{part}<p>{PROSE}</p>")
+    parts = ["Title", PROSE, PROSE, *([want] if want else []), PROSE]
+    assert html_text.main_text(f'<html><body><nav><a href="/">Home</a></nav>{body}</body></html>') == "\n\n".join(parts)
+
+
+def test_html_ids_named_like_boilerplate_inside_an_article():
+    part = '<section id="notices"><h2>Notices</h2><p>Some, of old.</p></section>'
+    for tag in ("article", "main"):
+        assert "Some, of old." in html_text.main_text(f"<{tag}><p>{PROSE}</p>{part}</{tag}>")
+    assert "Some, of old." in html_text.main_text(f'<div role="main"><p>{PROSE}</p>{part}</div>')
+
+
 def test_html_odd(spark):
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
     assert html_text.main_text("1 < 2 <b>bold") == "1 < 2 bold"
