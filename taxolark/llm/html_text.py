@@ -21,14 +21,14 @@ from taxolark.llm.tables import pick
 
 #: Fixed values of HTML: elements without an end, with raw text, that are blocks, that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 #: Elements that the end of a sibling is often left out of, and where the search for one stops.
 LEFT_OUT = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",)}
 SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th")}
 #: Never part of an article.
-CUT = frozenset("head script style noscript template iframe svg math textarea title nav footer aside form button select option input label dialog menu object embed canvas audio video map area search noembed noframes".split())
+CUT = frozenset("head script style noscript template iframe svg textarea title nav footer aside form button select option input label dialog menu object embed canvas audio video map area search noembed noframes".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 #: Words of names that mark boilerplate: a class, or an id outside the article, made up of these and of FILL only.
 CUT_WORDS = frozenset(
@@ -109,10 +109,13 @@ def parse(html: str) -> Node:
                 continue
         node = Node(tag, m[2] or "", here)
         here.kids.append(node)
+        closed = (m[2] or "").rstrip().endswith("/")
         if tag in RAW:
+            if tag == "svg" and closed:
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-        elif tag not in VOID and not (m[2] or "").rstrip().endswith("/"):
+            at = end.end() if end else at if tag == "svg" else len(html)
+        elif tag not in VOID and not closed:
             here = node
 
 

@@ -119,6 +119,10 @@ def test_html_boilerplate(boiler, box):
         ('<table><tr><td><a href="/x">Xenon</a></td><td><a href="/y">Yttrium</a></td></tr></table>', "Xenon\n\nYttrium"),
         ('<ul><li><a href="/">Home</a></li><li><a href="/about">About us</a></li><li><a href="#top">Back to top</a></li></ul>', ""),
         ('<div class="share-buttons">Share, like, follow.</div>', ""),
+        ('<svg width="1"/><p>After a drawing.</p>', "After a drawing."),
+        ('<svg><text>Drawn</text></svg><p>After.</p>', "After."),
+        ("<math/><p>After a formula.</p>", "After a formula."),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p>", "Let x=1 hold."),
     ],
 )
 @pytest.mark.parametrize("box", ["<article>{}</article>", "<main>{}</main>", '<div id="content">{}</div>'])
