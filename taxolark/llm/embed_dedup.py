@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxolark.llm.components import components
-from taxolark.llm.tables import Shelf, pick
-from taxolark.llm.vectors import matrix, padded, same, usable, width
+from taxolark.llm.tables import Shelf
+from taxolark.llm.vectors import matrix, padded, same, unusable, usable, width
 
 #: Rows of a band, which a task holds twice, and of a tile.
 BAND, TILE = 8192, 1024
@@ -139,9 +139,7 @@ def near_duplicates(rows: DataFrame, shelf: Shelf | None = None, threshold: floa
     label = classes.select("k1", "k2", "node", "weight").join(count, "node", "left").join(component, "node", "left")
     members = found.select("vec_id", "k1", "k2").join(label, ["k1", "k2"])
     some = members.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    taking = usable(rows).select(F.col("vec_id").alias("id")).distinct()
-    none = pick(rows, "vec_id").select(F.col("vec_id").cast("long")).join(taking, F.col("vec_id") == F.col("id"), "left_anti")
-    out = some.unionAll(none.select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
+    out = some.unionAll(unusable(rows).select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

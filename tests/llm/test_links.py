@@ -163,6 +163,12 @@ def test_embeddings(spark, monkeypatch, band):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_keep_unusable_rows_of_a_usable_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, None), (1, [0.0, 0.0]), (1, [None, 1.0]), (2, [float("inf"), 1.0]), (None, [1.0, 0.0])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, 0, False), *[(1, 0, 1, True)] * 4, (2, 0, 2, True)]
+
+
 def test_tiles_dense_and_sparse(monkeypatch):
     rng = np.random.default_rng(5)
     v = np.concatenate([rng.standard_normal((60, 32)), rng.standard_normal((1, 32)) + 0.05 * rng.standard_normal((60, 32))])
