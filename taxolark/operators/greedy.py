@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 def leaders(nodes: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, leader): ``pairs`` (a, b, ...) with a before b are the items near enough; a leader leads itself.
 
-    An item follows its first leader by id. ``pairs`` should be stored, as each round reads it.
+    An item follows its first leader by id. Raises if ``rounds`` don't settle all. ``pairs`` should be stored, as each round reads it.
     """
     spark = nodes.sparkSession
     reliable = spark.sparkContext.getCheckpointDir() is not None
     earlier = pairs.select(F.col("a").alias("before"), F.col("b").alias("node"))
     open_ = nodes.select(F.col("id").alias("node"))
     settled = open_.select("node", F.lit(True).alias("leads")).limit(0)
-    for _ in range(rounds):
+    for _ in range(rounds):  # an unsettled rest is an error, never a null leader
         state = earlier.join(settled, F.col("before") == settled["node"], "left").select(earlier["node"].alias("n"), F.col("leads"))
         per = state.groupBy("n").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_or(F.col("leads").isNull()).alias("waits"))
         now = open_.join(per, F.col("node") == F.col("n"), "left").select("node", F.coalesce("led", F.lit(False)).alias("led"), F.coalesce("waits", F.lit(False)).alias("waits"))
@@ -32,6 +32,8 @@ def leaders(nodes: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
         open_ = new.where("leads is null").select("node")
         if open_.isEmpty():
             break
+    else:
+        raise RuntimeError(f"items still without a leader after {rounds} rounds: raise the bound")
     lead = settled.where("leads").select(F.col("node").alias("l"))
     follows = earlier.join(lead, F.col("before") == F.col("l")).groupBy("node").agg(F.min("before").alias("leader"))
     return nodes.select("id").join(lead, F.col("id") == F.col("l"), "left").join(follows, F.col("id") == F.col("node"), "left").select("id", F.when(F.col("l").isNotNull(), F.col("id")).otherwise(F.col("leader")).alias("leader"))

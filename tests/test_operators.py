@@ -245,6 +245,14 @@ def test_leaders_and_diversity(spark):
     assert got == [("1", 0.9), ("3", round(0.7 * (1 - 0.3 * 5 / 6), 4)), ("4", 0.5)]
 
 
+def test_leaders_of_a_chain_longer_than_the_rounds(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(1, 7)], "id long")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 6)], "a long, b long")
+    assert {r["id"]: r["leader"] for r in greedy.leaders(nodes, pairs, rounds=6).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+    with pytest.raises(RuntimeError):
+        greedy.leaders(nodes, pairs, rounds=2)
+
+
 def test_governance(spark):
     m = spark.createDataFrame([(1, 95.0, 10.0, 2.0), (2, 80.0, 10.0, 20.0)], "at int, cpu double, memory double, error_rate double")
     assert {(r["at"], r["severity"]) for r in governance.alerts(m).collect()} == {(1, "critical"), (2, "high")}
