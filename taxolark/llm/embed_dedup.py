@@ -1,16 +1,23 @@
 """Embedding near-dedup by PCA-ordered tiled comparison.
 
 Unit vectors are rotated to their principal axes, which changes no cosine. Rows are
-dealt into bands along the first axis; a pair of bands is compared in tiles. A tile's
-products are accumulated over the leading axes first; what the rest can add is at
-most the product of the two suffix norms, so pairs that cannot reach the threshold
-are left there. Pairs of bands whose boxes on the leading axes are too far apart are
-never formed. Survivors are decided by the cosine of the vectors as given.
+ranked along the first axis and dealt into blocks of equal size; a task compares a
+pair of blocks tile by tile. A tile's products are accumulated over the leading axes
+first; what the rest can add is at most the product of the two suffix norms, so pairs
+that cannot reach the threshold are left there. Pairs of blocks, and of tiles within
+them, whose boxes on the leading axes are too far apart are never compared. Survivors
+are decided by the cosine of the vectors as given.
+
+A row is sent once for each partner of its block. Blocks are as large as a task may
+hold, unless there are so few rows that all tasks are wanted, so a row travels to
+(rows / rows of a block) tasks at most, and to fewer where the first axis tells blocks
+apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,22 +25,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxolark.llm.components import components
-from taxolark.llm.tables import Shelf
-from taxolark.llm.vectors import matrix, padded, same, unusable, usable, width
+from taxolark.llm.tables import Shelf, before
+from taxolark.llm.vectors import matrix, padded, same, scaled, unusable, usable, width
 
-#: Rows of a band, which a task holds twice, and of a tile.
-BAND, TILE = 8192, 1024
-#: Axes whose ranges make up a band's box.
+#: Bytes of a block's vectors, of which a task holds two; rows of the smallest block and of a tile.
+BLOCK_BYTES, LEAST, TILE = 32 << 20, 1024, 1024
+#: Axes whose ranges make up a box.
 BOX = 8
 #: Share of a tile's pairs from which the tile is multiplied out rather than pair by pair.
 DENSE = 0.02
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _gram(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros((d, d))
     for b in batches:
-        v = matrix(b.column(0), d)
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        v = unit(matrix(b.column(0), d))
         total += v.T @ v
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d)), pa.array(total.ravel())], names=["at", "x"])
 
@@ -65,13 +76,21 @@ class Pairs:
         self.rotate, self.threshold = rotate, threshold
         d = len(rotate)
         self.steps = [s for s in (d // 4, d // 2) if s] + [d]
+        self.far = 2 - 2 * threshold + 1e-9  # the square of the distance of two unit vectors at the threshold
 
     def prepare(self, v: np.ndarray) -> dict:
+        v = scaled(v)
         norm = np.linalg.norm(v, axis=1)
-        unit = v / norm[:, None]
-        turned = unit @ self.rotate
+        turned = (v / norm[:, None]) @ self.rotate
         rest = np.sqrt(np.maximum(0, 1 - np.cumsum(turned**2, axis=1)))
-        return {"v": v, "norm": norm, "turned": turned, "lead": turned[:, : self.steps[0]].astype(np.float32), "rest": [rest[:, s - 1] for s in self.steps]}
+        cuts = np.arange(0, len(v), TILE)
+        low, high = (f.reduceat(turned[:, :BOX], cuts, axis=0) if len(v) else turned[:, :BOX] for f in (np.minimum, np.maximum))
+        return {"v": v, "norm": norm, "turned": turned, "lead": turned[:, : self.steps[0]].astype(np.float32), "rest": [rest[:, s - 1] for s in self.steps], "low": low, "high": high}
+
+    def meet(self, low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+        """Which boxes are near enough to one box."""
+        gap = np.maximum(0, np.maximum(lows - high, low - highs))
+        return np.flatnonzero((gap**2).sum(axis=1) <= self.far)
 
     def exact(self, a: dict, i: np.ndarray, b: dict, j: np.ndarray) -> np.ndarray:
         return np.einsum("ij,ij->i", a["v"][i], b["v"][j]) / (a["norm"][i] * b["norm"][j])
@@ -103,12 +122,16 @@ class Pairs:
         """For the rows of both sets: other vectors linked across, by weight; the row that stands for those linked here."""
         a = self.prepare(va)
         b, own = (a, True) if vb is None else (self.prepare(vb), False)
-        n, m = len(va), 0 if own else len(vb)
+        n, m = len(va), len(va) if own else len(vb)
         weight = wa if own else np.concatenate([wa, wb])
-        shift, links, label = 0 if own else n, np.zeros(n + m, dtype=np.int64), np.arange(n + m)
+        shift = 0 if own else n
+        links, label = np.zeros(len(weight), dtype=np.int64), np.arange(len(weight))
         for x in range(0, n, TILE):
-            for y in range(x if own else 0, n if own else m, TILE):
-                i, j = self.tile(a, slice(x, min(n, x + TILE)), b, slice(y, min(n if own else m, y + TILE)))
+            for t in self.meet(a["low"][x // TILE], a["high"][x // TILE], b["low"], b["high"]).tolist():
+                y = t * TILE
+                if own and y < x:
+                    continue
+                i, j = self.tile(a, slice(x, min(n, x + TILE)), b, slice(y, min(m, y + TILE)))
                 if own:
                     i, j = i[i < j], j[i < j]
                 j = j + shift
@@ -118,7 +141,7 @@ class Pairs:
         return links, label
 
 
-def near_duplicates(rows: DataFrame, shelf: Shelf | None = None, threshold: float = 0.95) -> DataFrame:
+def near_duplicates(rows: DataFrame, shelf: Shelf | None = None, threshold: float = 0.95, block_rows: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for rows (vec_id, embedding), one for each row.
 
     Two vectors are linked if their cosine in double precision is at least the
@@ -126,14 +149,14 @@ def near_duplicates(rows: DataFrame, shelf: Shelf | None = None, threshold: floa
     by its smallest vec_id and that row is kept. Rows that take no part (see
     vectors.usable) have no links and are components of their own; without a vec_id
     they aren't kept. Equal vectors are compared once and counted as often as they
-    occur. Other columns are ignored; no rows give no rows.
+    occur. Finite components may be as large or small as doubles are. Other columns are
+    ignored; no rows give no rows. ``block_rows`` overrides the size of a block.
     """
     shelf = shelf or Shelf(rows.sparkSession)
     found = usable(rows).select("vec_id", "v", *same())
     classes = shelf.put(found.groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.min_by("v", "vec_id").alias("v")))
     d = width(classes)
-    classes = padded(classes, d)
-    linked = shelf.put(_linked(classes, d, threshold, shelf)) if d else classes.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("root"))
+    linked = shelf.put(_linked(padded(classes, d), d, threshold, shelf, block_rows)) if d else classes.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("root"))
     count = linked.groupBy("node").agg(F.sum("links").alias("links"))
     component = components(linked.select(F.col("root").alias("a"), F.col("node").alias("b")), shelf)
     label = classes.select("k1", "k2", "node", "weight").join(count, "node", "left").join(component, "node", "left")
@@ -143,63 +166,63 @@ def near_duplicates(rows: DataFrame, shelf: Shelf | None = None, threshold: floa
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _linked(classes: DataFrame, d: int, threshold: float, shelf: Shelf) -> DataFrame:
-    """(node, links, root): what each compared pair of bands found for its rows that have links."""
+def block_size(rows: int, d: int, cores: int) -> int:
+    """Rows of a block: what a task may hold, or fewer, so that the pairs of blocks give every core some."""
+    return max(1, min(BLOCK_BYTES // (8 * d), max(LEAST, ceil(rows / ceil(sqrt(4 * cores))))))
+
+
+def _linked(classes: DataFrame, d: int, threshold: float, shelf: Shelf, block_rows: int | None) -> DataFrame:
+    """(node, links, root): what each compared pair of blocks found for its rows that have links."""
     rotate = axes(classes, d)
-    main = rotate[:, 0].tolist()
-    product = F.aggregate(F.zip_with("v", F.array(*map(F.lit, main)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    first = classes.select("node", "weight", "v", (product / norm).alias("first"))
-    parts = max(1, -(-first.count() // BAND))
-    dealt = shelf.put(first.repartitionByRange(parts, "first", "node").select(F.spark_partition_id().alias("part"), "node", "weight", "v"))
+    total = classes.count()
+    size = block_rows or block_size(total, d, classes.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(1, -(-total // size))
     box = min(BOX, d)
 
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(unit(matrix(b.column(2), d)) @ rotate[:, 0])], names=["node", "weight", "v", "first"])
+
+    first = classes.select("node", "weight", "v").mapInArrow(along, "node long, weight long, v array<double>, first double")
+    ranked = before(first, [F.col("first"), F.col("node")], {"place": F.lit(1)}, shelf)
+    dealt = shelf.put(ranked.select(F.floor(F.col("place") / size).alias("block"), "place", "node", "weight", "v"))
+
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = matrix(b.column(1), d)
-            lead = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ rotate[:, :box]
-            part = b.column(0).to_numpy()
-            for g in np.unique(part):
-                own = lead[part == g]
-                yield pa.RecordBatch.from_arrays([pa.array([g] * box), pa.array(np.arange(box)), pa.array(own.min(0)), pa.array(own.max(0)), pa.array([len(own)] * box)], names=["part", "axis", "lo", "hi", "n"])
-
-    seen = dealt.select("part", "v").mapInArrow(ranges, "part int, axis long, lo double, hi double, n long")
-    seen = seen.groupBy("part", "axis").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).orderBy("part", "axis").collect()  # 8 rows for each part
-    band_of, rows = np.zeros(1 + max(r["part"] for r in seen), dtype=np.int64), 0
-    for r in seen:  # neighbouring parts make up a band, however many parts there are
-        if r["axis"] == 0:
-            band_of[r["part"]] = (rows + r["n"] // 2) // BAND
-            rows += r["n"]
-    bands = int(band_of.max()) + 1
-    lo, hi = np.full((bands, box), np.inf), np.full((bands, box), -np.inf)
-    for r in seen:
-        at = band_of[r["part"]], r["axis"]
-        lo[at], hi[at] = min(lo[at], r["lo"]), max(hi[at], r["hi"])
-    far = 2 - 2 * threshold + 1e-9  # the square of the distance of two unit vectors at the threshold
+            lead, block = unit(matrix(b.column(1), d)) @ rotate[:, :box], b.column(0).to_numpy()
+            for g in np.unique(block):
+                own = lead[block == g]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(box, g)), pa.array(np.arange(box)), pa.array(own.min(0)), pa.array(own.max(0))], names=["block", "axis", "lo", "hi"])
+
+    lo, hi = np.full((blocks, box), np.inf), np.full((blocks, box), -np.inf)
+    seen = dealt.select("block", "v").mapInArrow(ranges, "block long, axis long, lo double, hi double")
+    for r in seen.groupBy("block", "axis").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():  # 8 numbers for each 32 MB of vectors
+        lo[r["block"], r["axis"]], hi[r["block"], r["axis"]] = r["lo"], r["hi"]
+    pairs = Pairs(rotate, threshold)
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            band = band_of[b.column(0).to_numpy()]
-            for g in np.unique(band):
-                gap = np.maximum(0, np.maximum(lo - hi[g], lo[g] - hi))
-                meets = np.flatnonzero((gap**2).sum(axis=1) <= far)
-                own = b.filter(pa.array(band == g))
-                for h in meets:
-                    pair = int(min(g, h)) * bands + int(max(g, h))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, pair)), pa.array(np.full(own.num_rows, g)), *own.columns[1:]], names=["pair", "band", "node", "weight", "v"])
-
-    pairs = Pairs(rotate, threshold)
+            block = b.column(0).to_numpy()
+            for g in np.unique(block):
+                own = b.filter(pa.array(block == g))
+                for h in pairs.meet(lo[g], hi[g], lo, hi):
+                    pair = int(min(g, h)) * blocks + int(max(g, h))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, pair)), *own.columns], names=["pair", "block", "place", "node", "weight", "v"])
 
     def compare(t: pa.Table) -> pa.Table:
-        band, node = t["band"].to_numpy(), t["node"].to_numpy()
-        weight, v = t["weight"].to_numpy(), matrix(t["v"].combine_chunks(), d)
-        order = np.argsort(band, kind="stable")
-        band, node, weight, v = band[order], node[order], weight[order], v[order]
-        cut = int((band == band[0]).sum())
-        two = cut < len(band)
-        links, label = pairs.compare(v[:cut], weight[:cut], v[cut:] if two else None, weight[cut:] if two else None) if two or t["pair"][0].as_py() % (bands + 1) == 0 else (np.zeros(cut, dtype=np.int64), np.arange(cut))
+        t = t.sort_by("place")  # by block and, inside, along the first axis
+        block, node = t["block"].to_numpy(), t["node"].to_numpy()
+        weight, v = t["weight"].to_numpy(), matrix(t["v"], d)
+        cut = int((block == block[0]).sum())
+        a, b = divmod(int(t["pair"][0].as_py()), blocks)
+        if a == b:
+            links, label = pairs.compare(v, weight, None, None)
+        elif cut < len(block):
+            links, label = pairs.compare(v[:cut], weight[:cut], v[cut:], weight[cut:])
+        else:
+            links, label = np.zeros(len(v), dtype=np.int64), np.arange(len(v))
         some = links > 0
         return pa.table({"node": node[some], "links": links[some], "root": node[label[some]]})
 
-    sent = dealt.mapInArrow(partners, "pair long, band long, node long, weight long, v array<double>")
+    sent = dealt.mapInArrow(partners, "pair long, block long, place long, node long, weight long, v array<double>")
     return sent.groupBy("pair").applyInArrow(compare, "node long, links long, root long")

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolark.llm.tables import Shelf, pick
+from taxolark.llm.tables import Shelf, before, pick
 
 #: Weights of the sources in order of name, repeated.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -29,21 +29,6 @@ def draw(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def before(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], shelf: Shelf) -> DataFrame:
-    """Rows with, under each name, the sum of a column over all rows before them in the order.
-
-    Rows are dealt by range and numbered sums are taken within each part; only the
-    parts' totals, a row for each, are summed up in one place.
-    """
-    dealt = shelf.put(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    offsets = totals.select("part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"o_{n}") for n in sums])
-    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    running = [(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"o_{n}")).alias(n) for n, c in sums.items()]
-    return dealt.join(F.broadcast(offsets), "part").select(*df.columns, *running)  # as many rows as there are parts
-
-
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, shelf: Shelf | None = None) -> DataFrame:
     """(source, source_size, target) for sizes (source, size).
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolark.llm import ann, bpe, chat, embed_dedup, html_text, license_scan, mixing, secrets, simhash, toxicity
-from taxolark.llm.tables import Shelf, batch_rows, pick, read
+from taxolark.llm.tables import Shelf, pick, read
 
 
 def vocabulary(name: str) -> str:
@@ -17,24 +17,20 @@ def vocabulary(name: str) -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch_rows(spark, 256)
     coded = bpe.encode(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch_rows(spark, 512)
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), Shelf(spark))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch_rows(spark, 256)
     return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch_rows(spark, 256)
     docs = read(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.train(secrets.sample_texts(docs)))
 
@@ -47,7 +43,6 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the passages found, and the licence of the best one."""
-    batch_rows(spark, 256)
     found = license_scan.scan(read(spark, sf_dir, "documents"))
     best = F.array_sort("found", lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).otherwise(a["start"] - b["start"]))
     return found.select(
@@ -60,7 +55,6 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch_rows(spark, 4096)
     rows = pick(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return ann.nearest(rows, rows.where("vec_id % 100 = 0"), k=10, shelf=Shelf(spark))
 
@@ -87,12 +81,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch_rows(spark, 4096)
     return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), Shelf(spark))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch_rows(spark, 256)
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

@@ -34,6 +34,11 @@ def width(found: DataFrame) -> int:
     return found.agg(F.max(F.size("v"))).first()[0] or 0
 
 
+def largest(found: DataFrame) -> float:
+    """The largest absolute component."""
+    return found.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x))))).first()[0] or 0.0
+
+
 def padded(found: DataFrame, d: int) -> DataFrame:
     """All vectors as long as the longest; shorter ones count as followed by zeros."""
     return found.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(d) - F.size("v"))))
@@ -47,3 +52,24 @@ def same(v: str = "v") -> list:
 def matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     return np.concatenate([np.empty((0, d)), *(c.flatten().to_numpy(zero_copy_only=False).reshape(-1, d) for c in chunks)])
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Each row divided by the power of two that brings its largest component to between a half and one.
+
+    No cosine changes, not even in its last bit, and no square overflows or vanishes.
+    """
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0.0))[1][:, None])
+
+
+def distances(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows from q; where squares overflow or vanish, from components over the largest."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        gap = v - q
+        out = np.sqrt((gap**2).sum(axis=1))
+        odd = np.flatnonzero(~((out > 1e-140) & (out < np.inf)))
+        if len(odd):
+            most = np.abs(gap[odd]).max(axis=1, initial=0.0)
+            inner = np.sqrt(((gap[odd] / np.where(most > 0, most, 1.0)[:, None]) ** 2).sum(axis=1))
+            out[odd] = np.where(np.isinf(most), np.inf, most * inner)
+    return out

@@ -141,12 +141,11 @@ def usable(rows):
     return [(i, np.array(v + [0.0] * (16 - len(v)))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
 
 
-@pytest.mark.parametrize("band", [8192, 40])
-def test_embeddings(spark, monkeypatch, band):
-    monkeypatch.setattr(embed_dedup, "BAND", band)
+@pytest.mark.parametrize("block", [None, 40])
+def test_embeddings(spark, block):
     rows = vector_rows()
     df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = embed_dedup.near_duplicates(df).collect()
+    got = embed_dedup.near_duplicates(df, block_rows=block).collect()
     assert len(got) == len(rows)
     good = usable(rows)
     m = np.array([v / np.linalg.norm(v) for _, v in good])
@@ -187,13 +186,12 @@ def test_chi_square():
     assert ann.chi_square(ann.stop_ratio(8, 0.95), 8) == pytest.approx(0.95) and ann.stop_ratio(8, 0.95) == pytest.approx(15.507, abs=1e-3)
 
 
-@pytest.mark.parametrize("piece", [8192, 30])
-def test_nearest(spark, monkeypatch, piece):
-    monkeypatch.setattr(ann, "PIECE", piece)
+@pytest.mark.parametrize(("piece", "ask"), [(8192, 512), (30, 2)])
+def test_nearest(spark, piece, ask):
     rows = vector_rows()
     df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = {}
-    for r in ann.nearest(df, df.where("vec_id % 10 = 0"), k=5).collect():
+    for r in ann.nearest(df, df.where("vec_id % 10 = 0"), k=5, piece_rows=piece, ask_rows=ask).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     good = {i: v for i, v in usable(rows)}
     hit = total = 0
@@ -225,6 +223,47 @@ def test_nearest_of_repeated_equal_vectors(spark, times):
     assert {q: sorted(own) for q, own in got.items()} == {q: [(n, i, 0.0) for n, i in enumerate([i for i in range(20) if i != q][:10], 1)] for q in (0, 7, 19)}
 
 
+def test_extreme_norms(spark):
+    """Any finite vector is compared: squares that overflow or vanish decide nothing."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((40, 6))
+    v[20:] = v[:20] * (1 + 1e-3 * rng.standard_normal((20, 6)))
+    power = [-300, -200, -160, -30, 0, 30, 160, 200, 300, 307]
+    rows = [(i, [float(x) for x in r * 10.0 ** power[i % 10] * 0.1]) for i, r in enumerate(v)] + [(900, [1e-320, 0.0, 0, 0, 0, 0]), (901, [1e308, 0.0, 0, 0, 0, 0])]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in rows], "vec_id long, embedding array<double>")
+    unit = np.array([embed_dedup.unit(np.array([r]))[0] for _, r in rows])
+    links = [(rows[i][0], rows[j][0]) for i, j in combinations(range(len(rows)), 2) if unit[i] @ unit[j] >= 0.95]
+    want = reachable([i for i, _ in rows], links)
+    got = embed_dedup.near_duplicates(df, block_rows=9).collect()
+    assert {r["vec_id"]: r["component_id"] for r in got} == want and len(got) == len(rows)
+    assert sum(r["n_links"] for r in got) == 2 * len(links) and want[901] == 900
+    from math import hypot
+
+    found = {}
+    for r in ann.nearest(df, df, k=3, piece_rows=8).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    exact = {}
+    for i, x in rows:
+        gaps = [hypot(*(a - b for a, b in zip(x, y, strict=True))) for _, y in rows]
+        exact[i] = sorted((g, j) for g, (j, _) in zip(gaps, rows, strict=True) if j != i)[:3]
+    assert set(found) == set(exact)
+    assert all(s == pytest.approx(e, rel=1e-12) for i in exact for (_, _, s), (e, _) in zip(sorted(found[i]), exact[i], strict=True))
+
+
+def test_nearest_of_repeated_ids_and_many_ties(spark):
+    """An id with two vectors has two lists; equal queries share a search; ties go to the smaller id over all pieces."""
+    spot, other = [0.0, 1.0, 0.0, 0.0], [3.0, 4.0, 0.0, 1.0]
+    rows = [(0, spot), (0, other), (0, other)] + [(i, spot) for i in range(1, 40)] + [(100 + i, [0.0, 1.0, 1.0 if i % 2 else -1.0, 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for piece, ask in ((8192, 512), (7, 3)):
+        got = {}
+        for r in ann.nearest(df, df.where("vec_id < 100"), k=10, piece_rows=piece, ask_rows=ask).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        near = [(n, i, 0.0) for n, i in enumerate(range(1, 11), 1)]
+        assert len(got[0]) == 20 and set(near) < set(got[0])
+        assert all(sorted(got[q]) == [(n, i, 0.0) for n, i in enumerate([i for i in range(40) if i != q][:10], 1)] for q in range(1, 40))
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline as cp
 
