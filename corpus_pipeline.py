@@ -7,27 +7,24 @@ from pyspark.sql import functions as F
 
 from taxolark.llm import bpe, mixing, secrets, simhash, toxicity
 from taxolark.llm.queries import vocabulary
-from taxolark.llm.tables import Shelf, batch_rows, read
+from taxolark.llm.tables import Shelf, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It is fitted on the labels of the input corpus."""
-    batch_rows(spark, 256)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep=COLUMNS).where("score < 0.5").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by SimHash one stays: words and bits as in op2."""
-    batch_rows(spark, 512)
     return simhash.keep_one(docs.select(*COLUMNS), Shelf(spark))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark; documents all stay, n_chars follows the text."""
-    batch_rows(spark, 256)
     found = secrets.scan(docs, secrets.train(secrets.sample_texts(docs)), keep=("doc_id", "lang", "source", "n_chars"), redact="[SECRET]")
     length = F.when(F.size("spans") > 0, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", length.alias("n_chars"))
@@ -40,7 +37,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    batch_rows(spark, 256)
     coded = bpe.encode(docs, vocabulary("word_bpe_49k.json"), keep=("doc_id", "lang", "source", "n_chars"))
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 
