@@ -5,10 +5,17 @@ pairs are looked up by binary search among the sorted pair keys of the merges, a
 every word merges all places of its lowest-ranked pair at once; words without a pair
 left are done. Chunks between white space that a worker has met are kept, within a
 bound, so a round only sees new ones.
+
+A long word would take a round for each rank it holds, all over its length. Long
+words are merged by rounds of one rank over all of them instead: the places of each
+rank are held ready, a round takes those of the lowest, and looks up only the pairs
+that it makes. The lowest rank of all words is the lowest of every word that holds
+it, so this merges as before, with work in proportion to the merges.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -20,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxolark.llm.tables import pick
+from taxolark.llm.tables import pick, slices
 
 #: Fixed value: white space as Unicode defines it.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -48,8 +55,8 @@ SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{SPACE}{
 SEPARATORS = re.compile("[\x1c-\x1f]")
 NOT_SPACE = re.compile(f"[^{SPACE}]+")
 WORD_END = "</w>"
-#: Chunks that a worker keeps, and characters of the longest kept.
-KEPT, KEPT_CHARS = 150_000, 64
+#: Chunks that a worker keeps, and characters of the longest kept; symbols from which a word is long.
+KEPT, KEPT_CHARS, LONG = 150_000, 64, 256
 
 
 def byte_letters() -> list[str]:
@@ -89,6 +96,56 @@ def merge_all(symbols: np.ndarray, words: np.ndarray, keys: np.ndarray, ranks: n
     return symbols[order], words[order]
 
 
+def merge_long(symbols: np.ndarray, words: np.ndarray, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same as ``merge_all``, by rounds of one rank over linked places: for long words."""
+    n, none = len(symbols), len(ranks)
+    symbol, word = symbols.copy(), np.append(words, -1)
+    after, prior = np.arange(1, n + 1), np.arange(-1, n - 1)
+    rank = np.full(n + 1, none)
+    ready: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def look_up(at: np.ndarray) -> None:
+        """The ranks of the pairs that begin at the places, which are made ready."""
+        follows = after[at]
+        at, follows = at[inside := follows < n], follows[inside]
+        pair = symbol[at] * base + symbol[follows]
+        place = np.minimum(np.searchsorted(keys, pair), none - 1)
+        rank[at] = np.where((keys[place] == pair) & (word[at] == word[follows]), ranks[place], none)
+        at = at[rank[at] < none]
+        at = at[np.argsort(rank[at], kind="stable")]
+        own = rank[at]
+        cuts = np.flatnonzero(np.diff(own, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True) if len(at) else ():
+            r = int(own[a])
+            if r not in ready:
+                ready[r] = []
+                heapq.heappush(heap, r)
+            ready[r].append(at[a:b])
+
+    look_up(np.arange(n))
+    while heap:
+        r = heapq.heappop(heap)
+        at = np.unique(np.concatenate(ready.pop(r)))
+        at = at[rank[at] == r]  # others have been merged away or changed
+        follow = np.zeros(len(at), dtype=bool)
+        follow[1:] = (after[at[:-1]] == at[1:]) & (word[at[:-1]] == word[at[1:]])
+        index = np.arange(len(at))  # in a run, such as aaaa, every other one merges
+        at = at[(index - np.maximum.accumulate(np.where(follow, 0, index))) % 2 == 0]
+        right = after[at]
+        symbol[at] = made[r]
+        rank[right] = none
+        after[at] = after[right]
+        inner = after[at] < n
+        prior[after[at][inner]] = at[inner]
+        symbol[right] = -1
+        before = prior[at]
+        look_up(np.unique(np.concatenate([at, before[before >= 0]])))
+        rank[at[~inner]] = none
+    left = symbol >= 0
+    return symbol[left], words[left]
+
+
 class Tokenizer:
     """A word-level BPE vocabulary file: NFC, lower case, byte letters, end-of-word symbols, special tokens kept."""
 
@@ -127,7 +184,15 @@ class Tokenizer:
         symbols = self.inner[data]
         ends = np.cumsum(sizes) - 1
         symbols[ends] = self.final[data[ends]]
-        ids, of = merge_all(symbols, np.repeat(np.arange(len(raw)), sizes), self.keys, self.ranks, self.made, self.base)
+        words = np.repeat(np.arange(len(raw)), sizes)
+        if sizes.max(initial=0) < LONG:
+            ids, of = merge_all(symbols, words, self.keys, self.ranks, self.made, self.base)
+        else:
+            long = np.repeat(sizes >= LONG, sizes)
+            parts = [f(symbols[own], words[own], self.keys, self.ranks, self.made, self.base) for f, own in ((merge_all, ~long), (merge_long, long))]
+            ids, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(of, kind="stable")
+            ids, of = ids[order], of[order]
         return ids.astype(np.int32), np.bincount(of, minlength=len(raw))
 
     def _learn(self, chunks: list[str]) -> None:
@@ -157,7 +222,17 @@ class Tokenizer:
         return NOT_SPACE.findall(text) if SEPARATORS.search(text) else text.split()
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the number of ids of each text; a null text has none."""
+        """All ids in a row, and the number of ids of each text; a null text has none. Equal texts are encoded once."""
+        distinct = {t: n for n, t in enumerate(dict.fromkeys(texts))}
+        if len(distinct) == len(texts):
+            return self._encode(texts)
+        ids, sizes = self._encode(list(distinct))
+        own = np.fromiter((distinct[t] for t in texts), dtype=np.int64, count=len(texts))
+        starts, sizes = (np.cumsum(sizes) - sizes)[own], sizes[own]
+        ends = np.cumsum(sizes)
+        return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(sizes.sum())], sizes
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         parts: list[list[str]] = []
         for text in texts:
             text = text or ""
@@ -225,7 +300,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        for b in batches:
+        for b in slices(batches):
             ids, sizes = own.encode_batch(b.column(len(keep)).to_pylist())
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             out = [*b.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
@@ -244,7 +319,7 @@ def decode(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        for b in batches:
+        for b in slices(batches):
             texts = [own.decode(np.array(x or [], dtype=np.int64)) for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, type=pa.string())], names=[*keep, "text"])
 

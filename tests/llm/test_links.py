@@ -94,17 +94,31 @@ def test_key_join_loses_no_link(spark):
                 prints.add(x)
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    points = spark.createDataFrame(list(enumerate(signed)), "node long, fp long")
-    want = {(i, j) for i, j in combinations(range(len(prints)), 2) if bin(prints[i] ^ prints[j]).count("1") <= 4}
+    points = spark.createDataFrame([(p,) for p in signed], "fp long")
+    want = {tuple(sorted((x, y))) for x, y in combinations(signed, 2) if bin((x ^ y) & (1 << 64) - 1).count("1") <= 4}
     shelf = Shelf(spark)
-    assert {(r["a"], r["b"]) for r in simhash.links(points, shelf).collect()} == want
-    by = reachable(range(len(prints)), want)
-    for crowd in (0, 3):
-        edges = simhash.links(points, shelf, crowd=crowd)
+    for crowd in (10**6, 3, 0):  # by the short keys, by both, by the longer ones
+        assert {(r["a"], r["b"]) for r in simhash.links(points, shelf, crowd=crowd, dense=10**6).collect()} == want
+    by = reachable(signed, want)
+    for crowd, dense in ((0, 0), (3, 3), (0, 5)):
+        edges = simhash.links(points, shelf, crowd=crowd, dense=dense)
         found = {r["node"]: r["component"] for r in components(edges, shelf).collect()}
         assert {n: found.get(n, n) for n in by} == by
 
 
+def test_keys_grow_where_they_are_crowded(spark):
+    """With one segment shared by thousands of unlike fingerprints no candidates come of it."""
+    rng = np.random.default_rng(2)
+    fp = np.unique(rng.integers(0, 1 << 42, 6000) << 22 | 12345)
+    shelf = Shelf(spark)
+    points = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+    keys = points.mapInArrow(simhash._keys, "key long, left boolean, fp long")
+    longer = keys.where("key = 12345").select("key", "left", "fp").mapInArrow(simhash._longer, "key long, more long, left boolean, fp long")
+    most = longer.groupBy("key", "more").count().agg(F.max("count")).first()[0]
+    near = sum(int((np.bitwise_count(x ^ fp) <= 4).sum()) - 1 for x in fp) // 2
+    assert most < 60 and simhash.links(points, shelf).count() == near
+
+
 def test_simhash_rows(spark, corpus):
     rows = [(d["doc_id"], d["text"], d["source"]) for d in corpus]
     rows += [(-5, rows[3][1], "s"), (5000, rows[3][1], "s"), (-6, None, None), (6000, "", "s"), (6000, "", "s"), (6001, " \n", "s"), (None, rows[3][1], "s"), (None, "alone here", "s"), (None, "alone here", "s")]
@@ -114,20 +128,28 @@ def test_simhash_rows(spark, corpus):
     prints = {}
     for i, t, _ in rows:
         prints.setdefault(plain_fingerprint(t), []).append(i)
-    node = {p: min((i for i in ids if i is not None), default=None) for p, ids in prints.items()}
-    known = [p for p in prints if node[p] is not None]
-    links = [(node[p], node[q]) for p, q in combinations(known, 2) if bin(p ^ q).count("1") <= 4]
-    want = reachable([node[p] for p in known], links)
+    links = [(p, q) for p, q in combinations(prints, 2) if bin(p ^ q).count("1") <= 4]
+    root, want = reachable(prints, links), {}
+    for p, ids in prints.items():
+        want.setdefault(root[p], []).extend(i for i in ids if i is not None)
     for r in got:
         p = r["fp"] & (1 << 64) - 1
-        assert r["doc_id"] in prints[p] and r["component_id"] == want.get(node[p])
+        assert r["doc_id"] in prints[p] and r["component_id"] == min(want[root[p]], default=None)
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     ids = [r[0] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 2
+    assert sorted(i for i in ids if i is not None) == sorted(min(w) for w in want.values() if w) and ids.count(None) == sum(not w for w in want.values()) == 1
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    """Texts under one id are documents of their own; so are those without an id."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "the quick brown fox jumps over it", "one two three four five six seven")
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, a), (None, c), (None, c), (None, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, c), (1, a), (1, b)]
+
+
 def vector_rows():
     rng = np.random.default_rng(3)
     v = rng.standard_normal((230, 16))

@@ -408,3 +408,27 @@ def test_mixing_rows(spark):
         assert abs(r["taken"] - want) <= 4 * want**0.5
     out = mixing.mix(many)
     assert out.columns == many.columns and out.count() == sum(r["taken"] for r in mixing.plan(many).collect())
+
+
+@pytest.mark.parametrize("form", ["random", "one letter", "four letters", "pairs", "syllables", "lengths around the bound"])
+def test_bpe_long_words(vocab, form):
+    """200,000 letters without a space, as the library encodes them, within seconds."""
+    import time
+
+    import tokenizers
+
+    rng = random.Random(5)
+    text = {
+        "random": lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)),
+        "one letter": lambda: "a" * 200_000,
+        "four letters": lambda: "".join(rng.choice("acgt") for _ in range(200_000)),
+        "pairs": lambda: "ab" * 100_000,
+        "syllables": lambda: "".join(rng.choice(["the", "ing", "ation", "xyz", "aaaa", "é", "!", "7"]) for _ in range(50_000)),
+        "lengths around the bound": lambda: " ".join("".join(rng.choice("abcde") for _ in range(rng.choice([3, 255, 256, 257, 1000]))) for _ in range(300)),
+    }[form]()
+    own = bpe.Tokenizer(vocab)
+    began = time.time()
+    ids, sizes = own.encode_batch([text, "a short one", text, None])
+    assert time.time() - began < 10
+    want = tokenizers.Tokenizer.from_file(vocab).encode(text, add_special_tokens=False).ids
+    assert ids[: sizes[0]].tolist() == want and sizes.tolist() == [len(want), 3, len(want), 0]
