@@ -17,18 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from taxolark.llm.tables import pick
+from taxolark.llm.tables import pick, slices
 
 #: Fixed values of HTML: elements without an end, with raw text, that are blocks, that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
-#: Elements that the end of a sibling is often left out of, and where the search for one stops.
-LEFT_OUT = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",)}
-SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th")}
+#: Scopes: the elements that an element of the scope ends if they were left open, up to the scope's own container.
+P_SCOPE = frozenset("p button table td th caption".split())
+LEFT_OUT = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), **dict.fromkeys(("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot", "tr", "td", "th"))}
+SCOPE = {"li": "li", "ul": "li", "ol": "li", "menu": "li", "dt": "dl", "dd": "dl", "dl": "dl", "option": "select", "select": "select", **dict.fromkeys("table tr td th tbody thead tfoot".split(), "table")}
 #: Never part of an article.
-CUT = frozenset("head script style noscript template iframe svg textarea title nav footer aside form button select option input label dialog menu object embed canvas audio video map area search noembed noframes".split())
+CUT = frozenset("head script style noscript template iframe svg textarea title nav footer aside button select option input label legend dialog menu object embed canvas audio video map area search noembed noframes".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 #: Words of names that mark boilerplate: a class, or an id outside the article, made up of these and of FILL only.
 CUT_WORDS = frozenset(
@@ -49,129 +50,272 @@ BY_ID = frozenset("div section ul ol menu dl table center header".split())
 LABELS = frozenset("home start about about-us contact contact-us next previous prev back top back-to-top login log-in logout register sign-in sign-up share tweet facebook twitter instagram linkedin youtube pinterest reddit whatsapp email print rss subscribe newsletter privacy privacy-policy imprint impressum terms sitemap search menu help faq jobs careers news blog".split())
 GOOD_WORDS = frozenset("article body content entry main page post story text blog hentry".split())
 KEEP = frozenset("article main body html".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:@][^\s=/>\"']*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+#: Words of a name that reader comments have, wherever they stand; words by which prose inside an article isn't cut.
+COMMENTS = frozenset("comment comments commentlist disqus".split())
+WEAK = frozenset("related recommended recommendations widget widgets search reply replies respond promoted".split())
+#: Prose that makes a form a part of the page's frame: characters, or a share of the page's text with one block as long.
+FORM_PROSE, FORM_BLOCK = 400, 80
+
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_SKIP = re.compile(r"[\s/]*")
+_ATTR = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_RIGHTS = re.compile(r"©|\bcopyright\b|\ball rights reserved\b|\bcookies?\b", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "score", "tag", "up")
+    """An element; ``chars`` and ``linked`` are those of the blocks inside it."""
+
+    __slots__ = ("attrs", "chars", "kids", "linked", "score", "tag", "up")
 
-    def __init__(self, tag: str, attrs: str = "", up: Node | None = None):
-        self.tag, self.attrs, self.up = tag, attrs, up
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, up: Node | None = None):
+        self.tag, self.attrs, self.up = tag, attrs or {}, up
         self.kids: list[Node | str] = []
-        self.score = 0.0
+        self.score, self.chars, self.linked = 0.0, 0, 0
+
+    def words(self) -> set[str]:
+        """Of its class and id, lower case."""
+        return {w.lower() for w in _WORDS.findall(f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}")} if self.attrs else set()
+
+    @property
+    def density(self) -> float:
+        return self.linked / self.chars if self.chars else 0.0
+
+
+class _Reader:
+    """Reads the attributes of tags, in time in proportion to the page's length."""
+
+    def __init__(self, html: str):
+        self.html, self.unclosed = html, {"\"": False, "'": False}
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int]:
+        """Of the tag whose name ends at ``at``: attributes, whether it closes itself, the place after it; the page's end if it has none."""
+        html, out, n = self.html, {}, len(self.html)
+        end = html.find(">", at)
+        if end < 0:
+            return out, False, n
+        if end == at:
+            return out, False, end + 1
+        while True:
+            at = _SKIP.match(html, at).end()
+            if at >= n:
+                return out, False, n
+            if html[at] == ">":
+                return out, html[at - 1] == "/", at + 1
+            m = _ATTR.match(html, at)
+            name, at = m[0].lower(), m.end()
+            value, m = "", _EQUALS.match(html, at)
+            if m:
+                at = m.end()
+                mark = html[at : at + 1]
+                close = -1
+                if mark in self.unclosed and not self.unclosed[mark]:
+                    close = html.find(mark, at + 1)
+                    self.unclosed[mark] = close < 0
+                if close >= 0:
+                    value, at = html[at + 1 : close], close + 1
+                else:
+                    m = _BARE.match(html, at)
+                    value, at = m[0], m.end()
+            out.setdefault(name, unescape(value) if "&" in value else value)
 
 
 def parse(html: str) -> Node:
-    """A tolerant tree: left-out ends are supplied, stray ends ignored, raw text kept whole."""
+    """A tolerant tree: left-out ends are supplied, stray ends ignored, raw text kept whole.
+
+    A tag without an end takes the rest of the page, as in browsers. Every open element
+    is closed once, and what a tag may close is looked up in its scope, so the time
+    is in proportion to the page's length however deep it nests.
+    """
     root = here = Node("html")
-    at = 0
-    while True:
-        m, mark = None, html.find("<", at)
-        while mark >= 0 and (m := _TOKEN.match(html, mark)) is None:
-            mark = html.find("<", mark + 1)
-        text = html[at : m.start()] if m else html[at:]
+    reader, at, n = _Reader(html), 0, len(html)
+    count: dict[str, int] = {}  # open elements by tag
+    open_p: list[Node] = []  # of P_SCOPE, innermost last
+    scopes: dict[str, list[Node]] = {"li": [], "dl": [], "select": [], "table": []}
+    endless: set[str] = set()  # raw text elements that no end follows any more
+
+    def close(node: Node) -> None:
+        """Closes an open element and all inside it."""
+        nonlocal here
+        while True:
+            last, here = here, here.up
+            count[last.tag] -= 1
+            if open_p and open_p[-1] is last:
+                open_p.pop()
+            scope = scopes.get(SCOPE.get(last.tag, ""))
+            if scope and scope[-1] is last:
+                scope.pop()
+            if last is node:
+                return
+
+    def add(text: str) -> None:
         if text:
             here.kids.append(unescape(text) if "&" in text else text)
-        if not m:
-            return root
-        at = m.end()
-        tag = (m[1] or "").lower()
-        if not tag:
+
+    while at < n:
+        mark = html.find("<", at)
+        while 0 <= mark and (following := html[mark + 1 : mark + 2]) not in ("!", "?") and not _NAME.match(html, mark + 1):
+            mark = html.find("<", mark + 1)
+        if mark < 0:
+            add(html[at:])
+            break
+        add(html[at:mark])
+        if following in ("!", "?"):
+            comment = html.startswith("<!--", mark)
+            end = html.find("-->", mark + 4) if comment and not html.startswith(">", mark + 4) else html.find(">", mark)
+            at = n if end < 0 else end + (3 if html.startswith("-->", end) else 1)
             continue
-        if html[m.start() + 1] == "/":
-            there: Node | None = here
-            while there is not None and there.tag != tag:
-                there = there.up
-            if there is not None and there.up is not None:
-                here = there.up
+        m = _NAME.match(html, mark + 1)
+        tag = m[0].lower()
+        attrs, closed, at = reader.attributes(m.end())
+        if tag[0] == "/":
+            tag = tag[1:]
+            if count.get(tag):
+                node = here
+                while node.tag != tag:
+                    node = node.up
+                close(node)
             elif tag == "br":
-                here.kids.append(Node("br", "", here))
+                here.kids.append(Node("br", up=here))
             continue
-        if tag in ENDS_P:
-            there = here
-            while there.up is not None and there.tag not in ("p", "button", "table", "td", "th", "caption"):
-                there = there.up
-            if there.tag == "p" and there.up is not None:
-                here = there.up
+        if tag in ENDS_P and open_p and open_p[-1].tag == "p":
+            close(open_p[-1])
         if tag in LEFT_OUT:
-            there = here
-            while there.up is not None and there.tag not in LEFT_OUT[tag]:
-                if there.tag in SAME.get(tag, (tag,)):
-                    here = there.up
-                there = there.up
-        if tag in ("html", "body") and here is root:
-            if tag == "html":
-                continue
-        node = Node(tag, m[2] or "", here)
+            scope, ends, outer = scopes[SCOPE[tag]], LEFT_OUT[tag], None
+            for node in reversed(scope):
+                if node.tag not in ends:
+                    break
+                outer = node
+            if outer is not None:
+                close(outer)
+        if tag == "html" and here is root:
+            continue
+        node = Node(tag, attrs, here)
         here.kids.append(node)
-        closed = (m[2] or "").rstrip().endswith("/")
         if tag in RAW:
             if tag == "svg" and closed:
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else at if tag == "svg" else len(html)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+            if end:
+                at = reader.attributes(end.end())[2]
+            elif tag == "svg":
+                endless.add(tag)
+            else:
+                at = n
         elif tag not in VOID and not closed:
             here = node
+            count[tag] = count.get(tag, 0) + 1
+            if tag in P_SCOPE:
+                open_p.append(node)
+            if tag in SCOPE:
+                scopes[SCOPE[tag]].append(node)
+    return root
 
 
-def _names(node: Node) -> tuple[set[str], dict[str, str]]:
-    attrs = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(node.attrs)} if node.attrs.strip() else {}
-    return {w.lower() for w in _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}, attrs
+def _marks(name: str) -> bool:
+    """Whether a whole name says boilerplate: not if it has words of any other kind."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return bool(words & CUT_WORDS) and all(w in CUT_WORDS or w in FILL or w.isdigit() for w in words)
 
 
-def boilerplate(node: Node) -> bool:
+class _Links:
+    """Of elements, whether less than a third of the text is in links; the whole tree is summed up at the first question."""
+
+    def __init__(self, root: Node):
+        self.root, self.sums = root, None
+
+    def prose(self, node: Node) -> bool:
+        if self.sums is None:
+            order, todo, self.sums = [], [(self.root, False)], {}
+            while todo:
+                x, link = todo.pop()
+                link = link or x.tag == "a"
+                own = sum(len(k.strip()) for k in x.kids if isinstance(k, str))
+                self.sums[id(x)] = [own, own * link]
+                order.append(x)
+                todo += [(k, link) for k in x.kids if isinstance(k, Node)]
+            for x in reversed(order):
+                if x.up is not None and x is not self.root:
+                    for n in range(2):
+                        self.sums[id(x.up)][n] += self.sums[id(x)][n]
+        chars, linked = self.sums[id(node)]
+        return 3 * linked < chars
+
+
+def boilerplate(node: Node, inside: bool, links: _Links) -> bool:
+    """Whether an element is cut before scoring; ``inside``: it stands in an article or in the main part."""
     if node.tag in CUT:
         return True
-    if not node.attrs:
-        return node.tag == "header" and not _inside(node, "article")
-    words, attrs = _names(node)
-    if attrs.get("role", "").lower() in CUT_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attrs.get("style", "")):
+    attrs = node.attrs
+    if not attrs:
+        return node.tag == "header" and not inside
+    if attrs.get("role", "").lower() in CUT_ROLES and not (node.tag == "form" and attrs["role"].lower() == "form"):
         return True
-    if (node.tag == "header" or words in ({"header"}, {"site", "header"}, {"page", "header"}, {"top", "header"})) and not _inside(node, "article"):
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attrs.get("style", "")):
         return True
-    if node.tag in KEEP or node.tag in TEXT or not words & CUT_WORDS or (words & {"article", "content", "story", "main"} and not words & {"ad", "ads", "advert", "comment", "comments", "sidebar", "related", "share", "social"}):
+    words = node.words()
+    if (node.tag == "header" or words in ({"header"}, {"site", "header"}, {"page", "header"}, {"top", "header"})) and not inside:
+        return True
+    if not words & CUT_WORDS or node.tag in TEXT:
         return False
-    if any(_marks(name) for name in attrs.get("class", "").split()):
+    names = [*attrs.get("class", "").split(), attrs.get("id", "")]
+    if node.tag not in ("main", "body", "html") and any(_marks(x) and {w.lower() for w in _WORDS.findall(x)} & COMMENTS for x in names) and (node.tag not in ("li", "ol", "ul") or attrs.get("class")):
         return True
+    if node.tag in KEEP or (words & {"article", "content", "story", "main"} and not words & {"ad", "ads", "advert", "comment", "comments", "sidebar", "related", "share", "social"}):
+        return False
+    if any(_marks(name) for name in names[:-1]):
+        # inside an article prose may bear such a name as well
+        return not (inside and not words & (CUT_WORDS - WEAK) and links.prose(node))
     # inside an article an id is mostly made of a heading's words
-    return node.tag in BY_ID and _marks(attrs.get("id", "")) and not _in_article(node)
-
-
-def _marks(name: str) -> bool:
-    """Whether a whole name says boilerplate: not if it has words of any other kind."""
-    words = {w.lower() for w in _WORDS.findall(name)}
-    return bool(words & CUT_WORDS) and all(w in CUT_WORDS or w in FILL or w.isdigit() for w in words)
-
+    return node.tag in BY_ID and _marks(names[-1]) and not inside
 
-def _in_article(node: Node) -> bool:
-    up = node.up
-    while up is not None:
-        if up.tag in ("article", "main") or ("role" in up.attrs and _names(up)[1].get("role", "").lower() in ("main", "article")):
-            return True
-        up = up.up
-    return False
 
-
-def _inside(node: Node, tag: str) -> bool:
-    up = node.up
-    while up is not None:
-        if up.tag == tag:
-            return True
-        up = up.up
-    return False
-
-
-def prune(root: Node) -> None:
-    todo = [root]
+def prune(root: Node) -> list[Node]:
+    """Takes boilerplate out; the elements left, each before those inside it."""
+    left, forms, todo, links = [], [], [(root, False)], _Links(root)
     while todo:
-        node = todo.pop()
-        node.kids = [k for k in node.kids if isinstance(k, str) or not boilerplate(k)]
-        todo += [k for k in node.kids if not isinstance(k, str)]
+        node, inside = todo.pop()
+        left.append(node)
+        inside = inside or node.tag in ("article", "main") or node.attrs.get("role", "").lower() in ("main", "article")
+        kids: list[Node | str] = []
+        for kid in node.kids:
+            if isinstance(kid, str) or not boilerplate(kid, inside, links):
+                kids.append(kid)
+        node.kids = kids
+        todo += [(k, inside) for k in reversed(kids) if isinstance(k, Node)]
+        if node.tag == "form":
+            forms.append(node)
+    return _without_forms(root, left, forms) if forms else left
+
+
+def _without_forms(root: Node, left: list[Node], forms: list[Node]) -> list[Node]:
+    """Takes out forms but those that hold the page's prose, as whole pages may stand in one."""
+    found = blocks(root)
+    add_up(left, found)
+    holds: dict[int, list[int]] = {}  # of each form: characters outside links, the longest block, whether it has an article or a title
+    within: dict[int, Node | None] = {}
+    for node in left:
+        within[id(node)] = node if node.tag == "form" else within.get(id(node.up)) if node.up is not None else None
+        form = within[id(node)]
+        if form is not None and node.tag in ("article", "main", "h1"):
+            holds.setdefault(id(form), [0, 0])[0] = FORM_PROSE
+    for b in found:
+        form = within[id(b.node)]
+        if form is not None:
+            own = holds.setdefault(id(form), [0, 0])
+            own[0] += len(b.text) - b.linked
+            own[1] = max(own[1], len(b.text) - b.linked)
+    for form in forms:
+        prose, longest = holds.get(id(form), [0, 0])
+        if not (prose >= FORM_PROSE or (longest >= FORM_BLOCK and 2 * prose >= root.chars - root.linked)):
+            form.kids = []
+    for node in left:
+        node.chars = node.linked = 0
+    return left
 
 
 def navigation(node: Node) -> bool:
@@ -241,72 +385,67 @@ def blocks(root: Node) -> list[Block]:
     return out
 
 
+def add_up(nodes: list[Node], found: list[Block]) -> None:
+    """Gives each element the characters of all blocks inside it."""
+    for b in found:
+        b.node.chars += len(b.text)
+        b.node.linked += b.linked
+    for node in reversed(nodes):  # elements come before those inside them
+        if node.up is not None:
+            node.up.chars += node.chars
+            node.up.linked += node.linked
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by an empty line; empty if there is none."""
     if not html:
         return ""
     root = parse(html)
-    prune(root)
+    nodes = prune(root)
     found = blocks(root)
     if not found:
         return ""
-    chars: dict[int, int] = {}
-    links: dict[int, int] = {}
-    nodes: dict[int, Node] = {}
+    add_up(nodes, found)
     for b in found:
-        up: Node | None = b.node
-        while up is not None:
-            chars[id(up)] = chars.get(id(up), 0) + len(b.text)
-            links[id(up)] = links.get(id(up), 0) + b.linked
-            nodes[id(up)] = up
-            up = up.up
         if len(b.text) < 25:
             continue
         points = 1 + b.text.count(",") + b.text.count("、") + min(3, len(b.text) / 100)
-        up, share = (b.node.up if b.node.tag in ("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3", "h4") and b.node.up is not None else b.node), 1.0
+        up: Node | None = b.node.up if b.node.tag in ("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3", "h4") and b.node.up is not None else b.node
+        share = 1.0
         while up is not None and share > 0.1:
             up.score += points * share
             share /= 2
             up = up.up
-    density = {k: links[k] / chars[k] for k in chars}
 
     def value(node: Node) -> float:
-        words = _names(node)[0] if node.attrs else set()
-        bonus = 25 * (node.tag in ("article", "main")) + 15 * bool(words & GOOD_WORDS)
-        return (node.score + bonus * (node.score > 0)) * (1 - density[id(node)])
+        bonus = 25 * (node.tag in ("article", "main")) + 15 * bool(node.words() & GOOD_WORDS)
+        return (node.score + bonus * (node.score > 0)) * (1 - node.density)
 
-    best = max(nodes.values(), key=value)
+    best = max((x for x in nodes if x.chars), key=value)
     if value(best) <= 0:
-        # only short blocks: the smallest container of all text that isn't links
-        plain = [b for b in found if b.linked * 2 <= len(b.text)]
-        return "\n\n".join(b.text for b in plain)
-    keep = {id(best)}
+        # only short blocks: all text that isn't links
+        return "\n\n".join(b.text for b in found if b.linked * 2 <= len(b.text))
+    kept = {id(best)}
     least = max(10.0, value(best) * 0.2)
     if best.up is not None and best.tag not in ("article", "main", "body"):
+        framed = best.up.tag not in ("body", "html")  # inside a container of their own, siblings need not be long
+        short = {id(b.node): b.text for b in found if _RIGHTS.search(b.text) and len(b.text) < 200} if framed else {}
+        rights = {id(x) for n in nodes if id(n) in short for x in (n, n.up)}
         for kid in best.up.kids:
-            if isinstance(kid, Node) and kid is not best and id(kid) in nodes:
-                prose = chars[id(kid)] > 80 and density[id(kid)] < 0.25
+            if isinstance(kid, Node) and kid is not best and kid.chars:
+                prose = kid.density < 0.25 and (kid.chars > 80 or (framed and id(kid) not in rights))
                 title = kid.tag in ("h1", "h2", "h3", "hgroup", "header")
-                if value(kid) >= least or (prose and kid.tag in ("p", "pre", "blockquote", "ul", "ol", "div", "section", "table")) or title:
-                    keep.add(id(kid))
-    out = []
-    leads: dict[int, bool] = {}
-    for b in found:
-        up = b.node
-        while up is not None and id(up) not in keep:
-            up = up.up
-        if up is None:
-            continue
-        lists = b.node
-        while lists is not None and lists is not up and lists.tag not in ("ul", "ol", "table", "dl"):
-            lists = lists.up
-        if lists is not None and lists is not up and lists.tag in ("ul", "ol", "table", "dl") and density[id(lists)] > 0.6:
-            if id(lists) not in leads:
-                leads[id(lists)] = navigation(lists)
-            if leads[id(lists)]:
-                continue
-        out.append(b.text)
-    return "\n\n".join(out)
+                if value(kid) >= least or (prose and kid.tag in ("p", "pre", "blockquote", "ul", "ol", "dl", "div", "section", "table", "figure")) or title:
+                    kept.add(id(kid))
+    # of each kept element the kept part of the page, and the links' list, that it stands in
+    part: dict[int, Node | None] = {}
+    menu: dict[int, bool] = {}
+    for node in nodes:
+        up = node.up
+        inside = up is not None and part[id(up)] is not None
+        part[id(node)] = node if inside or id(node) in kept else None
+        menu[id(node)] = inside and (menu[id(up)] or (node.tag in ("ul", "ol", "table", "dl") and node.density > 0.6 and navigation(node)))
+    return "\n\n".join(b.text for b in found if part[id(b.node)] is not None and not menu[id(b.node)])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -320,7 +459,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pick(pages, "page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [main_text(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, type=pa.string())], names=["page_id", "url", "text"])
 

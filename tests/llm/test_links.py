@@ -115,7 +115,7 @@ def test_keys_grow_where_they_are_crowded(spark):
     keys = points.mapInArrow(simhash._keys, "key long, left boolean, fp long")
     longer = keys.where("key = 12345").select("key", "left", "fp").mapInArrow(simhash._longer, "key long, more long, left boolean, fp long")
     most = longer.groupBy("key", "more").count().agg(F.max("count")).first()[0]
-    near = sum(int((np.bitwise_count(x ^ fp) <= 4).sum()) - 1 for x in fp) // 2
+    near = sum(int((np.bitwise_count((x ^ fp).view(np.uint64)) <= 4).sum()) - 1 for x in fp) // 2
     assert most < 60 and simhash.links(points, shelf).count() == near
 
 

@@ -139,6 +139,59 @@ def test_html_ids_named_like_boilerplate_inside_an_article():
     assert "Some, of old." in html_text.main_text(f'<div role="main"><p>{PROSE}</p>{part}</div>')
 
 
+def test_html_page_in_a_form():
+    head = '<div class="aspNetHidden"><input type="hidden" name="__VIEWSTATE" value="x>y"></div><div id="menu"><a href="/">Home</a></div>'
+    page = f'<html><body><form id="aspnetForm" method="post" action="./a.aspx">{head}<div id="content"><h1>Title</h1><p>{PROSE}</p><p>Short end.</p><input type="submit" value="Send"><label>Name</label></div></form></body></html>'
+    assert html_text.main_text(page) == f"Title\n\n{PROSE}\n\nShort end."
+    sign_up = '<form class="x"><p>Get our weekly letter, free of charge.</p><label>Mail</label><input name="m"><button>Go</button></form>'
+    for page in (f"<article><h1>Title</h1><p>{PROSE}</p>{sign_up}<p>{PROSE}</p></article>", f"<div><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></div>{sign_up}"):
+        assert html_text.main_text(page) == f"Title\n\n{PROSE}\n\n{PROSE}"
+    assert html_text.main_text(f"<p>{PROSE}</p><p>{PROSE}</p>{sign_up}") == f"{PROSE}\n\n{PROSE}"
+
+
+def test_html_references_and_short_siblings():
+    links = "".join(f'<li><a href="/{i}">A paper, on things, number {i}</a></li>' for i in range(9))
+    want = "\n\n".join(f"A paper, on things, number {i}" for i in range(9))
+    assert html_text.main_text(f"<article><p>{PROSE}</p><h2>References</h2><ol>{links}</ol></article>") == f"{PROSE}\n\nReferences\n\n{want}"
+    box = f'<div class="post"><div><p>{PROSE}</p><p>{PROSE}</p></div><div>Short end.</div></div><div class="sidebar">{PROSE}</div>'
+    assert html_text.main_text(f"<body>{box}</body>") == f"{PROSE}\n\n{PROSE}\n\nShort end."
+    assert html_text.main_text(f'<article><p>{PROSE}</p><div class="related"><p>{PROSE}</p></div><div class="related"><a href="/x">Read on here, do</a></div></article>') == f"{PROSE}\n\n{PROSE}"
+
+
+def test_html_nested_comments():
+    reply = '<li class="comment"><article class="comment-body"><p>Great, thanks, I loved it, and will come again, for sure, and more.</p></article><ol class="children">{}</ol></li>'
+    nest = ""
+    for _ in range(30):
+        nest = reply.format(nest)
+    for wrap in ('<section id="comments"><ol class="commentlist">{}</ol></section>', '<div class="comments-area">{}</div>', '<div id="disqus_thread">{}</div>'):
+        own = wrap.format(nest)
+        assert html_text.main_text(f"<body><article><h1>T</h1><p>{PROSE}</p>{own}</article></body>") == f"T\n\n{PROSE}"
+        assert html_text.main_text(f"<body><article><h1>T</h1><p>{PROSE}</p></article>{own}</body>") == f"T\n\n{PROSE}"
+
+
+@pytest.mark.parametrize(
+    ("tag", "ok"),
+    [("<p data-x=it's>", 1), ('<p data-x="a>b">', 1), ("<p data-x='a\">b' y>", 1), ('<p title=x"y">', 1), ("<p\n class = x >", 1), ('<p x="">', 1), ("<p/x>", 1), ('<p "x>', 1), ("<p a=1/>", 1), ("<p ='x>", 1)],
+)
+def test_html_quotes_in_tags(tag, ok):
+    assert ok and html_text.main_text(f"<article><p>{PROSE}</p>{tag}It's here.</p><p>{PROSE}</p></article>") == f"{PROSE}\n\nIt's here.\n\n{PROSE}"
+
+
+@pytest.mark.parametrize("n", [200_000])
+def test_html_time_is_linear(n):
+    import time
+
+    pages = {
+        "closed": "<div>" * n + PROSE + "</div>" * n, "tags": '<a "' * n, "lists": "<ul><li>" * n, "cells": "<table><tr><td>" * (n // 2), "quotes": "<a x='" * n + "<p y=\">" * n,
+        "signs": "<" * n, "stray": "<b>" * n + "</i>" * n, "open": "<p>a" * n, "drawings": "<svg>" * n, "related": "<article>" + '<div class="related">' * (n // 4) + PROSE, "forms": "<form><p>abc" * (n // 4), "notes": "<!--" * n,
+    }
+    for name, page in pages.items():
+        began = time.time()
+        text = html_text.main_text(page)
+        assert time.time() - began < 8, name
+        assert name != "closed" or text == PROSE
+
+
 def test_html_odd(spark):
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
     assert html_text.main_text("1 < 2 <b>bold") == "1 < 2 bold"
