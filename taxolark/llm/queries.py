@@ -32,7 +32,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    found = secrets.scan(docs, secrets.train(secrets.sample_texts(docs)))
+    found = secrets.scan(docs, secrets.train(secrets.sample_windows(docs)))
 
     def count(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -1,11 +1,13 @@
 """Secret scans: a base of three exact patterns, and a linear-chain conditional random field.
 
 The field tags each token as the begin of a secret, its inside, or outside, from the
-token's shape, its neighbours and features of the file, decoded by Viterbi. It is
-trained here, on secrets made by rule inside windows of a bounded sample of texts.
+token's shape, two neighbours on either side and features of the file, decoded by
+Viterbi. It is trained here, on windows of a bounded sample of texts, anywhere in them,
+into which secrets are put that are made by rule, and what looks like secrets: addresses
+of pages, UUIDs, paths, names, numbers.
 
 What a token adds to its own and its neighbours' scores depends on the token alone, so
-it is looked up per distinct token and the scores of whole texts are sums of three
+it is looked up per distinct token and the scores of whole texts are sums of five
 arrays. A token whose score for "outside" beats the others by more than any change of
 transitions could make up is outside on the best path; what is left are short runs
 between such tokens, which Viterbi decodes exactly.
@@ -13,9 +15,12 @@ between such tokens, which Viterbi decodes exactly.
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxolark.llm.tables import pick
+from taxolark.llm.tables import held, pick, slices
 
 KINDS = ("assign", "access", "hex", "model")
 #: The base patterns; shorter matches are dropped after matching.
@@ -38,8 +43,10 @@ TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s]")
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Distinct tokens that a worker keeps.
 KEPT = 200_000
-#: Texts in the sample, tokens of a window, and the seed of the made secrets.
-SAMPLE, WINDOW, SEED = 200, 40, 7
+#: Texts in the sample, windows of a text without and with a base secret, tokens of a window, and the seed of what is made.
+SAMPLE, ANYWHERE, HOT, WINDOW, SEED = 200, 6, 2, 40, 7
+#: The tokens on which a token's features bear: two before it to two after it.
+PLACES = (-2, -1, 0, 1, 2)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -60,6 +67,9 @@ def _bucket(n: float, cuts: tuple) -> int:
 
 _TRIGGER = frozenset("password passwd pwd pass secret token key apikey api_key bearer authorization auth credential credentials private access login client_secret access_token signature".split())
 _RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]")
+#: Letters that may be a word: of one case, or small ones after a capital.
+_LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 
 def features(token: str) -> tuple[str, ...]:
@@ -85,6 +95,15 @@ def features(token: str) -> tuple[str, ...]:
         out.append("number")
     if not token.isascii():
         out.append("foreign")
+    runs = [len(x) for x in _LETTERS.findall(token)]
+    words = sum(x for x in runs if x >= 3) / n
+    out += [f"wordy:{_bucket(words, (0.01, 0.3, 0.6, 0.8))}", f"run:{_bucket(max(runs, default=0), (3, 5, 8))}:{min(size, 6)}"]
+    if _UUID.fullmatch(token):
+        out.append("uuid")
+    if token.startswith("//"):
+        out.append("host" if "." in token else "user")
+    elif token[0] in "/.~":
+        out.append("path")
     if token.count(".") >= 2:
         out.append("dotted")
     if "/" in token:
@@ -109,10 +128,10 @@ FILE = 3
 
 @dataclass
 class Model:
-    """Weights by feature, place (before, own, after) and tag; of file features and transitions by tag."""
+    """Weights by feature, place (see PLACES) and tag; of file features and transitions by tag."""
 
     index: dict[str, int]
-    weight: np.ndarray  # features x 3 places x 3 tags
+    weight: np.ndarray  # features x places x 3 tags
     file: np.ndarray  # file features x 3 tags
     move: np.ndarray  # tag x next tag
 
@@ -130,84 +149,167 @@ class Model:
 # --- training ---------------------------------------------------------------------
 
 
-def _made(rng: np.random.Generator) -> list[str]:
-    """The tokens of one secret: of common forms, over the characters that they use."""
-    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-
-    def some(chars: str, lo: int, hi: int) -> str:
-        return "".join(rng.choice(list(chars), size=int(rng.integers(lo, hi))))
-
-    kind = rng.integers(8)
-    if kind == 0:
-        return [some("0123456789abcdef", 24, 65)]
-    if kind == 1:
-        return ["AKIA" + some(upper + digit, 16, 17)]
-    if kind == 2:
-        return [str(rng.choice(["ghp_", "gho_", "sk_live_", "pk_test_", "xoxb-", "glpat-"])) + some(lower + upper + digit, 20, 40)]
-    if kind == 3:
-        return ["eyJ" + some(lower + upper + digit, 17, 40) + ".eyJ" + some(lower + upper + digit + "_-", 20, 60) + "." + some(lower + upper + digit + "_-", 20, 43)]
-    if kind == 4:
-        return [some(lower + upper + digit + "+/", 32, 65)]
-    if kind == 5:
-        return [some(lower + upper + digit + "+/", 60, 65) for _ in range(int(rng.integers(2, 5)))]
-    if kind == 6:
-        return [some(lower + upper + digit, 20, 33)]
-    return [some(upper + digit, 24, 40)]
-
-
-_LEADS = (["key", "="], ["token", ":"], ["password", "=", '"'], ["Authorization", ":", "Bearer"], ["secret", ":"], ["api_key", "=", "'"], [], [], [])
+_LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+class _Maker:
+    """Makes secrets, and what looks like them, as tokens and tags: of common forms, over the characters that they use."""
+
+    def __init__(self, rng: np.random.Generator, words: list[str]):
+        self.rng, self.words = rng, words
+
+    def some(self, chars: str, lo: int, hi: int) -> str:
+        return "".join(self.rng.choice(list(chars), size=int(self.rng.integers(lo, hi))))
+
+    def pick(self, *of: str) -> str:
+        return str(self.rng.choice(list(of)))
+
+    def word(self) -> str:
+        return self.words[int(self.rng.integers(len(self.words)))]
+
+    def password(self) -> str:
+        """Letters with a few digits, as people make them, or at random; sometimes with a mark inside."""
+        kind = self.rng.integers(3)
+        if kind == 0:
+            return self.word()[:8].lower() + self.some(_DIGIT, 1, 5) + self.pick("", "!", self.word()[:6])
+        if kind == 1:
+            return self.some(_LOWER + _UPPER + _DIGIT, 8, 21)
+        return self.word()[:6].capitalize() + self.pick("&", "!", "$", "#", "") + self.some(_DIGIT + _LOWER, 2, 9)
+
+    def token(self) -> list[str]:
+        every = _LOWER + _UPPER + _DIGIT
+        kind = self.rng.integers(9)
+        if kind == 0:
+            return [self.some("0123456789abcdef", 24, 65)]
+        if kind == 1:
+            return ["AKIA" + self.some(_UPPER + _DIGIT, 16, 17)]
+        if kind == 2:
+            return [self.pick("ghp_", "gho_", "sk_live_", "pk_test_", "xoxb-", "glpat-", "key-", "") + self.some(every, 20, 40)]
+        if kind == 3:
+            return ["eyJ" + self.some(every, 17, 40) + ".eyJ" + self.some(every + "_-", 20, 60) + "." + self.some(every + "_-", 20, 43)]
+        if kind == 4:
+            return [self.some(every + "+/", 32, 65)]
+        if kind == 5:
+            return [self.some(every + "+/", 60, 65) for _ in range(int(self.rng.integers(2, 5)))]
+        if kind == 6:
+            return [self.some(every, 20, 33)]
+        if kind == 7:
+            return [self.some(every, 2, 5) + "." + self.some(every + "_-", 16, 24) + "." + self.some(every + "_-", 24, 44)]
+        return [self.some(_UPPER + _DIGIT, 24, 40)]
+
+    def secret(self) -> tuple[list[str], list[int]]:
+        kind = self.rng.integers(7)
+        if kind <= 1:  # in an address: scheme, user, password, host
+            lead = [self.pick("postgres", "mysql", "mongodb", "amqp", "ftp", "https", "redis"), ":", self.pick("//" + self.word().lower(), "//")]
+            own, after = TOKEN.findall(self.password()), ["@", self.pick("localhost", "db." + self.word().lower() + ".com", "10.0.0.7") + self.pick("", "/" + self.word().lower())]
+            lead += [":"] if lead[-1] != "//" else []
+            if lead[-1] == "//":
+                lead[-1:] = ["//", ":"]
+        elif kind == 2:  # given a name, and short
+            lead = [self.pick("pwd", "pass", "passphrase", "client_secret", "private_key", "auth", "credential", "login", "PASSWORD", "db_password", "secret_key")]
+            lead += [self.pick("=", ":")] + ([self.pick('"', "'")] if self.rng.random() < 0.3 else [])
+            own, after = TOKEN.findall(self.password()), lead[-1:] if lead[-1] in "\"'" else []
+        else:
+            leads = (["key", "="], ["token", ":"], ["password", "=", '"'], ["Authorization", ":", "Bearer"], ["Authorization", ":", "Basic"], ["secret", ":"], ["api_key", "=", "'"], ["X-Api-Key", ":"], [], [], [], [])
+            lead = list(leads[self.rng.integers(len(leads))])
+            own, after = self.token(), lead[-1:] if lead and lead[-1] in "\"'" else []
+        return [*lead, *own, *after], [*[OUT] * len(lead), BEGIN, *[INSIDE] * (len(own) - 1), *[OUT] * len(after)]
+
+    def harmless(self) -> tuple[list[str], list[int]]:
+        """Long, mixed or near a name of secrets, and none."""
+        word, kind = self.word, self.rng.integers(10)
+        if kind == 0:
+            path = "/".join(self.pick(word().lower(), self.some(_DIGIT, 1, 9), f"{word().lower()}-{word().lower()}") for _ in range(int(self.rng.integers(1, 6))))
+            text = self.pick("https", "http") + "://" + self.pick("www.", "", "api.") + word().lower() + self.pick(".com", ".org", ".io") + "/" + path + self.pick("", ".html", "/", "?id=" + self.some(_DIGIT, 1, 6))
+        elif kind == 1:
+            text = "-".join(self.some("0123456789abcdef", n, n + 1) for n in (8, 4, 4, 4, 12))
+        elif kind == 2:
+            text = self.pick("/", "~/", "./", "../") + "/".join(self.pick(word().lower(), word() + self.some(_DIGIT, 1, 3), self.pick("usr", "lib", "src", "home")) for _ in range(int(self.rng.integers(2, 7)))) + self.pick("", ".py", ".txt", ".so.1", ".json")
+        elif kind == 3:
+            text = "".join(word().capitalize() for _ in range(int(self.rng.integers(2, 5))))
+        elif kind == 4:
+            text = "_".join(word().lower() for _ in range(int(self.rng.integers(2, 6))))
+        elif kind == 5:
+            text = self.pick("mail : ", "", "write to ") + self.pick("", word().lower() + ".") + word().lower() + self.pick("", self.some(_DIGIT, 1, 4), "." + self.some(_DIGIT, 2, 3)) + "@" + self.pick("", "mail.") + word().lower() + ".com"
+        elif kind == 6:
+            text = self.pick("+49 ", "+1 ", "") + self.some(_DIGIT, 3, 5) + self.pick("-", " ", ".") + self.some(_DIGIT, 3, 9) + self.pick("", "-" + self.some(_DIGIT, 4, 5))
+        elif kind == 7:
+            text = self.pick("2024-01-31T12:00:01Z", "10.1234/" + word().lower() + ".2021." + self.some(_DIGIT, 4, 8), "v1.2." + self.some(_DIGIT, 1, 4) + "-rc1", self.some(_DIGIT, 12, 20), "978-3-" + self.some(_DIGIT, 6, 7) + "-1", ":".join(self.some("0123456789abcdef", 2, 3) for _ in range(6)))
+        elif kind == 8:
+            text = self.pick("the password is", "a token of", "secret", "login page :", "the key to", "auth :") + " " + word().lower() + " " + word().lower()
+        else:
+            text = word() + self.some(_DIGIT, 1, 4) + self.pick("", word().lower()) + self.pick("", "%", "$", "px")
+        tokens = TOKEN.findall(text)
+        return tokens, [OUT] * len(tokens)
+
+
+Window = tuple[list[tuple[str, ...]], list[int], list[float], list[str]]
+
+
+def windows(text: str) -> list[Window]:
+    """(features of each token, tags by the base patterns, file features, some words): places of the text drawn by its hash, and some of its base secrets."""
+    spans, found, out = base_spans(text), [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)], []
+    rng = np.random.default_rng(crc32(text.encode()))
+    tags, at = [], 0
+    for _, a, b in found:
+        while at < len(spans) and spans[at][1] <= a:
+            at += 1
+        tags.append(BEGIN if b - a >= 6 and any(a < y and x < b for x, y, _ in spans[at : at + 3]) else OUT)
+    hot = [i for i, t in enumerate(tags) if t]
+    starts = [int(rng.integers(max(1, len(found) - WINDOW + 1))) for _ in range(ANYWHERE)]
+    starts += [max(0, h - WINDOW // 2) for h in (rng.choice(hot, size=min(HOT, len(hot)), replace=False).tolist() if hot else ())]
+    seen = file_features(text).tolist()
+    for start in starts:
+        own = [t for t, _, _ in found[start : start + WINDOW]]
+        if own:
+            out.append(([features(t) for t in own], tags[start : start + WINDOW], seen, [t for t in own if t.isalpha() and 3 <= len(t) <= 12]))
+    return out
 
 
-def _windows(texts: list[str], rng: np.random.Generator) -> list[tuple[list[str], list[int], np.ndarray]]:
-    """(tokens, tags, file features): windows of the texts, half of them with a made secret."""
-    out = []
-    for text in texts:
-        spans = base_spans(text)
-        found = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)]
-        tags = []
-        for _, a, b in found:
-            within = [s for s in spans if a < s[1] and s[0] < b and b - a >= 6]
-            tags.append(OUT if not within else BEGIN)
-        seen = file_features(text)
-        hot = [i for i, t in enumerate(tags) if t]
-        starts = [int(rng.integers(max(1, len(found) - WINDOW + 1))) for _ in range(4)] + [max(0, h - WINDOW // 2) for h in hot[:2]]
-        for k, at in enumerate(starts):
-            tokens, own = [t for t, _, _ in found[at : at + WINDOW]], tags[at : at + WINDOW]
-            if k % 2 == 0 and tokens:
-                lead, secret = list(_LEADS[rng.integers(len(_LEADS))]), _made(rng)
-                cut = int(rng.integers(len(tokens) + 1))
-                tokens = tokens[:cut] + lead + secret + tokens[cut:]
-                own = own[:cut] + [OUT] * len(lead) + [BEGIN] + [INSIDE] * (len(secret) - 1) + own[cut:]
-            if tokens:
-                out.append((tokens, own, seen))
+def _planted(given: list[Window], rng: np.random.Generator) -> list[tuple[list[tuple[str, ...]], list[int], list[float]]]:
+    """The windows with two secrets made for every six, and two things that only look so."""
+    words = sorted({w for *_, some in given for w in some}) or ["word", "other", "third"]
+    maker, out = _Maker(rng, words), []
+    for k, (seen, tags, file, _) in enumerate(given):
+        seen, tags = list(seen), list(tags)
+        for make in ((maker.secret,), (maker.harmless,), (maker.secret, maker.harmless), (), (maker.harmless, maker.harmless), (maker.secret,))[k % 6]:
+            tokens, own = make()
+            cut = int(rng.integers(len(seen) + 1))
+            while 0 < cut < len(seen) and tags[cut] != OUT:
+                cut += 1
+            seen[cut:cut], tags[cut:cut] = [features(t) for t in tokens], own
+        out.append((seen, tags, file))
     return out
 
 
-def train(texts: list[str], steps: int = 100, seed: int = SEED, penalty: float = 1e-3) -> Model:
-    """Maximum likelihood by forward-backward over padded batches and Adam."""
-    rng = np.random.default_rng(seed)
-    windows = _windows([t for t in texts if t and t.strip()] or ["nothing to hide in this text"], rng)
-    index = {f: i for i, f in enumerate(sorted({f for tokens, _, _ in windows for t in tokens for f in features(t)}))}
-    width = max(len(t) for t, _, _ in windows) + 2  # an outside token at either end
-    n, k = len(windows), len(index)
+def train(given: list[Window], steps: int = 90, seed: int = SEED, penalty: float = 1e-3) -> Model:
+    """Maximum likelihood by forward-backward over padded batches and Adam, on windows with made secrets put in."""
+    rng, pad = np.random.default_rng(seed), max(PLACES)
+    drawn = _planted(given or [w for _ in range(12) for w in windows("nothing to hide in this text")], rng)
+    kinds = {k: i for i, k in enumerate(dict.fromkeys(tuple(t) for seen, _, _ in drawn for t in seen))}  # tokens with the same features are of a kind
+    index = {f: i for i, f in enumerate(sorted({f for kind in kinds for f in kind}))}
+    has = np.zeros((len(kinds), len(index)))
+    for kind, i in kinds.items():
+        has[i, [index[f] for f in kind]] = 1
+    width = max(len(t) for t, _, _ in drawn) + 2 * pad  # outside tokens at either end
+    n, k = len(drawn), len(index)
     rows, cols = [], []
     tags, real, files = np.zeros((n, width), dtype=np.int64), np.zeros((n, width), dtype=bool), np.zeros((n, FILE))
-    for i, (tokens, own, seen) in enumerate(windows):
-        for j, t in enumerate(tokens, 1):
-            for f in features(t):
-                rows.append(i * width + j)
-                cols.append(index[f])
-        tags[i, 1 : len(own) + 1], real[i, 1 : len(own) + 1], files[i] = own, True, seen
+    for i, (seen, own, file_seen) in enumerate(drawn):
+        rows += range(i * width + pad, i * width + pad + len(seen))
+        cols += [kinds[tuple(t)] for t in seen]
+        tags[i, pad : len(own) + pad], real[i, pad : len(own) + pad], files[i] = own, True, file_seen
     rows, cols = np.array(rows), np.array(cols)
-    place = (rows - 1, rows, rows + 1)  # the feature of token j bears on tokens j-1, j and j+1
-    weight, file, move = np.zeros((k, 3, 3)), np.zeros((FILE, 3)), np.zeros((3, 3))
+    place = [rows + o for o in PLACES]
+    weight, file, move = np.zeros((k, len(PLACES), 3)), np.zeros((FILE, 3)), np.zeros((3, 3))
     state = [[p, np.zeros_like(p), np.zeros_like(p)] for p in (weight, file, move)]
-    length = real.sum(axis=1) + 2
+    on = np.arange(1, width) < (real.sum(axis=1) + 2 * pad)[:, None]
+    moved = np.zeros((3, 3))  # transitions as given
+    np.add.at(moved, (tags[:, :-1][on], tags[:, 1:][on]), 1)
     for step in range(1, steps + 1):
-        flat = np.zeros((n * width, 3))
-        for x in range(3):
-            for y in range(3):
-                flat[:, y] += np.bincount(place[x], weights=weight[cols, x, y], minlength=n * width)
+        flat, each = np.zeros((n * width, 3)), (has @ weight.reshape(k, -1)).reshape(-1, len(PLACES), 3)
+        for x in range(len(PLACES)):
+            flat[place[x]] += each[cols, x]  # each place once
         score = flat.reshape(n, width, 3) + (files @ file)[:, None, :]
         score[~real] = (0.0, -1e4, -1e4)  # padding is outside
         alpha, beta = np.zeros_like(score), np.zeros_like(score)
@@ -221,17 +323,14 @@ def train(texts: list[str], steps: int = 100, seed: int = SEED, penalty: float =
         error = like - np.eye(3)[tags]
         error[~real] = 0
         flat = error.reshape(-1, 3)
-        g_weight = np.zeros_like(weight)
-        for x in range(3):
+        each = np.zeros((len(kinds), len(PLACES), 3))
+        for x in range(len(PLACES)):
             for y in range(3):
-                g_weight[:, x, y] = np.bincount(cols, weights=flat[place[x], y], minlength=k)
+                each[:, x, y] = np.bincount(cols, weights=flat[place[x], y], minlength=len(kinds))
+        g_weight = (has.T @ each.reshape(len(kinds), -1)).reshape(weight.shape)
         g_file = files.T @ error.sum(axis=1)
-        g_move = np.zeros_like(move)
-        for j in range(1, width):
-            on = j < length
-            pair = np.exp(alpha[on, j - 1, :, None] + move + (score[on, j] + beta[on, j])[:, None, :] - z[on, None, None])
-            g_move += pair.sum(axis=0)
-            np.add.at(g_move, (tags[on, j - 1], tags[on, j]), -1)
+        pair = np.exp(alpha[:, :-1, :, None] + move + (score + beta)[:, 1:, None, :] - z[:, None, None, None])
+        g_move = pair[on].sum(axis=0) - moved
         for (p, m, v), g in zip(state, (g_weight, g_file, g_move), strict=True):
             g = g / n + penalty * p
             m += 0.1 * (g - m)
@@ -270,7 +369,7 @@ class Tagger:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((1, 3, 3))  # row 0 is the gap between texts
+        self.rows = np.zeros((1, len(PLACES), 3))  # row 0 is the gap between texts
 
     def tags(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """Of each text the (first, last) token of each secret."""
@@ -280,7 +379,7 @@ class Tagger:
         fresh = list(dict.fromkeys(t for own in parts for t in own if t not in self.known))
         at = len(self.rows)
         made: dict[tuple, np.ndarray] = {}
-        added = np.zeros((len(fresh), 3, 3))
+        added = np.zeros((len(fresh), len(PLACES), 3))
         for i, t in enumerate(fresh):
             key = features(t)
             if key not in made:
@@ -289,14 +388,16 @@ class Tagger:
             self.known[t] = at + i
         self.rows = np.concatenate([self.rows, added])
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        starts = np.cumsum(sizes + 1) - sizes  # of each text's tokens; a gap before and after each
-        number = np.zeros(int(sizes.sum()) + len(parts) + 1, dtype=np.int64)
+        gap = max(PLACES)
+        starts = np.cumsum(sizes + gap) - sizes  # of each text's tokens; gaps before and after each
+        number = np.zeros(int(sizes.sum()) + gap * (len(parts) + 1), dtype=np.int64)
         inside = np.ones(len(number), dtype=bool)
-        inside[np.append(starts - 1, len(number) - 1)] = False
+        for x in range(gap):
+            inside[np.append(starts - 1 - x, len(number) - 1 - x)] = False
         number[inside] = np.fromiter((self.known[t] for own in parts for t in own), dtype=np.int64, count=int(sizes.sum()))
-        score = self.rows[number, 1].copy()
-        score[:-1] += self.rows[number[1:], 0]
-        score[1:] += self.rows[number[:-1], 2]
+        score = np.zeros((len(number), 3))
+        for x, o in enumerate(PLACES):
+            score[max(0, o) : len(score) + min(0, o)] += self.rows[number[max(0, -o) : len(score) - max(0, o)], x]
         seen = np.array([file_features(t) for t in texts]).reshape(-1, FILE) @ self.model.file
         text_of = np.repeat(np.arange(len(parts)), sizes)
         score[inside] += seen[text_of]
@@ -306,12 +407,12 @@ class Tagger:
         edges = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
         for a, b in zip(edges[::2], edges[1::2], strict=True):
             path = viterbi(score[a:b], self.model.move)
-            if not path.any():
+            if not (path == BEGIN).any():
                 continue
             text = int(np.searchsorted(starts, a, side="right")) - 1
             first = None
             for i, tag in enumerate(path.tolist()):
-                if tag == BEGIN or (tag == INSIDE and first is None):
+                if tag == BEGIN:  # an inside without a begin is no secret
                     if first is not None:
                         out[text].append((first, a + i - 1 - starts[text]))
                     first = a + i - starts[text]
@@ -352,17 +453,25 @@ def _uncovered(text: str, a: int, b: int, base: list[tuple[int, int]]) -> bool:
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def sample_texts(docs: DataFrame, bound: int = SAMPLE) -> list[str]:
-    """At most ``bound`` different texts to train on, those of the smallest hashes; each cut to 20,000 characters.
+def sample_windows(docs: DataFrame, bound: int = SAMPLE) -> list[Window]:
+    """Windows to train on of at most ``bound`` different texts, those of the smallest hashes.
 
-    The hashes are chosen first, so that tasks never send texts that aren't taken.
+    The hashes are chosen first; windows are cut in the tasks out of whole texts, and
+    only the features of their tokens and some words reach the driver.
     """
     own = pick(docs, "text").where("text is not null").withColumn("h", F.xxhash64("text"))
     chosen = [r["h"] for r in own.select("h").distinct().orderBy("h").limit(bound).collect()]
     if not chosen:
         return []
-    taken = own.where(F.col("h") <= max(chosen)).groupBy("h").agg(F.min(F.substring("text", 1, 20_000)).alias("text"))
-    return [r["text"] for r in taken.orderBy("h").limit(bound).collect()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 16):
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = windows(text)
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array([json.dumps(w) for w in got], pa.string())], names=["h", "n", "window"])
+
+    taken = own.where(F.col("h") <= max(chosen)).groupBy("h").agg(F.min("text").alias("text"))
+    return [json.loads(r["window"]) for r in taken.mapInArrow(cut, "h long, n int, window string").orderBy("h", "n").collect()]
 
 
 def scan(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), redact: str | None = None) -> DataFrame:
@@ -375,11 +484,11 @@ def scan(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), red
     returned as often as they occur; other columns are ignored; no rows give no rows.
     """
     rows = pick(docs, *keep, "text").toDF(*[f"k{i}" for i in range(len(keep))], "text")
-    n = len(keep)
+    n, key = len(keep), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(model)
-        for b in batches:
+        tagger = held(key, lambda: Tagger(model))
+        for b in slices(batches):
             raw = b.column(n).to_pylist()
             texts = [t or "" for t in raw]
             found = [all_spans(t, tags) for t, tags in zip(texts, tagger.tags(texts), strict=True)]

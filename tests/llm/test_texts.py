@@ -207,7 +207,7 @@ def test_html_odd(spark):
 
 @pytest.fixture(scope="module")
 def model(corpus):
-    return secrets.train([d["text"] for d in corpus][::4])
+    return secrets.train([w for d in corpus[::2] for w in secrets.windows(d["text"])])
 
 
 def plain_base(text):
@@ -231,14 +231,15 @@ def test_viterbi_prunes_exactly(model, corpus):
     tagger = secrets.Tagger(model)
     for text, got in zip(texts, tagger.tags(texts), strict=True):
         tokens = secrets.TOKEN.findall(text)
-        rows = np.array([model.row(t) for t in tokens])
-        score = rows[:, 1].copy()
-        score[:-1] += rows[1:, 0]
-        score[1:] += rows[:-1, 2]
+        score = np.zeros((len(tokens), 3))
+        for j, t in enumerate(tokens):
+            for o, row in zip(secrets.PLACES, model.row(t), strict=True):
+                if 0 <= j + o < len(tokens):
+                    score[j + o] += row
         score += secrets.file_features(text) @ model.file
         path, spans, first = secrets.viterbi(score, model.move), [], None
         for i, tag in enumerate([*path.tolist(), 0]):
-            if tag in (1, 2) and (tag == 1 or first is None):
+            if tag == 1:
                 if first is not None:
                     spans.append((first, i - 1))
                 first = i
@@ -248,26 +249,64 @@ def test_viterbi_prunes_exactly(model, corpus):
         assert got == spans
 
 
-def test_field_finds_made_secrets_and_leaves_prose(model, corpus):
-    rng, tagger, hit = np.random.default_rng(3), secrets.Tagger(model), 0
-    texts = [d["text"] for d in corpus[1::4]]
-    for text in texts:
-        secret = " ".join(secrets._made(rng))
-        whole = f"{text[:500]} {secret} {text[500:]}"
-        at = whole.index(secret)
-        hit += any(a < at + len(secret) and at < b for a, b, _ in secrets.all_spans(whole, tagger.tags([whole])[0]))
-    assert hit >= 0.9 * len(texts)
-    extra = sum(k == "model" for t in texts for _, _, k in secrets.all_spans(t, tagger.tags([t])[0]))
-    assert extra <= 0.05 * len(texts)
+def forms_of_secrets(rng):
+    """Secrets in forms that training doesn't make: (text before, secret, text after)."""
+    every = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def some(n, chars=every):
+        return "".join(rng.choice(chars) for _ in range(n))
+
+    return [
+        ("", "AIza" + some(35, every + "_-"), ""), ("", "SG." + some(22) + "." + some(43), ""), ("npm login with ", "npm_" + some(36), " now"), ("use ", "rk_live_" + some(24), " as is"),
+        ("aws_secret_access_key = ", some(40, every + "+/"), ""), ("AccountKey=", some(86, every + "+/"), "=="), ("connect to postgres://admin:", "hunter2pass", "@db.internal/app"),
+        ("mysql://root:", some(12), "@10.1.2.3/shop"), ("pwd: ", "Winter" + some(4, "0123456789"), ""), ("passphrase = ", some(14), ""), ("Authorization: Basic ", some(32), ""), ("curl -H 'X-Auth-Token: ", some(40), "'"),
+        ("\nMII", some(61, every + "+/"), "\n"), ("jwt ", "eyJ" + some(33) + "." + some(60, every + "_-") + "." + some(43, every + "_-"), ""), ("client_secret: ", some(28), ""), ("", some(32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ""),
+    ]
+
+
+#: Text that a scan must leave alone, none of it as training makes it.
+HARMLESS = [
+    "see https://en.wikipedia.org/wiki/Subsequence_kernel#Definition for more", "http://example.com/blog/2021/03/14/ten-things-to-know-about-rivers.html", "docs at https://spark.apache.org/docs/latest/sql-ref-syntax-qry-select-window.html", "id 123e4567-e89b-12d3-a456-426614174000 of the row", "6F9619FF-8B86-D011-B42D-00CF4FC964FF",
+    "open /usr/local/lib/python3.13/site-packages/numpy/core/multiarray.py", "C:/Users/Public/Documents/Report_2020_final_v2.docx", "~/projects/site/index.html", "class AbstractSingletonProxyFactoryBean extends Object", "the word Donaudampfschifffahrtsgesellschaft is long",
+    "max_number_of_records_per_batch is set", "mail anna.schmidt42@example.org soon", "call +44 20 7946 0958 today", "on 2019-07-04T09:30:00+02:00 at noon", "doi 10.1038/s41586-020-2649-2", "ISBN 978-0-13-468599-1", "mac 00:1B:44:11:3A:B7 up", "version 4.18.0-305.el8.x86_64 of it",
+    "my password is something I never tell anyone", "a token of thanks, and the secret of a good life", "the key: patience and time", "3.14159265358979 and 1,000,000.00", "H2SO4, C6H12O6 and NaCl", "flight LH1234 at gate B12", "order no. 00012345678", "192.168.100.200:8080 answers",
+]
+
+
+def test_field_on_forms_it_was_not_trained_on(model, corpus, capsys):
+    """Precision and recall; tagging nothing, or everything long, fails."""
+    rng, tagger = random.Random(9), secrets.Tagger(model)
+    prose = [d["text"] for d in corpus if not secrets.base_spans(d["text"])]
+    caught, all_ = {}, 0
+    for n in range(40):
+        for k, (lead, secret, after) in enumerate(forms_of_secrets(rng)):
+            text = rng.choice(prose)
+            whole = f"{text[:300]} {lead}{secret}{after} {text[300:600]}"
+            at = whole.index(lead + secret) + len(lead)
+            spans = secrets.all_spans(whole, tagger.tags([whole])[0])
+            caught.setdefault(k, []).append(any(a < at + len(secret) and at < b for a, b, _ in spans))
+            all_ += 1
+    recall = sum(map(sum, caught.values())) / all_
+    wrong = []
+    for x in HARMLESS:
+        for text in prose[:20]:
+            whole = f"{text[:300]:300} {x} {text[300:600]}"
+            if any(k == "model" and a < 301 + len(x) and b > 300 for a, b, k in secrets.all_spans(whole, tagger.tags([whole])[0])):
+                wrong.append(x)
+    extra = sum(k == "model" for d in corpus for _, _, k in secrets.all_spans(d["text"], tagger.tags([d["text"]])[0]))
+    false = len(wrong) / (20 * len(HARMLESS))
+    with capsys.disabled():
+        print(f"\nsecrets: recall {recall:.3f} {[round(sum(v) / len(v), 2) for v in caught.values()]}, harmless tagged {false:.3f} {sorted(set(wrong))}, spans beyond the base in {len(corpus)} texts {extra}")
+    assert recall >= 0.85 and false <= 0.1 and extra <= 0.02 * len(corpus)
 
 
 def test_secret_of_many_tokens_after_a_base_lead(model, corpus):
     """The base stops at the first blank; the field's span over the rest stays and is redacted with it."""
-    rng, tagger = np.random.default_rng(11), secrets.Tagger(model)
+    maker, tagger = secrets._Maker(np.random.default_rng(11), ["some", "word"]), secrets.Tagger(model)
     for n, text in enumerate(d["text"] for d in corpus[1::4]):
         secret = []
         while len(secret) < 2:
-            secret = secrets._made(rng)
+            secret = maker.token()
         lead = ("secret: ", 'password = "', "token: ", "api_key = '")[n % 4]
         whole = f"{text[:500]} {lead}{' '.join(secret)} {text[500:]}"
         at = whole.index(lead + secret[0]) + len(lead)
