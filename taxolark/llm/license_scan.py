@@ -11,6 +11,8 @@ reported.
 from __future__ import annotations
 
 import re
+import uuid
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from taxolark.llm.tables import pick
+from taxolark.llm.tables import held, pick, slices
 
 #: Notices and grants by which texts are licensed, by name; {} stands for a holder, a year or a program.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -85,6 +87,84 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "this permission notice appear in all copies.",
     ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+        "included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source "
+        "code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE "
+        "COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS "
+        "FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+        "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED "
+        "AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source "
+        "code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the "
+        "copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS "
+        "SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+        "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and "
+        "this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this "
+        "software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to "
+        "the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software "
+        "in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must "
+        "not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of "
+        "the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "LGPL-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
 )
 
 WORD = re.compile(r"[^\W_]+")
@@ -128,26 +208,35 @@ class Templates:
         t = self.threshold
         for k in np.flatnonzero(of.sum(axis=0) >= self.least).tolist():
             at, size, least, most = hits[of[:, k]], len(self.bigrams[k]), int(self.least[k]), int(self.most[k])
-            for i in np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] < most):
-                shared, left, best = 0, self.counts[k].copy(), None
-                for j in range(i, len(at)):
-                    if at[j] - at[i] >= most:
-                        break
-                    c = int(code[at[j]])
-                    if left[c] > 0:
-                        left[c] -= 1
-                        shared += 1
-                    dice = 2 * shared / (size + at[j] - at[i] + 1)
-                    if dice >= t and (best is None or dice > best[0]):
-                        best = (float(dice), k, int(at[i]), int(at[j]) + 2)
-                if best is not None:
-                    out.append(best)
+            codes, places, met = code[at], at.tolist(), {}  # what begins alike, such as a notice once more, is compared once
+            ends = np.searchsorted(at, at + most)
+            for i in np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] < most).tolist():
+                end = int(ends[i])
+                key = (codes[i:end].tobytes(), (at[i:end] - at[i]).tobytes())
+                if key not in met:
+                    met[key] = self._longest(k, codes[i:end].tolist(), [x - places[i] for x in places[i:end]], size, t)
+                if met[key] is not None:
+                    dice, length = met[key]
+                    out.append((dice, k, places[i], places[i] + length))
         out.sort(key=lambda x: (-x[0], -(x[3] - x[2]), x[2], x[1]))
-        kept: list[tuple[float, int, int, int]] = []
+        kept: list[tuple[float, int, int, int]] = []  # by place; none overlap, so only neighbours are in the way
         for x in out:
-            if not any(x[2] < y[3] and y[2] < x[3] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: x[2])
+            n = bisect(kept, x[2], key=lambda y: y[2])
+            if not (n and kept[n - 1][3] > x[2]) and not (n < len(kept) and kept[n][2] < x[3]):
+                kept.insert(n, x)
+        return kept
+
+    def _longest(self, k: int, codes: list[int], at: list[int], size: int, t: float) -> tuple[float, int] | None:
+        """The best coefficient and words of the passages that begin with the first of the bigrams; None below the threshold."""
+        shared, left, best = 0, self.counts[k].copy(), None
+        for c, place in zip(codes, at, strict=True):
+            if left[c] > 0:
+                left[c] -= 1
+                shared += 1
+            dice = 2 * shared / (size + place + 1)
+            if dice >= t and (best is None or dice > best[0]):
+                best = (dice, place + 2)
+        return best
 
 
 FOUND = "array<struct<license:string,dice:double,start:int,end:int>>"
@@ -162,12 +251,12 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float
     columns are ignored; no rows give no rows.
     """
     rows = pick(docs, *keep, "text").toDF(*[f"k{i}" for i in range(len(keep))], "text")
-    n = len(keep)
+    n, key = len(keep), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Templates(threshold=threshold)
+        own = held(key, lambda: Templates(threshold=threshold))
         kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in slices(batches):
             found = [[{"license": own.names[k], "dice": round(d, 6), "start": x, "end": y} for d, k, x, y in own.find(normal_words(t or ""))] for t in b.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, type=kind)], names=[f.name for f in schema.fields])
 

@@ -113,7 +113,8 @@ FROM marked GROUP BY conv_id
 
 OP8_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS hash, row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) AS nth,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ),
 summed AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -131,7 +132,7 @@ share AS (SELECT source, source_size, least(bound, max(level) OVER () * weight)
 rated AS (
   SELECT doc_id, size, source_size, target,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
-         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || hash || ':' || nth), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
   FROM sized JOIN share ON sized.source IS NOT DISTINCT FROM share.source
 )
 SELECT doc_id, size, source_size, target,

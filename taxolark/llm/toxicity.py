@@ -2,20 +2,26 @@
 
 The kernel of two words sums, over the subsequences of three letters that they share,
 a decay for every letter spanned, so an insult with inserted or missing letters stays
-close to itself. Words begin with a mark, which counts as a letter. Landmarks are the
-words and word beginnings whose presence tells labelled toxic texts from others. The
-kernel of a word with a landmark, over the landmark's own, raised to a power (a kernel
-again), is pooled over a text's words: the largest, and the mean. Both are whitened by
-the landmarks' kernel matrix (Nystroem) and a linear machine is trained on them by
-subgradient steps; a logistic curve fitted to its margins gives the score.
-
-A worker keeps what it has found for a word, within a bound. A word that holds too few
-of a landmark's letters has kernel 0 to it by definition, which spares most of the work.
+close to itself. Words begin with a mark, which counts as a letter. The kernel is
+normed, so that a word has 1 with itself, and raised to a power, which is a kernel
+again. The kernel of two texts is the sum over all pairs of their words, plus RATE
+squared times the mean over all pairs: both are kernels, and so is their sum.
+
+Landmarks are texts of one word: words and word beginnings whose presence tells
+labelled toxic texts from others. A text's kernels with the landmarks, whitened by the
+landmarks' kernel matrix (Nystroem), are its features; a linear machine is trained on
+them by subgradient steps, and a logistic curve fitted to its margins gives the score.
+
+A word's kernel with a landmark is at most the norm of what the landmark's
+subsequences have over letters that the word holds (Cauchy and Schwarz). Where the
+power of that bound is below NEAR the kernel isn't computed and counts as 0. A worker
+keeps what it has found for a word, within a bound.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,14 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxolark.llm.tables import pick
+from taxolark.llm.tables import held, pick, slices
 
-#: Letters of a subsequence, decay, power, share of a landmark's distinct letters that a word must hold.
-ORDER, DECAY, POWER, SCREEN = 3, 0.75, 6, 0.7
-#: Landmarks, labelled texts used to fit, letters of a piece that long words are cut into, words that a worker keeps.
-LANDMARKS, SAMPLE, PIECE, KEPT = 32, 6000, 24, 200_000
-#: The mean over words is small: a text of a hundredth of landmark words reaches 1.
+#: Letters of a subsequence, decay, power, value that is as good as 0.
+ORDER, DECAY, POWER, NEAR = 3, 0.9, 8, 0.003
+#: Weight of the mean over words: insults count by number and by share.
 RATE = 100.0
+#: Landmarks, letters of a piece that long words are cut into, words that a worker keeps.
+LANDMARKS, PIECE, KEPT = 40, 24, 300_000
+#: How often each toxic text is learnt from with its insults spoiled.
+SPOILED = 1
+#: Labelled texts used to fit, and their bytes.
+SAMPLE, SAMPLE_BYTES = 6000, 64 << 20
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -72,8 +82,8 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Subsequence kernel of each row of ``s`` (letters as numbers, padded with 0) with ``t``."""
-    n, width = len(s), len(t)
+    """Subsequence kernel of each row of ``s`` (letters as numbers, padded with 0) with ``t``, or with the same row of a matrix ``t``."""
+    n, width = len(s), t.shape[-1]
     far = np.subtract.outer(np.arange(width), np.arange(width)).T
     below = (np.where(far >= 0, DECAY ** np.maximum(0, far), 0) * DECAY**2).astype(np.float32)
     prefix = [np.zeros((n, width + 1), dtype=np.float32) for _ in range(ORDER)]
@@ -100,7 +110,7 @@ class Model:
 
 
 class Describer:
-    """Texts by landmark: the largest kernel of any word, and the mean over words."""
+    """Texts by their kernels with the landmarks."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks, self.m = landmarks, len(landmarks)
@@ -110,30 +120,48 @@ class Describer:
         self.bit = np.zeros(0x110000, dtype=np.uint64)
         for i, c in enumerate(letters):  # beyond 64 letters some share a bit, which lets a few more words through
             self.bit[ord(c)] = np.uint64(1) << np.uint64(i % 64)
-        self.masks = np.array([np.bitwise_or.reduce(self.bit[t]) for t in self.t], dtype=np.uint64)
+        self.hold = [self._bounds(t, own) for t, own in zip(self.t, self.own, strict=True)]
         self.forget()
 
+    def _bounds(self, t: np.ndarray, own: float) -> tuple[list[int], np.ndarray]:
+        """Of a landmark: the places of its letters' bits, and for each set of them the most that a word with no others can have."""
+        bits = sorted({int(self.bit[c]).bit_length() - 1 for c in t[1:].tolist()})
+        masked = np.tile(t, (1 << len(bits), 1))
+        for i, at in enumerate(bits):
+            of = (self.bit[t] == np.uint64(1 << at)) & (np.arange(len(t)) > 0)
+            masked[np.ix_((np.arange(1 << len(bits)) >> i & 1) == 0, of)] = 0
+        return bits, np.sqrt(kernel(masked, t) / own) ** POWER
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.table = np.zeros((1, self.m), dtype=np.float32)  # row 0: near no landmark
 
     def similar(self, words: list[str]) -> np.ndarray:
-        """Kernels of words with landmarks over the landmarks' own, raised to the power."""
+        """Normed kernels of words with landmarks, raised to the power."""
         out = np.zeros((len(words), self.m), dtype=np.float32)
         if not words or not self.m:
             return out
         s, n = codes(words)
         bits = np.bitwise_or.reduce(self.bit[s], axis=1)
-        order = np.argsort(n, kind="stable")
-        for j, (t, own, mask) in enumerate(zip(self.t, self.own, self.masks, strict=True)):
-            need = SCREEN * int(mask).bit_count()
-            met = order[np.bitwise_count(bits[order] & mask) >= need]
-            for lo in range(0, len(met), 4096):
-                rows = met[lo : lo + 4096]
-                out[rows, j] = kernel(s[rows, : n[rows[-1]]], t) / own
+        near = np.zeros((len(words), self.m), dtype=bool)
+        for j, (places, bound) in enumerate(self.hold):
+            held = np.zeros(len(words), dtype=np.int64)
+            for i, at in enumerate(places):
+                held |= (bits >> np.uint64(at) & np.uint64(1)).astype(np.int64) << i
+            near[:, j] = bound[held] >= NEAR
+        order = np.flatnonzero(near.any(axis=1))
+        order = order[np.argsort(n[order], kind="stable")]
+        for lo in range(0, len(order), 4096):
+            rows = order[lo : lo + 4096]
+            own = s[rows, : n[rows[-1]]]
+            norm = kernel(own, np.where(own == 0, -1, own))
+            for j, t in enumerate(self.t):
+                met = near[rows, j]
+                out[rows[met], j] = kernel(own[met], t) / np.sqrt(norm[met] * self.own[j])
         return np.minimum(out, 1) ** POWER
 
     def _learn(self, fresh: list[str]) -> None:
+        """Rows of words; a word of several pieces is the sum of their rows."""
         pieces, owner = [], []
         for i, w in enumerate(fresh):
             own = forms(w)
@@ -145,7 +173,7 @@ class Describer:
         if pieces:
             rows = self.similar(distinct)[[number[p] for p in pieces]]
             some = rows.any(axis=1)
-            np.maximum.at(near, np.array(owner)[some], rows[some])
+            np.add.at(near, np.array(owner)[some], rows[some])
         some = np.flatnonzero(near.any(axis=1))
         at = np.zeros(len(fresh), dtype=np.int64)
         at[some] = len(self.table) + np.arange(len(some))
@@ -153,21 +181,20 @@ class Describer:
         self.known |= dict(zip(fresh, at.tolist(), strict=True))
 
     def describe(self, texts: list[str | None]) -> np.ndarray:
+        """The kernels of texts with the landmarks: sums over words, and RATE times means over words."""
         if len(self.known) > KEPT:
             self.forget()
         parts = [words_of(t or "") for t in texts]
         self._learn(list(dict.fromkeys(w for own in parts for w in own if w not in self.known)))
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         number = np.fromiter((self.known[w] for own in parts for w in own), dtype=np.int64, count=int(sizes.sum()))
-        most, mean = np.zeros((len(texts), self.m)), np.zeros((len(texts), self.m))
+        total = np.zeros((len(texts), self.m))
         some = np.flatnonzero(number)
-        text = np.repeat(np.arange(len(parts)), sizes)[some]
-        np.maximum.at(most, text, self.table[number[some]])
-        np.add.at(mean, text, self.table[number[some]])
-        return np.concatenate([most, np.minimum(1, RATE * mean / np.maximum(1, sizes)[:, None])], axis=1)
+        np.add.at(total, np.repeat(np.arange(len(parts)), sizes)[some], self.table[number[some]])
+        return np.concatenate([total, RATE * total / np.maximum(1, sizes)[:, None]], axis=1)
 
 
-def held_out(doc_id: int | str) -> bool:
+def is_held_out(doc_id: int | str) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
@@ -185,7 +212,8 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS)
     """Words and word beginnings whose presence tells toxic texts from others, by likelihood gain (G statistic).
 
     Of equal gains the longer comes first, then the first by code point. A beginning of
-    a landmark, or a word that begins with one, isn't taken as well.
+    a landmark, or a word that begins with one, isn't taken as well if it stands in
+    about as many texts.
     """
     bad, clean = Counter(), Counter()
     for text, y in zip(texts, toxic.tolist(), strict=True):
@@ -195,14 +223,15 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS)
     ranked = []
     for c, b in bad.items():
         all_, p = b + clean[c], b / (b + clean[c])
-        if b >= max(3, 0.02 * positive) and p > 2.5 * rate:
+        if b >= max(3, 0.02 * positive) and p > 1.5 * rate:
             gain = b * np.log(p / rate) + ((all_ - b) * np.log((1 - p) / (1 - rate)) if all_ > b else 0)
             if gain < np.log(len(bad)) + 2:  # as good as the best of so many by chance
                 continue
             ranked.append((-round(float(gain), 6), -len(c), c))
+    count = bad + clean
     out: list[str] = []
     for _, _, c in sorted(ranked):
-        if len(out) < most and not any(c.startswith(x) or x.startswith(c) for x in out):
+        if len(out) < most and not any((c.startswith(x) or x.startswith(c)) and 2 * count[c] < 3 * count[x] and 2 * count[x] < 3 * count[c] for x in out):
             out.append(c)
     return out
 
@@ -214,7 +243,7 @@ def _spoiled(word: str, rng: np.random.Generator) -> str:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 400) -> Model:
-    """Fits landmarks, machine and curve. Toxic texts count once more with a letter put in or left out in each of their landmark words."""
+    """Fits landmarks, machine and curve. Toxic texts count SPOILED times more with a letter put in or left out in each of their landmark words."""
     apart = different(texts, labels)
     texts, labels = [texts[i] for i in apart], [labels[i] for i in apart]
     y = np.array(labels, dtype=np.int64)
@@ -227,7 +256,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 400
     rng = np.random.default_rng(seed)
     stems = tuple(landmarks)
     spoiled = []
-    for text in (t for t, label in zip(texts, labels, strict=True) if label):
+    for text in (t for t, label in zip(texts, labels, strict=True) if label for _ in range(SPOILED)):
         own = words_of(text)
         changed = [_spoiled(w, rng) if w.startswith(stems) else w for w in own]
         if changed != own:
@@ -265,19 +294,28 @@ def train(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 400
         h = np.array([[(v * margin**2).sum(), (v * margin).sum()], [(v * margin).sum(), v.sum()]]) + 1e-6 * np.eye(2)
         move = np.clip(np.linalg.solve(h, g), -1, 1)
         slope, offset = slope - move[0], offset - move[1]
-    return Model(landmarks, (whiten @ w), float(b), float(slope), float(offset))
+    return Model(landmarks, whiten @ w, float(b), float(slope), float(offset))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
-    """A model of at most ``bound`` labelled texts, chosen by a hash of the doc_id, none with a held-out doc_id.
+def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model of labelled texts, none with a held-out doc_id.
 
+    At most ``bound`` texts are used, chosen by a hash of the doc_id, and of these the
+    first whose sizes add up to ``most_bytes`` at most, so that the driver can hold them.
     Rows without doc_id or label are not used; a null text counts as empty.
     """
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
     chosen = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "toxic").limit(bound)
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", "toxic", "text").limit(bound)
-    got = rows.select("text", "toxic").toArrow()
-    return train([t or "" for t in got["text"].to_pylist()], got["toxic"].to_pylist())
+    texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("th")).join(F.broadcast(chosen), "doc_id")
+    sized = keyed.groupBy("h", "doc_id", "toxic", "th").agg(F.max(F.octet_length("text")).alias("size")).orderBy("h", "doc_id", "toxic", "th").limit(bound).toPandas()
+    taken = sized[sized["size"].cumsum() <= most_bytes]
+    if not len(taken):
+        return train([], [])
+    wanted = docs.sparkSession.createDataFrame(taken[["doc_id", "toxic", "th", "h"]], keyed.select("doc_id", "toxic", "th", "h").schema)
+    rows = texts.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "th"]).groupBy("h", "doc_id", "toxic", "th").agg(F.first("text").alias("text"))
+    got = rows.orderBy("h", "doc_id", "toxic", "th").select("text", "toxic").toArrow()
+    return train(got["text"].to_pylist(), got["toxic"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -287,11 +325,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     as they occur; other columns are ignored; no rows give no rows.
     """
     rows = pick(docs, *keep, "text").toDF(*[f"k{i}" for i in range(len(keep))], "text")
-    n = len(keep)
+    n, key = len(keep), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        describer = Describer(model.landmarks)
-        for b in batches:
+        describer = held(key, lambda: Describer(model.landmarks))
+        for b in slices(batches):
             scores = model.score(describer.describe(b.column(n).to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(scores, type=pa.float64())], names=[f.name for f in schema.fields])
 

@@ -365,6 +365,40 @@ def test_licence_against_force():
             assert (max(d for d, *_ in found) if found else 0.0) == pytest.approx(force[0]), name
 
 
+def test_licence_places_and_long_templates():
+    """Passages of whole templates, changed here and there, between prose: the licence, and where it stands."""
+    rng, t = random.Random(4), license_scan.Templates()
+    for k, (name, text) in enumerate(license_scan.TEMPLATES):
+        words = license_scan.normal_words(text)
+        lead, tail = ["zeta"] * rng.randrange(1, 9), ["omega"] * rng.randrange(1, 9)
+        own = [w if n in (0, 1, len(words) - 2, len(words) - 1) or rng.random() > 0.02 else "kappa" for n, w in enumerate(words)]
+        found = t.find(lead + own + tail)
+        best = max((license_scan_dice(own, license_scan.normal_words(x)), n) for n, x in license_scan.TEMPLATES)
+        if best[0] < t.threshold:
+            continue
+        hit = max(found)
+        assert hit[0] >= best[0] - 1e-9 and t.names[hit[1]] in {n for n, x in license_scan.TEMPLATES if license_scan_dice(own, license_scan.normal_words(x)) > best[0] - 0.1}, (k, name)
+        assert hit[2] >= len(lead) and hit[3] <= len(lead) + len(own)
+        assert all(a[3] <= b[2] for a, b in zip(found, found[1:], strict=False))
+
+
+def license_scan_dice(a, b):
+    from collections import Counter
+
+    x, y = (Counter(zip(w, w[1:], strict=False)) for w in (a, b))
+    return 2 * sum((x & y).values()) / (len(a) + len(b) - 2)
+
+
+def test_licence_repeated_notice_in_time():
+    import time
+
+    words = license_scan.normal_words(license_scan.TEMPLATES[6][1]) + ["and", "so"]
+    began = time.time()
+    found = license_scan.Templates().find(words * 2000)
+    assert len(found) >= 2000 and time.time() - began < 20
+    assert all(a[3] <= b[2] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_licence_rows(spark, corpus):
     docs = spark.createDataFrame([(d["doc_id"], d["text"]) for d in corpus] + [(-1, None), (-2, ""), (None, "x")], "doc_id long, text string")
     got = {r["doc_id"]: [f["license"] for f in r["found"]] for r in license_scan.scan(clashing(docs)).collect()}
@@ -438,14 +472,67 @@ def test_toxicity_rows(spark, judge):
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
-def test_toxicity_given_labels(spark, folder):
-    sf = folder.replace("sf0.001", "sf0.01")
-    pytest.importorskip("pandas")
+def area(score, label):
+    """Under the ROC curve: the chance that a toxic text scores above another, ties by half."""
+    above = sum((score[label == 1][:, None] > score[label == 0][None, :]).sum(axis=1)) + 0.5 * sum((score[label == 1][:, None] == score[label == 0][None, :]).sum(axis=1))
+    return above / max(1, (label == 1).sum() * (label == 0).sum())
+
+
+def test_toxicity_given_labels(spark, folder, capsys):
+    """On held-out labels; the answer "never toxic" has recall 0 and an area of a half."""
+    sf = folder.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.fit(docs, labels)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    right = toxicity.score(docs, model).join(labels, "doc_id").where(held).select((F.col("score") >= 0.5).cast("int").alias("p"), "toxic")
-    assert right.agg(F.avg((F.col("p") == F.col("toxic")).cast("double"))).first()[0] > 0.9
+    got = docs.where(held).join(labels, "doc_id").select("doc_id", "text", "toxic")
+    rows = toxicity.score(got, model, keep=("toxic",)).collect()
+    score, label = np.array([r["score"] for r in rows]), np.array([r["toxic"] for r in rows])
+    said = score >= 0.5
+    recall, precision, auc = said[label == 1].mean(), label[said].mean(), area(score, label)
+    rng, found, all_ = random.Random(3), {}, 0
+    describer = toxicity.Describer(model.landmarks)
+    for text in [r["text"] for r in got.where("toxic = 0").collect() if len(r["text"].split()) < 300][:150]:
+        for form in ("plain", "gapped", "letter put in"):
+            words = text.split()
+            for _ in range(3):
+                w = rng.choice(["idiot", "pathetic", "loser", "moron", "trash", "worthless", "disgusting", "stupid"])
+                at = rng.randrange(1, len(w))
+                words.insert(rng.randrange(len(words) + 1), {"plain": w, "gapped": "-".join(w), "letter put in": w[:at] + rng.choice("xzqhe") + w[at:]}[form])
+            found.setdefault(form, []).append(model.score(describer.describe([" ".join(words)]))[0] >= 0.5)
+    caught = {k: round(float(np.mean(v)), 3) for k, v in found.items()}
+    with capsys.disabled():
+        print(f"\ntoxicity, {len(rows)} held out: recall {recall:.3f} precision {precision:.3f} area {auc:.3f}; always clean is right for {(label == 0).mean():.3f}, this for {(said == label).mean():.3f}; three insults put in: {caught}")
+    assert recall > 0.8 and precision > 0.85 and auc > 0.92 and min(caught["plain"], caught["gapped"]) > 0.95 and caught["letter put in"] > 0.75
+
+
+def test_description_is_the_kernel(judge):
+    """A text's features are its kernels with the landmarks, up to what counts as 0; the kernel's matrix has no negative values."""
+    describer = toxicity.Describer(judge.landmarks)
+    texts = ["the gromblix and the plonkit on vastard", "g r o m b l i x gromblix", "the the of", ""]
+
+    def normed(a, b):
+        a, b = "^" + a, "^" + b
+        return (plain_kernel(a, b) / np.sqrt(plain_kernel(a, a) * plain_kernel(b, b))) ** toxicity.POWER
+
+    got = describer.describe(texts)
+    for text, row in zip(texts, got, strict=True):
+        words = toxicity.words_of(text)
+        for j, mark in enumerate(judge.landmarks):
+            want = sum(normed(w, mark) for w in words if len(w) >= 3)
+            assert row[j] == pytest.approx(want, abs=toxicity.NEAR * max(1, len(words)))
+            assert row[describer.m + j] == pytest.approx(toxicity.RATE * row[j] / max(1, len(words)))
+    words = ["gromblix", "gromblax", "plonkit", "plonk", "vastard", "theble", "anding", "blixgrom"]
+    gram = np.array([[normed(a, b) for b in words] for a in words])
+    assert np.linalg.eigvalsh(gram).min() > -1e-9
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    texts, labels = made_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lab = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    whole = toxicity.fit(docs, lab)
+    assert whole.landmarks == toxicity.fit(docs.unionAll(docs), lab).landmarks  # repeated rows count once
+    assert toxicity.fit(docs, lab, most_bytes=10).landmarks == []
 
 
 # --- chat -----------------------------------------------------------------------------------------------------
@@ -489,9 +576,9 @@ def test_mixing_targets(spark):
 
 def test_mixing_rows(spark):
     docs = clashing(odd_docs(spark))
-    got = mixing.plan(docs).orderBy("doc_id", "size").collect()
+    got = sorted(mixing.plan(docs).collect(), key=str)
     assert len(got) == docs.count() and [r["size"] for r in got if r["doc_id"] == 5] == [20_000]
-    assert got == mixing.plan(docs.repartition(7)).orderBy("doc_id", "size").collect()
+    assert got == sorted(mixing.plan(docs.repartition(7)).collect(), key=str)
     assert all(r["taken"] <= 2 * r["size"] for r in got) and mixing.plan(docs.limit(0)).count() == 0
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w ").alias("text"), F.when(F.col("id") < 3000, "hot").otherwise((F.col("id") % 5).cast("string")).alias("source"))
     by = mixing.plan(many).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), (F.count(F.lit(1)) / F.col("source_size")).alias("sources")).collect()
@@ -502,6 +589,23 @@ def test_mixing_rows(spark):
     assert out.columns == many.columns and out.count() == sum(r["taken"] for r in mixing.plan(many).collect())
 
 
+@pytest.mark.parametrize("key", ["null", "one id", "few ids"])
+def test_mixing_of_repeated_rows_comes_near_its_targets(spark, key):
+    """Rows without doc_id, and rows that repeat, draw each for itself."""
+    doc_id = {"null": F.lit(None).cast("long"), "one id": F.lit(7).cast("long"), "few ids": F.col("id") % 3}[key]
+    docs = spark.range(3000).select(doc_id.alias("doc_id"), F.concat(F.lit("w v "), (F.col("id") % 2).cast("string")).alias("text"), F.when(F.col("id") % 10 < 7, "a").otherwise("b").alias("source"))
+    rows = mixing.plan(docs).collect()
+    assert len(rows) == 3000
+    for size in {r["source_size"] for r in rows}:
+        own = [r for r in rows if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3 * 4 * len(own) ** 0.5 / 2
+    assert sorted(r["taken"] for r in rows) == sorted(r["taken"] for r in mixing.plan(docs.repartition(5)).collect())
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in rows)
+    want, have = ({(r["source"], r["text"]): r["n"] for r in x.collect()} for x in (mixed.groupBy("source", "text").agg(F.count("*").alias("n")), mixing.mix(docs.repartition(3)).groupBy("source", "text").agg(F.count("*").alias("n"))))
+    assert want == have
+
+
 @pytest.mark.parametrize("form", ["random", "one letter", "four letters", "pairs", "syllables", "lengths around the bound"])
 def test_bpe_long_words(vocab, form):
     """200,000 letters without a space, as the library encodes them, within seconds."""
