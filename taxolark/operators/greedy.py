@@ -1,41 +1,87 @@
 """Leader clustering: items in order, each joins the first leader near enough or leads a new cluster.
 
-The result depends on the order, which is by id. Only pairs near enough to matter enter
-the walk. Which of a graph's nodes lead is settled in rounds: a node leads if no earlier
-near node can, and follows as soon as one leads; each round settles at least the first
-of those left, and in practice nearly all, so no node sees more than its own neighbours.
+The result depends on the order. Only pairs near enough to matter enter the walk. Which
+items lead is settled in rounds: an item leads if no earlier near item can, and follows
+as soon as one leads. A round settles nearly all; what is left are chains of near items,
+and each group of those that hang together is walked in one task if it is small enough,
+or goes through more rounds.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxolark.operators.relations import components
+from taxolark.operators.stored import stored
 
-def leaders(nodes: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, leader): ``pairs`` (a, b, ...) with a before b are the items near enough; a leader leads itself.
+#: Rounds before groups are walked, and pairs of the largest group that a task walks.
+ROUNDS, WALK = 4, 500_000
 
-    An item follows its first leader by id. Raises if ``rounds`` don't settle all. ``pairs`` should be stored, as each round reads it.
+
+def _walk(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Which items of a group lead; ``pairs`` (before, node, rank_before, rank_node) hold all of the group's."""
+    earlier: dict = {}
+    rank = dict(zip(pairs["before"], pairs["rank_before"], strict=True)) | dict(zip(pairs["node"], pairs["rank_node"], strict=True))
+    for a, b in zip(pairs["before"], pairs["node"], strict=True):
+        earlier.setdefault(b, []).append(a)
+    leads: dict = {}
+    for n in sorted(rank, key=rank.__getitem__):
+        leads[n] = not any(leads[a] for a in earlier.get(n, ()))
+    return pd.DataFrame({"node": list(leads), "leads": list(leads.values())})
+
+
+def settle(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, leads) of items (id, rank): ``pairs`` (a, b) with a ranked before b are the items near enough.
+
+    Every item is settled, however long chains are. Ranks are distinct; nodes and pairs
+    without rows are settled likewise; a pair with an unknown or null item has no effect.
     """
-    spark = nodes.sparkSession
-    reliable = spark.sparkContext.getCheckpointDir() is not None
-    earlier = pairs.select(F.col("a").alias("before"), F.col("b").alias("node"))
-    open_ = nodes.select(F.col("id").alias("node"))
-    settled = open_.select("node", F.lit(True).alias("leads")).limit(0)
-    for _ in range(rounds):  # an unsettled rest is an error, never a null leader
-        state = earlier.join(settled, F.col("before") == settled["node"], "left").select(earlier["node"].alias("n"), F.col("leads"))
-        per = state.groupBy("n").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_or(F.col("leads").isNull()).alias("waits"))
-        now = open_.join(per, F.col("node") == F.col("n"), "left").select("node", F.coalesce("led", F.lit(False)).alias("led"), F.coalesce("waits", F.lit(False)).alias("waits"))
-        new = now.select("node", F.when(F.col("led"), False).when(~F.col("waits"), True).alias("leads"))
-        new = new.checkpoint() if reliable else new.persist()
-        settled = settled.unionByName(new.where("leads is not null"))
-        open_ = new.where("leads is null").select("node")
+    kind = nodes.schema["id"].dataType.simpleString()
+    open_ = stored(nodes.select(F.col("id").alias("node"), F.col("rank").cast("double").alias("rank")))
+    known = open_.select(F.col("node").alias("before"))
+    earlier = stored(pairs.select(F.col("a").alias("before"), F.col("b").alias("node")).distinct().join(known, "before", "left_semi"))
+    done: list[DataFrame] = []
+    while not open_.isEmpty():
+        for _ in range(ROUNDS):
+            waiting = earlier.join(open_.select("node"), "node", "left_semi")
+            known = done[-1] if done else None
+            for more in done[:-1]:
+                known = known.unionAll(more)
+            state = waiting.withColumn("leads", F.lit(None).cast("boolean")) if known is None else waiting.join(known.withColumnRenamed("node", "before"), "before", "left")
+            per = state.groupBy("node").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_or(F.col("leads").isNull()).alias("waits"))
+            now = open_.join(per, "node", "left").select("node", "rank", F.when(F.coalesce("led", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True).alias("leads"))
+            now = stored(now)
+            done.append(now.where("leads is not null").select("node", "leads"))
+            open_ = now.where("leads is null").select("node", "rank")
+            if open_.isEmpty():
+                break
         if open_.isEmpty():
             break
-    else:
-        raise RuntimeError(f"items still without a leader after {rounds} rounds: raise the bound")
-    lead = settled.where("leads").select(F.col("node").alias("l"))
-    follows = earlier.join(lead, F.col("before") == F.col("l")).groupBy("node").agg(F.min("before").alias("leader"))
+        # items still open wait for open items only: those that led or followed have had their effect
+        inner = earlier.join(open_.withColumnRenamed("rank", "rank_node"), "node").join(open_.select(F.col("node").alias("before"), F.col("rank").alias("rank_before")), "before")
+        inner = stored(inner)
+        label = components(open_.select("node"), inner.select(F.col("before").alias("source"), F.col("node").alias("target")))
+        grouped = inner.join(label, "node")
+        small = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= WALK).select("component")
+        walked = stored(grouped.join(small, "component", "left_semi").groupBy("component").applyInPandas(_walk, f"node {kind}, leads boolean"))
+        done.append(walked)
+        open_ = stored(open_.join(walked, "node", "left_anti"))
+    out = open_.select("node", F.lit(None).cast("boolean").alias("leads"))
+    for d in done:
+        out = out.unionAll(d)
+    return out
+
+
+def leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, leader) of items (id), in order of id: ``pairs`` (a, b, ...) with a before b are the items near enough; a leader leads itself.
+
+    An item follows its first leader by id. No rows give no rows.
+    """
+    found = settle(nodes.select("id", F.col("id").alias("rank")).distinct(), pairs)
+    lead = found.where("leads").select(F.col("node").alias("l"))
+    follows = pairs.select(F.col("a").alias("before"), F.col("b").alias("node")).join(lead, F.col("before") == F.col("l")).groupBy("node").agg(F.min("before").alias("leader"))
     return nodes.select("id").join(lead, F.col("id") == F.col("l"), "left").join(follows, F.col("id") == F.col("node"), "left").select("id", F.when(F.col("l").isNotNull(), F.col("id")).otherwise(F.col("leader")).alias("leader"))
 
 

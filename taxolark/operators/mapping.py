@@ -97,10 +97,11 @@ def apply_mappings(items: DataFrame, mappings: DataFrame, term: str = "term", at
     Mappings (from_term, to_term, valid_from, valid_to): valid from the first until before
     the second, or on. A term without one keeps its name; a deprecated one maps to null.
     """
-    own = items.withColumn("_row", F.monotonically_increasing_id())
-    valid = (own[term] == mappings["from_term"]) & (mappings["valid_from"] <= own[at]) & (mappings["valid_to"].isNull() | (own[at] < mappings["valid_to"]))
-    met = own.select("_row", term, at).join(mappings, valid).groupBy("_row").agg(F.max_by(F.struct("to_term"), F.struct("valid_from", "to_term")).alias("hit"))
-    return own.join(met, "_row", "left").withColumn("mapped", F.when(F.col("hit").isNotNull(), F.col("hit.to_term")).otherwise(F.col(term))).drop("_row", "hit")
+    of_term = mappings.groupBy("from_term").agg(F.collect_list(F.struct("valid_from", "to_term", "valid_to")).alias("_all"))  # a term's history
+    joined = items.join(of_term, F.col(term) == F.col("from_term"), "left")
+    valid = F.filter("_all", lambda m: (m["valid_from"] <= F.col(at)) & (m["valid_to"].isNull() | (F.col(at) < m["valid_to"])))
+    hit = F.array_max(valid)
+    return joined.withColumn("mapped", F.when(hit.isNotNull(), hit["to_term"]).otherwise(F.col(term))).drop("from_term", "_all")
 
 
 def bulk_split(items: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:

@@ -65,24 +65,40 @@ def recommend(interactions: DataFrame, near: DataFrame, recent: int = 10, each:
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("user", "id", "score", "place")
 
 
-def diversify(results: DataFrame, text: str = "text", near: float = 0.8, drop: float = 0.9, cost: float = 0.3, most: int = 100) -> DataFrame:
-    """Results (id, text, score) in order: one like an earlier one (word Jaccard) loses score or, being too like, is left out.
-
-    Each result is held against those kept before it, so the order matters and the work
-    is a walk; it is done on the best ``most`` results, which is the feature's own limit.
+def diversify(results: DataFrame, text: str = "text", near: float = 0.8, drop: float = 0.9, cost: float = 0.3) -> DataFrame:
+    """Results (id, text, score), best first: one too like a better one that stays is left out, one like such loses score.
+
+    Results are held in order of score, then id, against those before them that stay:
+    word Jaccard above ``drop`` leaves a result out, above ``near`` it costs that share
+    of the score for each. Of equal sets of words only the first can stay. All results
+    are read; only pairs of texts that share rare words are compared. Texts without
+    words, null ones too, are like no other. No rows give no rows.
     """
-    top = results.select("id", F.col(text).alias("text"), "score").orderBy(F.desc("score"), "id").limit(most)
-    item = "struct<id:string,text:string,score:double>"
-    listed = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), F.col("id").alias("id"), F.col("text").alias("text")))).alias("all"))
-
-    def walk(kept: Column, x: Column) -> Column:
-        alike = F.array_max(F.concat(F.array(F.lit(0.0)), F.transform(kept, lambda k: tf.word_jaccard(k["text"], x["text"]))))
-        score = F.when(alike > near, -x["by"] * (1 - cost * alike)).otherwise(-x["by"])
-        one = F.array(F.struct(x["id"].cast("string").alias("id"), x["text"].alias("text"), score.alias("score")))
-        return F.when(alike > drop, kept).otherwise(F.concat(kept, one))
-
-    done = listed.select(F.explode(F.aggregate("all", F.array().cast(f"array<{item}>"), walk)).alias("r"))
-    return done.select("r.id", "r.text", F.round("r.score", 6).alias("score"))
+    from taxolark.operators import greedy
+    from taxolark.operators.stored import numbered, stored
+
+    words = F.array_sort(F.array_distinct(tf.words(F.lower(F.coalesce(F.col(text), F.lit(""))))))
+    own = results.select("id", F.col(text).alias("text"), "score", words.alias("words"))
+    first = own.groupBy("words", F.when(F.size("words") == 0, F.col("id")).alias("alone")).agg(F.min_by(F.struct("id", "text", "score"), F.struct(-F.col("score"), F.col("id"))).alias("r")).select("words", "r.*")
+    ranked = stored(numbered(first, [F.desc("score"), F.col("id")], "rank"))
+    pairs = stored(_alike(ranked, near))
+    stays = greedy.settle(ranked.select(F.col("rank").alias("id"), "rank"), pairs.where(F.col("sim") > drop)).where("leads").select(F.col("node").alias("rank"))
+    kept = ranked.join(stays, "rank", "left_semi")
+    worse = pairs.join(stays.withColumnRenamed("rank", "a"), "a").groupBy(F.col("b").alias("rank")).agg(F.product(1 - cost * F.col("sim")).alias("factor"))
+    return kept.join(worse, "rank", "left").select("id", "text", F.round(F.col("score") * F.coalesce("factor", F.lit(1.0)), 6).alias("score")).orderBy(F.desc("score"), "id")
+
+
+def _alike(ranked: DataFrame, near: float) -> DataFrame:
+    """(a, b, sim): ranks a < b of word sets (rank, words) with Jaccard above ``near``, looked up by the rarest words only."""
+    word = ranked.select("rank", F.size("words").alias("size"), F.explode("words").alias("w"))
+    spread = word.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    rare = Window.partitionBy("rank").orderBy("df", "w")
+    prefix = word.join(spread, "w").withColumn("nth", F.row_number().over(rare)).where(F.col("nth") <= F.col("size") - F.ceil(F.col("size") * near) + 1)
+    x, y = prefix.select("w", F.col("rank").alias("a"), F.col("size").alias("sa")), prefix.select("w", F.col("rank").alias("b"), F.col("size").alias("sb"))
+    met = x.join(y, "w").where((F.col("a") < F.col("b")) & (F.least("sa", "sb") > F.greatest("sa", "sb") * near)).select("a", "b").distinct()
+    both = met.join(ranked.select(F.col("rank").alias("a"), F.col("words").alias("wa")), "a").join(ranked.select(F.col("rank").alias("b"), F.col("words").alias("wb")), "b")
+    sim = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
+    return both.select("a", "b", sim.alias("sim")).where(F.col("sim") > near)
 
 
 # --- measures of ranked lists: (query, place, relevant) ------------------------------------

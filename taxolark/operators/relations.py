@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from taxolark.functions import text as tf
 from taxolark.functions import vector as vf
+from taxolark.operators.stored import drop, numbered, stored
 
 #: Words that name a part.
 PARTS = ("part", "component", "element", "piece", "section")
@@ -108,26 +110,26 @@ def shortest_path(edges: DataFrame, start, end, hops: int = 5) -> DataFrame:
     return found
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reachable, edges taken both ways.
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable, edges taken both ways; nodes without edges are their own.
 
-    Labels spread to neighbours and jump to their label's label; each round's labels are
-    written to the session's checkpoint folder, if it has one, and it ends when none changes.
+    Labels spread to neighbours and jump to their label's label until none changes, so
+    the rounds grow with the logarithm of a path's length. Each round's labels are
+    written, and the last but one's deleted. Edges to unknown or null nodes have no effect.
     """
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionAll(edges.select("target", "source")).distinct()
-    label = nodes.select("node", F.col("node").alias("component"))
-    reliable = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
-    for _ in range(rounds):
+    both = stored(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionAll(edges.select("target", "source")).where("a <> b").distinct())
+    label = stored(nodes.select("node", F.col("node").alias("component")).distinct())
+    while True:
         low = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("low"))
         near = label.join(low, F.col("node") == F.col("a"), "left").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
-        jump = near.select(F.col("node").alias("at"), F.col("component").alias("next"))
-        new = near.join(jump, F.col("component") == F.col("at")).select("node", "old", F.least("component", "next").alias("component"))
-        new = new.checkpoint() if reliable else new.persist()
+        jump = label.select(F.col("node").alias("at"), F.col("component").alias("next"))
+        new = stored(near.join(jump, F.col("component") == F.col("at")).select("node", "old", F.least("component", "next").alias("component")))
         still = new.where("old <> component").isEmpty()
-        label = new.select("node", "component")
+        drop(label)
+        label = new
         if still:
-            break
-    return label
+            drop(both)
+            return label.select("node", "component")
 
 
 def clusters(nodes: DataFrame, edges: DataFrame, least_weight: float = 0.5, least_size: int = 3, most: int = 50) -> DataFrame:
@@ -142,29 +144,56 @@ def clusters(nodes: DataFrame, edges: DataFrame, least_weight: float = 0.5, leas
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after so many rounds; ranks sum to 1, nodes without out-edges share theirs with all."""
+    """(node, rank) after so many rounds; ranks sum to 1, nodes without out-edges share theirs with all.
+
+    Edges and each round's ranks are written, so that a round reads what it needs and no more.
+    """
+    links = stored(edges.select("source", "target"))
     n = nodes.count()
-    out = edges.groupBy("source").agg(F.count(F.lit(1)).alias("out"))
-    step = edges.select("source", "target").join(out, "source")
-    rank = nodes.select("node", F.lit(1.0 / n).alias("rank"))
-    sinks = nodes.join(out, F.col("node") == F.col("source"), "left_anti").select(F.col("node").alias("sink"))
+    out = links.groupBy("source").agg(F.count(F.lit(1)).alias("out"))
+    rank = stored(nodes.join(out, F.col("node") == F.col("source"), "left").select("node", F.col("out"), F.lit(1.0 / max(1, n)).alias("rank")))
     for _ in range(rounds):
-        given = step.join(rank, F.col("source") == F.col("node")).groupBy("target").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        idle = rank.join(sinks, F.col("node") == F.col("sink"), "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("idle"))
-        joined = nodes.select("node").join(given, F.col("node") == F.col("target"), "left").crossJoin(idle)  # idle is one row
-        rank = joined.select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("idle") / n)).alias("rank"))
-    return rank
+        given = links.join(rank.where("out is not null"), F.col("source") == F.col("node")).groupBy("target").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
+        idle = rank.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("idle"))
+        joined = rank.select("node", "out").join(given, F.col("node") == F.col("target"), "left").crossJoin(F.broadcast(idle))  # idle is one row
+        new = stored(joined.select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("idle") / n)).alias("rank")))
+        drop(rank)
+        rank = new
+    return rank.select("node", "rank")
+
+
+def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """(node, centrality): the share of each node in the first eigenvector, edges taken both ways, after so many rounds of x + Ax.
+
+    Values are scaled to a largest of 1; a node without edges has 0, and so have all if there are none.
+    """
+    one = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b")
+    both = stored(one.unionAll(one.select("b", "a")).distinct())
+    known = both.select(F.col("a").alias("node")).distinct()
+    value = stored(nodes.select("node").distinct().join(known.withColumn("linked", F.lit(1.0)), "node", "left").select("node", F.coalesce("linked", F.lit(0.0)).alias("x")))
+    for _ in range(rounds):
+        got = both.join(value, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("x").alias("got"))
+        raw = stored(value.join(got, F.col("node") == F.col("a"), "left").select("node", (F.col("x") + F.coalesce("got", F.lit(0.0))).alias("x")))
+        top = raw.agg(F.max("x").alias("top"))
+        new = stored(raw.crossJoin(F.broadcast(top)).select("node", F.when(F.col("top") > 0, F.col("x") / F.col("top")).otherwise(0.0).alias("x")))  # top is one row
+        drop(value, raw)
+        value = new
+    return value.select("node", F.col("x").alias("centrality"))
 
 
 def clustering_coefficient(edges: DataFrame) -> DataFrame:
-    """(node, coefficient): the share of a node's pairs of neighbours that are linked, edges taken both ways."""
-    one = edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-    both = one.unionAll(one.select("b", "a")).toDF("node", "next")
-    degree = both.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    # each triangle once, from its smallest node
-    ab, bc = one.select("a", "b"), one.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    triangle = ab.join(bc, "b").join(one.select("a", F.col("b").alias("c")), ["a", "c"])
-    corner = triangle.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("t"))
+    """(node, coefficient): the share of a node's pairs of neighbours that are linked, edges taken both ways.
+
+    Edges point to the end of higher degree, so that no node has more out-edges than the
+    square root of twice all edges, and a hub's neighbours are never paired.
+    """
+    one = stored(edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct())
+    degree = stored(one.unionAll(one.select("b", "a")).toDF("node", "next").groupBy("node").agg(F.count(F.lit(1)).alias("d")))
+    da, db = degree.toDF("a", "da"), degree.toDF("b", "db")
+    up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    out = stored(one.join(da, "a").join(db, "b").select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y")))
+    wedge = out.join(out.withColumnRenamed("y", "z"), "x").where("y < z").select("x", F.col("y").alias("a"), F.col("z").alias("b"))  # a pair of neighbours, as edges have them
+    corner = wedge.join(one, ["a", "b"]).select(F.explode(F.array("x", "a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("t"))
     share = F.when(F.col("d") > 1, F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1) / 2)).otherwise(0.0)
     return degree.join(corner, "node", "left").select("node", F.round(share, 6).alias("coefficient"))
 
@@ -196,22 +225,42 @@ def pattern(edges: DataFrame, relations: Sequence[str]) -> DataFrame:
     return out
 
 
-#: Rows of the right side that a left row meets at a time.
+#: Rows of a block of either side, of which each pair of blocks is a task's work.
 BLOCK = 4096
 
 
 def similarity_edges(left: DataFrame, right: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
-    """(source, target, confidence): pairs of (id, v) of two tables by cosine, the best few of each source if asked.
-
-    The right side is dealt into blocks of bounded size and the left side meets one
-    after another; a right side of one block is sent to all tasks.
+    """(source, target, confidence): pairs of (id, v) of two tables by cosine at least the threshold, the best few of each source if asked.
+
+    Both sides are dealt into blocks of bounded size along a fixed axis. Two blocks meet
+    only if their ranges of cosines with that axis can hold vectors of the threshold:
+    the angle between two vectors is at least the difference of their angles with it.
+    With a threshold of -1 or less the result is the whole product. The test is of the
+    exact cosine, the confidence is rounded. Null and zero vectors are near nothing; a
+    row isn't paired with its own id; repeated rows are paired each.
     """
-    blocks = max(1, -(-right.count() // BLOCK))
-    a = left.select(F.col("id").alias("source"), F.col("v").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    b = right.select(F.col("id").alias("target"), F.col("v").alias("vb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    met = a.join(F.broadcast(b) if blocks == 1 else b, "block").where(F.col("source") != F.col("target"))
-    pairs = met.select("source", "target", F.round(vf.cosine(F.col("va"), F.col("vb")), 6).alias("confidence")).where(F.col("confidence") >= threshold)
+    a, b = (_dealt(t) for t in (left, right))
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    ra, rb = (t.groupBy("block").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")) for t in (a, b))
+    rb = F.broadcast(rb.toDF("other", "olo", "ohi"))  # a row for each block of 4096
+    plan = stored(ra.join(rb, (F.col("lo") - F.col("ohi") <= reach) & (F.col("olo") - F.col("hi") <= reach)).select("block", "other"))
+    sent = a.select(F.col("id").alias("source"), F.col("v").alias("va"), "block").join(plan, "block")
+    met = sent.join(b.select(F.col("id").alias("target"), F.col("v").alias("vb"), F.col("block").alias("other")).join(plan, "other"), ["block", "other"]).where(F.col("source") != F.col("target"))
+    cosine = vf.cosine(F.col("va"), F.col("vb"))
+    found = met.select("source", "target", cosine.alias("exact")).where(F.col("exact") >= threshold).select("source", "target", F.round("exact", 6).alias("confidence"))
     if most is None:
-        return pairs
+        return found
     best = Window.partitionBy("source").orderBy(F.desc("confidence"), "target")
-    return pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (id, v) with their angle to the axis of ones and alternating signs, and a block of neighbours along it."""
+    v = F.col("v").cast("array<double>")
+    side = F.aggregate(F.transform(v, lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)), F.lit(0.0), lambda s, x: s + x)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    cosine = side / (norm * F.sqrt(F.size("v").cast("double")))
+    usable = rows.where(F.col("id").isNotNull()).select("id", "v", norm.alias("norm"), cosine.alias("c")).where("norm > 0")
+    angled = usable.select("id", "v", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c")))).alias("angle"))
+    placed = numbered(angled, [F.col("angle"), F.col("id")])
+    return stored(placed.select("id", "v", "angle", F.floor((F.col("place") - 1) / BLOCK).cast("int").alias("block")))

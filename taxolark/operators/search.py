@@ -103,7 +103,7 @@ def semantic(df: DataFrame, r: Request, shape: Shape) -> DataFrame:
     """Cosine with the request's vector (or its text's hashed embedding), at least the threshold."""
     own = F.col(shape.vector) if shape.vector else vf.hashed_embedding(F.concat_ws(" ", *shape.text))
     query = vf.literal(r.vector) if r.vector else vf.hashed_embedding(F.lit(r.text))
-    found = narrowed(df, r, shape).withColumn("score", F.round(vf.cosine(own, query), 6)).where(F.col("score") >= r.similarity)
+    found = narrowed(df, r, shape).withColumn("score", vf.cosine(own, query)).where(F.col("score") >= r.similarity).withColumn("score", F.round("score", 6))
     return ff.page(found.orderBy(F.desc("score"), shape.key), r.window)
 
 
@@ -126,8 +126,8 @@ def hybrid(df: DataFrame, r: Request, shape: Shape) -> DataFrame:
     words = F.greatest(*parts) if len(parts) > 1 else parts[0]
     own = F.col(shape.vector) if shape.vector else vf.hashed_embedding(F.concat_ws(" ", *shape.text))
     query = vf.literal(r.vector) if r.vector else vf.hashed_embedding(F.lit(r.text or ""))
-    score = F.round(0.5 * words + 0.5 * vf.cosine(own, query, clip=True), 6)
-    found = narrowed(df, r, shape).withColumn("score", score).where(F.col("score") >= r.similarity)
+    score = 0.5 * words + 0.5 * vf.cosine(own, query, clip=True)
+    found = narrowed(df, r, shape).withColumn("score", score).where(F.col("score") >= r.similarity).withColumn("score", F.round("score", 6))
     return ff.page(found.orderBy(F.desc("score"), shape.key), r.window)
 
 

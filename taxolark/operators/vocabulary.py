@@ -148,15 +148,65 @@ def recommendations(terms: DataFrame, now: str, merge: float = 0.8, crowded: int
     return merges.unionAll(wide).unionAll(unused).orderBy(F.desc(rank[F.col("priority")]), F.desc("confidence"), "kind", "term_id")
 
 
+#: Items of a group up to which its pairs are formed in one place.
+BASKET = 256
+
+
 def cooccurrence(occurrences: DataFrame, item: str, group: str, least: int = 2) -> DataFrame:
     """(a, b, n): pairs of items that occur in the same groups, a < b, at least so often.
 
-    Pairs are formed within a group, so groups are baskets of few items; each item counts
-    once in a group.
+    Each item counts once in a group; null items and groups don't count. The items of a
+    large group are dealt into buckets, and each pair of buckets is joined by itself, so
+    that no task forms all pairs of a group.
     """
-    own = occurrences.select(F.col(item).alias("i"), F.col(group).alias("g")).distinct()
-    pairs = own.select("g", F.col("i").alias("a")).join(own.select("g", F.col("i").alias("b")), "g").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    own = occurrences.select(F.col(item).alias("i"), F.col(group).alias("g")).where("i is not null and g is not null").distinct()
+    sizes = own.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BASKET).select("g", F.ceil(F.col("n") / BASKET).cast("int").alias("k"))
+    dealt = own.join(sizes, "g", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("u", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
+    # of two buckets the lesser number comes first, whichever item does
+    x = dealt.select("g", F.col("i").alias("p"), F.col("u").alias("u"), F.explode(F.sequence("u", F.col("k") - 1)).alias("w"))
+    y = dealt.select("g", F.col("i").alias("q"), F.col("u").alias("w"), F.explode(F.sequence(F.lit(0), F.col("u"))).alias("u"))
+    met = x.join(y, ["g", "u", "w"]).where((F.col("u") < F.col("w")) | (F.col("p") < F.col("q"))).where("p <> q")
+    return met.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+class Hierarchy:
+    """Terms by their parents: ``reached`` (term_id, parent_term_id, root_id, depth, path of term_ids), from the terms without a known parent down.
+
+    Terms in a circle hang from no root and aren't reached. ``depth`` bounds the levels below the roots.
+    """
+
+    def __init__(self, terms: DataFrame, vocabulary_type: str | None = None, category_id: str | None = None, depth: int = 20):
+        if vocabulary_type is not None:
+            terms = terms.where(F.col("vocabulary_type") == vocabulary_type)
+        if category_id is not None:
+            terms = terms.where(F.col("category_id") == category_id)
+        own = terms.select("term_id", "parent_term_id")
+        known = own.select(F.col("term_id").alias("k"))
+        front = own.join(known, F.col("parent_term_id") == F.col("k"), "left_anti").select("term_id", "parent_term_id", F.col("term_id").alias("root_id"), F.lit(0).alias("depth"), F.array("term_id").alias("path"))
+        self.reached = front
+        for i in range(1, depth + 1):
+            up = front.select(F.col("term_id").alias("up"), "root_id", F.col("path").alias("above"))
+            front = own.join(up, F.col("parent_term_id") == F.col("up")).select("term_id", "parent_term_id", "root_id", F.lit(i).alias("depth"), F.concat("above", F.array("term_id")).alias("path"))
+            self.reached = self.reached.unionAll(front)
+
+    def path(self, term_id) -> DataFrame:
+        """(term_id, place): the terms from the root to one."""
+        return self.reached.where(F.col("term_id") == term_id).select(F.posexplode("path").alias("place", "term_id")).select("term_id", "place")
+
+    def descendants(self, term_id, depth: int | None = None) -> DataFrame:
+        """(term_id, distance) below a term."""
+        at = F.array_position("path", term_id)
+        out = self.reached.where(F.array_contains("path", term_id) & (F.col("term_id") != term_id)).select("term_id", (F.size("path") - at).cast("int").alias("distance"))
+        return out if depth is None else out.where(F.col("distance") <= depth)
+
+    def siblings(self, term_id) -> DataFrame:
+        """Other terms under the same parent; roots have none."""
+        one = F.broadcast(self.reached.where((F.col("term_id") == term_id) & (F.col("depth") > 0)).select(F.col("parent_term_id").alias("p")).limit(1))
+        return self.reached.join(one, (F.col("parent_term_id") == F.col("p")) & (F.col("term_id") != term_id)).select("term_id")
+
+    def depths(self) -> DataFrame:
+        """(root_id, terms, depth): what hangs from each root, and how deep."""
+        return self.reached.groupBy("root_id").agg(F.count(F.lit(1)).alias("terms"), F.max("depth").alias("depth"))
 
 
 def related(terms: DataFrame, term_id: str, limit: int = 20) -> DataFrame:

@@ -63,9 +63,9 @@ def terms(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("term_id", F.col("p_name").alias("term"), w[1].alias("vocabulary_type"), "category_id", F.array(F.concat_ws(" ", w[1], w[0])).alias("aliases"), "usage_count")
 
 
-EDGES_SQL = """basket AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
-together AS (SELECT a.l_partkey AS source, b.l_partkey AS target, count(*) AS n FROM basket a JOIN basket b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2),
-edges AS (
+EDGES_SQL = """basket AS MATERIALIZED (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+together AS MATERIALIZED (SELECT a.l_partkey AS source, b.l_partkey AS target, count(*) AS n FROM basket a JOIN basket b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2),
+edges AS MATERIALIZED (
   SELECT source, target, CASE WHEN p.p_brand = q.p_brand THEN 'synonym' WHEN p.p_type = q.p_type THEN 'similar' ELSE 'related' END AS relation, least(1.0::DOUBLE, n / 4.0::DOUBLE) AS confidence
   FROM together JOIN part p ON source = p.p_partkey JOIN part q ON target = q.p_partkey)"""
 

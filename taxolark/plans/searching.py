@@ -185,12 +185,14 @@ def clean_text(spark, folder):
 
 
 @query(
-    """SELECT a.p_name AS x, b.p_name AS y, round(len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) / len(list_distinct(list_concat(string_split(a.p_name, ' '), string_split(b.p_name, ' '))))::DOUBLE, 6) AS score
-       FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON a.p_name < b.p_name AND split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1)"""
+    """WITH n AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS w FROM part), s AS (SELECT a.p_name AS x, b.p_name AS y, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS score FROM n a JOIN n b ON a.p_name < b.p_name)
+       SELECT x, y, round(score, 6) AS score FROM s WHERE score > 0"""
 )
 def word_jaccard_pairs(spark, folder):
-    n = read(spark, folder, "part").select("p_name", F.split("p_name", " ")[0].alias("first")).distinct()
-    pairs = n.toDF("x", "first").join(n.toDF("y", "first"), "first").where("x < y")
+    """All pairs of names that share a word."""
+    n = read(spark, folder, "part").select("p_name").distinct()
+    word = n.select("p_name", F.explode(F.array_distinct(tf.words(F.lower("p_name")))).alias("w"))
+    pairs = word.toDF("x", "w").join(word.toDF("y", "w"), "w").where("x < y").select("x", "y").distinct()
     return pairs.select("x", "y", F.round(tf.word_jaccard(F.col("x"), F.col("y")), 6).alias("score"))
 
 

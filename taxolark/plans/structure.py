@@ -9,6 +9,7 @@ from taxolark.functions import text as tf
 from taxolark.functions import vector as vf
 from taxolark.operators import filters as ff
 from taxolark.operators import greedy, mapping, quality, ranking, relations, search, taxonomy, vocabulary
+from taxolark.operators.stored import numbered, stored
 from taxolark.plans.registry import EDGES_SQL, TERMS_SQL, TREE_SQL, edges, query, read, terms, tree
 from taxolark.streaming import streams
 
@@ -102,7 +103,7 @@ def traverse_pre(spark, folder):
 
 @query(f"WITH {TREE_SQL} SELECT row_number() OVER (ORDER BY list_append(path, chr(1114111)), category_id) AS place, category_id FROM tree")
 def traverse_post(spark, folder):
-    return _numbered(taxonomy.traverse(tree(spark, folder), "post_order"), F.concat("path", F.array(F.lit(taxonomy.LAST))))
+    return _numbered(taxonomy.traverse(tree(spark, folder), "post_order").withColumn("path", F.concat("path", F.array(F.lit(taxonomy.LAST)))), F.col("path"))
 
 
 @query(f"WITH {TREE_SQL} SELECT row_number() OVER (ORDER BY level, path, category_id) AS place, category_id FROM tree")
@@ -111,7 +112,7 @@ def traverse_bfs(spark, folder):
 
 
 def _numbered(df, *by):
-    return df.select(F.row_number().over(Window.orderBy(*by, "category_id")).cast("long").alias("place"), "category_id")
+    return numbered(df.select("category_id", *by), [*by, F.col("category_id")]).select("place", "category_id")
 
 
 @query(
@@ -292,7 +293,7 @@ def _vectors(spark, folder):
     return read(spark, folder, "embeddings")
 
 
-@query(f"WITH e AS ({_V}), q AS (SELECT v AS q FROM e WHERE vec_id = 0) SELECT vec_id, round({_COS.format('v', 'q')}, 6) AS score FROM e, q WHERE round({_COS.format('v', 'q')}, 6) >= 0 ORDER BY 2 DESC, 1 LIMIT 10")
+@query(f"WITH e AS ({_V}), q AS (SELECT v AS q FROM e WHERE vec_id = 0) SELECT vec_id, round({_COS.format('v', 'q')}, 6) AS score FROM e, q WHERE {_COS.format('v', 'q')} >= 0 ORDER BY 2 DESC, 1 LIMIT 10")
 def cosine_topk(spark, folder):
     e = _vectors(spark, folder)
     q = tuple(e.where("vec_id = 0").first()["embedding"])
@@ -300,7 +301,7 @@ def cosine_topk(spark, folder):
     return search.Engine(e, search.Shape("vec_id", (), vector="embedding")).run(r).select("vec_id", "score")
 
 
-@query(f"WITH e AS ({_V}), q AS (SELECT v AS q FROM e WHERE vec_id = 1) SELECT vec_id, round({_COS.format('v', 'q')}, 6) AS score FROM e, q WHERE label IN (1, 2, 3) AND round({_COS.format('v', 'q')}, 6) >= 0.1 ORDER BY 2 DESC, 1 LIMIT 1000")
+@query(f"WITH e AS ({_V}), q AS (SELECT v AS q FROM e WHERE vec_id = 1) SELECT vec_id, round({_COS.format('v', 'q')}, 6) AS score FROM e, q WHERE label IN (1, 2, 3) AND {_COS.format('v', 'q')} >= 0.1 ORDER BY 2 DESC, 1 LIMIT 1000")
 def cosine_threshold(spark, folder):
     e = _vectors(spark, folder)
     q = tuple(e.where("vec_id = 1").first()["embedding"])
@@ -326,8 +327,8 @@ def similarity_matrix(spark, folder):
 
 
 @query(
-    f"""WITH e AS ({_V}), c AS (SELECT -1 - label AS id, arg_min(v, vec_id) AS v FROM e GROUP BY 1), s AS (SELECT vec_id AS source, c.id AS target, round({_COS.format('e.v', 'c.v')}, 6) AS confidence FROM e, c),
-        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS k FROM s WHERE confidence >= 0.1) SELECT source, target, confidence FROM r WHERE k <= 3"""
+    f"""WITH e AS ({_V}), c AS (SELECT -1 - label AS id, arg_min(v, vec_id) AS v FROM e GROUP BY 1), s AS (SELECT vec_id AS source, c.id AS target, round({_COS.format('e.v', 'c.v')}, 6) AS confidence FROM e, c WHERE {_COS.format('e.v', 'c.v')} >= 0.1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS k FROM s) SELECT source, target, confidence FROM r WHERE k <= 3"""
 )
 def map_categories_topk(spark, folder):
     e = _vectors(spark, folder)
@@ -438,6 +439,27 @@ def pattern_match(spark, folder):
     return relations.pattern(edges(spark, folder), ["similar", "related"])
 
 
+_EIGEN = """x{1} AS MATERIALIZED (SELECT node, CASE WHEN max(x) OVER () > 0 THEN x / max(x) OVER () ELSE 0.0 END AS x FROM (SELECT v.node, v.x + coalesce(g.got, 0) AS x FROM x{0} v LEFT JOIN (SELECT a, sum(x) AS got FROM u JOIN x{0} ON b = node GROUP BY 1) g ON v.node = g.a))"""
+
+
+@query(
+    f"""WITH {EDGES_SQL}, u AS MATERIALIZED (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), x0 AS MATERIALIZED (SELECT p_partkey AS node, (p_partkey IN (SELECT a FROM u))::INT::DOUBLE AS x FROM part),
+        {', '.join(_EIGEN.format(i, i + 1) for i in range(4))} SELECT node, round(x, 6) AS centrality FROM x4"""
+)
+def eigenvector_centrality(spark, folder):
+    return relations.eigenvector(read(spark, folder, "part").select(F.col("p_partkey").alias("node")), edges(spark, folder), 4).select("node", F.round("centrality", 6).alias("centrality"))
+
+
+@query(
+    f"""WITH RECURSIVE {EDGES_SQL}, both_ways AS MATERIALIZED (SELECT source AS a, target AS b FROM edges WHERE confidence > 0.5 UNION SELECT target, source FROM edges WHERE confidence > 0.5),
+        reach AS (SELECT p_partkey AS node, p_partkey AS root FROM part UNION SELECT b, root FROM reach JOIN both_ways ON node = a), l AS (SELECT node, min(root) AS component FROM reach GROUP BY 1),
+        n AS (SELECT component, count(*) AS size FROM l GROUP BY 1 HAVING count(*) >= 3), i AS (SELECT component, avg(confidence) AS mean, count(*) AS n FROM edges JOIN l ON source = node WHERE confidence > 0.5 GROUP BY 1)
+        SELECT component, size, round(mean * least(1.0::DOUBLE, i.n / (size * (size - 1) / 2)::DOUBLE), 6) AS cohesion FROM n JOIN i USING (component) ORDER BY size DESC, component LIMIT 50"""
+)
+def graph_clusters(spark, folder):
+    return relations.clusters(read(spark, folder, "part").select(F.col("p_partkey").alias("node")), edges(spark, folder))
+
+
 @query(f"WITH {EDGES_SQL} SELECT source, target, relation FROM edges WHERE source IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO') AND target IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO')")
 def subgraph(spark, folder):
     own = read(spark, folder, "part").where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("node"))
@@ -480,12 +502,12 @@ def hybrid_search(spark, folder):
 
 @query(
     """WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size < 5 THEN 'exact' WHEN p_size < 20 THEN 'alias' ELSE 'candidate' END AS match, p_size AS evidence, p_retailprice AS last_seen FROM part)
-       SELECT id, match, CASE match WHEN 'exact' THEN 0 WHEN 'alias' THEN 1 ELSE 2 END AS match_rank FROM r ORDER BY match_rank, evidence DESC, last_seen DESC, id LIMIT 100"""
+       SELECT id, match, CASE match WHEN 'exact' THEN 0 WHEN 'alias' THEN 1 ELSE 2 END AS match_rank FROM r ORDER BY match_rank, evidence DESC, last_seen DESC, id"""
 )
 def hybrid_playbook(spark, folder):
     m = F.when(F.col("p_size") < 5, "exact").when(F.col("p_size") < 20, "alias").otherwise("candidate")
     r = read(spark, folder, "part").select(F.col("p_partkey").alias("id"), m.alias("match"), F.col("p_size").alias("evidence"), F.col("p_retailprice").alias("last_seen"))
-    return ranking.playbook(r).limit(100).select("id", "match", "match_rank")
+    return ranking.playbook(r).select("id", "match", "match_rank")
 
 
 @query(
@@ -617,19 +639,33 @@ def coverage(spark, folder):
         SELECT term_id AS id, CASE WHEN term_id IN (SELECT l FROM l) THEN term_id ELSE (SELECT min(a) FROM near JOIN l ON a = l WHERE b = term_id) END AS leader FROM terms"""
 )
 def cluster_semantic(spark, folder):
-    t = terms(spark, folder).persist()
-    pairs = vocabulary.similar_pairs(t, 0.5).persist()
+    t = stored(terms(spark, folder))
+    pairs = stored(vocabulary.similar_pairs(t, 0.5))
     return greedy.leaders(t.select(F.col("term_id").alias("id")), pairs)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE e AS ({_V}), near AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.vec_id < y.vec_id AND {_COS.format('x.v', 'y.v')} >= 0.3), o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM e),
+        walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS lead UNION ALL SELECT w.k + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE b = o.vec_id AND list_contains(w.lead, a)) THEN w.lead ELSE list_append(w.lead, o.vec_id) END FROM walk w JOIN o ON o.k = w.k + 1),
+        l AS (SELECT unnest(lead) AS l FROM walk WHERE k = (SELECT count(*) FROM e)),
+        m AS (SELECT vec_id, 'label' || label AS kind, CASE WHEN vec_id IN (SELECT l FROM l) THEN vec_id ELSE (SELECT min(a) FROM near JOIN l ON a = l WHERE b = vec_id) END AS leader FROM e),
+        n AS (SELECT leader, kind, count(*) AS n, row_number() OVER (PARTITION BY leader ORDER BY count(*) DESC, kind) AS r FROM m GROUP BY 1, 2)
+        SELECT leader, sum(n)::BIGINT AS size, round(least(1.0::DOUBLE, sum(n) / 10::DOUBLE), 6) AS confidence, max(kind) FILTER (r = 1) || '_group' AS kind FROM n GROUP BY 1 HAVING sum(n) >= 3 ORDER BY leader LIMIT 50"""
+)
 def extract_concepts(spark, folder):
     e = _vectors(spark, folder).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.concat(F.lit("label"), F.col("label")).alias("kind"))
-    pairs = relations.similarity_edges(e, e, 0.3).where("source < target").select(F.col("source").alias("a"), F.col("target").alias("b")).persist()
+    pairs = stored(relations.similarity_edges(e, e, 0.3).where("source < target").select(F.col("source").alias("a"), F.col("target").alias("b")))
     return greedy.concepts(e.select("id", "kind"), pairs)
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS MATERIALIZED (SELECT p_partkey AS id, p_name AS text, list_sort(list_distinct(string_split(p_name, ' '))) AS w, p_size / 50::DOUBLE AS score, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS k FROM part),
+        w AS MATERIALIZED (SELECT w, min(k) AS k FROM p GROUP BY 1), s AS MATERIALIZED (SELECT a.k AS a, b.k AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS sim FROM w a JOIN w b ON a.k < b.k),
+        o AS MATERIALIZED (SELECT k, row_number() OVER (ORDER BY k) AS n FROM w),
+        walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT x.n + 1, CASE WHEN EXISTS (SELECT 1 FROM s WHERE b = o.k AND sim > 0.9 AND list_contains(x.kept, a)) THEN x.kept ELSE list_append(x.kept, o.k) END FROM walk x JOIN o ON o.n = x.n + 1),
+        kept AS (SELECT unnest(kept) AS k FROM walk WHERE n = (SELECT count(*) FROM w))
+        SELECT id, text, round(score * coalesce((SELECT product(1 - 0.3::DOUBLE * sim) FROM s WHERE b = p.k AND sim > 0.8 AND a IN (SELECT k FROM kept)), 1), 6) AS score FROM p WHERE k IN (SELECT k FROM kept)"""
+)
 def diversity_rerank(spark, folder):
     r = read(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), (F.col("p_size") / 50).alias("score"))
     return ranking.diversify(r)

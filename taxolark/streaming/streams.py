@@ -23,19 +23,27 @@ def event_time(df: DataFrame, at: str = "ts") -> DataFrame:
     return df.withColumn(at, F.col(at).cast("timestamp"))
 
 
-def ingest(stream: DataFrame, transform: Callable[[DataFrame], tuple[DataFrame, DataFrame]], good: str, bad: str, checkpoint: str, once: bool = True, callback: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], good: str, bad: str, checkpoint: str, once: bool = True, callback: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Writes each batch's valid rows to one folder and the others to another, so that one bad record stops nothing.
 
     A batch's rows go to folders named by its number and replace what a failed attempt
-    left there, so each is written once.
+    left there, so each is written once. ``transform`` marks a batch: rows whose ``errors``
+    are empty or null are valid. It is computed once, even if it is costly or gives other
+    rows each time: the marked batch is written first, and both folders are made from that.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        valid, rest = transform(batch)
+        marked = f"{bad}/marked={number}"
+        transform(batch).write.mode("overwrite").parquet(marked)
+        rows = batch.sparkSession.read.parquet(marked)
+        fine = F.coalesce(F.size("errors"), F.lit(0)) <= 0
+        valid = rows.where(fine).drop("errors")
         valid.write.mode("overwrite").parquet(f"{good}/batch={number}")
-        rest.write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        rows.where(~fine).write.mode("overwrite").parquet(f"{bad}/batch={number}")
         if callback is not None:
-            callback(valid, number)
+            callback(batch.sparkSession.read.schema(valid.schema).parquet(f"{good}/batch={number}"), number)
+        path = batch.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(marked)
+        path.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

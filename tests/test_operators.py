@@ -1,5 +1,7 @@
 """Operators on small tables made here: known values, nulls, ties, and what SQL over the given tables can't show."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,15 +244,104 @@ def test_leaders_and_diversity(spark):
     assert {r["id"]: r["leader"] for r in greedy.leaders(nodes, pairs).collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6}
     r = spark.createDataFrame([(1, "a b c d e", 0.9), (2, "a b c d e", 0.8), (3, "a b c d e f", 0.7), (4, "x y", 0.5)], "id long, text string, score double")
     got = [(x["id"], round(x["score"], 4)) for x in ranking.diversify(r).collect()]
-    assert got == [("1", 0.9), ("3", round(0.7 * (1 - 0.3 * 5 / 6), 4)), ("4", 0.5)]
-
-
-def test_leaders_of_a_chain_longer_than_the_rounds(spark):
-    nodes = spark.createDataFrame([(i,) for i in range(1, 7)], "id long")
-    pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 6)], "a long, b long")
-    assert {r["id"]: r["leader"] for r in greedy.leaders(nodes, pairs, rounds=6).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
-    with pytest.raises(RuntimeError):
-        greedy.leaders(nodes, pairs, rounds=2)
+    assert got == [(1, 0.9), (3, round(0.7 * (1 - 0.3 * 5 / 6), 4)), (4, 0.5)]
+
+
+@pytest.mark.parametrize("walk", [500_000, 0])
+def test_leaders_of_a_long_chain(spark, monkeypatch, walk):
+    """An item in 300 steps of a chain gets the leader that a walk gives it; with groups walked, and by rounds only."""
+    n = 300 if walk else 30
+    monkeypatch.setattr(greedy, "WALK", walk)
+    rng = random.Random(1)
+    near = [(i, i + 1) for i in range(1, n)] + [(i, j) for i, j in ((rng.randrange(1, n), rng.randrange(1, n)) for _ in range(40)) if i < j]
+    lead = {}
+    for i in range(1, n + 1):
+        first = min((a for a, b in near if b == i and lead[a] == a), default=i)
+        lead[i] = first
+    nodes = spark.createDataFrame([(i,) for i in range(1, n + 1)], "id long")
+    pairs = spark.createDataFrame(near + [(None, 3), (7, None), (900, 5)], "a long, b long")
+    assert {r["id"]: r["leader"] for r in greedy.leaders(nodes, pairs).collect()} == lead
+    assert greedy.leaders(nodes.limit(0), pairs.limit(0)).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    e = spark.createDataFrame([(i + 1, i) for i in range(400)] + [(500, 501), (None, 3)], "source long, target long")
+    n = spark.createDataFrame([(i,) for i in [*range(401), 500, 501, 600]], "node long")
+    want = dict.fromkeys(range(401), 0) | {500: 500, 501: 500, 600: 600}
+    assert {r["node"]: r["component"] for r in relations.components(n, e).collect()} == want
+
+
+def test_diversity_beyond_a_hundred(spark):
+    """All results are held against each other, with several penalties, ties and texts without words."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.sample(words, rng.randrange(8, 12))), rng.randrange(40) / 40) for i in range(260)] + [(900, "", 0.5), (901, None, 0.5), (902, "", 0.5)]
+    kept = []
+    for i, text, score in sorted(rows, key=lambda r: (-r[2], r[0])):
+        own = set((text or "").split())
+        sims = [len(own & o) / len(own | o) if own and o else 0.0 for _, o, _ in kept]
+        if not any(s > 0.9 for s in sims):
+            for s in sims:
+                score *= 1 - 0.3 * s if s > 0.8 else 1
+            kept.append((i, own, score))
+    got = ranking.diversify(spark.createDataFrame(rows, "id long, text string, score double")).collect()
+    assert {r["id"]: r["score"] for r in got} == {i: pytest.approx(s, abs=1e-6) for i, _, s in kept}
+    assert [r["score"] for r in got] == sorted((r["score"] for r in got), reverse=True)
+
+
+def test_graph_figures_against_force(spark):
+    rng = random.Random(2)
+    links = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(120)} | {(0, i) for i in range(1, 30)}
+    e = spark.createDataFrame([(a, b) if rng.random() < 0.5 else (b, a) for a, b in links] + [(3, 3)], "source long, target long")
+    near = {n: {b if a == n else a for a, b in links if n in (a, b)} for n in range(30)}
+    want = {n: round(sum((a, b) in links for a in o for b in o if a < b) / (len(o) * (len(o) - 1) / 2), 6) if len(o) > 1 else 0.0 for n, o in near.items() if o}
+    assert {r["node"]: r["coefficient"] for r in relations.clustering_coefficient(e).collect()} == want
+    nodes = spark.createDataFrame([(i,) for i in range(32)], "node long")
+    x = {n: float(bool(near.get(n))) for n in range(32)}
+    for _ in range(6):
+        y = {n: x[n] + sum(x[m] for m in near.get(n, ())) for n in x}
+        x = {n: v / max(y.values()) for n, v in y.items()}
+    assert {r["node"]: pytest.approx(r["centrality"]) for r in relations.eigenvector(nodes, e, 6).collect()} == x
+
+
+def test_cooccurrence_in_large_baskets(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary, "BASKET", 4)
+    rng = random.Random(5)
+    rows = [(g, rng.randrange(40)) for g in range(6) for _ in range([3, 60, 10, 1, 25, 4][g])] + [(None, 3), (2, None)]
+    count = {}
+    for g in range(6):
+        own = sorted({i for h, i in rows if h == g and i is not None})
+        for n, a in enumerate(own):
+            for b in own[n + 1 :]:
+                count[a, b] = count.get((a, b), 0) + 1
+    got = vocabulary.cooccurrence(spark.createDataFrame(rows, "g long, i long"), "i", "g", 2)
+    assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == {k: v for k, v in count.items() if v >= 2}
+
+
+def test_similarity_edges_prune_nothing_near(spark, monkeypatch):
+    import math
+
+    monkeypatch.setattr(relations, "BLOCK", 7)
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) + 2 * (i % 3), rng.gauss(0, 1), rng.gauss(0, 1) - (i % 5)]) for i in range(60)] + [(70, [0.0, 0.0, 0.0]), (71, None), (None, [1.0, 2.0, 3.0])]
+    good = {i: v for i, v in rows if i is not None and v and any(v)}
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    for t in (0.9, 0.0, -2.0):
+        got = {(r["source"], r["target"]) for r in relations.similarity_edges(df, df, t).collect()}
+        assert got == {(i, j) for i in good for j in good if i != j and cos(good[i], good[j]) >= t}
+    best = relations.similarity_edges(df, df, 0.5, 2).groupBy("source").count()
+    assert best.where("count > 2").isEmpty()
+
+
+def test_hierarchy_of_terms(spark):
+    rows = [(1, None), (2, 1), (3, 1), (4, 2), (5, 4), (6, 99), (7, 8), (8, 7)]
+    h = vocabulary.Hierarchy(spark.createDataFrame(rows, "term_id long, parent_term_id long"))
+    assert [r["term_id"] for r in h.path(5).orderBy("place").collect()] == [1, 2, 4, 5]
+    assert {(r["term_id"], r["distance"]) for r in h.descendants(1).collect()} == {(2, 1), (3, 1), (4, 2), (5, 3)}
+    assert {r["term_id"] for r in h.descendants(1, 1).collect()} == {2, 3}
+    assert [r["term_id"] for r in h.siblings(2).collect()] == [3] and h.siblings(1).isEmpty()
+    assert {(r["root_id"], r["terms"], r["depth"]) for r in h.depths().collect()} == {(1, 5, 3), (6, 1, 0)}  # a missing parent makes a root, a circle none
 
 
 def test_governance(spark):
@@ -329,7 +420,7 @@ def test_streaming(spark, tmp_path, folder):
     src = spark.read.parquet(f"{folder}/events.parquet").where("event_id < 300")
     src.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = streams.event_time(streams.read(spark, str(tmp_path / "in"), src.schema, files=1))
-    split = lambda b: (b.where("event_type <> 'error'"), b.where("event_type = 'error'"))
+    split = lambda b: b.withColumn("errors", F.when(F.col("event_type") == "error", F.array(F.lit("error"))))
     seen = []
     q = streams.ingest(stream, split, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp"), callback=lambda b, n: seen.append(n))
     q.awaitTermination()
