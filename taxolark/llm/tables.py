@@ -74,7 +74,6 @@ class Shelf:
             spark.sparkContext.setCheckpointDir(base)
         self.base = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
         atexit.register(self.clear)
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -82,13 +81,13 @@ class Shelf:
         self.count += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out.__dict__["_shelved"] = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Of tables that no later plan reads."""
         for df in tables:
-            self._delete(self.paths.pop(id(df)))
+            self._delete(df.__dict__.pop("_shelved"))
 
     def clear(self) -> None:
         if self.spark.sparkContext._jsc is not None and self.spark.sparkContext._jsc.sc().isStopped() is False:
