@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolark.operators import filters as ff
@@ -111,3 +111,26 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def column_values(value: Any) -> Any:
     return list(value) if isinstance(value, set | frozenset) else value
+
+
+def document_stats(docs: DataFrame, kind: str, text: str, at: str) -> DataFrame:
+    """(kind, documents, sections, words, updated): by kind; a section is a line that isn't blank; null texts have none."""
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    words = F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+    return docs.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size(lines)).alias("sections"), F.sum(words).alias("words"), F.max(at).alias("updated"))
+
+
+def frames(df: DataFrame, by: str, order: Sequence[str], value: str, tiles: int = 4) -> DataFrame:
+    """The rows with, in their group's order: ``previous`` and ``next`` value, ``tile``, ``running`` sum, ``moving`` mean of three rows, ``share`` of the group's sum."""
+    w = Window.partitionBy(by).orderBy(*order)
+    group = Window.partitionBy(by)
+    return df.withColumns(
+        {
+            "previous": F.lag(value).over(w),
+            "next": F.lead(value).over(w),
+            "tile": F.ntile(tiles).over(w),
+            "running": F.round(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), 6),
+            "moving": F.round(F.avg(value).over(w.rowsBetween(-1, 1)), 6),
+            "share": F.round(F.col(value) / F.sum(value).over(group), 6),
+        }
+    )

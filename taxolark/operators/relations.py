@@ -239,28 +239,36 @@ def similarity_edges(left: DataFrame, right: DataFrame, threshold: float, most:
     exact cosine, the confidence is rounded. Null and zero vectors are near nothing; a
     row isn't paired with its own id; repeated rows are paired each.
     """
-    a, b = (_dealt(t) for t in (left, right))
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    a, b = (_dealt(t, cores) for t in (left, right))
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
     ra, rb = (t.groupBy("block").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")) for t in (a, b))
-    rb = F.broadcast(rb.toDF("other", "olo", "ohi"))  # a row for each block of 4096
+    rb = F.broadcast(rb.toDF("other", "olo", "ohi"))  # a row for each block
     plan = stored(ra.join(rb, (F.col("lo") - F.col("ohi") <= reach) & (F.col("olo") - F.col("hi") <= reach)).select("block", "other"))
-    sent = a.select(F.col("id").alias("source"), F.col("v").alias("va"), "block").join(plan, "block")
-    met = sent.join(b.select(F.col("id").alias("target"), F.col("v").alias("vb"), F.col("block").alias("other")).join(plan, "other"), ["block", "other"]).where(F.col("source") != F.col("target"))
-    cosine = vf.cosine(F.col("va"), F.col("vb"))
-    found = met.select("source", "target", cosine.alias("exact")).where(F.col("exact") >= threshold).select("source", "target", F.round("exact", 6).alias("confidence"))
+    parts = max(1, min(plan.count(), 10_000))
+    sent = a.select(F.col("id").alias("source"), F.col("unit").alias("ua"), "block").join(plan, "block").repartition(parts, "block", "other")
+    theirs = b.select(F.col("id").alias("target"), F.col("unit").alias("ub"), F.col("block").alias("other")).join(plan, "other").repartition(parts, "block", "other")
+    cosine = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    met = sent.join(theirs, ["block", "other"]).where(F.col("source") != F.col("target")).select("source", "target", cosine.alias("exact"))
+    found = met.where(F.col("exact") >= threshold).select("source", "target", F.round("exact", 6).alias("confidence"))
     if most is None:
         return found
     best = Window.partitionBy("source").orderBy(F.desc("confidence"), "target")
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows (id, v) with their angle to the axis of ones and alternating signs, and a block of neighbours along it."""
+def _dealt(rows: DataFrame, cores: int) -> DataFrame:
+    """(id, unit, angle, block): unit vectors with their angle to the axis of ones of alternating signs, and a block of neighbours along it.
+
+    A block has BLOCK rows at most; fewer if there are so few that all cores are wanted.
+    """
     v = F.col("v").cast("array<double>")
     side = F.aggregate(F.transform(v, lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     cosine = side / (norm * F.sqrt(F.size("v").cast("double")))
     usable = rows.where(F.col("id").isNotNull()).select("id", "v", norm.alias("norm"), cosine.alias("c")).where("norm > 0")
-    angled = usable.select("id", "v", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c")))).alias("angle"))
+    angled = usable.select("id", "v", "norm", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c")))).alias("angle"))
     placed = numbered(angled, [F.col("angle"), F.col("id")])
-    return stored(placed.select("id", "v", "angle", F.floor((F.col("place") - 1) / BLOCK).cast("int").alias("block")))
+    placed = stored(placed.select("id", F.transform(v, lambda x: x / F.col("norm")).alias("unit"), "angle", "place"))
+    size = max(1, min(BLOCK, placed.count() // (2 * math.isqrt(cores) + 2)))
+    return placed.withColumn("block", F.floor((F.col("place") - 1) / size).cast("int")).drop("place")

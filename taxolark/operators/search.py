@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+from collections import OrderedDict, deque
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -12,6 +15,7 @@ from taxolark.functions import text as tf
 from taxolark.functions import vector as vf
 from taxolark.operators import aggregate as agg
 from taxolark.operators import filters as ff
+from taxolark.operators.stored import drop, stored
 
 TYPES = tuple("exact fuzzy semantic hybrid faceted graph full_text aggregation".split())
 
@@ -191,6 +195,69 @@ class Engine:
         return self.df.where(F.col(self.shape.key) == key)
 
 
+# --- the driver: cache, history, API shape -----------------------------------------
+
+
+class Driver:
+    """Runs requests through an engine, keeps results for a while, and records what was asked.
+
+    Results of a request, in normal form, are written once and served again until they
+    are ``ttl`` seconds old; the oldest of more than ``keep`` are dropped. ``clock`` gives
+    the time in seconds. The history holds the last ``last`` requests.
+    """
+
+    def __init__(self, engine: Engine, ttl: float = 300, keep: int = 100, last: int = 1000, clock: Callable[[], float] = time.time):
+        self.engine, self.ttl, self.keep, self.clock = engine, ttl, keep, clock
+        self.cache: OrderedDict[str, tuple[float, DataFrame]] = OrderedDict()
+        self.asked: deque[tuple[float, str, str | None, bool, bool, float]] = deque(maxlen=last)
+
+    @staticmethod
+    def key(r: Request) -> str:
+        return hashlib.sha256(repr(optimize(r)).encode()).hexdigest()
+
+    def run(self, r: Request) -> DataFrame:
+        """The result; an error is recorded and raised."""
+        began, key = self.clock(), self.key(r)
+        made, df = self.cache.get(key, (0.0, None))
+        hit = df is not None and began - made <= self.ttl
+        try:
+            if not hit:
+                if df is not None:
+                    self._forget(key)
+                df = stored(self.engine.run(r))
+                self.cache[key] = (began, df)
+                while len(self.cache) > self.keep:
+                    self._forget(next(iter(self.cache)))
+        except Exception:
+            self.asked.append((began, r.kind, r.text, False, False, 1000 * (self.clock() - began)))
+            raise
+        self.asked.append((began, r.kind, r.text, True, hit, 1000 * (self.clock() - began)))
+        return df
+
+    def _forget(self, key: str) -> None:
+        drop(self.cache.pop(key)[1])
+
+    def history(self) -> DataFrame:
+        """(at, kind, text, success, cached, took_ms), one row for each request."""
+        return self.engine.df.sparkSession.createDataFrame(list(self.asked), "at double, kind string, text string, success boolean, cached boolean, took_ms double")
+
+
+def api_shape(results: DataFrame, shape: Shape, fields: Sequence[str] = ()) -> DataFrame:
+    """(id, entity_type, score, data): results as an API gives them, ``data`` as JSON of the named fields, nulls left out."""
+    kind = F.col(shape.kind).cast("string") if shape.kind else F.lit(None).cast("string")
+    score = F.col("score").cast("double") if "score" in results.columns else F.lit(1.0)
+    own = [F.col(c) for c in (fields or [c for c in results.columns if c not in ("score", shape.key)])]
+    return results.select(F.col(shape.key).cast("string").alias("id"), kind.alias("entity_type"), score.alias("score"), F.to_json(F.struct(*own)).alias("data"))
+
+
+def api_response(results: DataFrame, shape: Shape, request: Request, fields: Sequence[str] = ()) -> DataFrame:
+    """One row (success, total, response): an answer of an API; its page is bounded by the request's window."""
+    page = api_shape(results, shape, fields).limit(min(1000, request.window.limit))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), "id", "entity_type", "score", "data")))
+    one = page.agg(F.count(F.lit(1)).alias("total"), F.transform(listed, lambda x: F.struct(x["id"].alias("id"), x["entity_type"].alias("entity_type"), x["score"].alias("score"), x["data"].alias("data"))).alias("results"))
+    return one.select(F.lit(True).alias("success"), "total", F.to_json(F.struct(F.lit(request.kind).alias("query_type"), "total", "results")).alias("response"))
+
+
 # --- history ----------------------------------------------------------------------
 
 

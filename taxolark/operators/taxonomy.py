@@ -153,6 +153,42 @@ def similar(tree: DataFrame, category: str, threshold: float = 0.5, limit: int =
     return scored.where(F.col("score") >= threshold).select(F.col("b_category_id").alias("category_id"), "score").orderBy(F.desc("score"), "category_id").limit(limit)
 
 
+def by_name(tree: DataFrame, name: str, domain: str | None = None) -> DataFrame:
+    """Categories of a name, of a domain (the first name of the path) if it is given."""
+    out = tree.where(F.col("name") == name)
+    return out if domain is None else out.where(F.get("path", F.lit(0)) == domain)
+
+
+def listing(tree: DataFrame, domain: str | None = None, parent_id: str | None = None, level: int | None = None) -> DataFrame:
+    """Categories of a domain, parent and level, as far as given, by level, then name, then id."""
+    if domain is not None:
+        tree = tree.where(F.get("path", F.lit(0)) == domain)
+    if parent_id is not None:
+        tree = tree.where(F.col("parent_id") == parent_id)
+    if level is not None:
+        tree = tree.where(F.col("level") == level)
+    return tree.orderBy("level", "name", "category_id")
+
+
+def edges(tree: DataFrame) -> DataFrame:
+    """(source, relation, target): each category's two edges to its parent, one either way."""
+    up = tree.where("parent_id is not null")
+    return up.select(F.col("category_id").alias("source"), F.lit("child_of").alias("relation"), F.col("parent_id").alias("target")).unionAll(up.select("parent_id", F.lit("parent_of"), "category_id"))
+
+
+def path_between(tree: DataFrame, source: str, target: str) -> DataFrame:
+    """(place, category_id): the way from one category up to the common ancestor and down to another (paths are trusted); no rows if there is none."""
+    ends = tree.where(F.col("category_id").isin(source, target)).select("category_id", "path")
+    a = ends.where(F.col("category_id") == source).select(F.col("path").alias("a")).limit(1)
+    b = ends.where(F.col("category_id") == target).select(F.col("path").alias("b")).limit(1)
+    both = F.broadcast(a.crossJoin(b).withColumn("shared", common_prefix(F.col("a"), F.col("b"))).where("shared > 0"))  # one row each
+    depth = F.size("path")
+    on_a = (depth <= F.size("a")) & (F.slice(F.col("a"), F.lit(1), depth) == F.col("path")) & (depth >= F.col("shared"))
+    on_b = (depth <= F.size("b")) & (F.slice(F.col("b"), F.lit(1), depth) == F.col("path")) & (depth > F.col("shared"))
+    place = F.when(on_a, F.size("a") - depth).otherwise(F.size("a") + depth - 2 * F.col("shared"))
+    return tree.join(both, on_a | on_b).select(place.cast("int").alias("place"), "category_id").orderBy("place")
+
+
 # --- changes: each returns the new tree ------------------------------------------------
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolark.functions import text as tf
+from taxolark.operators.stored import stored
 
 #: Least score that counts as valid, by strictness; a permissive check takes any value.
 LEVELS = {"strict": 0.6, "moderate": 0.6, "flexible": 0.4, "permissive": 0.0}
@@ -169,6 +172,33 @@ def cooccurrence(occurrences: DataFrame, item: str, group: str, least: int = 2)
     return met.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+def rule_matches(values: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """(value, term): the first rule (pattern, term) whose pattern a value holds, whatever its case; null if none does."""
+    term = F.lit(None).cast("string")
+    for pattern, name in reversed(rules):
+        term = F.when(F.rlike("value", F.lit(f"(?i){pattern}")), name).otherwise(term)
+    return values.select("value", term.alias("term"))
+
+
+def hierarchical(nodes: DataFrame, pairs: DataFrame, levels: Sequence[float]) -> DataFrame:
+    """(node, level, cluster): clusters by single linkage of pairs (a, b, score) at least each level, named by their smallest node.
+
+    The levels are taken from the highest down, and each works on the clusters of the one before.
+    """
+    from taxolark.operators.relations import components
+
+    label = nodes.select("node", F.col("node").alias("cluster"))
+    out = None
+    for level in sorted(levels, reverse=True):
+        own = pairs.where(F.col("score") >= level).select("a", "b")
+        a, b = label.select(F.col("node").alias("a"), F.col("cluster").alias("source")), label.select(F.col("node").alias("b"), F.col("cluster").alias("target"))
+        merged = components(label.select(F.col("cluster").alias("node")).distinct(), own.join(a, "a").join(b, "b").select("source", "target").distinct())
+        label = stored(label.join(merged.withColumnRenamed("node", "at"), F.col("cluster") == F.col("at")).select("node", F.col("component").alias("cluster")))
+        one = label.select("node", F.lit(float(level)).alias("level"), "cluster")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 class Hierarchy:
     """Terms by their parents: ``reached`` (term_id, parent_term_id, root_id, depth, path of term_ids), from the terms without a known parent down.
 
