@@ -17,7 +17,7 @@ from taxolark.operators.relations import components
 from taxolark.operators.stored import stored
 
 #: Rounds before groups are walked, and pairs of the largest group that a task walks.
-ROUNDS, WALK = 4, 500_000
+ROUNDS, WALK = 2, 500_000
 
 
 def _walk(pairs: pd.DataFrame) -> pd.DataFrame:
