@@ -12,10 +12,11 @@ labelled toxic texts from others. A text's kernels with the landmarks, whitened
 landmarks' kernel matrix (Nystroem), are its features; a linear machine is trained on
 them by subgradient steps, and a logistic curve fitted to its margins gives the score.
 
-A word's kernel with a landmark is at most the norm of what the landmark's
-subsequences have over letters that the word holds (Cauchy and Schwarz). Where the
-power of that bound is below NEAR the kernel isn't computed and counts as 0. A worker
-keeps what it has found for a word, within a bound.
+A kernel of two words below NEAR counts as 0. Two bounds spare most of the work: a
+word's kernel with a landmark is at most the norm of what the landmark's subsequences
+have over letters that the word holds (Cauchy and Schwarz), and a word's own kernel is
+at least that of as many different letters. A worker keeps what it has found for a
+word, within a bound.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from taxolark.llm.tables import held, pick, slices
 
 #: Letters of a subsequence, decay, power, value that is as good as 0.
-ORDER, DECAY, POWER, NEAR = 3, 0.9, 8, 0.003
+ORDER, DECAY, POWER, NEAR = 3, 0.9, 8, 0.01
 #: Weight of the mean over words: insults count by number and by share.
 RATE = 100.0
 #: Landmarks, letters of a piece that long words are cut into, words that a worker keeps.
@@ -149,16 +151,22 @@ class Describer:
             for i, at in enumerate(places):
                 held |= (bits >> np.uint64(at) & np.uint64(1)).astype(np.int64) << i
             near[:, j] = bound[held] >= NEAR
-        order = np.flatnonzero(near.any(axis=1))
-        order = order[np.argsort(n[order], kind="stable")]
-        for lo in range(0, len(order), 4096):
-            rows = order[lo : lo + 4096]
+        order = np.argsort(n, kind="stable")
+        for j, (t, own) in enumerate(zip(self.t, self.own, strict=True)):
+            met = order[near[order, j]]
+            for lo in range(0, len(met), 4096):
+                rows = met[lo : lo + 4096]
+                out[rows, j] = kernel(s[rows, : n[rows[-1]]], t) / np.sqrt(own)
+        least = np.array([(kernel(w, w[0]) if len(w[0]) >= ORDER else [np.inf])[0] for w in (np.arange(1, k + 1)[None, :] for k in range(1, int(n.max()) + 1))])
+        out[(out / np.sqrt(least[n - 1])[:, None]) ** POWER < NEAR] = 0
+        left = order[out[order].any(axis=1)]
+        for lo in range(0, len(left), 4096):
+            rows = left[lo : lo + 4096]
             own = s[rows, : n[rows[-1]]]
-            norm = kernel(own, np.where(own == 0, -1, own))
-            for j, t in enumerate(self.t):
-                met = near[rows, j]
-                out[rows[met], j] = kernel(own[met], t) / np.sqrt(norm[met] * self.own[j])
-        return np.minimum(out, 1) ** POWER
+            out[rows] /= np.sqrt(kernel(own, np.where(own == 0, -1, own)))[:, None]
+        out = np.minimum(out, 1) ** POWER
+        out[out < NEAR] = 0
+        return out
 
     def _learn(self, fresh: list[str]) -> None:
         """Rows of words; a word of several pieces is the sum of their rows."""
@@ -185,9 +193,9 @@ class Describer:
         if len(self.known) > KEPT:
             self.forget()
         parts = [words_of(t or "") for t in texts]
-        self._learn(list(dict.fromkeys(w for own in parts for w in own if w not in self.known)))
+        self._learn(sorted(set().union(*parts).difference(self.known)))
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        number = np.fromiter((self.known[w] for own in parts for w in own), dtype=np.int64, count=int(sizes.sum()))
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=int(sizes.sum()))
         total = np.zeros((len(texts), self.m))
         some = np.flatnonzero(number)
         np.add.at(total, np.repeat(np.arange(len(parts)), sizes)[some], self.table[number[some]])
