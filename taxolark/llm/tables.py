@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of texts that a worker takes apart at once.
+#: Bytes of texts that a worker takes apart at once; the session's bound on an Arrow batch, and what it is set to.
 SLICE_BYTES = 8 << 20
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,15 +30,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
     A name that differs only in case from a wanted one, or a second column of the
     same name, would make a lookup by name ambiguous; the first exact match counts.
+    Every operator reads its input through here, so this is where Arrow batches are
+    bounded: always alike, and only in a session that sets no bound of its own.
     """
+    if df.sparkSession.conf.get(BATCH, None) is None:
+        df.sparkSession.conf.set(BATCH, BATCH_BYTES)
     return flat(df).select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches cut to ``rows`` rows and about SLICE_BYTES bytes at most; a row is never cut.
 
-    Spark bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB);
-    the cut keeps what Python makes of one small, whatever the session's settings are.
+    Spark bounds a batch by bytes (see BATCH); the cut keeps what Python makes of one
+    small, whatever the session's settings are.
     """
     for b in batches:
         each = max(1, min(rows, int(b.num_rows * SLICE_BYTES / max(1, b.nbytes))))

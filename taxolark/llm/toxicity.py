@@ -42,7 +42,7 @@ ORDER, DECAY, POWER, NEAR = 3, 0.9, 8, 0.01
 #: Weight of the mean over words: insults count by number and by share.
 RATE = 100.0
 #: Landmarks, letters of a piece that long words are cut into, words that a worker keeps.
-LANDMARKS, PIECE, KEPT = 40, 24, 300_000
+LANDMARKS, PIECE, KEPT = 40, 24, 200_000
 #: How often each toxic text is learnt from with its insults spoiled.
 SPOILED = 1
 #: Labelled texts used to fit, and their bytes.
