@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over whole tables, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolark.llm import ann, bpe, chat, embed_dedup, html_text, license_scan, mixing, secrets, simhash, toxicity
+from taxolark.llm import ann, bpe, chat, codes, embed_dedup, html_text, license_scan, mixing, pieces, secrets, simhash, toxicity, trie
 from taxolark.llm.tables import Shelf, pick, read
 
 
@@ -91,6 +91,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shelf = Shelf(spark)
+    every, turns = trie.rebuilt(trie.numbered(read(spark, sf_dir, "conversations"), shelf))
+    return trie.trie(every, turns, shelf)
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(read(spark, sf_dir, "embeddings"), Shelf(spark))
+    return coded.withColumn("codebooks_sha256", F.lit(books.sha256()))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also the digest of the pieces' places: start and end bytes of each, packed like the ids, all starts first."""
+    coded = pieces.encode(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), decoded=True, packed=True)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256"),
+    )
+
+
 _T = chat.Template()
 
 OP7_SQL = f"""
@@ -140,5 +163,74 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_html, op4_secrets, op5_ann, op6_licenses, op7_chat, op8_mixing, op9_embed_dedup, op10_toxicity)}
-ORACLE_SQL = {"op7_chat": OP7_SQL, "op8_mixing": OP8_SQL}
+OP11_SQL = """
+WITH said AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (
+  SELECT conv_id, count(*) AS size, conv_id - conv_id % 5 AS base,
+         -- the unsigned crc32 of the decimal id: after each byte, -1 stands for a shift by one bit
+         xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                         lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295::BIGINT), 4294967295) % 9 AS h
+  FROM said GROUP BY conv_id
+),
+plan AS (SELECT c.*, least(c.h, coalesce(b.size, 0)) AS shift FROM convs c LEFT JOIN convs b ON c.base = b.conv_id),
+rebuilt AS (
+  SELECT s.conv_id, n - h + shift AS depth, said, bytes FROM said s JOIN plan p ON s.conv_id = p.conv_id WHERE n > h
+  UNION ALL SELECT p.conv_id, n, said, bytes FROM plan p JOIN said s ON s.conv_id = p.base WHERE n <= h
+),
+prefix AS MATERIALIZED (
+  SELECT conv_id, depth, bytes, md5(string_agg(said, ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS k FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM convs
+),
+node AS MATERIALIZED (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS own FROM prefix GROUP BY depth, k),
+linked AS MATERIALIZED (
+  SELECT n.*, p.k AS up, u.conv_id AS parent_conv_id
+  FROM node n LEFT JOIN prefix p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN node u ON u.depth = p.depth AND u.k = p.k
+),
+fan AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN fan USING (depth, k)),
+below AS (
+  SELECT a.depth, a.k, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM counted c JOIN prefix a ON a.conv_id = c.conv_id AND a.depth <= c.depth GROUP BY a.depth, a.k
+),
+whole AS (SELECT conv_id, max(depth) AS depth FROM prefix GROUP BY conv_id),
+ends AS (SELECT depth, k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS members FROM whole JOIN prefix USING (conv_id, depth) GROUP BY depth, k)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(members, '')) AS ends_sha256
+FROM counted JOIN below USING (depth, k) LEFT JOIN ends USING (depth, k)
+"""
+
+
+def _round(n: int) -> str:
+    """The assignment to the codebooks of round n, and the codebooks after it."""
+    return f"""
+best{n} AS MATERIALIZED (
+  SELECT row, p, any_value(v) AS v, min(list_sum(list_transform(list_zip(v, x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + e) AS best
+  FROM cell JOIN book{n} USING (p) GROUP BY row, p
+),
+book{n + 1} AS MATERIALIZED (
+  WITH spread AS (SELECT p, best % 64 AS e, unnest(range(len(v))) AS i, unnest(v) AS x FROM best{n}),
+  mean AS (SELECT p, e, i, sum(x)::BIGINT AS s, count(*) AS c FROM spread GROUP BY p, e, i),
+  moved AS (SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY i) AS x FROM mean GROUP BY p, e)
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{n} b LEFT JOIN moved m USING (p, e)
+),"""
+
+
+OP12_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+width AS (SELECT max(len(v)) // 16 AS w FROM kept),
+cell AS MATERIALIZED (SELECT row, p, v[p * w + 1 : p * w + w] AS v FROM kept, range(16) t(p), width),
+first AS (SELECT vec_id, any_value(row) AS row, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept GROUP BY vec_id ORDER BY vec_id LIMIT 64),
+book0 AS MATERIALIZED (SELECT p, e, v AS x FROM first JOIN cell USING (row)),{_round(0)}{_round(1)}{_round(2).split("book3")[0].rstrip().rstrip(",")},
+coded AS (SELECT row, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error FROM best2 GROUP BY row),
+entries AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row), entries
+"""
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_html, op4_secrets, op5_ann, op6_licenses, op7_chat, op8_mixing, op9_embed_dedup, op10_toxicity, op11_trie, op12_codes, op13_pieces)}
+ORACLE_SQL = {"op7_chat": OP7_SQL, "op8_mixing": OP8_SQL, "op11_trie": OP11_SQL, "op12_codes": OP12_SQL}
