@@ -33,7 +33,7 @@ class Sort:
 
 @dataclass(frozen=True)
 class Page:
-    limit: int = 100
+    limit: int | None = 100
     offset: int = 0
 
 
@@ -148,7 +148,9 @@ def order(df: DataFrame, sorts: Sequence[Sort], tie: str) -> DataFrame:
 
 
 def page(df: DataFrame, p: Page) -> DataFrame:
-    """A page of ordered rows: at least one row and at most a thousand, from no negative offset."""
+    """A page of ordered rows: at least one row and at most a thousand, from no negative offset; all rows if the page has no limit."""
+    if p.limit is None:
+        return df.offset(max(0, p.offset))
     return df.offset(max(0, p.offset)).limit(min(1000, max(1, p.limit)))
 
 

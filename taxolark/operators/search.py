@@ -75,7 +75,7 @@ def optimize(r: Request) -> Request:
     for s in r.sorts:
         sorts.setdefault(s.field, s)
     work = 30 + 10 * (len(ordered) > 5) + 15 * bool(r.aggregations) + 20 * (r.kind in ("semantic", "hybrid", "graph"))
-    page = ff.Page(min(1000, max(1, r.window.limit)), max(0, r.window.offset))
+    page = ff.Page(None if r.window.limit is None else min(1000, max(1, r.window.limit)), max(0, r.window.offset))
     return replace(r, filters=tuple(ordered), sorts=tuple(sorts.values()), aggregations=tuple(agg.distinct_requests(r.aggregations)), window=page, timeout=work)
 
 
@@ -188,6 +188,10 @@ class Engine:
             raise ValueError(f"no processor for {r.kind}")
         return self.processors[r.kind](self.df, r, self.shape)
 
+    def matching(self, r: Request) -> DataFrame:
+        """All rows that a request matches, whatever its page."""
+        return self.run(replace(r, window=ff.Page(None)))
+
     def by_ids(self, ids: Sequence) -> DataFrame:
         return self.df.where(F.col(self.shape.key).isin(*ids))
 
@@ -250,12 +254,16 @@ def api_shape(results: DataFrame, shape: Shape, fields: Sequence[str] = ()) -> D
     return results.select(F.col(shape.key).cast("string").alias("id"), kind.alias("entity_type"), score.alias("score"), F.to_json(F.struct(*own)).alias("data"))
 
 
-def api_response(results: DataFrame, shape: Shape, request: Request, fields: Sequence[str] = ()) -> DataFrame:
-    """One row (success, total, response): an answer of an API; its page is bounded by the request's window."""
-    page = api_shape(results, shape, fields).limit(min(1000, request.window.limit))
+def api_response(engine: Engine, request: Request, fields: Sequence[str] = ()) -> DataFrame:
+    """One row (success, total, response): an answer of an API.
+
+    The response holds the request's page; the total is that of all rows that match it.
+    """
+    page = api_shape(engine.run(request), engine.shape, fields)
+    every = engine.matching(request).agg(F.count(F.lit(1)).alias("total"))
     listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), "id", "entity_type", "score", "data")))
-    one = page.agg(F.count(F.lit(1)).alias("total"), F.transform(listed, lambda x: F.struct(x["id"].alias("id"), x["entity_type"].alias("entity_type"), x["score"].alias("score"), x["data"].alias("data"))).alias("results"))
-    return one.select(F.lit(True).alias("success"), "total", F.to_json(F.struct(F.lit(request.kind).alias("query_type"), "total", "results")).alias("response"))
+    one = page.agg(F.transform(listed, lambda x: F.struct(x["id"].alias("id"), x["entity_type"].alias("entity_type"), x["score"].alias("score"), x["data"].alias("data"))).alias("results"))
+    return one.crossJoin(F.broadcast(every)).select(F.lit(True).alias("success"), "total", F.to_json(F.struct(F.lit(request.kind).alias("query_type"), "total", "results")).alias("response"))
 
 
 # --- history ----------------------------------------------------------------------

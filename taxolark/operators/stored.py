@@ -39,6 +39,11 @@ def drop(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder with all that it holds, if it is there."""
+    _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolark.functions import text as tf
+from taxolark.operators.editjoin import near_texts
 from taxolark.operators.stored import stored
 
 #: Least score that counts as valid, by strictness; a permissive check takes any value.
@@ -17,9 +18,9 @@ LEVELS = {"strict": 0.6, "moderate": 0.6, "flexible": 0.4, "permissive": 0.0}
 def matches(values: DataFrame, terms: DataFrame, fuzzy: float = 0.8) -> DataFrame:
     """(value, term_id, score, kind): the best match of each distinct value.
 
-    Equal after normalizing 1, an alias .95, else Levenshtein similarity from ``fuzzy`` on.
-    Fuzzy candidates share a bigram, which every pair that near does unless both are
-    shorter than two letters. Ties go to the earlier kind and the smaller term_id.
+    Equal after normalizing 1, an alias .95, else Levenshtein similarity from ``fuzzy`` on,
+    which lies above 0; candidates come from a join by edits, which computes at once.
+    Ties go to the earlier kind and the smaller term_id.
     """
     own = values.select(F.col("value")).where("value is not null").distinct().withColumn("norm", tf.normalize_term(F.col("value")))
     known = terms.select("term_id", tf.normalize_term(F.col("term")).alias("name"))
@@ -29,9 +30,8 @@ def matches(values: DataFrame, terms: DataFrame, fuzzy: float = 0.8) -> DataFram
     if alias is not None:
         parts = parts.unionByName(own.join(alias, F.col("norm") == F.col("name")).select("value", "term_id", F.lit(0.95).alias("score"), F.lit(1).alias("rank")))
     rest = own.join(exact.select("value").distinct(), "value", "left_anti")
-    grams = known.withColumn("g", F.explode(tf.bigrams(F.col("name"))))
-    pairs = rest.withColumn("g", F.explode(tf.bigrams(F.col("norm")))).join(grams, "g").select("value", "norm", "term_id", "name").distinct()
-    near = pairs.withColumn("score", tf.levenshtein_similarity(F.col("norm"), F.col("name"))).where(F.col("score") >= fuzzy)
+    close = near_texts(rest.select(F.col("norm").alias("text")), known.select(F.col("name").alias("text")), fuzzy)
+    near = rest.join(close, F.col("norm") == F.col("x")).join(known, F.col("y") == F.col("name"))
     parts = parts.unionByName(near.select("value", "term_id", "score", F.lit(2).alias("rank")))
     best = Window.partitionBy("value").orderBy(F.desc("score"), "rank", "term_id")
     kind = F.element_at(F.array(F.lit("exact"), F.lit("alias"), F.lit("fuzzy")), F.col("rank") + 1)
@@ -202,22 +202,40 @@ def hierarchical(nodes: DataFrame, pairs: DataFrame, levels: Sequence[float]) ->
 class Hierarchy:
     """Terms by their parents: ``reached`` (term_id, parent_term_id, root_id, depth, path of term_ids), from the terms without a known parent down.
 
-    Terms in a circle hang from no root and aren't reached. ``depth`` bounds the levels below the roots.
+    Paths of any length are found by doubling: in a round a term takes the path of the
+    term that its own begins below, so a chain of a thousand takes ten rounds. Terms in a
+    circle, and those that hang from one, have no root: ``circular`` (term_id) reports
+    them. Made at once; of several rows of a term the smallest parent counts.
     """
 
-    def __init__(self, terms: DataFrame, vocabulary_type: str | None = None, category_id: str | None = None, depth: int = 20):
+    def __init__(self, terms: DataFrame, vocabulary_type: str | None = None, category_id: str | None = None):
         if vocabulary_type is not None:
             terms = terms.where(F.col("vocabulary_type") == vocabulary_type)
         if category_id is not None:
             terms = terms.where(F.col("category_id") == category_id)
-        own = terms.select("term_id", "parent_term_id")
+        own = terms.where("term_id is not null").groupBy("term_id").agg(F.min("parent_term_id").alias("parent_term_id"))
         known = own.select(F.col("term_id").alias("k"))
-        front = own.join(known, F.col("parent_term_id") == F.col("k"), "left_anti").select("term_id", "parent_term_id", F.col("term_id").alias("root_id"), F.lit(0).alias("depth"), F.array("term_id").alias("path"))
-        self.reached = front
-        for i in range(1, depth + 1):
-            up = front.select(F.col("term_id").alias("up"), "root_id", F.col("path").alias("above"))
-            front = own.join(up, F.col("parent_term_id") == F.col("up")).select("term_id", "parent_term_id", "root_id", F.lit(i).alias("depth"), F.concat("above", F.array("term_id")).alias("path"))
-            self.reached = self.reached.unionAll(front)
+        above = own.join(known, F.col("parent_term_id") == F.col("k"), "left")
+        done = [stored(above.where("k is null").select("term_id", "parent_term_id", F.array("term_id").alias("path")))]
+        # ``up``: the term above the path's first one
+        rest = stored(above.where("k is not null").select("term_id", "parent_term_id", F.col("k").alias("up"), F.array("term_id").alias("path")))
+        while not rest.isEmpty():
+            whole = done[0].select(F.col("term_id").alias("at"), F.col("path").alias("before"))
+            for d in done[1:]:
+                whole = whole.unionAll(d.select("term_id", "path"))
+            further = rest.select(F.col("term_id").alias("at"), F.col("up").alias("next"), F.col("path").alias("before"))
+            step = rest.join(whole.withColumn("next", F.lit(None).cast(further.schema["next"].dataType)).unionByName(further), F.col("up") == F.col("at"))
+            step = stored(step.select("term_id", "parent_term_id", F.col("next").alias("up"), F.concat("before", "path").alias("path")))
+            ended = stored(step.where("up is null").select("term_id", "parent_term_id", "path"))
+            if ended.isEmpty():  # each length up to the longest occurs, so a round without an end leaves circles alone
+                break
+            done.append(ended)
+            rest = stored(step.where("up is not null"))
+        self.circular = rest.select("term_id")
+        whole = done[0]
+        for d in done[1:]:
+            whole = whole.unionAll(d)
+        self.reached = whole.select("term_id", "parent_term_id", F.element_at("path", 1).alias("root_id"), (F.size("path") - 1).alias("depth"), "path")
 
     def path(self, term_id) -> DataFrame:
         """(term_id, place): the terms from the root to one."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taxolark.plans import searching, semantics, service, structure
+from taxolark.plans import graphs, indexes, searching, semantics, service, structure
 from taxolark.plans.registry import QUERIES, SQL
 
 
@@ -14,4 +14,4 @@ def all_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["all_queries", "all_sql", "searching", "semantics", "service", "structure"]
+__all__ = ["all_queries", "all_sql", "graphs", "indexes", "searching", "semantics", "service", "structure"]

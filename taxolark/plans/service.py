@@ -300,10 +300,13 @@ def api_results(spark, folder):
     return search.api_shape(search.Engine(read(spark, folder, "part"), _SHAPE).run(r), _SHAPE, ["p_name", "p_size"])
 
 
-@query("SELECT true AS success, count(*) AS total FROM (SELECT * FROM part WHERE p_name = 'hot rod' LIMIT 20)")
+@query("SELECT true AS success, count(*) AS total, least(2, count(*)) AS listed FROM part WHERE p_name = 'hot rod'")
 def api_response(spark, folder):
-    r = search.Request("exact", "Hot Rod", window=ff.Page(20))
-    return search.api_response(search.Engine(read(spark, folder, "part"), _SHAPE).run(r), _SHAPE, r, ["p_name"]).select("success", "total")
+    """A page of two, and how many there are in all."""
+    r = search.Request("exact", "Hot Rod", window=ff.Page(2))
+    answer = search.api_response(search.Engine(read(spark, folder, "part"), _SHAPE), r, ["p_name"])
+    listed = F.size(F.from_json("response", "results array<struct<id: string>>")["results"])
+    return answer.select("success", "total", listed.cast("long").alias("listed"))
 
 
 @query("SELECT lang AS kind, count(*) AS documents, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')))::BIGINT AS sections, sum(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')))::BIGINT AS words, max(doc_id) AS updated FROM documents GROUP BY 1")
@@ -348,14 +351,14 @@ def _hanging(spark, folder) -> DataFrame:
         SELECT term_id, root_id, depth, array_to_string(path, '>') AS path FROM r"""
 )
 def vocabulary_hierarchy(spark, folder):
-    h = vocabulary.Hierarchy(_hanging(spark, folder), depth=5)
+    h = vocabulary.Hierarchy(_hanging(spark, folder))
     return h.reached.select("term_id", "root_id", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query(f"WITH {_HANGING}, t AS (SELECT min(term_id) AS top FROM terms) SELECT term_id, 1 AS distance FROM h, t WHERE parent_term_id = top UNION ALL SELECT h.term_id, 2 FROM h JOIN h u ON h.parent_term_id = u.term_id, t WHERE u.parent_term_id = top")
 def term_descendants(spark, folder):
     h = _hanging(spark, folder)
-    return vocabulary.Hierarchy(h, depth=5).descendants(h.agg(F.min("term_id")).first()[0], 2)
+    return vocabulary.Hierarchy(h).descendants(h.agg(F.min("term_id")).first()[0], 2)
 
 
 @query("SELECT DISTINCT p_name AS value, CASE WHEN contains(p_name, 'red') THEN 'colour' WHEN regexp_matches(p_name, 'rod$') THEN 'bar' END AS term FROM part")
