@@ -35,10 +35,11 @@ class Template:
         return "(" + "|".join(re.sub(r"([\[\]|<>/\\])", r"\\\1", c).replace(r"\<", "<").replace(r"\>", ">").replace(r"\/", "/") for c in self.control) + ")"
 
     def escape(self, text: Column) -> Column:
-        return F.regexp_replace(text, F.lit(r"(\\*)" + self.pattern), F.lit(r"\\$1$2"))
+        """A run of backslashes is looked at once, from its start and whole, so the time is in proportion to the text."""
+        return F.regexp_replace(text, F.lit(r"(?<!\\)(\\*+)" + self.pattern), F.lit(r"\\$1$2"))
 
     def unescape(self, text: Column) -> Column:
-        return F.regexp_replace(text, F.lit(r"\\(\\*)" + self.pattern), F.lit("$1$2"))
+        return F.regexp_replace(text, F.lit(r"(?<!\\)\\(\\*+)" + self.pattern), F.lit("$1$2"))
 
     def escape_role(self, role: Column) -> Column:
         """A role is one line: its backslashes and line ends are escaped."""

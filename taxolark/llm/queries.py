@@ -73,6 +73,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("trained").cast("long").alias("loss_chars"),
         F.sha2("trained", 256).alias("loss_sha256"),
         F.length("text").cast("long").alias("formatted_chars"),
+        "valid",
+        "bad_turn",
     )
 
 
@@ -116,6 +118,9 @@ def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _T = chat.Template()
 
+_MOVES = ", ".join(f"'{a}>{b}'" for a, after in _T.turns.items() for b in after)
+_LAST = ", ".join(f"'{r}'" for r in _T.last)
+
 OP7_SQL = f"""
 WITH own(conv_id, turn, role, text) AS (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 said AS (
@@ -123,15 +128,21 @@ said AS (
   UNION ALL SELECT * FROM own
 ),
 marked AS (
-  SELECT *, regexp_replace(text, '(\\\\*){_T.pattern}', '\\\\\\1\\2', 'g') AS safe FROM said
-)
-SELECT conv_id,
+  SELECT *, regexp_replace(text, '(\\\\*){_T.pattern}', '\\\\\\1\\2', 'g') AS safe,
+         row_number() OVER w - 1 AS place, lag(role, 1, '') OVER w || '>' || role NOT IN ({_MOVES}) AS bad
+  FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+),
+told AS (
+  SELECT conv_id,
        count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum({len(_T.begin)} + length(role) + 1 + length(safe) + {len(_T.end) + 2})::BIGINT AS formatted_chars
-FROM marked GROUP BY conv_id
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({len(_T.begin)} + length(role) + 1 + length(safe) + {len(_T.end) + 2})::BIGINT AS formatted_chars,
+       coalesce(min(place) FILTER (bad), CASE WHEN arg_max(role, place) NOT IN ({_LAST}) THEN count(*) END) AS bad_turn
+  FROM marked GROUP BY conv_id
+)
+SELECT *, bad_turn IS NULL AS valid FROM told
 """
 
 OP8_SQL = r"""

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -555,6 +556,18 @@ def test_chat_round_trip(spark):
         assert r["trained"] == "".join(x[3] or "" for x in own if x[2] == "assistant")
 
 
+def test_chat_of_many_backslashes(spark):
+    """Time in proportion to the text: a run of 200,000, before a control string and not."""
+    texts = ["\\" * 200_000, "\\" * 200_001 + "</s>", ("\\" * 1000 + "x") * 200, "<s>" * 20_000]
+    df = spark.createDataFrame([(c, 0, "assistant", t) for c, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    start = time.time()
+    out = chat.conversations(df).withColumn("text", chat.formatted(F.col("segments")))
+    got = {r["conv_id"]: r for r in out.select("conv_id", "text", chat.parse(F.col("text")).alias("turns"), chat.trained_text(F.col("segments")).alias("trained")).collect()}
+    assert time.time() - start < 20
+    assert [(got[c]["turns"][0]["text"], got[c]["trained"]) for c in range(4)] == [(t, t) for t in texts]
+    assert "\\" * 200_002 + "</s>" in got[1]["text"] and "\\" * 200_001 not in got[0]["text"]
+
+
 def test_chat_order(spark):
     rows = [(1, 0, "system"), (1, 1, "user"), (1, 2, "assistant"), (2, 0, "assistant"), (3, 0, "user"), (3, 1, "user"), (3, 2, "assistant"), (4, 0, "user"), (5, 0, "user"), (5, 1, "assistant"), (5, 1, "assistant"), (None, None, "user"), (None, 1, "assistant")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string").withColumn("text", F.lit("t"))
