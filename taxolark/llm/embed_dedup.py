@@ -146,23 +146,28 @@ def near_duplicates(rows: DataFrame, shelf: Shelf | None = None, threshold: floa
 
     Two vectors are linked if their cosine in double precision is at least the
     threshold. ``n_links`` counts the other rows linked directly; the component is named
-    by its smallest vec_id and that row is kept. Rows that take no part (see
-    vectors.usable) have no links and are components of their own; without a vec_id
-    they aren't kept. Equal vectors are compared once and counted as often as they
-    occur. Finite components may be as large or small as doubles are. Other columns are
+    by its smallest vec_id and that row is kept. Rows of one vec_id with unlike vectors
+    are rows like any others, each with its own links; a row without vec_id links too,
+    but names no component and isn't kept (a component of such rows alone has a null
+    name). Rows that take no part (see vectors.usable) have no links and are components
+    of their own. Equal vectors are compared once and counted as often as they occur.
+    Finite components may be as large or small as doubles are. Other columns are
     ignored; no rows give no rows. ``block_rows`` overrides the size of a block.
     """
     shelf = shelf or Shelf(rows.sparkSession)
-    found = usable(rows).select("vec_id", "v", *same())
-    classes = shelf.put(found.groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.min_by("v", "vec_id").alias("v")))
+    found = usable(rows, ids=False).select("vec_id", "v", *same())
+    classes = found.groupBy("k1", "k2").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.any_value("v").alias("v"))
+    classes = shelf.put(classes.withColumn("node", F.monotonically_increasing_id()))  # a number of the table as written
     d = width(classes)
     linked = shelf.put(_linked(padded(classes, d), d, threshold, shelf, block_rows)) if d else classes.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("root"))
     count = linked.groupBy("node").agg(F.sum("links").alias("links"))
     component = components(linked.select(F.col("root").alias("a"), F.col("node").alias("b")), shelf)
-    label = classes.select("k1", "k2", "node", "weight").join(count, "node", "left").join(component, "node", "left")
-    members = found.select("vec_id", "k1", "k2").join(label, ["k1", "k2"])
-    some = members.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = some.unionAll(unusable(rows).select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
+    label = classes.select("k1", "k2", "node", "weight", "low").join(count, "node", "left").join(component, "node", "left")
+    label = shelf.put(label.withColumn("component", F.coalesce("component", "node")))
+    names = label.groupBy("component").agg(F.min("low").alias("name"))
+    members = found.select("vec_id", "k1", "k2").join(label.join(names, "component"), ["k1", "k2"])
+    some = members.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.col("name").alias("component_id"))
+    out = some.unionAll(unusable(rows, ids=False).select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

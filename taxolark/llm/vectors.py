@@ -10,24 +10,24 @@ from pyspark.sql import functions as F
 from taxolark.llm.tables import pick
 
 
-def _takes_part() -> Column:
+def _takes_part(ids: bool) -> Column:
     v = F.col("embedding").cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.col("vec_id").isNotNull() & finite & F.exists(v, lambda x: x != 0)
+    return (F.col("vec_id").isNotNull() | F.lit(not ids)) & finite & F.exists(v, lambda x: x != 0)
 
 
-def usable(rows: DataFrame) -> DataFrame:
+def usable(rows: DataFrame, ids: bool = True) -> DataFrame:
     """(vec_id, v array<double>) of rows (vec_id, embedding) that take part.
 
-    Left out: rows without vec_id, and vectors that are null, empty or zero or hold a
+    Left out: rows without vec_id if ``ids`` are asked for, and vectors that are null, empty or zero or hold a
     null or non-finite component. Components are doubles from here on.
     """
-    return pick(rows, "vec_id", "embedding").where(_takes_part()).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+    return pick(rows, "vec_id", "embedding").where(_takes_part(ids)).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
 
 
-def unusable(rows: DataFrame) -> DataFrame:
+def unusable(rows: DataFrame, ids: bool = True) -> DataFrame:
     """(vec_id) of the other rows, one for each."""
-    return pick(rows, "vec_id", "embedding").where(~F.coalesce(_takes_part(), F.lit(False))).select(F.col("vec_id").cast("long"))
+    return pick(rows, "vec_id", "embedding").where(~F.coalesce(_takes_part(ids), F.lit(False))).select(F.col("vec_id").cast("long"))
 
 
 def width(found: DataFrame) -> int:

@@ -163,31 +163,47 @@ def usable(rows):
     return [(i, np.array(v + [0.0] * (16 - len(v)))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
 
 
+def plain_links(rows):
+    """(vec_id, n_links, component_id, kept) of each row."""
+    good = [(n, np.array(v + [0.0] * (16 - len(v)))) for n, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    m = np.array([v / np.linalg.norm(v) for _, v in good]).reshape(len(good), -1)
+    near = m @ m.T >= 0.95
+    own = [n for n, _ in good]
+    root = reachable(set(own), [(own[i], own[j]) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
+    name = {}
+    for n in own:
+        name[root[n]] = min((x for x in (name.get(root[n]), rows[n][0]) if x is not None), default=None)
+    out = []
+    for n, (i, _) in enumerate(rows):
+        links, component = (int(near[own.index(n)].sum()) - 1, name[root[n]]) if n in root else (0, i)
+        out.append((i, links, component, i is not None and i == component))
+    return sorted(out, key=str)
+
+
 @pytest.mark.parametrize("block", [None, 40])
 def test_embeddings(spark, block):
     rows = vector_rows()
     df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = embed_dedup.near_duplicates(df, block_rows=block).collect()
-    assert len(got) == len(rows)
-    good = usable(rows)
-    m = np.array([v / np.linalg.norm(v) for _, v in good])
-    near = m @ m.T >= 0.95
-    ids = [i for i, _ in good]
-    links = [(ids[i], ids[j]) for i, j in zip(*np.nonzero(near), strict=True) if i < j]
-    want = reachable(set(ids), links)
-    for r in got:
-        if r["vec_id"] in want:
-            at = ids.index(r["vec_id"])
-            assert (r["n_links"], r["component_id"], r["kept"]) == (near[at].sum() - 1, want[r["vec_id"]], want[r["vec_id"]] == r["vec_id"])
-        else:
-            assert (r["n_links"], r["component_id"], r["kept"]) == (0, r["vec_id"], r["vec_id"] is not None)
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == plain_links(rows)
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_one_id_and_of_none(spark):
+    """Unlike vectors under one vec_id each have their own links; rows without an id count, and join what they link."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v, i: [x + (0.05 + 0.01 * i) * (n == i % 3) for n, x in enumerate(v)]
+    rows = [(5, a), (5, b), (2, near(a, 1)), (3, near(b, 2)), (9, near(b, 3)), (None, c), (None, near(c, 1)), (None, near(a, 4)), (1, None)]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    found = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str)
+    assert found == plain_links(rows)
+    assert [x[1:3] for x in found if x[0] == 5] == [(2, 2), (2, 3)]
+
+
 def test_embeddings_keep_unusable_rows_of_a_usable_id(spark):
     rows = [(1, [1.0, 0.0]), (1, None), (1, [0.0, 0.0]), (1, [None, 1.0]), (2, [float("inf"), 1.0]), (None, [1.0, 0.0])]
     got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, 0, False), *[(1, 0, 1, True)] * 4, (2, 0, 2, True)]
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == [(0, 1, 1, False), *[(1, 0, 1, True)] * 3, (1, 1, 1, True), (2, 0, 2, True)]
 
 
 def test_tiles_dense_and_sparse(monkeypatch):
