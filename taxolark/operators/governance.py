@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LEVELS = {"read": 1, "write": 2, "admin": 3, "system": 4}
@@ -63,3 +63,35 @@ def ingestion_stats(items: DataFrame) -> DataFrame:
 def sessions_valid(sessions: DataFrame, now, hours: int = 24) -> DataFrame:
     """Sessions (last_seen) that have not been idle for so long."""
     return sessions.where(F.col("last_seen") > F.lit(now).cast("timestamp_ntz") - F.make_interval(hours=F.lit(hours)))
+
+
+class MetricLog:
+    """Recorded metrics in a folder that all machines share, a partition for each day; what is recorded is only added to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def record(self, metrics: DataFrame) -> None:
+        """Adds rows (name string, value double, at timestamp, key string); rows without name, value or time are no metrics."""
+        own = metrics.select("name", F.col("value").cast("double").alias("value"), F.col("at").cast("timestamp").alias("at"), F.col("key").cast("string").alias("key"))
+        own = own.where("name is not null and value is not null and at is not null").withColumn("day", F.to_date("at"))
+        own.write.mode("append").partitionBy("day").parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema("name string, value double, at timestamp, key string, day date").parquet(self.path)
+
+    def last(self, n: int, name: str | None = None) -> DataFrame:
+        """The newest rows, ties by key: only the last days that hold so many are read."""
+        rows = self.rows() if name is None else self.rows().where(F.col("name") == name)
+        held, since = 0, None
+        for r in rows.groupBy("day").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("day")).limit(n).collect():  # a day holds a row at least
+            held, since = held + r["n"], r["day"]
+            if held >= n:
+                break
+        own = rows if since is None else rows.where(F.col("day") >= F.lit(since))
+        return own.orderBy(F.desc("at"), F.desc("key")).limit(n).drop("day")
+
+    def summary(self, since=None) -> DataFrame:
+        """(name, n, mean, least, most, p95) of the days from one on."""
+        rows = self.rows() if since is None else self.rows().where(F.col("day") >= F.lit(since).cast("date"))
+        return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.percentile_approx("value", 0.95, 10_000).alias("p95"))

@@ -33,7 +33,7 @@ def _walk(pairs: pd.DataFrame) -> pd.DataFrame:
 
 
 def settle(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, leads) of items (id, rank): ``pairs`` (a, b) with a ranked before b are the items near enough.
+    """(node, leads) of items (id, rank): ``pairs`` (a, b) with a ranked before b are the items near enough; computes at once.
 
     Every item is settled, however long chains are. Ranks are distinct; nodes and pairs
     without rows are settled likewise; a pair with an unknown or null item has no effect.
@@ -75,7 +75,7 @@ def settle(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, leader) of items (id), in order of id: ``pairs`` (a, b, ...) with a before b are the items near enough; a leader leads itself.
+    """(id, leader) of items (id), in order of id: ``pairs`` (a, b, ...) with a before b are the items near enough; a leader leads itself; computes at once.
 
     An item follows its first leader by id. No rows give no rows.
     """

@@ -6,6 +6,8 @@ import math
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,7 +113,7 @@ def shortest_path(edges: DataFrame, start, end, hops: int = 5) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, edges taken both ways; nodes without edges are their own.
+    """(node, component): the smallest node reachable, edges taken both ways; nodes without edges are their own; computes at once.
 
     Labels spread to neighbours and jump to their label's label until none changes, so
     the rounds grow with the logarithm of a path's length. Each round's labels are
@@ -144,7 +146,7 @@ def clusters(nodes: DataFrame, edges: DataFrame, least_weight: float = 0.5, leas
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after so many rounds; ranks sum to 1, nodes without out-edges share theirs with all.
+    """(node, rank) after so many rounds, which compute at once; ranks sum to 1, nodes without out-edges share theirs with all.
 
     Edges and each round's ranks are written, so that a round reads what it needs and no more.
     """
@@ -159,11 +161,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 5, damping: float
         new = stored(joined.select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("idle") / n)).alias("rank")))
         drop(rank)
         rank = new
+    drop(links)
     return rank.select("node", "rank")
 
 
 def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, centrality): the share of each node in the first eigenvector, edges taken both ways, after so many rounds of x + Ax.
+    """(node, centrality): the share of each node in the first eigenvector, edges taken both ways, after so many rounds of x + Ax, which compute at once.
 
     Values are scaled to a largest of 1; a node without edges has 0, and so have all if there are none.
     """
@@ -178,6 +181,7 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFra
         new = stored(raw.crossJoin(F.broadcast(top)).select("node", F.when(F.col("top") > 0, F.col("x") / F.col("top")).otherwise(0.0).alias("x")))  # top is one row
         drop(value, raw)
         value = new
+    drop(both)
     return value.select("node", F.col("x").alias("centrality"))
 
 
@@ -226,7 +230,7 @@ def pattern(edges: DataFrame, relations: Sequence[str]) -> DataFrame:
 
 
 #: Rows of a block of either side, of which each pair of blocks is a task's work.
-BLOCK = 4096
+BLOCK = 2048
 
 
 def similarity_edges(left: DataFrame, right: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
@@ -236,8 +240,10 @@ def similarity_edges(left: DataFrame, right: DataFrame, threshold: float, most:
     only if their ranges of cosines with that axis can hold vectors of the threshold:
     the angle between two vectors is at least the difference of their angles with it.
     With a threshold of -1 or less the result is the whole product. The test is of the
-    exact cosine, the confidence is rounded. Null and zero vectors are near nothing; a
-    row isn't paired with its own id; repeated rows are paired each.
+    exact cosine, the confidence is rounded. Null and zero vectors are near nothing, and
+    neither are vectors of unlike lengths; a row isn't paired with its own id; repeated
+    rows are paired each. A pair of blocks is multiplied at once, in a task. The blocks are
+    written at once, the pairs are not.
     """
     cores = left.sparkSession.sparkContext.defaultParallelism
     a, b = (_dealt(t, cores) for t in (left, right))
@@ -246,11 +252,32 @@ def similarity_edges(left: DataFrame, right: DataFrame, threshold: float, most:
     rb = F.broadcast(rb.toDF("other", "olo", "ohi"))  # a row for each block
     plan = stored(ra.join(rb, (F.col("lo") - F.col("ohi") <= reach) & (F.col("olo") - F.col("hi") <= reach)).select("block", "other"))
     parts = max(1, min(plan.count(), 10_000))
-    sent = a.select(F.col("id").alias("source"), F.col("unit").alias("ua"), "block").join(plan, "block").repartition(parts, "block", "other")
-    theirs = b.select(F.col("id").alias("target"), F.col("unit").alias("ub"), F.col("block").alias("other")).join(plan, "other").repartition(parts, "block", "other")
-    cosine = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = sent.join(theirs, ["block", "other"]).where(F.col("source") != F.col("target")).select("source", "target", cosine.alias("exact"))
-    found = met.where(F.col("exact") >= threshold).select("source", "target", F.round("exact", 6).alias("confidence"))
+    sent = a.select(F.col("id").alias("source"), F.col("unit").alias("u"), "block").join(plan, "block").repartition(parts, "block", "other")
+    theirs = b.select(F.col("id").alias("target"), F.col("unit").alias("u"), F.col("block").alias("other")).join(plan, "other").repartition(parts, "block", "other")
+    kinds = ", ".join(f"{n} {t.schema['id'].dataType.simpleString()}" for n, t in (("source", left), ("target", right)))
+
+    def products(x: pa.Table, y: pa.Table) -> pa.Table:
+        """All products of two blocks at once; of each source the best few, if no more are asked for. Unlike lengths have none."""
+        source, target, found = [], [], []
+        ids = [t[n].combine_chunks() for t, n in ((x, "source"), (y, "target"))]
+        sizes = [np.diff(t["u"].combine_chunks().offsets.to_numpy()) if t.num_rows else np.zeros(0, dtype=int) for t in (x, y)]
+        for d in np.intersect1d(*sizes):
+            own = [np.flatnonzero(n == d) for n in sizes]
+            u, v = (t["u"].combine_chunks().take(pa.array(i)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d) for t, i in zip((x, y), own, strict=True))
+            cosine = u @ v.T
+            i, j = np.nonzero(cosine >= threshold)
+            if most is not None and len(j) > most * len(u):
+                kth = -np.partition(-cosine, most, axis=1)[:, most] if cosine.shape[1] > most else np.full(len(u), -np.inf)
+                near = cosine[i, j] >= kth[i] - 1e-6  # an own id may be among them, and confidences are rounded
+                i, j = i[near], j[near]
+            source.append(own[0][i])
+            target.append(own[1][j])
+            found.append(cosine[i, j])
+        take = [pa.array(np.concatenate(k) if k else np.zeros(0, dtype=np.int64)) for k in (source, target)]
+        return pa.table({"source": ids[0].take(take[0]), "target": ids[1].take(take[1]), "exact": pa.array(np.concatenate(found) if found else np.zeros(0))})
+
+    met = sent.groupBy("block", "other").cogroup(theirs.groupBy("block", "other")).applyInArrow(products, f"{kinds}, exact double")
+    found = met.where(F.col("source") != F.col("target")).select("source", "target", F.round("exact", 6).alias("confidence"))
     if most is None:
         return found
     best = Window.partitionBy("source").orderBy(F.desc("confidence"), "target")

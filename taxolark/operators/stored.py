@@ -5,11 +5,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Of each application the folder of its tables; of each open scope the tables made in it.
+_roots: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one in a local session without it, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -22,16 +28,34 @@ def folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, written and read again; they are deleted by ``drop``, or when the driver ends."""
+    """The rows, written and read again; they are deleted by ``drop``, at the end of the innermost ``scope``, or when the driver ends."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/stored-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = f"{folder(spark)}/stored-{uuid.uuid4().hex}"
+        atexit.register(_delete, spark, _roots[app])
+    path = f"{_roots[app]}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_stored"] = path
-    atexit.register(_delete, spark, path)
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end what was ``stored`` inside, for a driver that lives long: results are to be written or collected before.
+
+    ``with scope(): relations.pagerank(nodes, edges).write.parquet(path)``
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        drop(*_scopes.pop())
+
+
 def drop(*tables: DataFrame) -> None:
     """Of tables from ``stored`` that no later plan reads; others are left alone."""
     for df in tables:

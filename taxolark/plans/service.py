@@ -422,7 +422,31 @@ def valid_sessions(spark, folder):
 
 @query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
 def recorded_metrics(spark, folder):
-    return search.last_n(read(spark, folder, "events"), 1000, "ts", "event_id").select("event_id")
+    """Metrics recorded in two goes, and the last thousand read back."""
+    log, e = governance.MetricLog(spark, _place(spark, "metrics")), read(spark, folder, "events")
+    metrics = e.select(F.col("event_type").alias("name"), "value", F.col("ts").alias("at"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("key"))
+    log.record(metrics.where("name <> 'error'"))
+    log.record(metrics.where("name = 'error'"))
+    return log.last(1000).select(F.col("key").cast("long").alias("event_id"))
+
+
+@query("SELECT event_type AS name, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1")
+def metric_summary(spark, folder):
+    log, e = governance.MetricLog(spark, _place(spark, "metrics")), read(spark, folder, "events")
+    log.record(e.select(F.col("event_type").alias("name"), "value", F.col("ts").alias("at"), F.col("event_id").alias("key")))
+    return log.summary("2024-01-10").select("name", "n", F.round("mean", 6).alias("mean"), "least", "most")
+
+
+@query("SELECT p_partkey AS item_id, p_name AS title, [p_brand, p_type] AS path, p_size AS size FROM part")
+def exported_items(spark, folder):
+    """Items written as JSON lines and as one CSV row each, read back from both: the nested field from the first, numbers from the second."""
+    at, p = _place(spark, "export"), read(spark, folder, "part")
+    own = p.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.array("p_brand", "p_type").alias("path"), F.col("p_size").alias("size"))
+    items.export(own, f"{at}/json", "json")
+    items.export(own.withColumn("path", F.array_join("path", "/")), f"{at}/csv", "csv")
+    told = spark.read.schema(own.schema).json(f"{at}/json").select("item_id", "title", "path")
+    flat = spark.read.schema("item_id long, title string, path string, size int").csv(f"{at}/csv", header=True, escape='"', multiLine=True)
+    return told.join(flat.select("item_id", "size"), "item_id")
 
 
 @query("SELECT p_partkey, upper(p_name) AS name FROM part WHERE p_size > 25")

@@ -283,6 +283,19 @@ def mapping_as_of(spark, folder):
     return mapping.apply_mappings(read(spark, folder, "events"), m, "event_type", "ts").select("event_id", "mapped")
 
 
+@query(
+    """WITH m AS (SELECT event_type AS from_term, 'user ' || user_id AS to_term, ts AS valid_from, CASE WHEN event_id % 7 > 0 THEN ts + to_hours((value / 20)::INT) END AS valid_to FROM events WHERE value > 140)
+       SELECT event_id, coalesce(arg_max(to_term, (valid_from, to_term)) FILTER (valid_from <= ts AND (valid_to IS NULL OR ts < valid_to)), event_type) AS mapped
+       FROM events LEFT JOIN m ON event_type = from_term GROUP BY event_id, event_type"""
+)
+def applied_mappings(spark, folder):
+    """Each event's term by the latest mapping that is valid then; mappings overlap, and some are open."""
+    e = read(spark, folder, "events")
+    hours = F.make_interval(hours=F.rint(F.col("value") / 20).cast("int"))
+    m = e.where("value > 140").select(F.col("event_type").alias("from_term"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("to_term"), F.col("ts").alias("valid_from"), F.when(F.col("event_id") % 7 > 0, F.col("ts") + hours).alias("valid_to"))
+    return mapping.apply_mappings(e, m, "event_type", "ts").select("event_id", "mapped")
+
+
 # --- vectors --------------------------------------------------------------------------------------------
 
 _V = "SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings"
@@ -434,7 +447,10 @@ def expand_relationships(spark, folder):
     return relations.expand(edges(spark, folder), range(50), 2, 0.5, 0.4, 500)
 
 
-@query(f"WITH {EDGES_SQL} SELECT a.source AS n0, a.target AS n1, b.target AS n2 FROM edges a JOIN edges b ON a.target = b.source WHERE a.relation = 'similar' AND b.relation = 'related'")
+@query(
+    f"""WITH {EDGES_SQL}, x AS MATERIALIZED (SELECT source AS n0, target AS n1 FROM edges WHERE relation = 'similar'), y AS MATERIALIZED (SELECT source AS n1, target AS n2 FROM edges WHERE relation = 'related')
+        SELECT n0, n1, n2 FROM x JOIN y USING (n1)"""
+)
 def pattern_match(spark, folder):
     return relations.pattern(edges(spark, folder), ["similar", "related"])
 

@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, wherever they run and whatever folder the driver was started in; once for an application.
+
+    The driver packs it and Spark hands the file out. A cluster whose machines have the
+    package installed needs no call.
+    """
+    if (app := spark.sparkContext.applicationId) in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="taxolark-"), "taxolark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
 
 def session(name: str = "taxolark", **conf: str) -> SparkSession:
-    """A session; ``conf`` gives further settings with double underscores for dots."""
+    """A session whose workers have this package; ``conf`` gives further settings with double underscores for dots."""
     builder = SparkSession.builder.appName(name)
     settings = {
         "spark.sql.session.timeZone": "UTC",
@@ -14,4 +39,6 @@ def session(name: str = "taxolark", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
-    return builder.config(map=settings | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+    spark = builder.config(map=settings | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+    ship(spark)
+    return spark

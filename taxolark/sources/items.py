@@ -281,3 +281,14 @@ def upgrade(df: DataFrame, steps: Sequence[dict[str, Column]], version: int) ->
     for step in steps[version:]:
         df = df.withColumns(step)
     return df
+
+
+def export(df: DataFrame, path: str, form: str = "json") -> None:
+    """Rows written to a folder as JSON lines, CSV with a header, or parquet; nulls are left out of JSON and empty in CSV."""
+    writer = df.write.mode("errorifexists")
+    if form == "csv":
+        writer.option("header", True).option("escape", '"').csv(path)
+    elif form in ("json", "parquet"):
+        getattr(writer, form)(path)
+    else:
+        raise ValueError(f"form {form!r} is unknown")

@@ -294,3 +294,56 @@ def test_stateful_sessions_go_on_after_a_restart(spark, tmp_path):
     closed = {(r["key"], r["nth"]): (r["n"], r["total"], r["trail"]) for r in spark.read.parquet(out[0]).collect()}
     assert closed == {("a", 0): (3, 7.0, "z>y"), ("b", 0): (1, 5.0, "x"), ("b", 1): (1, 1.0, "y")}
     assert [(r["key"], r["total"], r["trail"]) for r in spark.read.parquet(out[1]).collect()] == [("a", 9.0, "w")]
+
+
+# --- what a session and a driver need ---------------------------------------------------------------------------------
+
+
+def test_workers_have_the_package_from_any_folder(tmp_path):
+    """The driver alone knows where the package lies."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from taxolark.session import session
+from taxolark.operators import editjoin
+spark = session("far", spark__master="local[1]", spark__ui__enabled="false", spark__driver__memory="1g", spark__sql__shuffle__partitions="1")
+df = spark.createDataFrame([("abcd",), ("abce",)], "text string")
+print("pairs", editjoin.near_texts(df, df, 0.7).count())
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "pairs 4" in out.stdout, out.stderr[-2000:]
+
+
+def test_tables_of_a_scope_go_with_it(spark):
+    import os
+
+    from taxolark.operators import relations
+    from taxolark.operators.stored import _roots, scope, stored
+
+    outer = stored(spark.range(3))
+    nodes, edges = spark.range(5).toDF("node"), spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "source long, target long, confidence double")
+    place = _roots[spark.sparkContext.applicationId].removeprefix("file:")
+    before = set(os.listdir(place))
+    with scope():
+        assert relations.components(nodes, edges).where("component = 0").count() == 3 and relations.pagerank(nodes, edges).count() == 5
+        assert set(os.listdir(place)) > before
+    assert set(os.listdir(place)) == before and outer.count() == 3
+
+
+def test_metric_log(spark, tmp_path):
+    from taxolark.operators.governance import MetricLog
+
+    log = MetricLog(spark, str(tmp_path / "m"))
+    rows = spark.range(400).select(F.lit("took").alias("name"), F.col("id").cast("double").alias("value"), F.timestamp_seconds(1_700_000_000 + 3600 * F.col("id")).alias("at"), F.col("id").alias("key"))
+    log.record(rows.where("id < 300"))
+    log.record(rows.where("id >= 300").unionByName(spark.createDataFrame([(None, 1.0, None, 1), ("took", None, None, 2)], "name string, value double, at timestamp, key long")))
+    assert [float(r["value"]) for r in log.last(5).collect()] == [399.0, 398.0, 397.0, 396.0, 395.0]
+    assert log.last(1000, "took").count() == 400 and log.last(3, "other").count() == 0
+    one = log.summary().first()
+    assert (one["n"], one["mean"], one["least"], one["most"], one["p95"]) == (400, 199.5, 0.0, 399.0, 379.0)
