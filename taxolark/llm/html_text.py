@@ -43,8 +43,10 @@ FILL = frozenset(
     "area aside bar block body bottom box btn button buttons column columns container content entry group header holder icon icons inner item items left link links list main middle outer page panel "
     "popular post posts primary right row secondary section site slot stories story tertiary thread title top unit wrap wrapper x article articles bars blocks boxes form news".split()
 )
-#: Running text and table cells: never cut by name. Elements whose id may name a part of the page.
-TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote td th tr tbody thead tfoot caption dt dd figcaption".split())
+#: Headings and table cells: never cut by name. Running text: cut by class alone. Elements whose id may name a part of the page.
+FIXED = frozenset("h1 h2 h3 h4 h5 h6 hgroup td th tr tbody thead tfoot caption dt dd".split())
+TEXT = frozenset("p pre blockquote figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 BY_ID = frozenset("div section ul ol menu dl table center header".split())
 #: Labels of links that lead around a site.
 LABELS = frozenset("home start about about-us contact contact-us next previous prev back top back-to-top login log-in logout register sign-in sign-up share tweet facebook twitter instagram linkedin youtube pinterest reddit whatsapp email print rss subscribe newsletter privacy privacy-policy imprint impressum terms sitemap search menu help faq jobs careers news blog".split())
@@ -52,7 +54,9 @@ GOOD_WORDS = frozenset("article body content entry main page post story text blo
 KEEP = frozenset("article main body html".split())
 #: Words of a name that reader comments have, wherever they stand; words by which prose inside an article isn't cut.
 COMMENTS = frozenset("comment comments commentlist disqus".split())
-WEAK = frozenset("related recommended recommendations widget widgets search reply replies respond promoted".split())
+WEAK = frozenset("widget widgets search respond".split())
+#: Share of the page's text from which an element is more than a part of its frame.
+MUCH = 1 / 3
 #: Prose that makes a form a part of the page's frame: characters, or a share of the page's text with one block as long.
 FORM_PROSE, FORM_BLOCK = 400, 80
 
@@ -222,13 +226,28 @@ def _marks(name: str) -> bool:
     return bool(words & CUT_WORDS) and all(w in CUT_WORDS or w in FILL or w.isdigit() for w in words)
 
 
+def _mostly(name: str) -> bool:
+    """Whether at most a third of a name's words are of another kind."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return bool(CUT_WORDS & {*words}) and 3 * sum(w in CUT_WORDS or w in FILL or w.isdigit() for w in words) >= 2 * len(words)
+
+
 class _Links:
-    """Of elements, whether less than a third of the text is in links; the whole tree is summed up at the first question."""
+    """Of elements, how much text they hold and how much of it in links; the whole tree is summed up at the first question."""
 
     def __init__(self, root: Node):
         self.root, self.sums = root, None
 
     def prose(self, node: Node) -> bool:
+        """Whether less than a third of the text is in links."""
+        chars, linked = self.counted(node)
+        return 3 * linked < chars
+
+    def little(self, node: Node) -> bool:
+        """Whether an element holds no more than a frame's part does of the page's text."""
+        return self.counted(node)[0] < MUCH * self.counted(self.root)[0]
+
+    def counted(self, node: Node) -> list[int]:
         if self.sums is None:
             order, todo, self.sums = [], [(self.root, False)], {}
             while todo:
@@ -242,8 +261,7 @@ class _Links:
                 if x.up is not None and x is not self.root:
                     for n in range(2):
                         self.sums[id(x.up)][n] += self.sums[id(x)][n]
-        chars, linked = self.sums[id(node)]
-        return 3 * linked < chars
+        return self.sums[id(node)]
 
 
 def boilerplate(node: Node, inside: bool, links: _Links) -> bool:
@@ -260,13 +278,17 @@ def boilerplate(node: Node, inside: bool, links: _Links) -> bool:
     words = node.words()
     if (node.tag == "header" or words in ({"header"}, {"site", "header"}, {"page", "header"}, {"top", "header"})) and not inside:
         return True
-    if not words & CUT_WORDS or node.tag in TEXT:
+    if not words & CUT_WORDS or node.tag in FIXED:
         return False
     names = [*attrs.get("class", "").split(), attrs.get("id", "")]
     if node.tag not in ("main", "body", "html") and any(_marks(x) and {w.lower() for w in _WORDS.findall(x)} & COMMENTS for x in names) and (node.tag not in ("li", "ol", "ul") or attrs.get("class")):
         return True
     if node.tag in KEEP or (words & {"article", "content", "story", "main"} and not words & {"ad", "ads", "advert", "comment", "comments", "sidebar", "related", "share", "social"}):
         return False
+    if node.tag in TEXT:
+        return any(_marks(name) for name in names[:-1])
+    if any(_mostly(name) for name in names[:-1]) and links.little(node):
+        return not (inside and not words & (CUT_WORDS - WEAK) and links.prose(node))
     if any(_marks(name) for name in names[:-1]):
         # inside an article prose may bear such a name as well
         return not (inside and not words & (CUT_WORDS - WEAK) and links.prose(node))
@@ -338,6 +360,40 @@ def navigation(node: Node) -> bool:
     return len(labels) > 1 and 3 * sum(x in LABELS for x in labels) >= 2 * len(labels)
 
 
+def _first_text(node: Node) -> tuple[Node, str]:
+    """The first text inside an element, and the element that it stands in."""
+    todo: list[tuple[Node, Node | str]] = [(node, k) for k in reversed(node.kids)]
+    while todo:
+        up, x = todo.pop()
+        if not isinstance(x, str):
+            todo += [(x, k) for k in reversed(x.kids)]
+        elif x.strip():
+            return up, x.strip()
+    return node, ""
+
+
+def thread(node: Node) -> bool:
+    """Whether an element holds a row of parts that are built alike and begin with a short line, such as a name: what readers wrote.
+
+    Parts that begin with a heading or a bold term are sections, and parts of one block are paragraphs.
+    """
+    if node.tag not in ("div", "section", "ul", "ol"):
+        return False
+    parts = [k for k in node.kids if isinstance(k, Node) and k.chars]
+    if len(parts) < 2 or not parts[-1].attrs.get("class") or len({(k.tag, k.attrs.get("class")) for k in parts[-2:]}) > 1:
+        return False
+    alike = [k for k in parts if (k.tag, k.attrs.get("class")) == (parts[-1].tag, parts[-1].attrs["class"])]
+    if len(alike) < len(parts) - 1:  # a heading may stand before them
+        return False
+    for k in alike:
+        up, text = _first_text(k)
+        first = next((x for x in k.kids if (x.strip() if isinstance(x, str) else _first_text(x)[1])), None)
+        told = any(isinstance(x, Node) and x is not first and x.tag in BLOCK and x.chars for x in k.kids)
+        if not told or len(text) > 40 or text[-1] in ".!?" or up.tag in HEADINGS or up.tag in ("b", "strong"):
+            return False
+    return True
+
+
 class Block:
     """One run of text between block borders, its container, and its characters inside links."""
 
@@ -396,6 +452,14 @@ def add_up(nodes: list[Node], found: list[Block]) -> None:
             node.up.linked += node.linked
 
 
+def _within(node: Node, other: Node) -> bool:
+    """Whether a node is another one or stands inside it."""
+    up: Node | None = node
+    while up is not None and up is not other:
+        up = up.up
+    return up is other
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by an empty line; empty if there is none."""
     if not html:
@@ -422,29 +486,49 @@ def main_text(html: str | None) -> str:
         return (node.score + bonus * (node.score > 0)) * (1 - node.density)
 
     best = max((x for x in nodes if x.chars), key=value)
-    if value(best) <= 0:
+    homes = [x for x in nodes if x.chars and (x.tag in ("article", "main") or x.attrs.get("role", "").lower() == "main")]
+    if value(best) <= 0 or homes:
+        # an article of short blocks, or one that the best container only surrounds
+        around = {id(best)}
+        for x in nodes:
+            if x.up is not None and id(x.up) in around:
+                around.add(id(x))
+        weak = value(best) < 10  # what a block or two score
+        inner = [x for x in homes if x is not best and (value(best) <= 0 or (id(x) in around and 2 * x.chars >= best.chars) or (weak and x.chars >= best.chars and not _within(best, x)))]
+        best = max(inner, key=lambda x: x.chars, default=best)
+    if value(best) <= 0 and best.tag not in ("article", "main") and best not in homes:
         # only short blocks: all text that isn't links
         return "\n\n".join(b.text for b in found if b.linked * 2 <= len(b.text))
     kept = {id(best)}
     least = max(10.0, value(best) * 0.2)
-    if best.up is not None and best.tag not in ("article", "main", "body"):
+    if best.tag == "article" and best.up is not None:  # articles side by side
+        kept |= {id(k) for k in best.up.kids if isinstance(k, Node) and k.tag == "article" and k.chars and k.density < 0.25 and value(k) >= least}
+    elif best.up is not None and best.tag not in ("main", "body"):
         framed = best.up.tag not in ("body", "html")  # inside a container of their own, siblings need not be long
         short = {id(b.node): b.text for b in found if _RIGHTS.search(b.text) and len(b.text) < 200} if framed else {}
         rights = {id(x) for n in nodes if id(n) in short for x in (n, n.up)}
         for kid in best.up.kids:
-            if isinstance(kid, Node) and kid is not best and kid.chars:
+            if isinstance(kid, Node) and kid is not best and kid.chars and not thread(kid):
                 prose = kid.density < 0.25 and (kid.chars > 80 or (framed and id(kid) not in rights))
                 title = kid.tag in ("h1", "h2", "h3", "hgroup", "header")
                 if value(kid) >= least or (prose and kid.tag in ("p", "pre", "blockquote", "ul", "ol", "dl", "div", "section", "table", "figure")) or title:
                     kept.add(id(kid))
+        # farther up, what scores like the article
+        at = best.up
+        while framed and at.up is not None and at.tag not in ("article", "main", "body", "html"):
+            for kid in at.up.kids:
+                if isinstance(kid, Node) and kid is not at and kid.chars and kid.density < 0.25 and value(kid) >= 0.2 * value(best) and not thread(kid):
+                    kept.add(id(kid))
+            at = at.up
     # of each kept element the kept part of the page, and the links' list, that it stands in
     part: dict[int, Node | None] = {}
     menu: dict[int, bool] = {}
+    body = sum(x.chars for x in nodes if id(x) in kept)
     for node in nodes:
         up = node.up
         inside = up is not None and part[id(up)] is not None
         part[id(node)] = node if inside or id(node) in kept else None
-        menu[id(node)] = inside and (menu[id(up)] or (node.tag in ("ul", "ol", "table", "dl") and node.density > 0.6 and navigation(node)))
+        menu[id(node)] = inside and (menu[id(up)] or (node.tag in ("ul", "ol", "table", "dl") and node.density > 0.6 and navigation(node)) or (2 * node.chars < body and thread(node)))
     return "\n\n".join(b.text for b in found if part[id(b.node)] is not None and not menu[id(b.node)])
 
 

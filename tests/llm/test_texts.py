@@ -156,7 +156,7 @@ def test_html_references_and_short_siblings():
     assert html_text.main_text(f"<article><p>{PROSE}</p><h2>References</h2><ol>{links}</ol></article>") == f"{PROSE}\n\nReferences\n\n{want}"
     box = f'<div class="post"><div><p>{PROSE}</p><p>{PROSE}</p></div><div>Short end.</div></div><div class="sidebar">{PROSE}</div>'
     assert html_text.main_text(f"<body>{box}</body>") == f"{PROSE}\n\n{PROSE}\n\nShort end."
-    assert html_text.main_text(f'<article><p>{PROSE}</p><div class="related"><p>{PROSE}</p></div><div class="related"><a href="/x">Read on here, do</a></div></article>') == f"{PROSE}\n\n{PROSE}"
+    assert html_text.main_text(f'<article><p>{PROSE}</p><div id="related"><p>{PROSE}</p></div><div class="related"><a href="/x">Read on here, do</a></div></article>') == f"{PROSE}\n\n{PROSE}"
 
 
 def test_html_nested_comments():
@@ -576,6 +576,38 @@ def test_chat_order(spark):
     assert chat.conversations(df.limit(0)).count() == 0
 
 
+RIVERS = "This paragraph has enough words, commas, and length to count as running text of an article about rivers."
+BRIDGES = "Another paragraph tells more, with commas, about bridges and the people who built them long ago."
+_R, _B = f"<p>{RIVERS}</p>", f"<p>{BRIDGES}</p>"
+_COOKIES = '<div class="cookie-notice-text">We use cookies, as all do, and you accept them by reading on here.</div>'
+_LEGAL = '<div class="site-footer-legal">Some company of this town, all rights are reserved, and more of it.</div>'
+_SAID = '<div class="post"><span>{0}</span><p>I liked this very much, thank you, and I have read it twice.</p></div>'
+_THREAD = f'<div class="discussion-thread">{_SAID.format("Anna")}{_SAID.format("Ben")}</div>'
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<article>{_R}<p class="ad">Buy our shoes now, only today, at half the price of all others.</p><p class="newsletter">Get our letter, every week, for free, and never miss a story.</p>{_B}</article>', [RIVERS, BRIDGES]),
+        (f'<article>{_R}{_B}<div class="related"><p>Read also this story, about the same river, which we liked very much.</p></div></article>', [RIVERS, BRIDGES]),
+        (f'<body>{_COOKIES}<div class="content">{_R}{_B}</div>{_LEGAL}</body>', [RIVERS, BRIDGES]),
+        (f"<article>{_COOKIES}{_R}{_B}{_LEGAL}</article>", [RIVERS, BRIDGES]),
+        (f"<article>{_R}{_B}{_THREAD}</article>", [RIVERS, BRIDGES]),
+        (f'<body><div id="x"><div class="text">{_R}{_B}</div>{_THREAD}</div></body>', [RIVERS, BRIDGES]),
+        (f"<body><main><article>{_R}{_B}</article><article>{_B}{_R}</article></main></body>", [RIVERS, BRIDGES, BRIDGES, RIVERS]),
+        (f"<body><div><div><div>{_R}{_B}{_R}</div></div><div><div>{_B}{_R}</div></div></div></body>", [RIVERS, BRIDGES, RIVERS, BRIDGES, RIVERS]),
+        ("<body><div>The best site of the town</div><article><h1>Tides</h1><p>High at six.</p><p>Low at noon.</p><p>High again at six.</p></article><div>Come back soon, friends</div></body>", ["Tides", "High at six.", "Low at noon.", "High again at six."]),
+        (f'<article><div class="sec"><h2>One</h2>{_R}</div><div class="sec"><h2>Two</h2>{_B}</div></article>', ["One", RIVERS, "Two", BRIDGES]),
+        (f'<article>{_R}<section id="related-work"><h2 id="search-results">Work</h2>{_B}</section></article>', [RIVERS, "Work", BRIDGES]),
+        (f'<article><div class="text"><div class="para">{RIVERS}</div><div class="para">{BRIDGES}</div></div></article>', [RIVERS, BRIDGES]),
+        (f'<article>{_R}{_B}{_R}<div class="facts"><div class="fact"><b>Length</b><p>It is long, they say.</p></div><div class="fact"><b>Depth</b><p>It is deep, they say.</p></div></div></article>', [RIVERS, BRIDGES, RIVERS, "Length", "It is long, they say.", "Depth", "It is deep, they say."]),
+    ],
+)
+def test_html_by_place_and_prose(html, want):
+    """Adverts as paragraphs, names of several words, readers' threads, several articles, siblings farther up, short articles."""
+    assert html_text.main_text(html) == "\n\n".join(want)
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 
