@@ -61,6 +61,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def secret_values(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what the base patterns find, without the names that values are assigned to."""
+    out = []
+    for a, b, kind in base_spans(text):
+        out.append((ASSIGN.match(text, a).start(2) if kind == "assign" else a, b))
+    return sorted(out)
+
+
 def _bucket(n: float, cuts: tuple) -> int:
     return sum(n >= c for c in cuts)
 
@@ -69,6 +77,7 @@ _TRIGGER = frozenset("password passwd pwd pass secret token key apikey api_key b
 _RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]")
 #: Letters that may be a word: of one case, or small ones after a capital.
 _LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_SOUNDS = re.compile(r"(?=[aeiouy][b-df-hj-np-tv-xz]|[b-df-hj-np-tv-xz][aeiouy])")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 
@@ -97,6 +106,9 @@ def features(token: str) -> tuple[str, ...]:
         out.append("foreign")
     runs = [len(x) for x in _LETTERS.findall(token)]
     words = sum(x for x in runs if x >= 3) / n
+    letters = upper + lower
+    if letters >= 8:  # how often vowels and other letters take turns: words do so more than half of the time
+        out.append(f"sound:{_bucket(len(_SOUNDS.findall(token.lower())) / letters, (0.25, 0.35, 0.45, 0.55))}:{min(size, 5)}")
     out += [f"wordy:{_bucket(words, (0.01, 0.3, 0.6, 0.8))}", f"run:{_bucket(max(runs, default=0), (3, 5, 8))}:{min(size, 6)}"]
     if _UUID.fullmatch(token):
         out.append("uuid")
@@ -178,7 +190,7 @@ class _Maker:
 
     def token(self) -> list[str]:
         every = _LOWER + _UPPER + _DIGIT
-        kind = self.rng.integers(9)
+        kind = self.rng.integers(11)
         if kind == 0:
             return [self.some("0123456789abcdef", 24, 65)]
         if kind == 1:
@@ -195,7 +207,7 @@ class _Maker:
             return [self.some(every, 20, 33)]
         if kind == 7:
             return [self.some(every, 2, 5) + "." + self.some(every + "_-", 16, 24) + "." + self.some(every + "_-", 24, 44)]
-        return [self.some(_UPPER + _DIGIT, 24, 40)]
+        return [self.some(_UPPER + _DIGIT[: int(self.rng.integers(4, 11))], 24, 40)]
 
     def secret(self) -> tuple[list[str], list[int]]:
         kind = self.rng.integers(7)
@@ -210,7 +222,7 @@ class _Maker:
             lead += [self.pick("=", ":")] + ([self.pick('"', "'")] if self.rng.random() < 0.3 else [])
             own, after = TOKEN.findall(self.password()), lead[-1:] if lead[-1] in "\"'" else []
         else:
-            leads = (["key", "="], ["token", ":"], ["password", "=", '"'], ["Authorization", ":", "Bearer"], ["Authorization", ":", "Basic"], ["secret", ":"], ["api_key", "=", "'"], ["X-Api-Key", ":"], [], [], [], [])
+            leads = (["key", "="], ["token", ":"], ["password", "=", '"'], ["Authorization", ":", "Bearer"], ["Authorization", ":", "Basic"], ["secret", ":"], ["api_key", "=", "'"], ["X-Api-Key", ":"], [], [], [], [], [], [], [])
             lead = list(leads[self.rng.integers(len(leads))])
             own, after = self.token(), lead[-1:] if lead and lead[-1] in "\"'" else []
         return [*lead, *own, *after], [*[OUT] * len(lead), BEGIN, *[INSIDE] * (len(own) - 1), *[OUT] * len(after)]
@@ -224,7 +236,7 @@ class _Maker:
         elif kind == 1:
             text = "-".join(self.some("0123456789abcdef", n, n + 1) for n in (8, 4, 4, 4, 12))
         elif kind == 2:
-            text = self.pick("/", "~/", "./", "../") + "/".join(self.pick(word().lower(), word() + self.some(_DIGIT, 1, 3), self.pick("usr", "lib", "src", "home")) for _ in range(int(self.rng.integers(2, 7)))) + self.pick("", ".py", ".txt", ".so.1", ".json")
+            text = self.pick("/", "~/", "./", "../") + "/".join(self.pick(word().lower(), word() + self.some(_DIGIT, 1, 3), self.pick("usr", "lib", "src", "home"), word() + "_" + self.some(_DIGIT, 1, 5) + "_" + word().lower(), word().capitalize()) for _ in range(int(self.rng.integers(2, 7)))) + self.pick("", ".py", ".txt", ".so.1", ".json")
         elif kind == 3:
             text = "".join(word().capitalize() for _ in range(int(self.rng.integers(2, 5))))
         elif kind == 4:
@@ -247,15 +259,22 @@ Window = tuple[list[tuple[str, ...]], list[int], list[float], list[str]]
 
 
 def windows(text: str) -> list[Window]:
-    """(features of each token, tags by the base patterns, file features, some words): places of the text drawn by its hash, and some of its base secrets."""
-    spans, found, out = base_spans(text), [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)], []
+    """(features of each token, tags by the base patterns, file features, some words): places of the text drawn by its hash, and some of its base secrets.
+
+    Tagged is what a base pattern finds but for the name that it is given: a token that
+    mostly lies in a value begins a secret, and the value's further tokens are inside.
+    """
+    found, out = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)], []
+    values = secret_values(text)
     rng = np.random.default_rng(crc32(text.encode()))
-    tags, at = [], 0
+    tags, at, last = [], 0, -1
     for _, a, b in found:
-        while at < len(spans) and spans[at][1] <= a:
+        while at < len(values) and values[at][1] <= a:
             at += 1
-        tags.append(BEGIN if b - a >= 6 and any(a < y and x < b for x, y, _ in spans[at : at + 3]) else OUT)
-    hot = [i for i, t in enumerate(tags) if t]
+        own = next((i for i in range(at, min(at + 3, len(values))) if 2 * (min(b, values[i][1]) - max(a, values[i][0])) > b - a), -1)
+        tags.append(OUT if own < 0 else INSIDE if own == last else BEGIN)
+        last = own
+    hot = [i for i, t in enumerate(tags) if t == BEGIN]
     starts = [int(rng.integers(max(1, len(found) - WINDOW + 1))) for _ in range(ANYWHERE)]
     starts += [max(0, h - WINDOW // 2) for h in (rng.choice(hot, size=min(HOT, len(hot)), replace=False).tolist() if hot else ())]
     seen = file_features(text).tolist()
@@ -267,12 +286,12 @@ def windows(text: str) -> list[Window]:
 
 
 def _planted(given: list[Window], rng: np.random.Generator) -> list[tuple[list[tuple[str, ...]], list[int], list[float]]]:
-    """The windows with two secrets made for every six, and two things that only look so."""
+    """The windows with six secrets made for every six, and five things that only look so."""
     words = sorted({w for *_, some in given for w in some}) or ["word", "other", "third"]
     maker, out = _Maker(rng, words), []
     for k, (seen, tags, file, _) in enumerate(given):
         seen, tags = list(seen), list(tags)
-        for make in ((maker.secret,), (maker.harmless,), (maker.secret, maker.harmless), (), (maker.harmless, maker.harmless), (maker.secret,))[k % 6]:
+        for make in ((maker.secret, maker.secret), (maker.harmless, maker.secret), (maker.secret, maker.harmless), (), (maker.harmless, maker.harmless, maker.harmless), (maker.secret, maker.secret))[k % 6]:
             tokens, own = make()
             cut = int(rng.integers(len(seen) + 1))
             while 0 < cut < len(seen) and tags[cut] != OUT:
@@ -425,19 +444,29 @@ class Tagger:
 
 
 def all_spans(text: str, tagged: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """The base spans, and the tagged ones, whole, that the base spans leave any text of uncovered."""
+    """The base spans, and the tagged ones, whole, that the base spans leave any text of uncovered.
+
+    Of tagged ones those with as many letters and digits as a base value has at least.
+    """
     out = base_spans(text)
     if tagged:
         base = [(a, b) for a, b, _ in out]
         where = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
         for first, last in tagged:
+            while last > first and where[last][0] > where[last - 1][1] and _plain(text[where[last][0] : where[last][1]]):
+                last -= 1  # a word behind white space is no end of a secret
             a, b = where[first][0], where[last][1]
-            if _uncovered(text, a, b, base):
+            if sum(map(str.isalnum, text[a:b])) >= LEAST["assign"] and _uncovered(text, a, b, base):
                 out.append((a, b, "model"))
         out.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return out
 
 
+def _plain(token: str) -> bool:
+    """Whether a token is a word, a number of few digits, or a mark."""
+    return len(token) == 1 or (token.isalpha() and len(token) <= 16 and token[1:] == token[1:].lower()) or (token.isdigit() and len(token) <= 4)
+
+
 def _uncovered(text: str, a: int, b: int, base: list[tuple[int, int]]) -> bool:
     """Whether anything but white space of text[a:b] is outside the base spans, given by start."""
     for x, y in base:

@@ -298,7 +298,23 @@ def test_field_on_forms_it_was_not_trained_on(model, corpus, capsys):
     false = len(wrong) / (20 * len(HARMLESS))
     with capsys.disabled():
         print(f"\nsecrets: recall {recall:.3f} {[round(sum(v) / len(v), 2) for v in caught.values()]}, harmless tagged {false:.3f} {sorted(set(wrong))}, spans beyond the base in {len(corpus)} texts {extra}")
-    assert recall >= 0.85 and false <= 0.1 and extra <= 0.02 * len(corpus)
+    assert recall >= 0.95 and min(sum(v) / len(v) for v in caught.values()) >= 0.75 and false <= 0.05 and extra <= 0.005 * len(corpus)
+
+
+def test_spans_end_with_the_secret(model, corpus):
+    """Neither the name that a value is given nor the words behind it are in a span of the field."""
+    tagger = secrets.Tagger(model)
+    for secret in ("hunter22222", "Tr0ub4dor&3xyz99", "Zk39fA0qLx81mQvB7tYd2"):
+        for lead in ("my password = ", "passphrase : ", "pwd=", "use "):
+            text = f"{lead}{secret} ok then, all is well"
+            for a, b, _ in secrets.all_spans(text, tagger.tags([text])[0]):
+                assert b <= len(lead) + len(secret), text
+    # training tags the value alone, its first token as begin
+    tokens, tags = secrets.TOKEN.findall("a password = abc123==def456 b"), None
+    for seen, own, _, _ in secrets.windows("a password = abc123==def456 b"):
+        if len(seen) == len(tokens):
+            tags = own
+    assert tags == [0, 0, 0, 1, 2, 2, 2, 0]
 
 
 def test_secret_of_many_tokens_after_a_base_lead(model, corpus):
