@@ -8,15 +8,16 @@ again. The kernel of two texts is the sum over all pairs of their words, plus RA
 squared times the mean over all pairs: both are kernels, and so is their sum.
 
 Landmarks are texts of one word: words and word beginnings whose presence tells
-labelled toxic texts from others. A text's kernels with the landmarks, whitened by the
+labelled toxic texts from others, and a few common ones. A text's kernels with the landmarks, whitened by the
 landmarks' kernel matrix (Nystroem), are its features; a linear machine is trained on
 them by subgradient steps, and a logistic curve fitted to its margins gives the score.
 
-A kernel of two words below NEAR counts as 0. Two bounds spare most of the work: a
-word's kernel with a landmark is at most the norm of what the landmark's subsequences
-have over letters that the word holds (Cauchy and Schwarz), and a word's own kernel is
-at least that of as many different letters. A worker keeps what it has found for a
-word, within a bound.
+Kernels are exact for words of any length. A word is described by its subsequences
+themselves, each with its summed decays: short ones by all choices of three places at
+once, long ones letter by letter, in time in proportion to their length. The product
+with the landmarks' subsequences is the kernel. Letters that no landmark has are told
+apart by CLASSES classes only, in all words alike. A worker keeps what it has found for
+a word, within a bound.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,20 @@ from pyspark.sql import types as T
 
 from taxolark.llm.tables import held, pick, slices
 
-#: Letters of a subsequence, decay, power, value that is as good as 0.
-ORDER, DECAY, POWER, NEAR = 3, 0.9, 8, 0.01
+#: Letters of a subsequence, decay, power.
+ORDER, DECAY, POWER = 3, 0.9, 8
+#: Classes of letters that no landmark has; letters up to which all choices of three places are looked at together.
+CLASSES, SHORT = 12, 20
+#: More than the letters that a subsequence of a short word spans with its mark; a power of two.
+SPANS = 32
 #: Weight of the mean over words: insults count by number and by share.
 RATE = 100.0
-#: Landmarks, letters of a piece that long words are cut into, words that a worker keeps.
-LANDMARKS, PIECE, KEPT = 40, 24, 200_000
+#: Landmarks that tell toxic texts, and of common words, at most; words that a worker keeps.
+LANDMARKS, PLAIN, KEPT = 64, 8, 200_000
+#: Normed kernel from which two landmarks are too much alike.
+ALIKE = 0.9
 #: How often each toxic text is learnt from with its insults spoiled.
-SPOILED = 1
+SPOILED = 2
 #: Labelled texts used to fit, and their bytes.
 SAMPLE, SAMPLE_BYTES = 6000, 64 << 20
 
@@ -63,40 +70,25 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def forms(word: str) -> list[str]:
-    """What is compared of a word: without marks around and inside; long words in overlapping pieces."""
+def form(word: str) -> str:
+    """What is compared of a word: without marks around and inside; empty if it has fewer than ORDER letters."""
     if not word.isalpha():
         word = _INNER.sub("", _EDGES.sub("", word))
-    if len(word) < ORDER:
-        return []
-    if len(word) <= PIECE:
-        return [word]
-    return [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
-
-
-def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters as a padded matrix, with a mark before the first, and lengths."""
-    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    out = np.zeros((len(words), int(n.max(initial=1))), dtype=np.int32)
-    flat = np.frombuffer("".join("^" + w for w in words).encode("utf-32-le"), dtype=np.int32)
-    out[np.repeat(np.arange(len(words)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
-    return out, n
-
-
-def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Subsequence kernel of each row of ``s`` (letters as numbers, padded with 0) with ``t``, or with the same row of a matrix ``t``."""
-    n, width = len(s), t.shape[-1]
-    far = np.subtract.outer(np.arange(width), np.arange(width)).T
-    below = (np.where(far >= 0, DECAY ** np.maximum(0, far), 0) * DECAY**2).astype(np.float32)
-    prefix = [np.zeros((n, width + 1), dtype=np.float32) for _ in range(ORDER)]
-    total = np.zeros(n, dtype=np.float32)
-    for j in range(s.shape[1]):
-        same = t == s[:, j : j + 1]
-        total += (same * prefix[ORDER - 1][:, :-1]).sum(axis=1)
-        for q in range(ORDER - 1, 0, -1):
-            met = (same if q == 1 else same * prefix[q - 1][:, :-1]).astype(np.float32) @ below
-            prefix[q][:, 1:] = DECAY * prefix[q][:, 1:] + met
-    return total * DECAY**2
+    return word if len(word) >= ORDER else ""
+
+
+def kernel(a: str, b: str) -> float:
+    """Subsequence kernel of two words by its recursion, without the marks before them."""
+    prefix = np.ones((len(a) + 1, len(b) + 1))
+    for _ in range(ORDER - 1):
+        each = np.zeros_like(prefix)
+        for i in range(1, len(a) + 1):
+            run = 0.0
+            for j in range(1, len(b) + 1):
+                run = DECAY * run + (DECAY**2 * prefix[i - 1, j - 1] if a[i - 1] == b[j - 1] else 0.0)
+                each[i, j] = DECAY * each[i - 1, j] + run
+        prefix = each
+    return float(sum(DECAY**2 * prefix[i, j] for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]))
 
 
 @dataclass
@@ -116,76 +108,94 @@ class Describer:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks, self.m = landmarks, len(landmarks)
-        self.t = [codes([w])[0][0] for w in landmarks]
-        self.own = [float(kernel(t[None, :], t)[0]) for t in self.t]
         letters = sorted({c for w in landmarks for c in w})
-        self.bit = np.zeros(0x110000, dtype=np.uint64)
-        for i, c in enumerate(letters):  # beyond 64 letters some share a bit, which lets a few more words through
-            self.bit[ord(c)] = np.uint64(1) << np.uint64(i % 64)
-        self.hold = [self._bounds(t, own) for t, own in zip(self.t, self.own, strict=True)]
+        self.letters = 1 + len(letters) + CLASSES  # the mark is letter 0
+        self.letter = (1 + len(letters) + np.arange(0x110000) % CLASSES).astype(np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        # of each subsequence that a landmark has its summed decays in all of them, normed; row 0 for the others
+        found = [self._long(w) for w in landmarks]
+        norm = np.sqrt([float((d**2).sum()) for d in found])
+        self.row = np.zeros(self.letters**ORDER, dtype=np.int32)
+        some = np.flatnonzero(sum((d > 0).astype(int) for d in found)) if found else np.zeros(0, dtype=int)
+        self.row[some] = np.arange(1, len(some) + 1)
+        self.decays = np.zeros((len(some) + 1, self.m), dtype=np.float32)
+        for j, d in enumerate(found):
+            self.decays[1:, j] = d[some] / norm[j]
+        self.places: dict[int, tuple[np.ndarray, ...]] = {}
         self.forget()
 
-    def _bounds(self, t: np.ndarray, own: float) -> tuple[list[int], np.ndarray]:
-        """Of a landmark: the places of its letters' bits, and for each set of them the most that a word with no others can have."""
-        bits = sorted({int(self.bit[c]).bit_length() - 1 for c in t[1:].tolist()})
-        masked = np.tile(t, (1 << len(bits), 1))
-        for i, at in enumerate(bits):
-            of = (self.bit[t] == np.uint64(1 << at)) & (np.arange(len(t)) > 0)
-            masked[np.ix_((np.arange(1 << len(bits)) >> i & 1) == 0, of)] = 0
-        return bits, np.sqrt(kernel(masked, t) / own) ** POWER
-
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.table = np.zeros((1, self.m), dtype=np.float32)  # row 0: near no landmark
 
+    def _long(self, word: str) -> np.ndarray:
+        """The summed decays of all subsequences of three letters, letter by letter."""
+        n = self.letters
+        one, two, three = np.zeros(n), np.zeros((n, n)), np.zeros((n, n, n))
+        for c in [0, *self.letter[[ord(c) for c in word]].tolist()]:
+            # decays from the first letter of a subsequence to the place now
+            one, two = one * DECAY, two * DECAY
+            three[:, :, c] += two * DECAY
+            two[:, c] += one
+            one[c] += 1
+        return three.ravel()
+
+    def _short(self, words: list[str]) -> np.ndarray:
+        """Normed kernels of words of one length with the landmarks."""
+        n = len(words[0]) + 1
+        if n not in self.places:
+            at = np.array(list(combinations(range(n), ORDER)), dtype=np.int64).T
+            self.places[n] = *at, (at[2] - at[0] + 1).astype(np.int32)
+        x, y, z, span = self.places[n]
+        decays = (DECAY ** np.arange(SPANS)).astype(np.float32)
+        s = np.zeros((len(words), n), dtype=np.int32)
+        s[:, 1:] = self.letter[np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")].reshape(len(words), n - 1)
+        code = (s[:, x] * self.letters + s[:, y]) * self.letters + s[:, z]
+        row = self.row[code]
+        out = np.zeros((len(words), self.m), dtype=np.float32)
+        word, place = np.nonzero(row)
+        if not len(word):
+            return out
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        own = word[starts]
+        near = np.add.reduceat(self.decays[row[word, place]] * decays[span[place]][:, None], starts, axis=0)
+        # a word's kernel with itself: its subsequences' summed decays, squared; spans are sorted along in the last digits
+        keys = np.sort(code[own] * SPANS + span, axis=1)
+        subsequence = keys // SPANS
+        new = np.ones(keys.shape, dtype=bool)
+        new[:, 1:] = subsequence[:, 1:] != subsequence[:, :-1]
+        squares = np.add.reduceat(decays[keys % SPANS].ravel(), np.flatnonzero(new)) ** 2
+        counts = new.sum(axis=1)
+        out[own] = near / np.sqrt(np.add.reduceat(squares, np.cumsum(counts) - counts))[:, None]
+        return out
+
     def similar(self, words: list[str]) -> np.ndarray:
-        """Normed kernels of words with landmarks, raised to the power."""
+        """Normed kernels of words (in the form that is compared) with landmarks, raised to the power."""
         out = np.zeros((len(words), self.m), dtype=np.float32)
         if not words or not self.m:
             return out
-        s, n = codes(words)
-        bits = np.bitwise_or.reduce(self.bit[s], axis=1)
-        near = np.zeros((len(words), self.m), dtype=bool)
-        for j, (places, bound) in enumerate(self.hold):
-            held = np.zeros(len(words), dtype=np.int64)
-            for i, at in enumerate(places):
-                held |= (bits >> np.uint64(at) & np.uint64(1)).astype(np.int64) << i
-            near[:, j] = bound[held] >= NEAR
-        order = np.argsort(n, kind="stable")
-        for j, (t, own) in enumerate(zip(self.t, self.own, strict=True)):
-            met = order[near[order, j]]
-            for lo in range(0, len(met), 4096):
-                rows = met[lo : lo + 4096]
-                out[rows, j] = kernel(s[rows, : n[rows[-1]]], t) / np.sqrt(own)
-        least = np.array([(kernel(w, w[0]) if len(w[0]) >= ORDER else [np.inf])[0] for w in (np.arange(1, k + 1)[None, :] for k in range(1, int(n.max()) + 1))])
-        out[(out / np.sqrt(least[n - 1])[:, None]) ** POWER < NEAR] = 0
-        left = order[out[order].any(axis=1)]
-        for lo in range(0, len(left), 4096):
-            rows = left[lo : lo + 4096]
-            own = s[rows, : n[rows[-1]]]
-            out[rows] /= np.sqrt(kernel(own, np.where(own == 0, -1, own)))[:, None]
-        out = np.minimum(out, 1) ** POWER
-        out[out < NEAR] = 0
-        return out
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        for n in np.unique(sizes).tolist():
+            same = np.flatnonzero(sizes == n)
+            if n <= SHORT:
+                step = max(1, 2_000_000 // max(1, n**ORDER))
+                for lo in range(0, len(same), step):
+                    rows = same[lo : lo + step]
+                    out[rows] = self._short([words[i] for i in rows])
+                continue
+            for i in same:
+                found = self._long(words[i])
+                met = np.flatnonzero(self.row)
+                out[i] = found[met].astype(np.float32) @ self.decays[self.row[met]] / np.sqrt((found**2).sum())
+        return np.minimum(out, 1) ** POWER
 
     def _learn(self, fresh: list[str]) -> None:
-        """Rows of words; a word of several pieces is the sum of their rows."""
-        pieces, owner = [], []
-        for i, w in enumerate(fresh):
-            own = forms(w)
-            pieces += own
-            owner += [i] * len(own)
-        distinct = list(dict.fromkeys(pieces))
+        compared = [form(w) for w in fresh]
+        distinct = [w for w in dict.fromkeys(compared) if w]
         number = {w: i for i, w in enumerate(distinct)}
-        near = np.zeros((len(fresh), self.m), dtype=np.float32)
-        if pieces:
-            rows = self.similar(distinct)[[number[p] for p in pieces]]
-            some = rows.any(axis=1)
-            np.add.at(near, np.array(owner)[some], rows[some])
-        some = np.flatnonzero(near.any(axis=1))
-        at = np.zeros(len(fresh), dtype=np.int64)
-        at[some] = len(self.table) + np.arange(len(some))
-        self.table = np.concatenate([self.table, near[some]])
+        rows = self.similar(distinct)
+        at = np.fromiter((len(self.table) + number[w] if w else 0 for w in compared), dtype=np.int64, count=len(fresh))
+        self.table = np.concatenate([self.table, rows])
         self.known |= dict(zip(fresh, at.tolist(), strict=True))
 
     def describe(self, texts: list[str | None]) -> np.ndarray:
@@ -197,8 +207,10 @@ class Describer:
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=int(sizes.sum()))
         total = np.zeros((len(texts), self.m))
-        some = np.flatnonzero(number)
-        np.add.at(total, np.repeat(np.arange(len(parts)), sizes)[some], self.table[number[some]])
+        some = np.flatnonzero(sizes)
+        if len(some):
+            starts = (np.cumsum(sizes) - sizes)[some]
+            total[some] = np.add.reduceat(self.table[number], starts, axis=0, dtype=np.float64)
         return np.concatenate([total, RATE * total / np.maximum(1, sizes)[:, None]], axis=1)
 
 
@@ -216,16 +228,17 @@ def different(texts: list[str], labels: list[int]) -> list[int]:
     return list(seen.values())
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
-    """Words and word beginnings whose presence tells toxic texts from others, by likelihood gain (G statistic).
+def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS, plain: int = PLAIN) -> list[str]:
+    """Words and word beginnings whose presence tells toxic texts from others, by likelihood gain (G statistic), and the commonest of the others.
 
     Of equal gains the longer comes first, then the first by code point. A beginning of
-    a landmark, or a word that begins with one, isn't taken as well if it stands in
-    about as many texts.
+    a landmark, or a word that begins with one, isn't taken as well if it stands in about
+    as many texts, and neither is what is ALIKE one by their kernel.
+    The ``plain`` common words of clean texts show the machine what kernels mean nothing.
     """
     bad, clean = Counter(), Counter()
     for text, y in zip(texts, toxic.tolist(), strict=True):
-        (bad if y else clean).update({f[:k] for w in set(words_of(text)) for f in forms(w) for k in range(4, min(len(f), 12) + 1)})
+        (bad if y else clean).update({f[:k] for w in set(words_of(text)) for f in (form(w),) for k in range(4, min(len(f), 12) + 1)})
     positive, n = int(toxic.sum()), len(texts)
     rate = positive / max(1, n)
     ranked = []
@@ -237,13 +250,30 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS)
                 continue
             ranked.append((-round(float(gain), 6), -len(c), c))
     count = bad + clean
+
+    def same(c: str, x: str) -> bool:
+        """Whether one begins with the other and both stand in about as many texts."""
+        return (c.startswith(x) or x.startswith(c)) and 2 * count[c] < 3 * count[x] and 2 * count[x] < 3 * count[c]
+
     out: list[str] = []
-    for _, _, c in sorted(ranked):
-        if len(out) < most and not any((c.startswith(x) or x.startswith(c)) and 2 * count[c] < 3 * count[x] and 2 * count[x] < 3 * count[c] for x in out):
-            out.append(c)
+    common = sorted(((-m, c) for c, m in clean.items() if bad[c] * n <= 1.2 * positive * (m + bad[c])))
+    for words, bound in (([c for *_, c in sorted(ranked)], most), ([c for _, c in common[: 20 * plain]], plain)):
+        start = len(out)
+        for c in words:
+            if len(out) - start == bound:
+                break
+            if not any(same(c, x) or _normed(c, x) > ALIKE for x in out):
+                out.append(c)
+        if not out:  # nothing tells toxic texts
+            break
     return out
 
 
+def _normed(a: str, b: str) -> float:
+    a, b = f"^{a}", f"^{b}"
+    return kernel(a, b) / np.sqrt(kernel(a, a) * kernel(b, b))
+
+
 def _spoiled(word: str, rng: np.random.Generator) -> str:
     """The word with a letter put in, or one left out, somewhere inside."""
     at = int(rng.integers(1, len(word)))

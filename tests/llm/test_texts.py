@@ -440,11 +440,28 @@ def plain_kernel(a, b, n=toxicity.ORDER, decay=toxicity.DECAY):
 
 
 def test_kernel_by_its_definition():
-    words = ["idiot", "idxiot", "tidoi", "abc", "réeux", "aaaa", "ab"]
-    s, _ = toxicity.codes(words)
-    for other in words:
-        t = toxicity.codes([other])[0][0]
-        assert toxicity.kernel(s, t) == pytest.approx([plain_kernel("^" + w, "^" + other) for w in words], rel=1e-4)
+    words = ["idiot", "idxiot", "tidoi", "abc", "réeux", "aaaa", "abb"]
+    for a in words:
+        assert [toxicity.kernel("^" + a, "^" + b) for b in words] == pytest.approx([plain_kernel("^" + a, "^" + b) for b in words], rel=1e-9)
+
+
+def test_words_of_any_length_have_exact_kernels():
+    """Short words by all choices of places, long ones letter by letter: as defined, whatever the length."""
+    landmarks = ["idiot", "aaaa", "réeux", "worthless"]
+    describer = toxicity.Describer(landmarks)
+    some = ["idiot", "iidioott", "aaa", "idi", "worthlessworthless", "réeuxworthlessidiota", "réeuxworthlessidiotaa", "idiot" * 9, "x" * 30 + "idiot", "漢字仮名idiot漢字仮名" * 3]
+
+    def letters(word):  # those that no landmark has by class
+        return "^" + "".join(c if any(c in w for w in landmarks) else chr(0x4E00 + ord(c) % toxicity.CLASSES) for c in word)
+
+    got = describer.similar(some)
+    for word, row in zip(some, got, strict=True):
+        a = letters(word)
+        want = [(toxicity.kernel(a, "^" + b) / np.sqrt(toxicity.kernel(a, a) * toxicity.kernel("^" + b, "^" + b))) ** toxicity.POWER for b in landmarks]
+        assert row == pytest.approx(want, rel=1e-3, abs=1e-7), word
+    start = time.time()
+    describer.similar(["idiot" * 20_000])
+    assert time.time() - start < 10
 
 
 def made_texts(n=400):
@@ -484,7 +501,9 @@ def test_toxicity_rows(spark, judge):
     texts, labels = made_texts()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "x"), (9999, None)], "doc_id long, text string")
     lab = spark.createDataFrame([(i, y) for i, y in enumerate(labels)] + [(None, 1), (9999, 1), (3, None)], "doc_id long, toxic int")
-    assert set(toxicity.fit(clashing(docs), lab).landmarks) <= {w[:k] for w in ("gromblix", "vastard", "plonkit") for k in range(4, 13)}
+    marks = toxicity.fit(clashing(docs), lab).landmarks
+    bad = {w[:k] for w in ("gromblix", "vastard", "plonkit") for k in range(4, 13)}
+    assert {"gromblix", "vastard", "plonkit"} <= set(marks) and len(set(marks) - bad) <= toxicity.PLAIN
     none = toxicity.fit(docs, lab.limit(0))  # nothing to learn from: one score for all
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.5}
 
@@ -519,11 +538,14 @@ def test_toxicity_given_labels(spark, folder, capsys):
     caught = {k: round(float(np.mean(v)), 3) for k, v in found.items()}
     with capsys.disabled():
         print(f"\ntoxicity, {len(rows)} held out: recall {recall:.3f} precision {precision:.3f} area {auc:.3f}; always clean is right for {(label == 0).mean():.3f}, this for {(said == label).mean():.3f}; three insults put in: {caught}")
-    assert recall > 0.8 and precision > 0.85 and auc > 0.92 and min(caught["plain"], caught["gapped"]) > 0.95 and caught["letter put in"] > 0.75
+    assert recall > 0.9 and precision >= 0.88 and auc > 0.95 and min(caught["plain"], caught["gapped"]) > 0.95 and caught["letter put in"] > 0.8
+    gram = describer.similar(model.landmarks).astype(float)
+    value = np.linalg.eigvalsh((gram + gram.T) / 2)
+    assert value.min() > 0.1 and value.max() > 1.5  # neither of lower rank nor the identity
 
 
 def test_description_is_the_kernel(judge):
-    """A text's features are its kernels with the landmarks, up to what counts as 0; the kernel's matrix has no negative values."""
+    """A text's features are its kernels with the landmarks; the kernel's matrix has no negative values."""
     describer = toxicity.Describer(judge.landmarks)
     texts = ["the gromblix and the plonkit on vastard", "g r o m b l i x gromblix", "the the of", ""]
 
@@ -536,7 +558,7 @@ def test_description_is_the_kernel(judge):
         words = toxicity.words_of(text)
         for j, mark in enumerate(judge.landmarks):
             want = sum(normed(w, mark) for w in words if len(w) >= 3)
-            assert row[j] == pytest.approx(want, abs=toxicity.NEAR * max(1, len(words)))
+            assert row[j] == pytest.approx(want, rel=1e-3, abs=1e-6)
             assert row[describer.m + j] == pytest.approx(toxicity.RATE * row[j] / max(1, len(words)))
     words = ["gromblix", "gromblax", "plonkit", "plonk", "vastard", "theble", "anding", "blixgrom"]
     gram = np.array([[normed(a, b) for b in words] for a in words])
