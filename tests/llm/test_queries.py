@@ -12,7 +12,7 @@ from conftest_llm import clashing
 from test_links import plain_fingerprint, reachable
 from test_texts import dice_by_force, plain_base
 
-from taxolark.llm import license_scan, queries
+from taxolark.llm import license_scan, queries, toxicity
 
 
 def sha(text):
@@ -175,6 +175,21 @@ def test_op10(spark, folder):
     for r in got:
         by_text.setdefault(next(d["text"] for d in docs if d["doc_id"] == r["doc_id"]), set()).add(round(r["score"], 9))
     assert all(len(s) == 1 for s in by_text.values())
+    # short texts by the kernel's definition
+    model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    own = {c for w in model.landmarks for c in w}
+    letters = lambda w: "^" + "".join(c if c in own else chr(0x4E00 + ord(c) % toxicity.CLASSES) for c in w)
+    norm = {w: np.sqrt(toxicity.kernel("^" + w, "^" + w)) for w in model.landmarks}
+    scores = {r["doc_id"]: r["score"] for r in got}
+    for d in sorted(docs, key=lambda d: len(d["text"] or ""))[:8]:
+        words = toxicity.words_of(d["text"] or "")
+        total = np.zeros(len(norm))
+        for w in filter(None, map(toxicity.form, words)):
+            a = letters(w)
+            total += np.array([toxicity.kernel(a, "^" + b) / norm[b] for b in model.landmarks]) ** toxicity.POWER / toxicity.kernel(a, a) ** (toxicity.POWER / 2)
+        described = np.concatenate([total, toxicity.RATE * total / max(1, len(words))])
+        margin = model.slope * (described @ model.weight + model.bias) + model.offset
+        assert scores[d["doc_id"]] == pytest.approx(1 / (1 + np.exp(-margin)), rel=1e-3, abs=1e-5)
 
 
 def test_stages_on_odd_documents(spark, folder):
