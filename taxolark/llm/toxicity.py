@@ -153,12 +153,22 @@ class Describer:
         code = (s[:, x] * self.letters + s[:, y]) * self.letters + s[:, z]
         row = self.row[code]
         out = np.zeros((len(words), self.m), dtype=np.float32)
-        word, place = np.nonzero(row)
-        if not len(word):
+        hits = np.count_nonzero(row, axis=1)
+        own = np.argsort(-hits, kind="stable")[: np.count_nonzero(hits)]  # words with most to add up first
+        if not len(own):
             return out
-        starts = np.flatnonzero(np.diff(word, prepend=-1))
-        own = word[starts]
-        near = np.add.reduceat(self.decays[row[word, place]] * decays[span[place]][:, None], starts, axis=0)
+        word, place = np.nonzero(row[own])
+        hits = hits[own]
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(hits) - hits, hits)
+        which, weight = np.zeros((int(hits[0]), len(own)), dtype=np.int32), np.zeros((int(hits[0]), len(own), 1), dtype=np.float32)
+        which[nth, word] = row[own][word, place]
+        weight[nth, word, 0] = decays[span[place]]
+        near, part = np.zeros((len(own), self.m), dtype=np.float32), np.empty((len(own), self.m), dtype=np.float32)
+        for k in range(int(hits[0])):  # the k-th hit of every word that has so many
+            n_words = int(np.searchsorted(-hits, -k, side="left"))
+            some = np.take(self.decays, which[k, :n_words], axis=0, out=part[:n_words], mode="clip")
+            some *= weight[k, :n_words]
+            near[:n_words] += some
         # a word's kernel with itself: its subsequences' summed decays, squared; spans are sorted along in the last digits
         keys = np.sort(code[own] * SPANS + span, axis=1)
         subsequence = keys // SPANS
@@ -178,7 +188,7 @@ class Describer:
         for n in np.unique(sizes).tolist():
             same = np.flatnonzero(sizes == n)
             if n <= SHORT:
-                step = max(1, 2_000_000 // max(1, n**ORDER))
+                step = max(1, min(1024, 2_000_000 // n**ORDER))
                 for lo in range(0, len(same), step):
                     rows = same[lo : lo + step]
                     out[rows] = self._short([words[i] for i in rows])
@@ -210,7 +220,7 @@ class Describer:
         some = np.flatnonzero(sizes)
         if len(some):
             starts = (np.cumsum(sizes) - sizes)[some]
-            total[some] = np.add.reduceat(self.table[number], starts, axis=0, dtype=np.float64)
+            total[some] = np.add.reduceat(self.table[number], starts, axis=0)
         return np.concatenate([total, RATE * total / np.maximum(1, sizes)[:, None]], axis=1)
 
 
