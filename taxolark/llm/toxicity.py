@@ -126,7 +126,7 @@ class Describer:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros((1, self.m), dtype=np.float32)  # row 0: near no landmark
+        self.table, self.used = np.zeros((1024, self.m), dtype=np.float32), 1  # row 0: near no landmark
 
     def _long(self, word: str) -> np.ndarray:
         """The summed decays of all subsequences of three letters, letter by letter."""
@@ -202,11 +202,15 @@ class Describer:
     def _learn(self, fresh: list[str]) -> None:
         compared = [form(w) for w in fresh]
         distinct = [w for w in dict.fromkeys(compared) if w]
-        number = {w: i for i, w in enumerate(distinct)}
         rows = self.similar(distinct)
-        at = np.fromiter((len(self.table) + number[w] if w else 0 for w in compared), dtype=np.int64, count=len(fresh))
-        self.table = np.concatenate([self.table, rows])
-        self.known |= dict(zip(fresh, at.tolist(), strict=True))
+        number = {"": 0} | dict(zip(distinct, range(self.used, self.used + len(distinct)), strict=True))
+        if self.used + len(rows) > len(self.table):  # room for twice as many, so that rows are seldom moved
+            more = np.zeros((2 * (self.used + len(rows)), self.m), dtype=np.float32)
+            more[: self.used] = self.table[: self.used]
+            self.table = more
+        self.table[self.used : self.used + len(rows)] = rows
+        self.used += len(rows)
+        self.known |= zip(fresh, map(number.__getitem__, compared), strict=True)
 
     def describe(self, texts: list[str | None]) -> np.ndarray:
         """The kernels of texts with the landmarks: sums over words, and RATE times means over words."""
