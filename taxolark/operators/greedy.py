@@ -2,9 +2,10 @@
 
 The result depends on the order. Only pairs near enough to matter enter the walk. Which
 items lead is settled in rounds: an item leads if no earlier near item can, and follows
-as soon as one leads. A round settles nearly all; what is left are chains of near items,
-and each group of those that hang together is walked in one task if it is small enough,
-or goes through more rounds.
+as soon as one leads. A round settles nearly all; what is left are chains of near items.
+Each group of those that hang together is cut by rank into stretches of a bounded number
+of pairs, and walked stretch by stretch, all groups at once and each in one task: leaders
+of earlier stretches have had their effect before a stretch is walked.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxolark.operators.relations import components
-from taxolark.operators.stored import stored
+from taxolark.operators.stored import running, stored
 
-#: Rounds before groups are walked, and pairs of the largest group that a task walks.
+#: Rounds before groups are walked, and pairs of a stretch that a task walks.
 ROUNDS, WALK = 2, 500_000
 
 
@@ -43,37 +44,55 @@ def settle(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     known = open_.select(F.col("node").alias("before"))
     earlier = stored(pairs.select(F.col("a").alias("before"), F.col("b").alias("node")).distinct().join(known, "before", "left_semi"))
     done: list[DataFrame] = []
-    while not open_.isEmpty():
-        for _ in range(ROUNDS):
-            waiting = earlier.join(open_.select("node"), "node", "left_semi")
-            known = done[-1] if done else None
-            for more in done[:-1]:
-                known = known.unionAll(more)
-            state = waiting.withColumn("leads", F.lit(None).cast("boolean")) if known is None else waiting.join(known.withColumnRenamed("node", "before"), "before", "left")
-            per = state.groupBy("node").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_or(F.col("leads").isNull()).alias("waits"))
-            now = open_.join(per, "node", "left").select("node", "rank", F.when(F.coalesce("led", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True).alias("leads"))
-            now = stored(now)
-            done.append(now.where("leads is not null").select("node", "leads"))
-            open_ = now.where("leads is null").select("node", "rank")
-            if open_.isEmpty():
-                break
+    for _ in range(ROUNDS):
         if open_.isEmpty():
             break
-        # items still open wait for open items only: those that led or followed have had their effect
-        inner = earlier.join(open_.withColumnRenamed("rank", "rank_node"), "node").join(open_.select(F.col("node").alias("before"), F.col("rank").alias("rank_before")), "before")
-        inner = stored(inner)
-        label = components(open_.select("node"), inner.select(F.col("before").alias("source"), F.col("node").alias("target")))
-        grouped = inner.join(label, "node")
-        small = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= WALK).select("component")
-        walked = stored(grouped.join(small, "component", "left_semi").groupBy("component").applyInPandas(_walk, f"node {kind}, leads boolean"))
-        done.append(walked)
-        open_ = stored(open_.join(walked, "node", "left_anti"))
+        waiting = earlier.join(open_.select("node"), "node", "left_semi")
+        known = done[-1] if done else None
+        for more in done[:-1]:
+            known = known.unionAll(more)
+        state = waiting.withColumn("leads", F.lit(None).cast("boolean")) if known is None else waiting.join(known.withColumnRenamed("node", "before"), "before", "left")
+        per = state.groupBy("node").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_or(F.col("leads").isNull()).alias("waits"))
+        now = open_.join(per, "node", "left").select("node", "rank", F.when(F.coalesce("led", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True).alias("leads"))
+        now = stored(now)
+        done.append(now.where("leads is not null").select("node", "leads"))
+        open_ = now.where("leads is null").select("node", "rank")
+    if not open_.isEmpty():
+        done += _walked(open_, earlier, kind)
+        open_ = open_.limit(0)
     out = open_.select("node", F.lit(None).cast("boolean").alias("leads"))
     for d in done:
         out = out.unionAll(d)
     return out
 
 
+def _walked(open_: DataFrame, earlier: DataFrame, kind: str) -> list[DataFrame]:
+    """(node, leads) of all open items (node, rank), which wait for each other only, in parts."""
+    inner = stored(earlier.join(open_.withColumnRenamed("rank", "rank_node"), "node").join(open_.select(F.col("node").alias("before"), F.col("rank").alias("rank_before")), "before"))
+    label = components(open_.select("node"), inner.select(F.col("before").alias("source"), F.col("node").alias("target")))
+    counts = inner.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    items = open_.join(label, "node").join(counts, "node", "left").select("node", "rank", "component", F.coalesce("n", F.lit(0)).alias("n"))
+    placed = running(items, "component", [F.col("rank")], F.col("n"))
+    placed = stored(placed.select("node", "component", F.floor((F.col("upto") - F.col("n")) / WALK).cast("int").alias("stretch")))
+    last = placed.agg(F.max("stretch")).first()[0]
+    out: list[DataFrame] = []
+    for i in range(last + 1):
+        own = placed.where(F.col("stretch") == i)
+        if out:  # leaders of earlier stretches
+            heads = out[0].where("leads").select(F.col("node").alias("before"))
+            for known in out[1:]:
+                heads = heads.unionAll(known.where("leads").select("node"))
+            led = inner.join(own, "node").join(heads, "before", "left_semi").select("node").distinct()
+            own = own.join(led, "node", "left_anti")
+        own = stored(own)
+        free = inner.join(own.select("node", "component"), "node").join(own.select(F.col("node").alias("before")), "before", "left_semi")
+        walked = free.groupBy("component").applyInPandas(_walk, f"node {kind}, leads boolean")
+        settled = own.join(walked, "node", "left").select("node", F.coalesce("leads", F.lit(True)).alias("leads"))
+        led = placed.where(F.col("stretch") == i).join(own, "node", "left_anti").select("node", F.lit(False).alias("leads"))
+        out.append(stored(settled.unionAll(led)))
+    return out
+
+
 def leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, leader) of items (id), in order of id: ``pairs`` (a, b, ...) with a before b are the items near enough; a leader leads itself; computes at once.
 

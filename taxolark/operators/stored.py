@@ -88,3 +88,19 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "place") -> Dat
     offsets = F.broadcast(sizes.select("_part", before.alias("_before")))  # a row for each part
     inside = Window.partitionBy("_part").orderBy(*order)
     return dealt.join(offsets, "_part").withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
+def running(df: DataFrame, key: str, order: Sequence[Column], value: Column, name: str = "upto") -> DataFrame:
+    """Rows with the sum of a value up to the row among the rows of its key.
+
+    Rows are dealt by range of key and order, so a key of any size is spread over tasks;
+    into a part that goes on with a key the sums of the parts before are carried.
+    """
+    dealt = stored(df.repartitionByRange(F.col(key), *order).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy(key, "_part").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(F.col(key).alias("_of"), F.col("_part").alias("_at"), F.sum("_sum").over(earlier).alias("_before")).where("_before is not null")
+    inside = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("_own", F.sum(value).over(inside))
+    out = found.join(F.broadcast(carried), (F.col(key) == F.col("_of")) & (F.col("_part") == F.col("_at")), "left")  # a row for each part at most
+    return out.select(*df.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).alias(name))

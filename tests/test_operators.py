@@ -247,10 +247,10 @@ def test_leaders_and_diversity(spark):
     assert got == [(1, 0.9), (3, round(0.7 * (1 - 0.3 * 5 / 6), 4)), (4, 0.5)]
 
 
-@pytest.mark.parametrize("walk", [500_000, 0])
+@pytest.mark.parametrize("walk", [500_000, 60])
 def test_leaders_of_a_long_chain(spark, monkeypatch, walk):
-    """An item in 300 steps of a chain gets the leader that a walk gives it; with groups walked, and by rounds only."""
-    n = 300 if walk else 30
+    """An item in 300 steps of a chain gets the leader that a walk gives it; with groups walked whole, and in stretches."""
+    n = 300
     monkeypatch.setattr(greedy, "WALK", walk)
     rng = random.Random(1)
     near = [(i, i + 1) for i in range(1, n)] + [(i, j) for i, j in ((rng.randrange(1, n), rng.randrange(1, n)) for _ in range(40)) if i < j]
