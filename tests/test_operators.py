@@ -1,6 +1,7 @@
 """Operators on small tables made here: known values, nulls, ties, and what SQL over the given tables can't show."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -318,6 +319,18 @@ def test_cooccurrence_in_large_baskets(spark, monkeypatch):
     assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == {k: v for k, v in count.items() if v >= 2}
 
 
+def test_cooccurrence_deals_pairs_into_bounded_tasks(spark, monkeypatch):
+    for name, most in (("BASKET", 4), ("ROWS", 100), ("PAIRS", 16)):
+        monkeypatch.setattr(vocabulary, name, most)
+    rows = [(g, i) for g in range(50) for i in range(g % 9)] * 2
+    got = vocabulary.cooccurrence(spark.createDataFrame(rows, "g long, i long"), "i", "g", 1)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    parts = [int(x) for x in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan)]
+    assert len(parts) == 3 and min(parts) >= 20  # by far more pairs than shuffled bytes would tell
+    own = [set(range(g % 9)) for g in range(50)]
+    assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == {(a, b): n for a in range(9) for b in range(a + 1, 9) if (n := sum({a, b} <= o for o in own))}
+
+
 def test_similarity_edges_prune_nothing_near(spark, monkeypatch):
     import math
 
