@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from taxolark.functions import text as tf
 from taxolark.functions import vector as vf
 from taxolark.operators import relations
+from taxolark.operators.stored import stored
 
 
 def candidate_text(term: Column, normalized: Column, contexts: Column) -> Column:
@@ -31,12 +32,30 @@ def search_candidates(candidates: DataFrame, query: str, domain: str | None = No
     return found.orderBy(F.desc("score"), F.desc("frequency"), "term").limit(limit)
 
 
+#: Terms of either side of a relation whose links a task forms.
+TERMS = 512
+
+
 def link_by_term(candidates: DataFrame, pairs: DataFrame, key: str = "term_id") -> DataFrame:
-    """(source, target, relation, strength): relations between terms (from_term, to_term, relation, strength) as edges of known ones."""
+    """(source, target, relation, strength): relations between terms (from_term, to_term, relation, strength) as edges of known ones.
+
+    All candidates of the one name are linked to all of the other, so a relation's links
+    may be very many: its candidates are dealt into buckets, and each pair of buckets is
+    linked in a task. The candidates that relations name are written at once.
+    """
     known = candidates.select(F.lower("normalized_term").alias("n"), F.col(key).alias("k"))
-    a, b = known.toDF("na", "source"), known.toDF("nb", "target")
-    joined = pairs.join(a, F.lower("from_term") == F.col("na")).join(b, F.lower("to_term") == F.col("nb"))
-    return joined.where("source <> target").select("source", "target", "relation", "strength")
+    asked = pairs.select(F.lower("from_term").alias("na"), F.lower("to_term").alias("nb"), "relation", "strength")
+    own = stored(known.join(asked.select(F.col("na").alias("n")).unionAll(asked.select("nb")).distinct(), "n", "left_semi"))
+    sizes = own.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / TERMS).cast("long").alias("of"))
+    asked = asked.join(sizes.toDF("na", "la"), "na").join(sizes.toDF("nb", "lb"), "nb")
+    asked = stored(asked.withColumn("pair", F.monotonically_increasing_id()))
+    parts = max(1, min(asked.agg(F.sum(F.col("la") * F.col("lb"))).first()[0] or 0, 10_000))
+    own = own.withColumn("h", F.xxhash64("k"))
+    a = own.join(asked.select("pair", F.col("na").alias("n"), "la", "lb"), "n").select("pair", F.col("k").alias("source"), F.pmod("h", F.col("la")).alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lb") - 1)).alias("w"))
+    b = own.join(asked.select("pair", F.col("nb").alias("n"), "la", "lb", "relation", "strength"), "n")
+    b = b.select("pair", F.col("k").alias("target"), "relation", "strength", F.explode(F.sequence(F.lit(0).cast("long"), F.col("la") - 1)).alias("u"), F.pmod("h", F.col("lb")).alias("w"))
+    met = a.repartition(parts, "pair", "u", "w").join(b.repartition(parts, "pair", "u", "w"), ["pair", "u", "w"])
+    return met.where("source <> target").select("source", "target", "relation", "strength")
 
 
 def attributes_of(categories: DataFrame, attributes: DataFrame, values: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from taxolark.functions import text as tf
 from taxolark.functions import vector as vf
 from taxolark.operators import aggregate as agg
 from taxolark.operators import filters as ff
-from taxolark.operators import governance, greedy, mapping, quality, ranking, relations, search, taxonomy, vocabulary
+from taxolark.operators import governance, greedy, mapping, quality, ranking, relations, search, semantic, taxonomy, vocabulary
 from taxolark.sources import items, models, packs
 from taxolark.streaming import streams
 
@@ -444,3 +444,15 @@ def test_streaming(spark, tmp_path, folder):
     q.awaitTermination()
     want = streams.tumbling(streams.event_time(src), "1 day", "event_type", "value")
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_links_of_a_frequent_term_are_dealt_into_tasks(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "TERMS", 8)
+    names = [(i, ("Red", "blue", None, "green")[i % 4]) for i in range(200)] + [(None, "red"), (3, "red")]
+    asked = [("RED", "blue", "x", 0.5), ("red", "Red", "y", 0.25), ("red", "Red", "y", 0.25), ("red", "none", "z", 1.0), (None, "red", "n", 1.0)]
+    got = semantic.link_by_term(spark.createDataFrame(names, "term_id long, normalized_term string"), spark.createDataFrame(asked, "from_term string, to_term string, relation string, strength double"))
+    low = [(i, n.lower()) for i, n in names if n and i is not None]
+    want = sorted((a, b, r, s) for f, t, r, s in asked if f for a, x in low for b, y in low if x == f.lower() and y == t.lower() and a != b)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    shares = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(shares) > 20 and max(shares) < len(want) / 4
