@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from taxolark.functions.text import quoted
+from taxolark.operators.stored import stored
 
 
 def map_fields(df: DataFrame, mapping: dict[str, Sequence[str]]) -> DataFrame:
@@ -91,17 +95,65 @@ def adapt(df: DataFrame, mapping: dict[str, Sequence[str]], source: str, normali
     )
 
 
+#: Rows of a task that looks for valid mappings.
+STRETCH = 250_000
+
+
 def apply_mappings(items: DataFrame, mappings: DataFrame, term: str = "term", at: str = "at") -> DataFrame:
-    """Items with ``mapped``: the term that theirs maps to at the time, from the latest mapping then valid.
+    """Items with ``mapped``: the term that theirs maps to at the time, from the latest mapping then valid; computes at once.
 
     Mappings (from_term, to_term, valid_from, valid_to): valid from the first until before
     the second, or on. A term without one keeps its name; a deprecated one maps to null.
+
+    Items and mappings are dealt by range of term and time together, so a term of any
+    history is spread over tasks. A mapping is carried into the part where its validity
+    ends; of those that outlast a part, only the latest counts there.
     """
-    of_term = mappings.groupBy("from_term").agg(F.collect_list(F.struct("valid_from", "to_term", "valid_to")).alias("_all"))  # a term's history
-    joined = items.join(of_term, F.col(term) == F.col("from_term"), "left")
-    valid = F.filter("_all", lambda m: (m["valid_from"] <= F.col(at)) & (m["valid_to"].isNull() | (F.col(at) < m["valid_to"])))
-    hit = F.array_max(valid)
-    return joined.withColumn("mapped", F.when(hit.isNotNull(), hit["to_term"]).otherwise(F.col(term))).drop("from_term", "_all")
+    kept = items.select(F.col(term).alias("_k"), F.col(at).alias("_t"), F.struct(*[F.col(f"`{c}`") for c in items.columns]).alias("_item"))
+    usable = mappings.where("from_term is not null and valid_from is not null and (valid_to is null or valid_from < valid_to)")
+    known = usable.select(F.col("from_term").alias("_k"), F.col("valid_from").alias("_t"), F.col("valid_to").alias("_end"), F.struct("to_term").alias("_to"))
+    both = stored(known.withColumn("_side", F.lit(0)).unionByName(kept.withColumn("_side", F.lit(1)), allowMissingColumns=True))
+    order = [F.asc_nulls_first("_t"), F.asc("_side"), F.asc_nulls_first("_to")]
+    dealt = stored(both.repartitionByRange(1 + both.count() // STRETCH, "_k", *order).withColumn("_part", F.spark_partition_id()))
+    bounds = dealt.where("_k is not null and _t is not null").groupBy("_k", "_part").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"))
+    # a term's parts; two terms with several share no more than one, so there are fewer than twice the parts
+    spans = bounds.groupBy(F.col("_k").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("_part", "lo", "hi"))).alias("_spans")).where(F.size("_spans") > 1)
+    lasts = F.col("_end").isNull
+    over = dealt.where("_side = 0").join(F.broadcast(spans), F.col("_k") == F.col("_of"))
+    over = over.withColumn("_spans", F.filter("_spans", lambda s: (s["_part"] > F.col("_part")) & (lasts() | (F.col("_end") > s["lo"])))).where(F.size("_spans") > 0)
+    over = stored(over.withColumn("_last", F.element_at("_spans", -1)))
+    ending = over.where("_end is not null and _end <= _last.hi").select("_k", "_t", "_end", "_to", F.col("_last._part").alias("_part"))
+    whole = over.select("_k", "_part", F.struct("_t", "_to").alias("_best"), F.filter("_spans", lambda s: lasts() | (F.col("_end") > s["hi"]))["_part"].alias("_covers"))
+    whole = whole.groupBy("_k", "_part", "_covers").agg(F.max("_best").alias("_best")).select("_k", "_best", F.explode("_covers").alias("_part")).groupBy("_k", "_part").agg(F.max("_best").alias("_best"))
+    covers = whole.select("_k", "_best._t", "_best._to", "_part")
+    carried = ending.unionByName(covers, allowMissingColumns=True).withColumn("_side", F.lit(0))
+    rows = dealt.unionByName(carried, allowMissingColumns=True)
+
+    def latest(rows: pa.Table) -> pa.Table:
+        """A term's items of a part with the latest mapping that is valid then: a stack from which go those that end before a later one."""
+        to = rows["_to"].combine_chunks()
+        rows = rows.append_column("_name", pa.chunked_array([to.field("to_term")]))
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("_t", "ascending"), ("_side", "ascending"), ("_name", "ascending")], null_placement="at_start"))
+        end = pc.rank(pa.chunked_array([*rows["_t"].chunks, *rows["_end"].chunks]), sort_keys="ascending", null_placement="at_end", tiebreaker="min").to_pylist()
+        n, stack, hit, asked = rows.num_rows, [], [], []
+        timed = rows["_t"].is_valid().to_pylist()
+        for i, side in enumerate(rows["_side"].to_pylist()):
+            if side:
+                while stack and timed[i] and end[n + stack[-1]] <= end[i]:
+                    stack.pop()
+                asked.append(i)
+                hit.append(stack[-1] if stack and timed[i] else None)
+            else:
+                while stack and end[n + stack[-1]] <= end[n + i]:
+                    stack.pop()
+                stack.append(i)
+        found = pa.array(hit, type=pa.int64())
+        return pa.table({"_item": rows["_item"].take(pa.array(asked, type=pa.int64())), "_hit": found.is_valid(), "_name": rows["_name"].take(found)})
+
+    kinds = StructType([StructField("_item", kept.schema["_item"].dataType), StructField("_hit", BooleanType()), StructField("_name", mappings.schema["to_term"].dataType)])
+    met = rows.where("_k is not null").groupBy("_k", "_part").applyInArrow(latest, kinds)
+    met = met.unionByName(dealt.where("_k is null").select("_item", F.lit(False).alias("_hit"), F.lit(None).cast(kinds["_name"].dataType).alias("_name")))
+    return met.select("_item.*", F.when(F.col("_hit"), F.col("_name")).otherwise(F.col(f"_item.`{term}`")).alias("mapped"))
 
 
 def bulk_split(items: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:

@@ -456,3 +456,24 @@ def test_links_of_a_frequent_term_are_dealt_into_tasks(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == want
     shares = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(shares) > 20 and max(shares) < len(want) / 4
+
+
+def test_mappings_of_a_long_history(spark, monkeypatch):
+    rng = random.Random(9)
+    for stretch, nested in ((7, False), (11, True), (1000, False)):
+        monkeypatch.setattr(mapping, "STRETCH", stretch)
+        spans = [(f"t{rng.randrange(3)}", rng.choice(["a", "b", None]), f := rng.randrange(60), rng.choice([None, f + rng.randrange(-1, 40)])) for _ in range(40)]
+        if nested:
+            spans = [("t0", f"m{i}", i, 60 - i) for i in range(30)] + [("t1", "open", 3, None)]
+        spans += [(None, "x", 1, None), ("t2", "never", None, None)]
+        asked = [(i, f"t{rng.randrange(4)}", rng.randrange(62)) for i in range(120)] + [(900, None, 5), (901, "t0", None)]
+        got = mapping.apply_mappings(spark.createDataFrame(asked, "id long, term string, at int"), spark.createDataFrame(spans, "from_term string, to_term string, valid_from int, valid_to int"))
+        assert got.columns == ["id", "term", "at", "mapped"]
+
+        def best(term, at):
+            good = [(f, to is not None, to or "") for t, to, f, end in spans if None not in (term, at, f) and t == term and f <= at and (end is None or at < end)]
+            return (max(good)[2] or None) if good else term
+
+        assert {r["id"]: r["mapped"] for r in got.collect()} == {i: best(t, a) for i, t, a in asked}
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(struct(valid_from" not in plan
