@@ -477,3 +477,15 @@ def test_mappings_of_a_long_history(spark, monkeypatch):
         assert {r["id"]: r["mapped"] for r in got.collect()} == {i: best(t, a) for i, t, a in asked}
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list(struct(valid_from" not in plan
+
+
+def test_whole_products_are_formed_without_shuffling_vectors(spark, monkeypatch):
+    for name, most in (("BLOCK", 16), ("TILE", 3), ("HELD", 1000)):
+        monkeypatch.setattr(relations, name, most)
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3 + i % 2)]) for i in range(90)] + [(5, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = relations.similarity_edges(df, df, -2.0)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    want = sorted((i, j) for i, v in rows for j, w in rows if i != j and len(v) == len(w))
+    assert sorted((r["source"], r["target"]) for r in got.collect()) == want
