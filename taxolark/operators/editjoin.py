@@ -4,7 +4,10 @@ A text that is at most k edits from another keeps one of its k + 1 segments whol
 its place. The texts of one side are cut into segments, those of the other give the
 pieces that could be such a segment: of its length, and shifted no further than the
 edits allow. A segment that very many texts share says little; texts that hold such a
-one are also cut into k + 2 segments, of which two stay whole, and meet on both.
+one are cut in halves: the edits that their beginnings need are counted, each distinct
+pair of beginnings once, and the ends meet on a segment that the edits left over spare;
+without any left, on the whole end. If the beginnings are too many, such texts are cut
+into k + 2 segments, of which two stay whole, and meet on both.
 
 The pieces of a long text are very many. Pairs with a long one meet on their rarest
 bigrams instead: an edit spoils two at most, so what is near shares one of the first few.
@@ -22,6 +25,8 @@ from taxolark.operators.stored import stored
 
 #: Pairs that one segment may bring together before pairs of segments are asked for.
 CROWD = 20_000
+#: Pairs of beginnings that are compared for texts with a segment that very many share.
+HEADS = 20_000_000
 #: Longest text that is cut into segments, if the threshold lets bigrams serve for longer ones.
 LONG, BIGRAMS_FROM = 40, 0.6
 
@@ -123,6 +128,50 @@ def _keyed(texts: DataFrame, name: str, own: bool, threshold: float, pairs: bool
     return texts.select(F.col("text").alias(name)).mapInArrow(run, f"key string, {name} string").select(F.xxhash64("key").alias("key"), name)
 
 
+def _by_halves(xs: DataFrame, ys: DataFrame, threshold: float, of_y: frozenset[int]) -> DataFrame | None:
+    """(x, y): pairs of texts (text) that may be near, all near ones among them; None if their beginnings are too many to compare.
+
+    A text y of n characters is cut behind the first half, and x wherever the edits allow:
+    near texts have a cut for which the edits of the halves add up to those of the whole.
+    """
+    m, n = F.length("x"), F.col("n")
+    k = F.floor((1 - threshold) * F.greatest(m, n) + 1e-9).cast("int")
+    half = F.floor(n / 2).cast("int")
+    sized = xs.select(F.col("text").alias("x"), F.explode(F.array(*[F.lit(i) for i in sorted(of_y)])).alias("n")).withColumn("k", k).where(F.abs(m - n) <= F.col("k"))
+    cut = sized.select("x", "n", "k", F.explode(F.sequence(F.greatest(F.lit(0), half - F.col("k")), F.least(m, half + F.col("k")))).alias("p"))
+    cut = cut.select("x", "n", "k", F.substr("x", F.lit(1), F.col("p")).alias("hx"), F.substr("x", F.col("p") + 1).alias("tail"))
+    own = ys.select(F.col("text").alias("y"), F.length("text").alias("n"))
+    own = own.select("y", "n", F.substr("y", F.lit(1), half).alias("hy"), F.substr("y", half + 1).alias("tail"))
+    one, other = stored(cut.select("n", "k", "hx").distinct()), stored(own.select("n", "hy").distinct())
+    sizes = one.groupBy("n").agg(F.count(F.lit(1)).alias("c")).join(other.groupBy("n").agg(F.count(F.lit(1)).alias("d")), "n")
+    if (sizes.agg(F.sum(F.col("c") * F.col("d"))).first()[0] or 0) > HEADS:
+        return None
+    heads = one.join(other, "n").withColumn("rest", F.col("k") - F.levenshtein("hx", "hy")).where("rest >= 0")
+    heads = stored(heads.select("n", "k", "hx", "hy", "rest"))
+    asked = cut.join(heads, ["n", "k", "hx"]).where(F.abs(F.length("tail") - (n - half)) <= F.col("rest")).select("x", "tail", "n", "hy", "rest")
+    known = own.join(heads.select("n", "hy", "rest").distinct(), ["n", "hy"]).select("y", "tail", "n", "hy", "rest")
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                keys, back = [], []
+                for t, tail, n, head, rest in zip(*(c.to_pylist() for c in whole.columns), strict=True):
+                    whole_length = n - n // 2
+                    if whole_length <= rest:  # no segment need stay whole
+                        found = ["*"]
+                    else:
+                        slack = rest if name == "x" else 0
+                        found = [f"{i}:{tail[p : p + b - a]}" for i, (a, b) in enumerate(cuts(whole_length, rest + 1)) for p in range(max(0, a - slack), min(len(tail) - (b - a), a + slack) + 1)]
+                    for f in dict.fromkeys(found):
+                        keys.append(f"{n}:{rest}:{len(head)}:{head}:{f}")
+                        back.append(t)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.string()), pa.array(back, type=pa.string())], names=["key", name])
+
+        return rows.mapInArrow(run, f"key string, {name} string").select(F.xxhash64("key").alias("key"), name)
+
+    return keyed(asked, "x").join(keyed(known, "y"), "key").select("x", "y")
+
+
 def near_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(x, y, score): pairs of texts (text) by Levenshtein similarity of at least the threshold, which lies above 0; computes at once.
 
@@ -142,14 +191,16 @@ def near_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     if not crowd.isEmpty():
         xs = other.join(crowd, "key", "left_semi").select(F.col("x").alias("text")).distinct()
         ys = own.join(crowd, "key", "left_semi").select(F.col("y").alias("text")).distinct()
-        met = met.unionAll(_keyed(xs, "x", False, threshold, True, of_b).join(_keyed(ys, "y", True, threshold, True, of_a), "key").select("x", "y"))
+        halves = _by_halves(xs, ys, threshold, of_b)
+        met = met.unionAll(halves if halves is not None else _keyed(xs, "x", False, threshold, True, of_b).join(_keyed(ys, "y", True, threshold, True, of_a), "key").select("x", "y"))
     if by_grams:
         met = met.unionAll(_near_long(left, right, threshold))
     longest = F.greatest(F.length("x"), F.length("y"))
     most = F.floor((1 - threshold) * longest + 1e-9).cast("int")
     close = F.abs(F.length("x") - F.length("y")) <= most
     score = F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein("x", "y") / longest)
-    return met.where(close).distinct().withColumn("score", score).where(F.col("score") >= threshold).select("x", "y", "score")
+    # most pairs that meet aren't near, so they are compared before repeated ones are left out
+    return met.where(close).withColumn("score", score).where(F.col("score") >= threshold).select("x", "y", "score").distinct()
 
 
 def near_pairs(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:

@@ -347,3 +347,19 @@ def test_metric_log(spark, tmp_path):
     assert log.last(1000, "took").count() == 400 and log.last(3, "other").count() == 0
     one = log.summary().first()
     assert (one["n"], one["mean"], one["least"], one["most"], one["p95"]) == (400, 199.5, 0.0, 399.0, 379.0)
+
+
+def test_texts_with_a_part_that_all_share_meet_by_halves(spark, monkeypatch):
+    monkeypatch.setattr(editjoin, "CROWD", 3)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("ab0") for _ in range(rng.randrange(9))) for _ in range(60)]
+    a = [f"customer#00{w}" for w in words] + ["".join(rng.choice("abc") for _ in range(rng.randrange(14))) for _ in range(40)]
+    b = [f"supplier#00{w[::-1]}" for w in words] + [f"custmer#00{w[1:]}" for w in words[:20]] + ["", "ab", "ba"]
+    pairs = lambda t: spark.createDataFrame([(x,) for x in t], "text string")
+    for threshold, most in ((0.7, 10**9), (0.5, 10**9), (0.7, -1)):
+        monkeypatch.setattr(editjoin, "HEADS", most)
+        got = [(r["x"], r["y"]) for r in editjoin.near_texts(pairs(a), pairs(b), threshold).collect()]
+        both = pairs(a).distinct().crossJoin(pairs(b).distinct().toDF("y"))
+        longest = F.greatest(F.length("text"), F.length("y"))
+        want = both.where((longest == 0) | (1 - F.levenshtein("text", "y") / longest >= threshold))
+        assert sorted(got) == sorted(tuple(r) for r in want.collect())
