@@ -2,6 +2,8 @@
 
 import random
 import re
+from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -331,6 +333,21 @@ def test_cooccurrence_deals_pairs_into_bounded_tasks(spark, monkeypatch):
     assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == {(a, b): n for a in range(9) for b in range(a + 1, 9) if (n := sum({a, b} <= o for o in own))}
 
 
+def test_cooccurrence_counts_pairs_in_bounded_tasks(spark, monkeypatch):
+    for name, most in (("BASKET", 8), ("PAIRS", 50)):
+        monkeypatch.setattr(vocabulary, name, most)
+    # nearly all pairs differ, and all groups hold one of them
+    rows = [(g, i) for g in range(60) for i in (-2, -1, *range(5 * g, 5 * g + (20 if g == 7 else 5)))]
+    got = vocabulary.cooccurrence(spark.createDataFrame(rows, "g long, i long"), "i", "g", 1)
+    sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    count = Counter(p for g in range(60) for p in combinations(sorted(i for h, i in rows if h == g), 2))
+    assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == count and count[-2, -1] == 60
+    assert len(sizes) > 15 and max(sizes) < 150  # few bytes, which would be one task's
+    # nor does a frequent pair come as a row for each group: counts of lots are dealt
+    told = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in told.split("RepartitionByExpression [a")[1]
+
+
 def test_similarity_edges_prune_nothing_near(spark, monkeypatch):
     import math
 
