@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxolark.functions import tables
-from taxolark.operators import asof, editjoin, search, sketches, vocabulary
+from taxolark.operators import asof, editjoin, search, sketches, textindex, vocabulary
 from taxolark.operators.completions import Completions
 from taxolark.operators.textindex import TextIndex
 from taxolark.operators.vectorindex import VectorIndex
@@ -151,6 +151,32 @@ def test_text_index_reads_its_words_only(spark, tmp_path):
     assert [r["key"] for r in index.search("rare").collect()] == list(range(10))
 
 
+def test_text_index_writes_blocks_once(spark, tmp_path, monkeypatch):
+    for name, most in (("SLOT", 16), ("WORDS", 500), ("SPAN", 2), ("FIRST", 1)):
+        monkeypatch.setattr(textindex, name, most)
+    rng = random.Random(9)
+    rows = [(i, None if i % 40 == 0 else " ".join(rng.choice(["a", "b", "c", f"x{i % 7}"]) for _ in range(rng.randrange(12)))) for i in range(300)]
+    df = spark.createDataFrame([*rows, rows[5], (None, "a a"), (999, "lone a")], "id long, text string")
+    index = TextIndex.build(df, "id", "text", str(tmp_path / "t"))
+    files = lambda: sorted(index.blocks().inputFiles())
+    first = files()
+    # a block knows places, not keys; a removal notes documents and writes no block anew
+    assert [f.name for f in index.blocks().schema["postings"].dataType.elementType] == ["at", "n"]
+    index.remove(spark.createDataFrame([(i,) for i in (*range(0, 300, 3), 999, 5000)], "key long"))
+    assert files() == first and index.docs().count() == 200 and index.gone().count() == 101
+    index.add(extra := spark.createDataFrame([(1, "b b"), (700, "a x1")], "id long, text string"), "id", "text")
+    left = df.where("id % 3 <> 0 and id <> 1").dropDuplicates(["id"]).unionByName(extra)
+    for _ in range(2):
+        for q in ("a x1", "lone", "lone b", "c"):
+            assert index.search(q, limit=9).collect() == search.bm25(left, "id", "text", q, limit=9).collect(), q
+        index.merge()
+    assert index.gone().isEmpty() and index.docs().count() == index.figures().first()["docs"] == 201 and index.blocks().where("word = 'lone'").isEmpty()
+    index.remove(index.docs().select("key"))
+    assert index.search("a b").isEmpty()
+    index.merge()
+    assert index.search("a b").isEmpty() and index.blocks().isEmpty()
+
+
 # --- edits -------------------------------------------------------------------------------------------------------
 
 
