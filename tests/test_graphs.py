@@ -4,8 +4,10 @@ import random
 from collections import defaultdict, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from taxolark.operators import digraph, forest, vocabulary
+from taxolark.plans import all_queries
 
 
 def made(spark, n, edges):
@@ -172,3 +174,22 @@ def test_hierarchy_of_any_depth(spark):
     assert sorted(r["term_id"] for r in h.circular.collect()) == [2000, 2001, 2002, 2003]
     assert [r["term_id"] for r in h.path(999).orderBy("place").collect()] == list(range(1000))
     assert h.descendants(990, 3).count() == 3 and h.depths().count() == 2
+
+
+@pytest.mark.parametrize("name", ("data_quality",))
+def test_queries_on_edges_count_pairs_in_bounded_tasks(spark, folder, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def ask(*given):
+        raise Asked(given)
+
+    cooccurrence = vocabulary.cooccurrence
+    monkeypatch.setattr(vocabulary, "cooccurrence", ask)
+    with pytest.raises(Asked) as asked:
+        all_queries()[name](spark, folder)
+    monkeypatch.setattr(vocabulary, "PAIRS", 500)
+    # all pairs that are counted, also those that are too few for an edge
+    pairs = cooccurrence(*asked.value.args[0][:3], 1)
+    sizes = [r["n"] for r in pairs.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) > 5000 and max(sizes) < 1000
