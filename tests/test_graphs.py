@@ -176,7 +176,7 @@ def test_hierarchy_of_any_depth(spark):
     assert h.descendants(990, 3).count() == 3 and h.depths().count() == 2
 
 
-@pytest.mark.parametrize("name", ("data_quality", "degree_centrality", "forest_cuts", "graph_metrics", "graph_traversal_search", "hierarchical_clusters", "hybrid_search", "pagerank", "pattern_match", "rank_balanced", "rank_confidence", "rank_freshness"))
+@pytest.mark.parametrize("name", ("data_quality", "degree_centrality", "forest_cuts", "graph_metrics", "graph_traversal_search", "hierarchical_clusters", "hybrid_search", "pagerank", "pattern_match", "rank_balanced", "rank_confidence", "rank_freshness", "rank_popularity"))
 def test_queries_on_edges_count_pairs_in_bounded_tasks(spark, folder, monkeypatch, name):
     class Asked(Exception):
         pass
