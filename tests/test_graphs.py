@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from taxolark.operators import digraph, forest, vocabulary
 from taxolark.plans import all_queries
+from taxolark.plans.registry import edges
 
 
 def made(spark, n, edges):
@@ -193,3 +194,10 @@ def test_queries_on_edges_count_pairs_in_bounded_tasks(spark, folder, monkeypatc
     pairs = cooccurrence(*asked.value.args[0][:3], 1)
     sizes = [r["n"] for r in pairs.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) > 5000 and max(sizes) < 1000
+
+
+def test_parts_are_not_sent_whole_to_tasks_that_count_pairs(spark, folder):
+    found = edges(spark, folder)
+    assert len(found.collect()) > 0
+    # the parts are small enough here for Spark to broadcast them of its own accord
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
