@@ -6,7 +6,8 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
-from taxolark.operators import digraph, forest, vocabulary
+from taxolark.operators import digraph, forest, relations, vocabulary
+from taxolark.operators.stored import stored
 from taxolark.plans import all_queries
 from taxolark.plans.registry import edges
 
@@ -201,3 +202,19 @@ def test_parts_are_not_sent_whole_to_tasks_that_count_pairs(spark, folder):
     assert len(found.collect()) > 0
     # the parts are small enough here for Spark to broadcast them of its own accord
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ("forest_cuts", "hierarchical_clusters"))
+def test_labels_of_all_parts_are_not_sent_whole_to_tasks(spark, folder, monkeypatch, name):
+    plans = []
+
+    def seen(df):
+        # what Spark plans before it knows any size, so by the size of files alone
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(relations, "stored", seen)
+    all_queries()[name](spark, folder)
+    # a round's labels: broadcasts of what is counted or grouped from edges are small, those of labels are not
+    rounds = [p for p in plans if "next#" in p]
+    assert rounds and not any("BroadcastHashJoin [component" in p for p in rounds)
