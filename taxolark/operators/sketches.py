@@ -29,14 +29,46 @@ def over(days: DataFrame, by: Sequence[str], first: str | None = None, last: str
     """(by, n, mean, quantiles, items) of the days from first to last, both included: no row of those days is read again.
 
     ``quantiles`` are estimates of the values at the ranks, ``items`` of the distinct ones.
+    ``n`` counts rows, the mean is of values; without any, it and the quantiles are null.
     """
     if first is not None:
         days = days.where(F.col("day") >= F.lit(first).cast("date"))
     if last is not None:
         days = days.where(F.col("day") <= F.lit(last).cast("date"))
     merged = days.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_double("quantiles").alias("q"), F.hll_union_agg("items").alias("i"))
-    found = F.array(*[F.kll_sketch_get_quantile_double("q", F.lit(float(r))) for r in ranks])
-    return merged.select(*by, "n", (F.col("total") / F.col("n")).alias("mean"), found.alias("quantiles"), F.hll_sketch_estimate("i").alias("items"))
+    values = F.kll_sketch_get_n_double("q")
+    mean = F.when(values > 0, F.col("total") / values).otherwise(F.col("total"))
+    found = F.when(values > 0, F.array(*[F.kll_sketch_get_quantile_double("q", F.lit(float(r))) for r in ranks]))
+    return merged.select(*by, "n", mean.alias("mean"), found.alias("quantiles"), F.hll_sketch_estimate("i").alias("items"))
+
+
+def within(found: DataFrame, rows: DataFrame, by: Sequence[str], value: str, item: str, ranks: Sequence[float] = (0.5,), rank_error: float = 0.03, item_error: float = 0.05) -> DataFrame:
+    """(by, n, mean, quantiles, items, quantiles_near, items_near): figures from ``over`` held against the rows that they are of.
+
+    A quantile is near if it lies between the exact ones of its rank less and plus
+    ``rank_error``, ends included, which the numbers of values below it and up to it tell:
+    values are neither sorted nor kept. The figures, a row for each group, are broadcast.
+    Distinct items are counted apart, as all that is aggregated beside them would be kept
+    for each item. Null and NaN aren't values; where there are none, nothing is far.
+    """
+    v, keys = F.col(value).cast("double"), [f"_by{i}" for i in range(len(by))]
+    v = F.when(~F.isnan(v), v)
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        on = F.lit(True)
+        for b, k in zip(by, keys, strict=True):
+            on = on & F.col(b).eqNullSafe(F.col(k))
+        return left.join(F.broadcast(right.withColumnsRenamed(dict(zip(by, keys, strict=True)))), on).drop(*keys)
+
+    counts, near = [F.count(v).alias("_n")], F.lit(True)
+    for i, r in enumerate(ranks):
+        q = F.col("_q")[i]
+        counts += [F.count_if(v <= q).alias(f"_to{i}"), F.count_if(v < q).alias(f"_under{i}")]
+        near = near & (F.col(f"_to{i}") >= F.greatest(F.lit(1.0), F.col("_n") * max(0.0, r - rank_error))) & (F.col(f"_under{i}") < F.col("_n") * min(1.0, r + rank_error))
+    counted = joined(rows.select(*by, value), found.select(*by, F.col("quantiles").alias("_q"))).groupBy(*by).agg(*counts)
+    distinct = rows.groupBy(*by).agg(F.count_distinct(item).alias("_items"))
+    far = F.abs(F.col("items") - F.col("_items")) > F.col("_items") * item_error
+    return joined(joined(found, counted), distinct).select(*found.columns, ((F.col("_n") == 0) | near).alias("quantiles_near"), (~far).alias("items_near"))
 
 
 def rank_of(days: DataFrame, by: Sequence[str], value: float) -> DataFrame:

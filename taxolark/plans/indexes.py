@@ -184,13 +184,8 @@ def daily_sketches(spark, folder):
     ranks = (0.1, 0.5, 0.9)
     found = sketches.over(spark.read.parquet(path), ["event_type"], "2024-01-05", "2024-01-20", ranks)
     own = e.where("to_date(ts) between date'2024-01-05' and date'2024-01-20'")
-    bounds = [F.percentile_approx("value", [max(0.0, r - 0.03), min(1.0, r + 0.03)], 100_000).alias(f"b{i}") for i, r in enumerate(ranks)]
-    exact = own.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), *bounds)
-    near = F.lit(True)
-    for i in range(len(ranks)):
-        near = near & F.col("quantiles")[i].between(F.col(f"b{i}")[0], F.col(f"b{i}")[1])
-    users = F.abs(F.col("items") - F.col("users")) <= 0.05 * F.col("users")
-    return found.join(exact, "event_type").select("event_type", "n", F.round("mean", 6).alias("mean"), near.alias("quantiles_near"), users.alias("users_near"))
+    held = sketches.within(found, own, ["event_type"], "value", "user_id", ranks)
+    return held.select("event_type", "n", F.round("mean", 6).alias("mean"), "quantiles_near", F.col("items_near").alias("users_near"))
 
 
 @query("SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")

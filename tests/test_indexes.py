@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from taxolark.operators import asof, editjoin, search, sketches, textindex, voca
 from taxolark.operators.completions import Completions
 from taxolark.operators.textindex import TextIndex
 from taxolark.operators.vectorindex import VectorIndex
+from taxolark.plans import all_queries, all_sql
 from taxolark.streaming import stateful, streams
 
 
@@ -281,6 +283,50 @@ def test_sketches_within_their_bounds(spark):
     assert sketches.over(days.limit(0), ["g"]).collect() == []
 
 
+def test_estimates_are_held_against_exact_figures(spark):
+    rng = random.Random(11)
+    values = {"a": [float(rng.randrange(40)) for _ in range(500)] + [None] * 60, "b": [rng.gauss(0, 1) for _ in range(301)] + [float("nan")] * 9, None: [1.0] * 50, "none": [None] * 5, "one": [3.5]}
+    items = {g: [rng.choice((None, *range(len(v)))) for v in [vs] for _ in vs] for g, vs in values.items()}
+    rows = spark.createDataFrame([(g, v, i) for g, vs in values.items() for v, i in zip(vs, items[g], strict=True)], "g string, v double, item long")
+    ranks = (0.0, 0.1, 0.5, 0.97)
+
+    def exact(vs, share):
+        """The smallest value up to which that share of them lies."""
+        return next(x for k, x in enumerate(vs, 1) if k >= share * len(vs))
+
+    asked = []
+    for shift in (0.0, -0.6, 0.6, 2.0):
+        for g, vs in values.items():
+            own, users = sorted(v for v in vs if v is not None and v == v), len({i for i in items[g] if i is not None})
+            q = [exact(own, r) + shift for r in ranks] if own else None
+            near = all(exact(own, max(0.0, r - 0.03)) <= x <= exact(own, min(1.0, r + 0.03)) for r, x in zip(ranks, q, strict=True)) if own else True
+            asked.append((g, shift, q, float(round(users * (1 + shift / 20))), near, abs(round(users * (1 + shift / 20)) - users) <= 0.05 * users))
+    assert {a[4] for a in asked} == {a[5] for a in asked} == {True, False}
+    for shift in (0.0, -0.6, 0.6, 2.0):
+        found = spark.createDataFrame([(g, len(values[g]), None, q, i) for g, s, q, i, *_ in asked if s == shift], "g string, n long, mean double, quantiles array<double>, items double")
+        got = sketches.within(found, rows, ["g"], "v", "item", ranks)
+        assert {r["g"]: (r["quantiles_near"], r["items_near"]) for r in got.collect()} == {a[0]: a[4:] for a in asked if a[1] == shift}
+
+
+def test_daily_sketches_keep_no_values_for_each_user(spark, folder):
+    got = all_queries()["daily_sketches"](spark, folder)
+    nodes = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    of_users = [n for n in nodes if "user_id" in n.split("Aggregate")[-1] and "Aggregate" in n]
+    assert of_users and not [n for n in of_users if "value" in n]
+
+
+def test_daily_sketches_over_nulls(spark, folder, tmp_path):
+    """Null types are a group; null values are counted as rows but not in the mean; a type may have no values at all."""
+    rows = spark.read.parquet(f"{folder}/events.parquet")
+    kind = F.when(F.col("event_type") == "view", F.lit(None)).otherwise(F.col("event_type"))
+    value = F.when((F.col("event_type") != "click") & (F.col("event_id") % 3 > 0), F.col("value"))
+    rows.withColumns({"event_type": kind, "value": value}).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = [tuple(r) for r in all_queries()["daily_sketches"](spark, str(tmp_path)).select("event_type", "n", "mean", "quantiles_near", "users_near").collect()]
+    assert sorted(got, key=str) == sorted(con.execute(all_sql()["daily_sketches"]).fetchall(), key=str) and len(got) == 5
+
+
 # --- table functions, aggregates, state ------------------------------------------------------------------------------
 
 
