@@ -1,5 +1,6 @@
 """Operators on small tables made here: known values, nulls, ties, and what SQL over the given tables can't show."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -12,7 +13,7 @@ from taxolark.functions import text as tf
 from taxolark.functions import vector as vf
 from taxolark.operators import aggregate as agg
 from taxolark.operators import filters as ff
-from taxolark.operators import governance, greedy, mapping, quality, ranking, relations, search, semantic, taxonomy, vocabulary
+from taxolark.operators import governance, greedy, mapping, quality, ranking, relations, search, semantic, stored, taxonomy, vocabulary
 from taxolark.sources import items, models, packs
 from taxolark.streaming import streams
 
@@ -506,3 +507,22 @@ def test_whole_products_are_formed_without_shuffling_vectors(spark, monkeypatch)
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
     want = sorted((i, j) for i, v in rows for j, w in rows if i != j and len(v) == len(w))
     assert sorted((r["source"], r["target"]) for r in got.collect()) == want
+
+
+def test_products_leave_one_copy_of_the_vectors_on_disk(spark):
+    def tables():
+        root = stored._roots.get(spark.sparkContext.applicationId, "").removeprefix("file:")
+        return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(50)], "id long, v array<float>")
+    other = df.where("id < 20")
+    before = tables()
+    same, two = relations.similarity_edges(df, df, -2.0), relations.similarity_edges(df, other, -2.0)
+    assert len(tables() - before) == 3  # of the first call one table, of the second one for either side
+    kind = next(f.dataType for t in tables() - before for f in spark.read.parquet(f"{stored._roots[spark.sparkContext.applicationId]}/{t}").schema if f.name in ("x", "y"))
+    assert kind.elementType["v"].dataType.elementType.typeName() == "float"  # as given, not twice as wide
+    assert same.count() == 50 * 49 and two.count() == 50 * 20 - 20
+    with stored.scope():
+        assert relations.similarity_edges(df, df, -2.0).count() == 50 * 49
+    assert len(tables() - before) == 3
